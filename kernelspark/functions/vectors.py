@@ -72,10 +72,10 @@ def dot(a, b, d: int | None = None) -> Column:
                        lambda acc, x: acc + x)
 
 
-def sqdist_const(col, center: Sequence[float]) -> Column:
-    """||x - c||^2 against a literal center."""
+def sqdist_const(col, center: Sequence[float], unroll: bool | None = None) -> Column:
+    """||x - c||^2 against a literal center (``unroll`` None: by width)."""
     center = [float(v) for v in center]
-    if len(center) <= UNROLL_MAX:
+    if unroll if unroll is not None else len(center) <= UNROLL_MAX:
         return _sum([(item(col, j) - _lit(v)) * (item(col, j) - _lit(v))
                      for j, v in enumerate(center)])
     lits = F.array(*[_lit(v) for v in center])

@@ -19,6 +19,13 @@ from ..functions import vectors as V
 
 # Largest center / landmark set that may be inlined into a plan.
 MAX_INLINE = 4096
+# Unrolled arithmetic only while K * d stays under this (generated code
+# beyond ~64 KB per method falls out of whole-stage codegen).
+UNROLL_CELLS = 256
+
+
+def _unroll(points) -> bool:
+    return int(np.size(points)) <= UNROLL_CELLS
 
 
 def positional_zip(rows: DataFrame, labels: DataFrame, key: str = "row_id",
@@ -39,7 +46,8 @@ def center_distances(df: DataFrame, centers: Sequence[Sequence[float]],
     centers = np.asarray(centers, dtype=float)
     if len(centers) > MAX_INLINE:
         raise ValueError("too many centers to inline")
-    return df.withColumn(out, F.array(*[V.sqdist_const(features, c) for c in centers]))
+    u = _unroll(centers)
+    return df.withColumn(out, F.array(*[V.sqdist_const(features, c, u) for c in centers]))
 
 
 def rbf_to_points(df: DataFrame, points: Sequence[Sequence[float]], gamma: float,
@@ -48,7 +56,8 @@ def rbf_to_points(df: DataFrame, points: Sequence[Sequence[float]], gamma: float
     pts = np.asarray(points, dtype=float)
     if len(pts) > MAX_INLINE:
         raise ValueError("too many points to inline")
-    return df.withColumn(out, F.array(*[F.exp(V.sqdist_const(features, p) * F.lit(-gamma))
+    u = _unroll(pts)
+    return df.withColumn(out, F.array(*[F.exp(V.sqdist_const(features, p, u) * F.lit(-gamma))
                                         for p in pts]))
 
 
@@ -73,7 +82,8 @@ def pairwise(left: DataFrame, right: DataFrame, lkey: str, rkey: str,
     rows plus an explode - linear in the left rows, no join.
     """
     keys, pts = collect_small(right, rkey, features)
-    vals = [V.sqdist_const(features, p) for p in pts]
+    u = _unroll(pts)
+    vals = [V.sqdist_const(features, p, u) for p in pts]
     if gamma is not None:
         vals = [F.exp(v * F.lit(-gamma)) for v in vals]
     pairs = F.arrays_zip(F.array(*[F.lit(k) for k in keys]).alias("j"),

@@ -35,7 +35,7 @@ def _tokens(sep: str, trim: bool = True):
 
 
 def parse_dense(lines: DataFrame, n_cols: int | None, sep: str = " ", strict: bool = True,
-                trim: bool = True) -> DataFrame:
+                trim: bool = True, keep: Sequence[str] = ("row_id",)) -> DataFrame:
     """``features array<double>`` from the first ``n_cols`` tokens.
 
     strict: every line must have exactly ``n_cols`` tokens (A2's width
@@ -45,7 +45,7 @@ def parse_dense(lines: DataFrame, n_cols: int | None, sep: str = " ", strict: bo
     toks = _tokens(sep, trim)
     if n_cols is None:
         feats = F.transform(toks, lambda t: t.cast("double"))
-        return lines.select("row_id", feats.alias("features"))
+        return lines.select(*keep, feats.alias("features"))
     vals = F.transform(F.slice(toks, 1, n_cols), lambda t: t.cast("double"))
     if strict:
         ok = F.size(toks) == F.lit(n_cols)
@@ -53,7 +53,7 @@ def parse_dense(lines: DataFrame, n_cols: int | None, sep: str = " ", strict: bo
         ok = F.size(toks) >= F.lit(n_cols)
     checked = F.when(ok, vals).otherwise(
         F.raise_error(F.concat(F.lit("line has wrong width: "), F.col("value"))))
-    return lines.select("row_id", checked.alias("features"))
+    return lines.select(*keep, checked.alias("features"))
 
 
 def read_labeled_rows(spark: SparkSession, path: str, n_cols: int, sep: str = " ") -> DataFrame:
@@ -87,9 +87,9 @@ def check_count(df: DataFrame, expected: int, what: str = "rows") -> int:
     return n
 
 
-def head_rows(df: DataFrame, n: int, order: str = "row_id") -> DataFrame:
+def head_rows(df: DataFrame, n: int, order: Sequence[str] = ("row_id",)) -> DataFrame:
     """The first n rows in order (a top-n, planned as TakeOrderedAndProject)."""
-    return df.orderBy(order).limit(n)
+    return df.orderBy(*order).limit(n)
 
 
 def with_row_id(df: DataFrame, order_cols: Sequence[str], out: str = "row_id") -> DataFrame:
