@@ -24,14 +24,15 @@ def num_partitions(df: DataFrame) -> int:
     return df.rdd.getNumPartitions()
 
 
-def tree_agg(df: DataFrame, named_sums: dict[str, Column], fan: int = TREE_FAN) -> DataFrame:
+def tree_agg(df: DataFrame, named_sums: dict[str, Column], fan: int = TREE_FAN,
+             n_partitions: int | None = None) -> DataFrame:
     """One-row DataFrame of ``sum(expr) AS name`` for each entry.
 
     ``named_sums`` maps output names to per-row expressions. Small inputs get
     one aggregate; inputs with more than ``fan`` partitions are first summed
     per bucket of partitions (``spark_partition_id() % fan``), then once more.
     """
-    if num_partitions(df) <= fan:
+    if (n_partitions if n_partitions is not None else num_partitions(df)) <= fan:
         return df.agg(*[F.sum(e).alias(n) for n, e in named_sums.items()])
     level1 = df.groupBy((F.spark_partition_id() % F.lit(fan)).alias("_ks_bucket")).agg(
         *[F.sum(e).alias(n) for n, e in named_sums.items()])
@@ -39,9 +40,9 @@ def tree_agg(df: DataFrame, named_sums: dict[str, Column], fan: int = TREE_FAN)
 
 
 def collect_sums(df: DataFrame, named_sums: dict[str, Column],
-                 fan: int = TREE_FAN) -> dict[str, float]:
+                 fan: int = TREE_FAN, n_partitions: int | None = None) -> dict[str, float]:
     """Driver values of ``tree_agg`` (a bounded number of scalars)."""
-    row = tree_agg(df, named_sums, fan).first()
+    row = tree_agg(df, named_sums, fan, n_partitions).first()
     return {k: (0.0 if row[k] is None else float(row[k])) for k in named_sums}
 
 

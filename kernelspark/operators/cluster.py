@@ -24,7 +24,7 @@ def kmeans_centers(df: DataFrame, k: int, max_iter: int = 10, seed: int = 42,
     from pyspark.ml.functions import array_to_vector
     vec = df.select(array_to_vector(features).alias("v"))
     model = KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="v").fit(vec)
-    return np.asarray([c.toArray() for c in model.clusterCenters()], dtype=float)
+    return np.asarray([np.asarray(c, dtype=float) for c in model.clusterCenters()], dtype=float)
 
 
 def assign_clusters(df: DataFrame, centers, features: str = "features",

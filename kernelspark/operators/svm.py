@@ -82,13 +82,31 @@ def signed_design(rows: DataFrame, features: str = "features", label: str = "lab
     return checked, d + 1
 
 
-def _state_sums(state: DataFrame, D: int, with_err: bool) -> dict[str, float]:
+def _state_sums(state: DataFrame, D: int, with_err: bool,
+                n_partitions: int | None = None) -> dict[str, float]:
     a = [F.col(c) for c in design_columns(D)]
     one_b = F.lit(1.0) + F.col("beta")
     sums = {f"u{j}": a[j] * one_b for j in range(D)}
     if with_err:
         sums["err"] = F.col("dbeta")
-    return A.collect_sums(state, sums)
+    return A.collect_sums(state, sums, n_partitions=n_partitions)
+
+
+class _PlainPlans:
+    """Adaptive execution off while iterating: each cached state embeds the
+    plan of the previous one, and an adaptive plan keeps both its initial and
+    final form, which doubles the tree per level. The per-iteration plan is a
+    narrow projection plus a global sum, so nothing is lost."""
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def __enter__(self):
+        self.old = self.spark.conf.get("spark.sql.adaptive.enabled")
+        self.spark.conf.set("spark.sql.adaptive.enabled", "false")
+
+    def __exit__(self, *exc):
+        self.spark.conf.set("spark.sql.adaptive.enabled", self.old)
 
 
 def _persist(df: DataFrame) -> DataFrame:
@@ -106,8 +124,12 @@ def fit_svm(rows: DataFrame, C: float = 1.0, learn_rate: float = 0.2, max_iter:
         raise ValueError(f"unknown tol_mode {tol_mode!r}")
     spark = rows.sparkSession
     design, D = signed_design(rows, features, label)
-    if num_partitions:
-        design = design.repartition(num_partitions)
+    # The design is cached and scanned once per iteration: spread it over at
+    # least every core once (a single round-robin shuffle), never fewer.
+    have = A.num_partitions(design)
+    want = num_partitions or max(spark.sparkContext.defaultParallelism, have)
+    if want != have:
+        design = design.repartition(want)
     design = _persist(design)
     a = [F.col(c) for c in design_columns(D)]
     # one pass: Gram (G2 input), u for beta = 1, row count, width check
@@ -134,29 +156,31 @@ def fit_svm(rows: DataFrame, C: float = 1.0, learn_rate: float = 0.2, max_iter:
     u = np.array([tot[f"u{j}"] for j in range(D)])
     ckpt = checkpoint_dir(spark)  # noqa: F841  (validates the setting up front)
 
-    state = design.select("row_id", *design_columns(D), F.lit(1.0).alias("beta"))
-    history, converged, it = [], False, 0
-    v = np.zeros(D)
-    for it in range(1, max_iter + 1):
-        v = np.linalg.solve(Lc.T, np.linalg.solve(Lc, u))
-        alpha = F.lit(2.0 * C) * ((F.lit(1.0) + F.col("beta")) - V.linear_terms(a, v))
-        beta_new = F.greatest(F.col("beta") - F.lit(step) * alpha, F.lit(0.0))
-        nxt = state.select("row_id", *design_columns(D), beta_new.alias("beta"),
-                           alpha.alias("alpha"), F.abs(beta_new - F.col("beta")).alias("dbeta"))
-        if checkpoint_every and it % checkpoint_every == 0:
-            # reliable checkpoint: written to the shared folder, lineage cut here
-            nxt = nxt.checkpoint(eager=True)
-        nxt = _persist(nxt)
-        s = _state_sums(nxt, D, with_err=True)   # the one job of this iteration
-        if it > 1:
+    with _PlainPlans(spark):
+        state = design.select("row_id", *design_columns(D), F.lit(1.0).alias("beta"))
+        nparts = A.num_partitions(design)
+        history, converged, it = [], False, 0
+        v = np.zeros(D)
+        for it in range(1, max_iter + 1):
+            v = np.linalg.solve(Lc.T, np.linalg.solve(Lc, u))
+            alpha = F.lit(2.0 * C) * ((F.lit(1.0) + F.col("beta")) - V.linear_terms(a, v))
+            beta_new = F.greatest(F.col("beta") - F.lit(step) * alpha, F.lit(0.0))
+            nxt = state.select("row_id", *design_columns(D), beta_new.alias("beta"),
+                               alpha.alias("alpha"),
+                               F.abs(beta_new - F.col("beta")).alias("dbeta"))
+            if checkpoint_every and it % checkpoint_every == 0:
+                # reliable checkpoint: written to the shared folder, lineage cut here
+                nxt = nxt.checkpoint(eager=True)
+            nxt = _persist(nxt)
+            s = _state_sums(nxt, D, True, nparts)   # the one job of this iteration
             state.unpersist()
-        state = nxt
-        err = s["err"] if tol_mode == "l1" else s["err"] / n
-        history.append((it, float(err)))
-        u = np.array([s[f"u{j}"] for j in range(D)])
-        if err < tol:
-            converged = True
-            break
+            state = nxt
+            err = s["err"] if tol_mode == "l1" else s["err"] / n
+            history.append((it, float(err)))
+            u = np.array([s[f"u{j}"] for j in range(D)])
+            if err < tol:
+                converged = True
+                break
     design.unpersist()
     hist_df = spark.createDataFrame(history, "iteration int, error double")
     out_state = state.select("row_id", "alpha", "beta")
