@@ -75,7 +75,8 @@ def signed_design(rows: DataFrame, features: str = "features", label: str = "lab
     """a = y (x, 1) flattened to ``a_0..a_{D-1}`` (B1 + B2), D = d + 1."""
     d = d or L.width(rows, features)
     y = F.col(label).cast("double")
-    cols = [(y * V.item(features, j)).alias(f"a_{j}") for j in range(d)] + [y.alias(f"a_{d}")]
+    # get(): a short row yields null here and is reported by the width check
+    cols = [(y * F.get(F.col(features), j)).alias(f"a_{j}") for j in range(d)] + [y.alias(f"a_{d}")]
     width_ok = F.size(features) == F.lit(d)
     checked = rows.select(F.col(row_id).alias("row_id"), *cols,
                           F.when(width_ok, F.lit(0)).otherwise(F.lit(1)).alias("_bad"))
