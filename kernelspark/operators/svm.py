@@ -51,6 +51,7 @@ class SVMModel(NamedTuple):
     converged: bool
     solver: str
     history_rows: list          # the same history on the driver (<= max_iter rows)
+    weights_path: list | None = None   # w after each iteration (<= max_iter x d)
 
     def weights_frame(self, spark) -> DataFrame:
         """(j int, weight double); the last j is the bias."""
@@ -160,10 +161,11 @@ def fit_svm(rows: DataFrame, C: float = 1.0, learn_rate: float = 0.2, max_iter:
     with _PlainPlans(spark):
         state = design.select("row_id", *design_columns(D), F.lit(1.0).alias("beta"))
         nparts = A.num_partitions(design)
-        history, converged, it = [], False, 0
+        history, path, converged, it = [], [], False, 0
         v = np.zeros(D)
         for it in range(1, max_iter + 1):
             v = np.linalg.solve(Lc.T, np.linalg.solve(Lc, u))
+            path.append([float(x) for x in v])
             alpha = F.lit(2.0 * C) * ((F.lit(1.0) + F.col("beta")) - V.linear_terms(a, v))
             beta_new = F.greatest(F.col("beta") - F.lit(step) * alpha, F.lit(0.0))
             nxt = state.select("row_id", *design_columns(D), beta_new.alias("beta"),
@@ -186,7 +188,7 @@ def fit_svm(rows: DataFrame, C: float = 1.0, learn_rate: float = 0.2, max_iter:
     hist_df = spark.createDataFrame(history, "iteration int, error double")
     out_state = state.select("row_id", "alpha", "beta")
     return SVMModel([float(x) for x in v], hist_df, out_state, it, converged,
-                    "dual_ascent", history)
+                    "dual_ascent", history, path)
 
 
 def _fit_newton(design: DataFrame, G: np.ndarray, col_sums: np.ndarray, D: int,

@@ -670,12 +670,8 @@ def _price_rows(spark, sf):
 def q_svm_fixed_iterations(spark: SparkSession, sf: str) -> DataFrame:
     """G1-G6 + E6: three dual-ascent iterations on lineitem (scaled price +
     bias, label charge): the L1 change of beta and w after each."""
-    spark_rows = _price_rows(spark, sf)
-    out = []
-    for k in (1, 2, 3):
-        m = SVM.fit_svm(spark_rows, C=C, learn_rate=LEARN_RATE, max_iter=k, tol=0.0)
-        it, err = m.history_rows[-1]
-        out.append((it, err, m.weights[0], m.weights[1]))
+    m = SVM.fit_svm(_price_rows(spark, sf), C=C, learn_rate=LEARN_RATE, max_iter=3, tol=0.0)
+    out = [(it, err, w[0], w[1]) for (it, err), w in zip(m.history_rows, m.weights_path)]
     return spark.createDataFrame(out, "iteration int, error double, w_0 double, w_1 double") \
         .select("iteration", rnd("error", 4).alias("error"), rnd("w_0", 6).alias("w_0"),
                 rnd("w_1", 6).alias("w_1"))
