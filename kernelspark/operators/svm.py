@@ -134,23 +134,28 @@ def fit_svm(rows: DataFrame, C: float = 1.0, learn_rate: float = 0.2, max_iter:
         design = design.repartition(want)
     design = _persist(design)
     a = [F.col(c) for c in design_columns(D)]
-    # one pass: Gram (G2 input), u for beta = 1, row count, width check
-    sums = {f"g_{i}_{j}": a[i] * a[j] for i in range(D) for j in range(i, D)}
-    sums.update({f"u{j}": a[j] * F.lit(2.0) for j in range(D)})
+    # one pass: u for beta = 1, row count, width check (+ the Gram for small D)
+    sums = {f"u{j}": a[j] * F.lit(2.0) for j in range(D)}
     sums["n"] = F.lit(1.0)
     sums["bad"] = F.col("_bad").cast("double")
-    tot = A.collect_sums(design, sums)
+    wide = D > L.GRAM_SQL_MAX
+    if not wide:
+        sums.update({f"g_{i}_{j}": a[i] * a[j] for i in range(D) for j in range(i, D)})
+    tot = A.collect_sums(design, sums, n_partitions=want)
     if tot["bad"] > 0:
         design.unpersist()
         raise ValueError(f"{int(tot['bad'])} rows do not have the width of the first row")
     n = tot["n"]
-    G = np.zeros((D, D))
-    for i in range(D):
-        for j in range(i, D):
-            G[i, j] = G[j, i] = tot[f"g_{i}_{j}"]
+    if wide:   # numpy partials per partition, summed by cell
+        G = L.gram_matrix(design.select(F.array(*a).alias("_a")), "_a", D)
+    else:
+        G = np.zeros((D, D))
+        for i in range(D):
+            for j in range(i, D):
+                G[i, j] = G[j, i] = tot[f"g_{i}_{j}"]
     if solver == "newton":
         col_sums = np.array([tot[f"u{j}"] for j in range(D)]) / 2.0
-        return _fit_newton(design, G, col_sums, D, C, max_iter, tol, spark)
+        return _fit_newton(design, G, col_sums, D, C, max_iter, tol, spark, want)
 
     step = step_size(C, learn_rate)
     M = G + np.eye(D) / (2.0 * C)
@@ -160,7 +165,7 @@ def fit_svm(rows: DataFrame, C: float = 1.0, learn_rate: float = 0.2, max_iter:
 
     with _PlainPlans(spark):
         state = design.select("row_id", *design_columns(D), F.lit(1.0).alias("beta"))
-        nparts = A.num_partitions(design)
+        nparts = want
         history, path, converged, it = [], [], False, 0
         v = np.zeros(D)
         for it in range(1, max_iter + 1):
@@ -191,19 +196,51 @@ def fit_svm(rows: DataFrame, C: float = 1.0, learn_rate: float = 0.2, max_iter:
                     "dual_ascent", history, path)
 
 
+def _newton_partials_arrow(design: DataFrame, D: int, w: np.ndarray, nparts: int):
+    """(obj, g, H) sums over active rows by numpy per partition (wide D)."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    cols = design_columns(D)
+    k = 1 + D + D * D
+    schema = T.StructType([T.StructField("p", T.ArrayType(T.DoubleType()))])
+
+    def fn(batches):
+        acc = np.zeros(k)
+        for b in batches:
+            X = np.column_stack([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+                                 for c in cols]) if b.num_rows else np.zeros((0, D))
+            r = 1.0 - X @ w
+            act = r > 0
+            Xa, ra = X[act], r[act]
+            acc[0] += ra @ ra
+            acc[1:1 + D] += Xa.T @ ra
+            acc[1 + D:] += (Xa.T @ Xa).ravel()
+        yield pa.RecordBatch.from_arrays([L.matrix_to_list_array(acc[None, :])], names=["p"])
+
+    tot = A.collect_array_sum(design.select(*cols).mapInArrow(fn, schema), "p", k)
+    return tot[0], tot[1:1 + D], tot[1 + D:].reshape(D, D)
+
+
 def _fit_newton(design: DataFrame, G: np.ndarray, col_sums: np.ndarray, D: int,
                 C: float, max_iter: int,
-                tol: float, spark) -> SVMModel:
-    """Finite Newton on 1/2||w||^2 + C sum max(0, 1 - a.w)^2 (primal twin)."""
+                tol: float, spark, nparts: int) -> SVMModel:
+    """Finite Newton on 1/2||w||^2 + C sum max(0, 1 - a.w)^2 (primal twin).
+
+    Each pass is one aggregate over the cached design: the objective,
+    gradient and Hessian sums over the rows with a positive hinge residual.
+    Small D: unrolled column sums; wide D: numpy partials per partition."""
     a = [F.col(c) for c in design_columns(D)]
 
     def evaluate(w):
+        if D > L.GRAM_SQL_MAX:
+            o, gs, Hs = _newton_partials_arrow(design, D, w, nparts)
+            return 0.5 * float(w @ w) + C * o, w - 2.0 * C * gs, np.eye(D) + 2.0 * C * Hs
         r = F.lit(1.0) - V.linear_terms(a, w)
         act = F.when(r > F.lit(0.0), F.lit(1.0)).otherwise(F.lit(0.0))
         sums = {"obj": act * r * r}
         sums.update({f"g{j}": act * r * a[j] for j in range(D)})
         sums.update({f"h_{i}_{j}": act * a[i] * a[j] for i in range(D) for j in range(i, D)})
-        s = A.collect_sums(design, sums)
+        s = A.collect_sums(design, sums, n_partitions=nparts)
         obj = 0.5 * float(w @ w) + C * s["obj"]
         grad = w - 2.0 * C * np.array([s[f"g{j}"] for j in range(D)])
         H = np.eye(D)

@@ -97,3 +97,15 @@ def test_bias_from_support(spark):
                                "row_id bigint, features array<double>, label double, alpha double")
     r = A.bias_from_support(df).first()
     assert r["n_support"] == 2 and abs(r["bias"] - (1.0 - 0.5)) < 1e-12
+
+
+def test_wide_design_uses_arrow_partials(spark):
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(300, 20))
+    y = np.where(X[:, 0] + 0.3 * rng.normal(size=300) > 0, 1.0, -1.0)
+    df = rows_df(spark, X, y, parts=4)
+    nt = SVM.fit_svm(df, solver="newton", max_iter=50, tol=1e-10)
+    assert nt.converged and np.allclose(nt.weights, _primal_opt(X, y, 1.0), atol=1e-7)
+    m = SVM.fit_svm(df, max_iter=4, tol=0.0)
+    w_np, hist = _numpy_dual(X, y, 1.0, 0.2, 4)
+    assert np.allclose(m.weights, w_np, atol=1e-8)
