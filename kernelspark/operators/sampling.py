@@ -44,13 +44,15 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], out: str = "row_id",
     """
     spark = df.sparkSession
     p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (df.repartitionByRange(p, *order_cols).sortWithinPartitions(*order_cols)
-                 .withColumn("_ks_pid", F.spark_partition_id())
-                 .withColumn("_ks_mid", F.monotonically_increasing_id()))
-    counts = ordered.groupBy("_ks_pid").agg(F.count(F.lit(1)).alias("_ks_n"))
+    parted = df.repartitionByRange(p, *order_cols)   # one exchange, read by both branches
+    counts = (parted.select(F.spark_partition_id().alias("_ks_pid"))
+                    .groupBy("_ks_pid").agg(F.count(F.lit(1)).alias("_ks_n")))
     w = Window.orderBy("_ks_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_ks_pid", F.coalesce(F.sum("_ks_n").over(w), F.lit(0))
                             .alias("_ks_off"))
+    ordered = (parted.sortWithinPartitions(*order_cols)
+                     .withColumn("_ks_pid", F.spark_partition_id())
+                     .withColumn("_ks_mid", F.monotonically_increasing_id()))
     local = F.col("_ks_mid") - F.shiftleft(F.col("_ks_pid").cast("long"), 33)
     return (ordered.join(F.broadcast(offsets), "_ks_pid")
                    .withColumn(out, (F.col("_ks_off") + local).cast("long"))
