@@ -245,6 +245,42 @@ WITH d AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS ro
 SELECT d.row_id, doc_id, label_doc_id, quality, n_chars FROM d JOIN l ON d.row_id = l.row_id"""
 
 
+def q_document_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 on documents: labelled rows of log1p(characters), log1p(words)
+    over the whole texts, label +1 for quality 1."""
+    rows = TB.document_rows(spark, sf)
+    return rows.select("row_id", "label", rnd(V.item("features", 0)).alias("f_chars"),
+                       rnd(V.item("features", 1)).alias("f_words"))
+
+
+SQL_DOC_ROWS = """
+SELECT d.doc_id AS row_id, CASE WHEN l.quality = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS label,
+       ln(1 + CAST(d.n_chars AS DOUBLE)) AS f_chars,
+       ln(1 + CAST(len(list_filter(regexp_split_to_array(d.text, '\\s+'), lambda t: t <> '')) AS DOUBLE)) AS f_words
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+
+SQL_DOCUMENT_ROWS = f"""
+SELECT row_id, label, round(f_chars, 6) + 0.0 AS f_chars, round(f_words, 6) + 0.0 AS f_words
+FROM ({SQL_DOC_ROWS})"""
+
+
+def q_scale_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document row times its own weight (1 + toxic) from the
+    labels table, matched by id after an equal-count check."""
+    rows = TB.document_rows(spark, sf)
+    weights = TB.table(spark, sf, "labels").select(
+        F.col("doc_id").alias("row_id"), (F.lit(1.0) + F.col("toxic")).alias("weight"))
+    scaled = RW.scale_rows(rows, weights)
+    return scaled.select("row_id", rnd(V.item("features", 0)).alias("f_chars"),
+                         rnd(V.item("features", 1)).alias("f_words"))
+
+
+SQL_SCALE_ROWS = f"""
+SELECT r.row_id, round(f_chars * (1.0::DOUBLE + l.toxic), 6) + 0.0 AS f_chars,
+       round(f_words * (1.0::DOUBLE + l.toxic), 6) + 0.0 AS f_words
+FROM ({SQL_DOC_ROWS}) r JOIN labels l ON r.row_id = l.doc_id"""
+
+
 # ============================================================ C/H. centers
 
 SQL_CENTROIDS = """
@@ -408,6 +444,35 @@ SELECT cluster, n, rank,
 FROM r2"""
 
 
+def q_block_features(spark: SparkSession, sf: str) -> DataFrame:
+    """H7: the first two dims of each embedding placed at column offset
+    2 * cluster (nearest class centroid) of a 2K-wide row, zeros elsewhere."""
+    from ..operators import nystrom as NY
+    cen = centroid_matrix(spark, sf)
+    a = _assign_to_centroids(spark, sf, cen)
+    k = len(cen)
+    placed = NY.block_features(a.withColumn("u", V.slice0("features", 0, 2))
+                               .withColumn("off", F.col("cluster") * F.lit(2)), "u", "off", 2 * k,
+                               out="block")
+    return placed.select("vec_id", "cluster", F.size("block").alias("width"),
+                         F.array_position(F.transform("block", lambda x: x != F.lit(0.0)),
+                                          F.lit(True)).cast("int").alias("first_nonzero"),
+                         rnd(F.aggregate("block", F.lit(0.0), lambda acc, x: acc + x)).alias("total"))
+
+
+def _assign_to_centroids(spark, sf, cen):
+    from ..operators import cluster as CL
+    return CL.assign_clusters(embeddings(spark, sf), cen)
+
+
+SQL_BLOCK_FEATURES = f"""
+WITH {SQL_CENTROIDS}, {SQL_ASSIGN}, k AS (SELECT count(*) AS k FROM cen)
+SELECT a.vec_id, a.cluster, CAST(2 * k AS INTEGER) AS width,
+       CAST(CASE WHEN emb.x[1] <> 0 THEN 2 * a.cluster + 1 WHEN emb.x[2] <> 0 THEN 2 * a.cluster + 2 ELSE 0 END AS INTEGER) AS first_nonzero,
+       round(emb.x[1] + emb.x[2], 6) + 0.0 AS total
+FROM a JOIN emb USING (vec_id), k"""
+
+
 # ============================================================ F. sampling
 
 def q_sample_landmarks(spark: SparkSession, sf: str) -> DataFrame:
@@ -779,6 +844,9 @@ QUERIES = {
     "head_rows": q_head_rows,
     "count_check": q_count_check,
     "signed_rows": q_signed_rows,
+    "document_rows": q_document_rows,
+    "scale_rows": q_scale_rows,
+    "block_features": q_block_features,
     "elementwise": q_elementwise,
     "scoring": q_scoring,
     "support_vectors": q_support_vectors,
@@ -824,6 +892,9 @@ ORACLE_SQL = {
     "head_rows": SQL_HEAD_ROWS,
     "count_check": SQL_COUNT_CHECK,
     "signed_rows": SQL_SIGNED_ROWS,
+    "document_rows": SQL_DOCUMENT_ROWS,
+    "scale_rows": SQL_SCALE_ROWS,
+    "block_features": SQL_BLOCK_FEATURES,
     "elementwise": SQL_ELEMENTWISE,
     "scoring": SQL_SCORING,
     "support_vectors": SQL_SUPPORT_VECTORS,

@@ -82,11 +82,13 @@ def word_count(col: str = "text") -> F.Column:
 
 def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with a quality label: log1p(characters), log1p(words)."""
-    docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels")
-    joined = docs.join(labels, "doc_id", "inner")
-    return joined.select(
-        F.col("doc_id").alias("row_id"),
-        F.array(F.log1p(F.col("n_chars").cast("double")),
-                F.log1p(word_count("text").cast("double"))).alias("features"),
-        F.when(F.col("quality") == F.lit(1), F.lit(1.0)).otherwise(F.lit(-1.0)).alias("label"))
+    # features are computed on the documents side first, so the join shuffles
+    # (doc_id, two doubles) instead of the whole texts
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.array(F.log1p(F.col("n_chars").cast("double")),
+                          F.log1p(word_count("text").cast("double"))).alias("features"))
+    labels = table(spark, sf_dir, "labels").select(
+        "doc_id", F.when(F.col("quality") == F.lit(1), F.lit(1.0)).otherwise(F.lit(-1.0))
+        .alias("label"))
+    return docs.join(labels, "doc_id", "inner").select(
+        F.col("doc_id").alias("row_id"), "features", "label")

@@ -59,3 +59,21 @@ def test_streaming_scoring(spark, tmpdir_path):
     q.stop()
     r = spark.sql("SELECT * FROM ks_conf").first()
     assert (r["correct_pos"], r["correct_neg"], r["wrong_pos"], r["wrong_neg"]) == (1, 1, 1, 0)
+
+
+def test_gather_scale_block_and_partition_counts(spark):
+    from kernelspark.operators import aggregates as A
+    from kernelspark.operators import nystrom as NY
+    from kernelspark.operators import rows as RW
+    df = spark.createDataFrame([(i, [float(i), 1.0], 1.0) for i in range(10)],
+                               "row_id bigint, features array<double>, label double")
+    ids = spark.createDataFrame([(0, 7), (1, 2), (2, 5)], "pos int, row_id bigint")
+    assert [r["row_id"] for r in RW.gather(df, ids).collect()] == [7, 2, 5]
+    w = spark.createDataFrame([(i, 2.0) for i in range(10)], "row_id bigint, weight double")
+    sc = {r["row_id"]: r["features"] for r in RW.scale_rows(df, w).collect()}
+    assert sc[3] == [6.0, 2.0]
+    with pytest.raises(ValueError):
+        RW.scale_rows(df, w.limit(5))
+    blk = spark.createDataFrame([([1.0, 2.0], 2)], "u array<double>, off int")
+    assert NY.block_features(blk, "u", "off", 6).first()["features"] == [0.0, 0.0, 1.0, 2.0, 0.0, 0.0]
+    assert sum(r["n"] for r in A.partition_counts(df.repartition(3)).collect()) == 10
