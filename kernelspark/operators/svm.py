@@ -118,8 +118,22 @@ def _persist(df: DataFrame) -> DataFrame:
 def fit_svm(rows: DataFrame, C: float = 1.0, learn_rate: float = 0.2, max_iter: int = 500,
             tol: float = 1e-3, tol_mode: str = "l1", solver: str = "dual_ascent",
             features: str = "features", label: str = "label",
-            checkpoint_every: int = 25, num_partitions: int | None = None) -> SVMModel:
-    """Train the squared-hinge SVM (G6) on ``(row_id, features, label)`` rows."""
+            checkpoint_every: int = 25, num_partitions: int | None = None,
+            state_mode: str = "replay") -> SVMModel:
+    """Train the squared-hinge SVM (G6) on ``(row_id, features, label)`` rows.
+
+    Dual ascent keeps beta in one of two ways (same iterates):
+
+    * ``state_mode='replay'`` (default): beta is a deterministic function of
+      the rows and the d-vectors v used so far. The state (rows + beta) is
+      written only at reliable checkpoints; each iteration replays the steps
+      since the last one in numpy over Arrow batches and returns partial
+      sums only, so an iteration reads the rows but writes nothing.
+    * ``state_mode='cache'``: each iteration is a column projection of the
+      previous cached state (whole-stage codegen), cached again.
+    """
+    if state_mode not in ("replay", "cache"):
+        raise ValueError(f"unknown state_mode {state_mode!r}")
     if solver not in ("dual_ascent", "newton"):
         raise ValueError(f"unknown solver {solver!r}")
     if tol_mode not in ("l1", "mean"):
@@ -163,6 +177,10 @@ def fit_svm(rows: DataFrame, C: float = 1.0, learn_rate: float = 0.2, max_iter:
     u = np.array([tot[f"u{j}"] for j in range(D)])
     ckpt = checkpoint_dir(spark)  # noqa: F841  (validates the setting up front)
 
+    if state_mode == "replay":
+        return _dual_replay(design, D, n, u, Lc, C, step, max_iter, tol, tol_mode,
+                            checkpoint_every, want, spark)
+
     with _PlainPlans(spark):
         state = design.select("row_id", *design_columns(D), F.lit(1.0).alias("beta"))
         nparts = want
@@ -196,6 +214,102 @@ def fit_svm(rows: DataFrame, C: float = 1.0, learn_rate: float = 0.2, max_iter:
                     "dual_ascent", history, path)
 
 
+def _replay_batches(D: int, C: float, step: float, vs, mode: str):
+    """mapInArrow body: replay the dual steps ``vs`` (k x D) from each
+    row's checkpointed beta. mode 'sums': one row per partition with
+    u = A^T (1 + beta) after the last step and the L1 change of that step;
+    mode 'rows': the rows with the new beta, the last step's alpha and
+    change."""
+    import pyarrow as pa
+    cols = design_columns(D)
+
+    def fn(batches):
+        V = vs.value
+        acc = np.zeros(D + 1)
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            Amat = np.column_stack([b.column(b.schema.get_field_index(c))
+                                    .to_numpy(zero_copy_only=False) for c in cols])
+            beta = b.column(b.schema.get_field_index("beta")).to_numpy(zero_copy_only=False)
+            alpha = np.zeros_like(beta)
+            change = np.zeros_like(beta)
+            for t in range(V.shape[0]):
+                alpha = 2.0 * C * ((1.0 + beta) - Amat @ V[t])
+                nb = np.maximum(beta - step * alpha, 0.0)
+                change = np.abs(nb - beta)
+                beta = nb
+            if mode == "sums":
+                acc[:D] += Amat.T @ (1.0 + beta)
+                acc[D] += change.sum()
+            else:
+                out = [b.column(b.schema.get_field_index("row_id"))] + \
+                      [b.column(b.schema.get_field_index(c)) for c in cols] + \
+                      [pa.array(x, pa.float64()) for x in (beta, alpha, change)]
+                yield pa.RecordBatch.from_arrays(out, names=["row_id", *cols, "beta", "alpha",
+                                                             "dbeta"])
+        if mode == "sums":
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.float64()) for x in acc],
+                                             names=[f"u{j}" for j in range(D)] + ["err"])
+
+    return fn
+
+
+def _dual_replay(design, D, n, u, Lc, C, step, max_iter, tol, tol_mode, checkpoint_every,
+                 nparts, spark) -> SVMModel:
+    """Dual ascent with beta replayed from the last reliable checkpoint."""
+    from pyspark.sql import types as T
+    cols = design_columns(D)
+    sums_schema = T.StructType([T.StructField(f"u{j}", T.DoubleType()) for j in range(D)]
+                               + [T.StructField("err", T.DoubleType())])
+    rows_schema = T.StructType([T.StructField("row_id", T.LongType())]
+                               + [T.StructField(c, T.DoubleType()) for c in cols]
+                               + [T.StructField(c, T.DoubleType()) for c in ("beta", "alpha", "dbeta")])
+    sc = spark.sparkContext
+    state = design.select(F.col("row_id").cast("long").alias("row_id"), *cols,
+                          F.lit(1.0).alias("beta"))
+    owned = None                          # the persisted checkpoint (with alpha)
+    since: list[np.ndarray] = []          # v's applied since that checkpoint
+    history, path, converged, it = [], [], False, 0
+    v = np.zeros(D)
+    every = checkpoint_every or max_iter + 1
+    for it in range(1, max_iter + 1):
+        v = np.linalg.solve(Lc.T, np.linalg.solve(Lc, u))
+        path.append([float(x) for x in v])
+        since.append(v)
+        vs = sc.broadcast(np.asarray(since))          # k x D doubles, k <= every
+        if len(since) >= every:
+            # materialise beta: reliable checkpoint into the shared folder
+            nxt = _persist(state.mapInArrow(_replay_batches(D, C, step, vs, "rows"),
+                                            rows_schema).checkpoint(eager=True))
+            s = _state_sums(nxt, D, True, nparts)
+            if owned is not None:
+                owned.unpersist()
+            owned, since = nxt, []
+            state = nxt.select("row_id", *cols, "beta")
+        else:   # replay only: reads the rows, writes nothing, returns sums
+            part = state.mapInArrow(_replay_batches(D, C, step, vs, "sums"), sums_schema)
+            s = A.collect_sums(part, {k: F.col(k) for k in sums_schema.names})
+        vs.unpersist()
+        err = s["err"] if tol_mode == "l1" else s["err"] / n
+        history.append((it, float(err)))
+        u = np.array([s[f"u{j}"] for j in range(D)])
+        if err < tol:
+            converged = True
+            break
+    if since:   # beta after the last step and that step's alpha
+        last = sc.broadcast(np.asarray(since))
+        out_state = _persist(state.mapInArrow(_replay_batches(D, C, step, last, "rows"),
+                                              rows_schema).select("row_id", "alpha", "beta"))
+    else:
+        out_state = owned.select("row_id", "alpha", "beta")
+    out_state.count()          # materialised, so the design cache can go
+    design.unpersist()
+    hist_df = spark.createDataFrame(history, "iteration int, error double")
+    return SVMModel([float(x) for x in v], hist_df, out_state, it, converged,
+                    "dual_ascent", history, path)
+
+
 def _newton_partials_arrow(design: DataFrame, D: int, w: np.ndarray, nparts: int):
     """(obj, g, H) sums over active rows by numpy per partition (wide D)."""
     import pyarrow as pa
