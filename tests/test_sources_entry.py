@@ -77,3 +77,10 @@ def test_gather_scale_block_and_partition_counts(spark):
     blk = spark.createDataFrame([([1.0, 2.0], 2)], "u array<double>, off int")
     assert NY.block_features(blk, "u", "off", 6).first()["features"] == [0.0, 0.0, 1.0, 2.0, 0.0, 0.0]
     assert sum(r["n"] for r in A.partition_counts(df.repartition(3)).collect()) == 10
+
+
+def test_history_sink(spark, tmpdir_path):
+    hist = spark.createDataFrame([(1, 5.0), (2, 0.5)], "iteration int, error double")
+    out = os.path.join(tmpdir_path, "hist")
+    TX.write_history(hist, out)
+    assert sorted(r["iteration"] for r in spark.read.parquet(out).collect()) == [1, 2]

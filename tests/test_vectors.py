@@ -35,3 +35,17 @@ def test_elementwise_ops(spark):
     assert abs(r["e"][2] - np.exp(4.0)) < 1e-9
     assert r["b"][-1] == 1.0 and len(r["b"]) == 5
     assert r["s"] == [-2.0, 4.0]
+
+
+def test_wide_vectors_use_higher_order_functions(spark):
+    rng = np.random.default_rng(1)
+    X = rng.normal(size=(3, 200))
+    w = rng.normal(size=200)
+    df = rows_df(spark, X)
+    out = df.select("row_id", V.dot_const("features", w).alias("d"),
+                    V.sqdist_const("features", w).alias("s"),
+                    V.dot("features", "features").alias("n")).orderBy("row_id").collect()
+    for r, x in zip(out, X):
+        assert abs(r["d"] - x @ w) < 1e-9
+        assert abs(r["s"] - np.sum((x - w) ** 2)) < 1e-9
+        assert abs(r["n"] - x @ x) < 1e-9
