@@ -35,6 +35,47 @@ def items(col, d: int) -> list[Column]:
     return [item(col, j) for j in range(d)]
 
 
+def q(name: str) -> str:
+    """A column name quoted for SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def dbl(x: float) -> str:
+    """A double literal in SQL text (plain ``0.1`` would be a DECIMAL)."""
+    x = float(x)
+    if x != x or x in (float("inf"), float("-inf")):
+        return f"double('{x}')"
+    return f"({x!r}D)"
+
+
+def _sum_sql(terms: Sequence[str]) -> str:
+    terms = list(terms)
+    if not terms:
+        return "(0.0D)"
+    while len(terms) > 1:
+        nxt = [f"({terms[i]} + {terms[i + 1]})" for i in range(0, len(terms) - 1, 2)]
+        if len(terms) % 2:
+            nxt.append(terms[-1])
+        terms = nxt
+    return terms[0]
+
+
+def dot_const_sql(name: str, w: Sequence[float]) -> str:
+    """SQL text of x . w for an array column ``name`` (unrolled)."""
+    return _sum_sql([f"({q(name)}[{j}] * {dbl(v)})" for j, v in enumerate(w) if float(v) != 0.0])
+
+
+def sqdist_const_sql(name: str, center: Sequence[float]) -> str:
+    """SQL text of ||x - c||^2 for an array column ``name`` (unrolled)."""
+    return _sum_sql([f"(({q(name)}[{j}] - {dbl(v)}) * ({q(name)}[{j}] - {dbl(v)}))"
+                     for j, v in enumerate(center)])
+
+
+def linear_sql(names: Sequence[str], w: Sequence[float]) -> str:
+    """SQL text of sum_j names[j] * w[j] over separate columns."""
+    return _sum_sql([f"({q(n)} * {dbl(v)})" for n, v in zip(names, w) if float(v) != 0.0])
+
+
 def _sum(terms: Sequence[Column]) -> Column:
     # balanced tree: keeps the expression depth at log2(d)
     terms = list(terms)
@@ -57,6 +98,8 @@ def dot_const(col, w: Sequence[float]) -> Column:
     """x . w for a column x and a literal vector w (the model)."""
     w = [float(v) for v in w]
     if len(w) <= UNROLL_MAX:
+        if isinstance(col, str):      # one JVM call for the whole expression
+            return F.expr(dot_const_sql(col, w))
         return _sum([item(col, j) * _lit(v) for j, v in enumerate(w) if v != 0.0]
                     or [F.lit(0.0)])
     lits = F.array(*[_lit(v) for v in w])
@@ -76,6 +119,8 @@ def sqdist_const(col, center: Sequence[float], unroll: bool | None = None) -> Co
     """||x - c||^2 against a literal center (``unroll`` None: by width)."""
     center = [float(v) for v in center]
     if unroll if unroll is not None else len(center) <= UNROLL_MAX:
+        if isinstance(col, str):
+            return F.expr(sqdist_const_sql(col, center))
         return _sum([(item(col, j) - _lit(v)) * (item(col, j) - _lit(v))
                      for j, v in enumerate(center)])
     lits = F.array(*[_lit(v) for v in center])

@@ -28,14 +28,20 @@ def tree_agg(df: DataFrame, named_sums: dict[str, Column], fan: int = TREE_FAN,
              n_partitions: int | None = None) -> DataFrame:
     """One-row DataFrame of ``sum(expr) AS name`` for each entry.
 
-    ``named_sums`` maps output names to per-row expressions. Small inputs get
+    ``named_sums`` maps output names to per-row expressions (Columns or SQL
+    text; all-text aggregates are built in one JVM call). Small inputs get
     one aggregate; inputs with more than ``fan`` partitions are first summed
     per bucket of partitions (``spark_partition_id() % fan``), then once more.
     """
-    if (n_partitions if n_partitions is not None else num_partitions(df)) <= fan:
-        return df.agg(*[F.sum(e).alias(n) for n, e in named_sums.items()])
+    small = (n_partitions if n_partitions is not None else num_partitions(df)) <= fan
+    if small and all(isinstance(e, str) for e in named_sums.values()):
+        # SQL text: the whole aggregate crosses to the JVM in one call
+        return df.selectExpr(*[f"sum({e}) AS {V.q(n)}" for n, e in named_sums.items()])
+    cols = {n: (F.expr(e) if isinstance(e, str) else e) for n, e in named_sums.items()}
+    if small:
+        return df.agg(*[F.sum(e).alias(n) for n, e in cols.items()])
     level1 = df.groupBy((F.spark_partition_id() % F.lit(fan)).alias("_ks_bucket")).agg(
-        *[F.sum(e).alias(n) for n, e in named_sums.items()])
+        *[F.sum(e).alias(n) for n, e in cols.items()])
     return level1.agg(*[F.sum(F.col(n)).alias(n) for n in named_sums])
 
 

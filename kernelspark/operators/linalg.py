@@ -121,8 +121,8 @@ def project_rows(df: DataFrame, col: str, matrix: np.ndarray, out: str = "projec
 
 def gram_sql(df: DataFrame, col: str, d: int) -> DataFrame:
     """G = A^T A as one aggregate of d(d+1)/2 sums -> (i, j, value), i <= j."""
-    x = V.items(col, d)
-    sums = {f"g_{i}_{j}": x[i] * x[j] for i in range(d) for j in range(i, d)}
+    c = V.q(col)
+    sums = {f"g_{i}_{j}": f"{c}[{i}] * {c}[{j}]" for i in range(d) for j in range(i, d)}
     one = A.tree_agg(df, sums)
     stack = ", ".join(f"{i}, {j}, g_{i}_{j}" for i in range(d) for j in range(i, d))
     return one.selectExpr(f"stack({len(sums)}, {stack}) AS (i, j, value)")
@@ -346,7 +346,7 @@ def matvec(df: DataFrame, w, col: str = "features", out: str = "y") -> DataFrame
 
 def rmatvec(df: DataFrame, col: str, x: str, d: int) -> np.ndarray:
     """A^T x as a d-vector (D10): d sums in one aggregate."""
-    sums = A.collect_sums(df, {f"s{j}": F.col(x) * V.item(col, j) for j in range(d)})
+    sums = A.collect_sums(df, {f"s{j}": f"{V.q(x)} * {V.q(col)}[{j}]" for j in range(d)})
     return np.array([sums[f"s{j}"] for j in range(d)])
 
 

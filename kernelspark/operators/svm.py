@@ -86,11 +86,9 @@ def signed_design(rows: DataFrame, features: str = "features", label: str = "lab
 
 def _state_sums(state: DataFrame, D: int, with_err: bool,
                 n_partitions: int | None = None) -> dict[str, float]:
-    a = [F.col(c) for c in design_columns(D)]
-    one_b = F.lit(1.0) + F.col("beta")
-    sums = {f"u{j}": a[j] * one_b for j in range(D)}
+    sums = {f"u{j}": f"a_{j} * (1.0D + beta)" for j in range(D)}
     if with_err:
-        sums["err"] = F.col("dbeta")
+        sums["err"] = "dbeta"
     return A.collect_sums(state, sums, n_partitions=n_partitions)
 
 
@@ -149,12 +147,12 @@ def fit_svm(rows: DataFrame, C: float = 1.0, learn_rate: float = 0.2, max_iter:
     design = _persist(design)
     a = [F.col(c) for c in design_columns(D)]
     # one pass: u for beta = 1, row count, width check (+ the Gram for small D)
-    sums = {f"u{j}": a[j] * F.lit(2.0) for j in range(D)}
-    sums["n"] = F.lit(1.0)
-    sums["bad"] = F.col("_bad").cast("double")
+    sums = {f"u{j}": f"a_{j} * 2.0D" for j in range(D)}
+    sums["n"] = "1.0D"
+    sums["bad"] = "CAST(_bad AS DOUBLE)"
     wide = D > L.GRAM_SQL_MAX
     if not wide:
-        sums.update({f"g_{i}_{j}": a[i] * a[j] for i in range(D) for j in range(i, D)})
+        sums.update({f"g_{i}_{j}": f"a_{i} * a_{j}" for i in range(D) for j in range(i, D)})
     tot = A.collect_sums(design, sums, n_partitions=want)
     if tot["bad"] > 0:
         design.unpersist()
@@ -189,7 +187,8 @@ def fit_svm(rows: DataFrame, C: float = 1.0, learn_rate: float = 0.2, max_iter:
         for it in range(1, max_iter + 1):
             v = np.linalg.solve(Lc.T, np.linalg.solve(Lc, u))
             path.append([float(x) for x in v])
-            alpha = F.lit(2.0 * C) * ((F.lit(1.0) + F.col("beta")) - V.linear_terms(a, v))
+            alpha = F.lit(2.0 * C) * ((F.lit(1.0) + F.col("beta"))
+                                      - F.expr(V.linear_sql(design_columns(D), v)))
             beta_new = F.greatest(F.col("beta") - F.lit(step) * alpha, F.lit(0.0))
             nxt = state.select("row_id", *design_columns(D), beta_new.alias("beta"),
                                alpha.alias("alpha"),
@@ -349,11 +348,11 @@ def _fit_newton(design: DataFrame, G: np.ndarray, col_sums: np.ndarray, D: int,
         if D > L.GRAM_SQL_MAX:
             o, gs, Hs = _newton_partials_arrow(design, D, w, nparts)
             return 0.5 * float(w @ w) + C * o, w - 2.0 * C * gs, np.eye(D) + 2.0 * C * Hs
-        r = F.lit(1.0) - V.linear_terms(a, w)
-        act = F.when(r > F.lit(0.0), F.lit(1.0)).otherwise(F.lit(0.0))
-        sums = {"obj": act * r * r}
-        sums.update({f"g{j}": act * r * a[j] for j in range(D)})
-        sums.update({f"h_{i}_{j}": act * a[i] * a[j] for i in range(D) for j in range(i, D)})
+        r = f"(1.0D - {V.linear_sql(design_columns(D), w)})"
+        act = f"(CASE WHEN {r} > 0.0D THEN 1.0D ELSE 0.0D END)"
+        sums = {"obj": f"{act} * {r} * {r}"}
+        sums.update({f"g{j}": f"{act} * {r} * a_{j}" for j in range(D)})
+        sums.update({f"h_{i}_{j}": f"{act} * a_{i} * a_{j}" for i in range(D) for j in range(i, D)})
         s = A.collect_sums(design, sums, n_partitions=nparts)
         obj = 0.5 * float(w @ w) + C * s["obj"]
         grad = w - 2.0 * C * np.array([s[f"g{j}"] for j in range(D)])

@@ -51,6 +51,8 @@ def class_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def centroid_matrix(spark: SparkSession, sf_dir: str) -> np.ndarray:
-    """The class centroids on the driver, K x 64 (K = number of classes)."""
-    rows = class_centroids(spark, sf_dir).orderBy("cluster").collect()
-    return np.asarray([list(r["features"]) for r in rows], dtype=float)
+    """The class centroids on the driver, K x 64 (K = number of classes,
+    size-checked before the collect)."""
+    from ..operators.joins import collect_small
+    _, cen = collect_small(class_centroids(spark, sf_dir), "cluster")
+    return cen
