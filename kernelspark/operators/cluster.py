@@ -32,9 +32,15 @@ def assign_clusters(df: DataFrame, centers, features: str = "features",
     """H2 = C2 + E5: nearest center (ties to the lower index) and its
     squared distance; a narrow projection with the centers as literals."""
     d = J.center_distances(df, centers, features, "_ks_d")
-    return (A.argmin_cluster(d, "_ks_d", out)
-            .withColumn(out, F.col(out).cast("int"))
-            .withColumn("sq_dist", F.array_min("_ks_d")).drop("_ks_d"))
+    k = len(np.asarray(centers))
+    # least() over (distance, index) structs: smallest distance, ties to the
+    # lower index, and no lambda, so the projection stays in whole-stage codegen
+    best = F.least(*[F.struct(F.col("_ks_d")[i].alias("v"), F.lit(i).alias("i"))
+                     for i in range(k)]) if k > 1 else F.struct(
+        F.col("_ks_d")[0].alias("v"), F.lit(0).alias("i"))
+    return (d.withColumn("_ks_b", best)
+             .withColumn(out, F.col("_ks_b.i").cast("int"))
+             .withColumn("sq_dist", F.col("_ks_b.v")).drop("_ks_d", "_ks_b"))
 
 
 def lloyd_step(df: DataFrame, centers, features: str = "features") -> DataFrame:
