@@ -89,3 +89,11 @@ def test_width_mismatch_raises(spark):
                                "row_id bigint, features array<double>, label double")
     with pytest.raises(Exception):
         L.cells_to_matrix(L.gram(df, "features", 2, method="arrow"), 2)
+
+
+def test_two_level_sums_match_one_level(spark):
+    from kernelspark.operators import aggregates as A
+    df = spark.range(0, 1000, numPartitions=12).select((F.col("id") * 0.5).alias("x"))
+    one = A.collect_sums(df, {"s": "x", "q": F.col("x") * F.col("x")})
+    two = A.collect_sums(df, {"s": "x", "q": F.col("x") * F.col("x")}, fan=4)
+    assert one == two and one["s"] == 0.5 * 999 * 1000 / 2
