@@ -781,6 +781,14 @@ def q_svm_fit_documents(spark: SparkSession, sf: str) -> DataFrame:
     return m.history.select("iteration", rnd("error", 4).alias("error"))
 
 
+def q_svm_fit_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """G6 on all 64 embedding dims + bias (class 0 = +1): the wide-design
+    path (Gram by numpy partials, replayed dual steps); history."""
+    rows = TB.embedding_rows(spark, sf).drop("class_label")
+    m = SVM.fit_svm(rows, C=C, learn_rate=LEARN_RATE, max_iter=500, tol=1e-3)
+    return m.history.select("iteration", rnd("error", 4).alias("error"))
+
+
 def q_kkt_report(spark: SparkSession, sf: str) -> DataFrame:
     """KKT gap of the dual-ascent solution on documents' quality."""
     rows = TB.document_rows(spark, sf)
@@ -879,6 +887,7 @@ QUERIES = {
     "svm_fixed_iterations": q_svm_fixed_iterations,
     "svm_newton": q_svm_newton,
     "svm_fit_documents": q_svm_fit_documents,
+    "svm_fit_embeddings": q_svm_fit_embeddings,
     "kkt_report": q_kkt_report,
     "kmeans_fit": q_kmeans_fit,
     "nystrom_features": q_nystrom_features,
