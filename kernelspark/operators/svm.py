@@ -67,6 +67,10 @@ def step_size(C: float, learn_rate: float) -> float:
     return step
 
 
+# Fewest rows a task gets in the iteration phase (see fit_svm).
+ROWS_PER_TASK = 200_000
+
+
 def design_columns(d: int) -> list[str]:
     return [f"a_{j}" for j in range(d)]
 
@@ -144,73 +148,80 @@ def fit_svm(rows: DataFrame, C: float = 1.0, learn_rate: float = 0.2, max_iter:
     want = num_partitions or max(spark.sparkContext.defaultParallelism, have)
     if want != have:
         design = design.repartition(want)
-    design = _persist(design)
-    a = [F.col(c) for c in design_columns(D)]
-    # one pass: u for beta = 1, row count, width check (+ the Gram for small D)
-    sums = {f"u{j}": f"a_{j} * 2.0D" for j in range(D)}
-    sums["n"] = "1.0D"
-    sums["bad"] = "CAST(_bad AS DOUBLE)"
-    wide = D > L.GRAM_SQL_MAX
-    if not wide:
-        sums.update({f"g_{i}_{j}": f"a_{i} * a_{j}" for i in range(D) for j in range(i, D)})
-    tot = A.collect_sums(design, sums, n_partitions=want)
-    if tot["bad"] > 0:
-        design.unpersist()
-        raise ValueError(f"{int(tot['bad'])} rows do not have the width of the first row")
-    n = tot["n"]
-    if wide:   # numpy partials per partition, summed by cell
-        G = L.gram_matrix(design.select(F.array(*a).alias("_a")), "_a", D)
-    else:
-        G = np.zeros((D, D))
-        for i in range(D):
-            for j in range(i, D):
-                G[i, j] = G[j, i] = tot[f"g_{i}_{j}"]
-    if solver == "newton":
-        col_sums = np.array([tot[f"u{j}"] for j in range(D)]) / 2.0
-        return _fit_newton(design, G, col_sums, D, C, max_iter, tol, spark, want)
-
-    step = step_size(C, learn_rate)
-    M = G + np.eye(D) / (2.0 * C)
-    Lc = np.linalg.cholesky(M)
-    u = np.array([tot[f"u{j}"] for j in range(D)])
-    ckpt = checkpoint_dir(spark)  # noqa: F841  (validates the setting up front)
-
-    if state_mode == "replay":
-        return _dual_replay(design, D, n, u, Lc, C, step, max_iter, tol, tol_mode,
-                            checkpoint_every, want, spark)
-
-    with _PlainPlans(spark):
-        state = design.select("row_id", *design_columns(D), F.lit(1.0).alias("beta"))
-        nparts = want
-        history, path, converged, it = [], [], False, 0
-        v = np.zeros(D)
-        for it in range(1, max_iter + 1):
-            v = np.linalg.solve(Lc.T, np.linalg.solve(Lc, u))
-            path.append([float(x) for x in v])
-            alpha = F.lit(2.0 * C) * ((F.lit(1.0) + F.col("beta"))
-                                      - F.expr(V.linear_sql(design_columns(D), v)))
-            beta_new = F.greatest(F.col("beta") - F.lit(step) * alpha, F.lit(0.0))
-            nxt = state.select("row_id", *design_columns(D), beta_new.alias("beta"),
-                               alpha.alias("alpha"),
-                               F.abs(beta_new - F.col("beta")).alias("dbeta"))
-            if checkpoint_every and it % checkpoint_every == 0:
-                # reliable checkpoint: written to the shared folder, lineage cut here
-                nxt = nxt.checkpoint(eager=True)
-            nxt = _persist(nxt)
-            s = _state_sums(nxt, D, True, nparts)   # the one job of this iteration
-            state.unpersist()
-            state = nxt
-            err = s["err"] if tol_mode == "l1" else s["err"] / n
-            history.append((it, float(err)))
-            u = np.array([s[f"u{j}"] for j in range(D)])
-            if err < tol:
-                converged = True
-                break
-    design.unpersist()
-    hist_df = spark.createDataFrame(history, "iteration int, error double")
-    out_state = state.select("row_id", "alpha", "beta")
-    return SVMModel([float(x) for x in v], hist_df, out_state, it, converged,
-                    "dual_ascent", history, path)
+    cached = design = _persist(design)
+    try:
+        a = [F.col(c) for c in design_columns(D)]
+        # one pass: u for beta = 1, row count, width check (+ the Gram for small D)
+        sums = {f"u{j}": f"a_{j} * 2.0D" for j in range(D)}
+        sums["n"] = "1.0D"
+        sums["bad"] = "CAST(_bad AS DOUBLE)"
+        wide = D > L.GRAM_SQL_MAX
+        if not wide:
+            sums.update({f"g_{i}_{j}": f"a_{i} * a_{j}" for i in range(D) for j in range(i, D)})
+        tot = A.collect_sums(design, sums, n_partitions=want)
+        if tot["bad"] > 0:
+            raise ValueError(f"{int(tot['bad'])} rows do not have the width of the first row")
+        n = tot["n"]
+        # Iterations are latency bound on small inputs: give each task at least
+        # ROWS_PER_TASK rows (a narrow coalesce of the cached blocks). Large
+        # inputs keep every partition.
+        k = max(1, min(want, math.ceil(n / ROWS_PER_TASK)))
+        if k < want:
+            design, want = design.coalesce(k), k
+        if wide:   # numpy partials per partition, summed by cell
+            G = L.gram_matrix(design.select(F.array(*a).alias("_a")), "_a", D)
+        else:
+            G = np.zeros((D, D))
+            for i in range(D):
+                for j in range(i, D):
+                    G[i, j] = G[j, i] = tot[f"g_{i}_{j}"]
+        if solver == "newton":
+            col_sums = np.array([tot[f"u{j}"] for j in range(D)]) / 2.0
+            return _fit_newton(design, G, col_sums, D, C, max_iter, tol, spark, want)
+
+        step = step_size(C, learn_rate)
+        M = G + np.eye(D) / (2.0 * C)
+        Lc = np.linalg.cholesky(M)
+        u = np.array([tot[f"u{j}"] for j in range(D)])
+        ckpt = checkpoint_dir(spark)  # noqa: F841  (validates the setting up front)
+
+        if state_mode == "replay":
+            return _dual_replay(design, D, n, u, Lc, C, step, max_iter, tol, tol_mode,
+                                checkpoint_every, want, spark)
+
+        with _PlainPlans(spark):
+            state = design.select("row_id", *design_columns(D), F.lit(1.0).alias("beta"))
+            nparts = want
+            history, path, converged, it = [], [], False, 0
+            v = np.zeros(D)
+            for it in range(1, max_iter + 1):
+                v = np.linalg.solve(Lc.T, np.linalg.solve(Lc, u))
+                path.append([float(x) for x in v])
+                alpha = F.lit(2.0 * C) * ((F.lit(1.0) + F.col("beta"))
+                                          - F.expr(V.linear_sql(design_columns(D), v)))
+                beta_new = F.greatest(F.col("beta") - F.lit(step) * alpha, F.lit(0.0))
+                nxt = state.select("row_id", *design_columns(D), beta_new.alias("beta"),
+                                   alpha.alias("alpha"),
+                                   F.abs(beta_new - F.col("beta")).alias("dbeta"))
+                if checkpoint_every and it % checkpoint_every == 0:
+                    # reliable checkpoint: written to the shared folder, lineage cut here
+                    nxt = nxt.checkpoint(eager=True)
+                nxt = _persist(nxt)
+                s = _state_sums(nxt, D, True, nparts)   # the one job of this iteration
+                state.unpersist()
+                state = nxt
+                err = s["err"] if tol_mode == "l1" else s["err"] / n
+                history.append((it, float(err)))
+                u = np.array([s[f"u{j}"] for j in range(D)])
+                if err < tol:
+                    converged = True
+                    break
+        hist_df = spark.createDataFrame(history, "iteration int, error double")
+        out_state = state.select("row_id", "alpha", "beta")
+        return SVMModel([float(x) for x in v], hist_df, out_state, it, converged,
+                        "dual_ascent", history, path)
+    finally:
+        cached.unpersist()
 
 
 def _replay_batches(D: int, C: float, step: float, vs, mode: str):
@@ -288,7 +299,8 @@ def _dual_replay(design, D, n, u, Lc, C, step, max_iter, tol, tol_mode, checkpoi
             state = nxt.select("row_id", *cols, "beta")
         else:   # replay only: reads the rows, writes nothing, returns sums
             part = state.mapInArrow(_replay_batches(D, C, step, vs, "sums"), sums_schema)
-            s = A.collect_sums(part, {k: F.col(k) for k in sums_schema.names})
+            s = A.collect_sums(part, {k: V.q(k) for k in sums_schema.names},
+                               n_partitions=nparts)
         vs.unpersist()
         err = s["err"] if tol_mode == "l1" else s["err"] / n
         history.append((it, float(err)))
@@ -303,7 +315,6 @@ def _dual_replay(design, D, n, u, Lc, C, step, max_iter, tol, tol_mode, checkpoi
     else:
         out_state = owned.select("row_id", "alpha", "beta")
     out_state.count()          # materialised, so the design cache can go
-    design.unpersist()
     hist_df = spark.createDataFrame(history, "iteration int, error double")
     return SVMModel([float(x) for x in v], hist_df, out_state, it, converged,
                     "dual_ascent", history, path)
