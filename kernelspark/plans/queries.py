@@ -823,6 +823,34 @@ def q_nystrom_features(spark: SparkSession, sf: str) -> DataFrame:
         rnd(F.sum(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("sum_sq"))
 
 
+def q_nystrom_rank1(spark: SparkSession, sf: str) -> DataFrame:
+    """H5 with a closed form: clusters = nearest class centroid, rank 1 and
+    m = 2 seeded landmarks per cluster; the squared feature of every row
+    (sign-free) equals (e1 + e2)^2 / (2 (1 + w)) with e = K(x, L), w = K(L1, L2)."""
+    from ..operators import nystrom as NY
+    from ..operators import cluster as CL
+    e = embeddings(spark, sf).withColumnRenamed("vec_id", "row_id")
+    assigned = CL.assign_clusters(e, centroid_matrix(spark, sf)).drop("sq_dist")
+    ranks = A.rank_offsets(A.cluster_sizes(assigned).withColumn("rank", F.lit(1)),
+                           "cluster", "rank", "col_offset")
+    feats = NY.nystrom_features(assigned, ranks, GAMMA, SEED)
+    return feats.select(F.col("row_id").alias("vec_id"), "cluster",
+                        rnd(F.col("u")[0] * F.col("u")[0]).alias("phi_sq"))
+
+
+SQL_NYSTROM_RANK1 = f"""
+WITH {SQL_CENTROIDS}, {SQL_ASSIGN},
+lm AS (SELECT cluster, x, row_number() OVER (PARTITION BY cluster ORDER BY md5(concat_ws(':', '{SEED}', vec_id)), vec_id) AS rn
+       FROM a JOIN emb USING (vec_id)),
+l2 AS (SELECT l1.cluster, l1.x AS p, l2.x AS q FROM lm l1 JOIN lm l2 ON l1.cluster = l2.cluster AND l1.rn = 1 AND l2.rn = 2),
+k AS (SELECT a.vec_id, a.cluster,
+             exp(-{GAMMA!r}::DOUBLE * list_sum(list_transform(list_zip(emb.x, l2.p), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS e1,
+             exp(-{GAMMA!r}::DOUBLE * list_sum(list_transform(list_zip(emb.x, l2.q), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS e2,
+             exp(-{GAMMA!r}::DOUBLE * list_sum(list_transform(list_zip(l2.p, l2.q), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS w
+      FROM a JOIN emb USING (vec_id) JOIN l2 ON a.cluster = l2.cluster)
+SELECT vec_id, cluster, round((e1 + e2) * (e1 + e2) / (2.0::DOUBLE * (1.0::DOUBLE + w)), 6) + 0.0 AS phi_sq FROM k"""
+
+
 def q_meka_features(spark: SparkSession, sf: str) -> DataFrame:
     """H6-H8 + H10: MEKA features of the embeddings (link power +0.5) and
     the mean absolute kernel approximation error on a seeded pair sample."""
@@ -891,6 +919,7 @@ QUERIES = {
     "kkt_report": q_kkt_report,
     "kmeans_fit": q_kmeans_fit,
     "nystrom_features": q_nystrom_features,
+    "nystrom_rank1": q_nystrom_rank1,
     "meka_features": q_meka_features,
     "meka_svm": q_meka_svm,
 }
@@ -934,4 +963,5 @@ ORACLE_SQL = {
     "norms": SQL_NORMS,
     "rmatvec": SQL_RMATVEC,
     "svm_fixed_iterations": _sql_svm_iterations(3),
+    "nystrom_rank1": SQL_NYSTROM_RANK1,
 }
