@@ -12,7 +12,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
 from . import aggregates as A
 from . import joins as J
 

@@ -8,9 +8,7 @@ rounding agree on both sides.
 
 from __future__ import annotations
 
-import math
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
