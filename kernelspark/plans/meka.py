@@ -41,6 +41,7 @@ def meka_features(rows: DataFrame, n_clusters: int = 4, target_rank: int = 40,
     """Rows ``(row_id, features, ...)`` -> MEKA features of target_rank."""
     base = rows.select("row_id", features, *keep)
     centers = CL.kmeans_centers(base, n_clusters, kmeans_iter, seed, features)
+    centers = _number_by_size(base, centers, features)
     assigned = CL.assign_clusters(base, centers, features).drop("sq_dist")
     sizes = A.cluster_sizes(assigned)
     ranks = CL.rank_allocation(sizes, target_rank).cache()   # K rows
@@ -53,6 +54,18 @@ def meka_features(rows: DataFrame, n_clusters: int = 4, target_rank: int = 40,
     return MekaFeatures(feats, centers, ranks, Smat)
 
 
+def _number_by_size(rows: DataFrame, centers: np.ndarray, features: str) -> np.ndarray:
+    """Renumber the k-means clusters by ascending size (K-row count table).
+
+    Cluster numbers are arbitrary; with the largest cluster last, the rank
+    rule of H4 (surplus over the target taken from the last cluster) takes
+    it from the cluster that can best afford it."""
+    sizes = {r["cluster"]: r["n"] for r in
+             A.cluster_sizes(CL.assign_clusters(rows, centers, features)).collect()}
+    order = sorted(range(len(centers)), key=lambda c: (sizes.get(c, 0), c))
+    return np.asarray(centers)[order]
+
+
 def meka_dataset(rows: DataFrame, n_clusters: int = 4, target_rank: int = 40,
                  gamma: float = 0.1, eta: float = 0.1, split: float = 0.8, seed: int = 42,
                  link_power: float = -0.5, kmeans_iter: int = 10) -> MekaDataset:
@@ -68,8 +81,9 @@ def meka_dataset(rows: DataFrame, n_clusters: int = 4, target_rank: int = 40,
 def approximation_error(features: DataFrame, rows: DataFrame, gamma: float, seed: int,
                         n_pairs: int = 2000) -> DataFrame:
     """Mean |k(x_a, x_b) - phi_a . phi_b| over a seeded sample of
-    row pairs (the first 2 n_pairs rows of the md5 order, paired in order).
-    A sampling operator: the sample size is the feature."""
+    row pairs: the first 2 m rows of the md5 order (m = n_pairs, or fewer on
+    small inputs), row p paired with row p + m. A sampling operator: the
+    sample size is the feature."""
     joined = features.select("row_id", F.col("features").alias("phi")).join(
         rows.select("row_id", "features"), "row_id")
     n = joined.count()
@@ -78,12 +92,12 @@ def approximation_error(features: DataFrame, rows: DataFrame, gamma: float, seed
     key = S.perm_key(seed, ["row_id"])
     sample = joined.filter((key < F.lit(tkey)) | ((key == F.lit(tkey))
                                                  & (F.col("row_id") <= F.lit(tids[0]))))
+    m = k // 2
     ranked = S.global_rank(sample.withColumn("_k", key), ["_k", "row_id"], "pos")
-    left = ranked.filter(F.col("pos") % 2 == 0).select(
-        (F.col("pos") / 2).cast("long").alias("pair"), F.col("phi").alias("pa"),
-        F.col("features").alias("xa"))
-    right = ranked.filter(F.col("pos") % 2 == 1).select(
-        (F.col("pos") / 2).cast("long").alias("pair"), F.col("phi").alias("pb"),
+    left = ranked.filter(F.col("pos") < F.lit(m)).select(
+        F.col("pos").alias("pair"), F.col("phi").alias("pa"), F.col("features").alias("xa"))
+    right = ranked.filter(F.col("pos") >= F.lit(m)).select(
+        (F.col("pos") - F.lit(m)).alias("pair"), F.col("phi").alias("pb"),
         F.col("features").alias("xb"))
     pairs = left.join(right, "pair")
     diff = F.abs(F.exp(V.sqdist("xa", "xb") * F.lit(-gamma)) - V.dot("pa", "pb"))
