@@ -355,6 +355,30 @@ cells AS (SELECT a.cluster, unnest(range(len(emb.x))) AS j, unnest(emb.x) AS x
 SELECT cluster, CAST(j AS INTEGER) AS j, round(avg(x), 6) + 0.0 AS value FROM cells GROUP BY cluster, j"""
 
 
+def q_lloyd_two_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """H1 (own Lloyd iterations): two steps from the class centroids; the
+    centers after the second step as (cluster, j, value) cells."""
+    from ..operators import cluster as CL
+    cen = CL.lloyd(embeddings(spark, sf), centroid_matrix(spark, sf), 2)
+    cells = [(c, j, float(cen[c, j])) for c in range(cen.shape[0]) for j in range(cen.shape[1])]
+    return spark.createDataFrame(cells, "cluster int, j int, value double").select(
+        "cluster", "j", rnd("value").alias("value"))
+
+
+SQL_LLOYD_TWO_STEPS = f"""
+WITH {SQL_CENTROIDS}, {SQL_ASSIGN},
+c1 AS (SELECT cluster, list(x ORDER BY j) AS c FROM
+        (SELECT a.cluster, j, avg(x) AS x FROM
+          (SELECT a.cluster, unnest(range(len(emb.x))) AS j, unnest(emb.x) AS x FROM a JOIN emb USING (vec_id)) a
+         GROUP BY a.cluster, j) GROUP BY cluster),
+d2 AS (SELECT vec_id, c1.cluster, list_sum(list_transform(list_zip(emb.x, c1.c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS sq_dist
+       FROM emb, c1),
+a2 AS (SELECT vec_id, cluster FROM
+        (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sq_dist, cluster) AS rn FROM d2) WHERE rn = 1),
+cells2 AS (SELECT a2.cluster, unnest(range(len(emb.x))) AS j, unnest(emb.x) AS x FROM a2 JOIN emb USING (vec_id))
+SELECT cluster, CAST(j AS INTEGER) AS j, round(avg(x), 6) + 0.0 AS value FROM cells2 GROUP BY cluster, j"""
+
+
 def q_rbf_kernel(spark: SparkSession, sf: str) -> DataFrame:
     """RBF kernel (gamma 1) of every embedding with every class centroid."""
     cen = class_centroids(spark, sf)
@@ -891,6 +915,7 @@ QUERIES = {
     "assign_clusters": q_assign_clusters,
     "cluster_sizes": q_cluster_sizes,
     "lloyd_step": q_lloyd_step,
+    "lloyd_two_steps": q_lloyd_two_steps,
     "rbf_kernel": q_rbf_kernel,
     "pairwise_sq_distance": q_pairwise_sq_distance,
     "link_threshold": q_link_threshold,
@@ -941,6 +966,7 @@ ORACLE_SQL = {
     "assign_clusters": SQL_ASSIGN_CLUSTERS,
     "cluster_sizes": SQL_CLUSTER_SIZES,
     "lloyd_step": SQL_LLOYD_STEP,
+    "lloyd_two_steps": SQL_LLOYD_TWO_STEPS,
     "rbf_kernel": SQL_RBF_KERNEL,
     "pairwise_sq_distance": SQL_PAIRWISE_SQ_DISTANCE,
     "link_threshold": SQL_LINK_THRESHOLD,
