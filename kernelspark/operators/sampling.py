@@ -33,30 +33,85 @@ def perm_key(seed: int, id_cols: Sequence[str]) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in id_cols]))
 
 
+def _sql_literal(v) -> str:
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return f"{v}L"
+    if isinstance(v, float):
+        return f"({v!r}D)"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    raise TypeError(f"unsupported order key type {type(v).__name__}")
+
+
+def _tuple_lt(cols: Sequence[str], bound: Sequence) -> str:
+    """SQL text of (cols) < (bound), lexicographic."""
+    out = None
+    for c, v in reversed(list(zip(cols, bound))):
+        q = f"`{c}`"
+        lit = _sql_literal(v)
+        out = f"({q} < {lit})" if out is None else f"({q} < {lit} OR ({q} = {lit} AND {out}))"
+    return out
+
+
+def _bucket_sql(cols: Sequence[str], bounds: list) -> str:
+    """SQL text of the number of bounds <= key (binary search, depth log2)."""
+    def node(lo: int, hi: int) -> str:
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi) // 2
+        return f"CASE WHEN {_tuple_lt(cols, bounds[mid])} THEN {node(lo, mid)} ELSE {node(mid + 1, hi)} END"
+    return node(0, len(bounds))
+
+
+def range_bounds(df: DataFrame, order_cols: Sequence[str], parts: int, n: int | None = None,
+                 per_part: int = 20) -> list:
+    """``parts - 1`` split keys of the ``order_cols`` order from a sample of
+    about ``per_part * parts`` rows, chosen by a hash of the key (the same
+    rows whatever the partitioning, so the split is a fixed function of the
+    key)."""
+    n = df.count() if n is None else n
+    if n == 0 or parts <= 1:
+        return []
+    step = max(1, n // (per_part * parts))
+    keys = F.xxhash64(*[F.col(c) for c in order_cols])
+    sample = (df.select(*order_cols).filter(F.pmod(keys, F.lit(step)) == 0)
+                .orderBy(*order_cols).collect())          # ~per_part * parts rows
+    rows = [tuple(r) for r in sample]
+    bounds = []
+    for k in range(1, parts):
+        b = rows[min(len(rows) - 1, k * len(rows) // parts)] if rows else None
+        if b is not None and (not bounds or b > bounds[-1]):
+            bounds.append(b)
+    return bounds
+
+
 def global_rank(df: DataFrame, order_cols: Sequence[str], out: str = "row_id",
                 num_partitions: int | None = None) -> DataFrame:
-    """0-based position of each row in ``order_cols`` order (must be unique).
-
-    Range partitioning spreads the order over ``num_partitions`` tasks (a hot
-    value of a leading column is split by the following ones); per-partition
-    counts (one row per partition) give each partition its offset, joined
-    back as a broadcast side bounded by the partition count.
+    """0-based position of each row in ``order_cols`` order (unique, non-null).
+
+    Split keys from a hash-chosen sample put every row into a key range
+    (a fixed function of the key, so every evaluation agrees). A hot leading
+    value is split by the following columns. ``row_number()`` within the
+    range gives the local position, and per-range counts (one row per range,
+    broadcast) give the offsets. There is one shuffle, and no
+    single-partition window over the rows.
     """
     spark = df.sparkSession
     p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parted = df.repartitionByRange(p, *order_cols)   # one exchange, read by both branches
-    counts = (parted.select(F.spark_partition_id().alias("_ks_pid"))
-                    .groupBy("_ks_pid").agg(F.count(F.lit(1)).alias("_ks_n")))
-    w = Window.orderBy("_ks_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_ks_pid", F.coalesce(F.sum("_ks_n").over(w), F.lit(0))
+    bounds = range_bounds(df, order_cols, p)
+    bucketed = df.withColumn("_ks_b", F.expr(_bucket_sql(order_cols, bounds)).cast("int")
+                             if bounds else F.lit(0))
+    local = bucketed.withColumn(
+        "_ks_rn", F.row_number().over(Window.partitionBy("_ks_b").orderBy(*order_cols)))
+    counts = bucketed.groupBy("_ks_b").agg(F.count(F.lit(1)).alias("_ks_n"))
+    w = Window.orderBy("_ks_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_ks_b", F.coalesce(F.sum("_ks_n").over(w), F.lit(0))
                             .alias("_ks_off"))
-    ordered = (parted.sortWithinPartitions(*order_cols)
-                     .withColumn("_ks_pid", F.spark_partition_id())
-                     .withColumn("_ks_mid", F.monotonically_increasing_id()))
-    local = F.col("_ks_mid") - F.shiftleft(F.col("_ks_pid").cast("long"), 33)
-    return (ordered.join(F.broadcast(offsets), "_ks_pid")
-                   .withColumn(out, (F.col("_ks_off") + local).cast("long"))
-                   .drop("_ks_pid", "_ks_mid", "_ks_off"))
+    return (local.join(F.broadcast(offsets), "_ks_b")
+                 .withColumn(out, (F.col("_ks_off") + F.col("_ks_rn") - F.lit(1)).cast("long"))
+                 .drop("_ks_b", "_ks_rn", "_ks_off"))
 
 
 def random_permutation(df: DataFrame, seed: int, id_cols: Sequence[str],

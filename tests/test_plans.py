@@ -17,10 +17,10 @@ def test_scoring_is_one_scan_and_one_global_aggregate(spark):
     assert "ReadSchema: struct<l_quantity:double,l_extendedprice:double,l_discount:double,l_tax:double>" in plan
 
 
-def test_global_rank_reads_one_range_exchange(spark):
+def test_global_rank_ranks_inside_key_ranges(spark):
     plan = _final_plan(QUERIES["row_positions"](spark, SF001))
-    assert "ReusedExchange" in plan
-    assert "rangepartitioning" in plan
+    # one shuffle by key range, a window per range, no single-partition window over rows
+    assert "hashpartitioning(_ks_b" in plan and "Window [row_number()" in plan
 
 
 def test_per_group_sample_limits_before_the_shuffle(spark):

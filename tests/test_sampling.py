@@ -48,3 +48,13 @@ def test_sample_n_per_group_and_kth_smallest(spark):
         assert [v for _, v in got] == want
     vals = spark.createDataFrame([(float(x),) for x in [5, 3, 9, 1, 7]], "v double")
     assert S.kth_smallest(vals, "v", 2).first()["value"] == 3.0
+
+
+def test_global_rank_after_shuffles_and_joins(spark):
+    # the input arrives in no particular order from a shuffled semi-join
+    a = spark.range(0, 4000).repartition(7).select(F.col("id").alias("k"), (F.col("id") % 13).alias("v"))
+    b = spark.range(0, 4000, 3).repartition(5).select(F.col("id").alias("k"))
+    df = a.join(b, "k", "left_semi")
+    got = sorted((r["row_id"], r["k"]) for r in S.global_rank(df, ["k"], "row_id", 6).collect())
+    assert [k for _, k in got] == list(range(0, 4000, 3))
+    assert [i for i, _ in got] == list(range(len(got)))
