@@ -34,6 +34,14 @@ def perm_key(seed: int, id_cols: Sequence[str]) -> Column:
 
 
 def _sql_literal(v) -> str:
+    import datetime
+    import decimal
+    if isinstance(v, decimal.Decimal):
+        return f"{v}BD"
+    if isinstance(v, datetime.datetime):
+        return f"TIMESTAMP '{v.isoformat(sep=' ')}'"
+    if isinstance(v, datetime.date):
+        return f"DATE '{v.isoformat()}'"
     if isinstance(v, bool):
         return "true" if v else "false"
     if isinstance(v, int):

@@ -58,3 +58,13 @@ def test_global_rank_after_shuffles_and_joins(spark):
     got = sorted((r["row_id"], r["k"]) for r in S.global_rank(df, ["k"], "row_id", 6).collect())
     assert [k for _, k in got] == list(range(0, 4000, 3))
     assert [i for i, _ in got] == list(range(len(got)))
+
+
+def test_global_rank_on_dates_and_strings(spark):
+    df = spark.range(0, 500).select(
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 50).cast("int")).alias("d"),
+        F.format_string("s%04d", F.col("id")).alias("s"))
+    got = S.global_rank(df, ["d", "s"], "pos", 5).collect()
+    want = sorted((r["d"], r["s"]) for r in got)
+    assert [p for _, p in sorted(((r["d"], r["s"]), r["pos"]) for r in got)] == list(range(500))
+    assert len(want) == 500
