@@ -84,3 +84,12 @@ def test_history_sink(spark, tmpdir_path):
     out = os.path.join(tmpdir_path, "hist")
     TX.write_history(hist, out)
     assert sorted(r["iteration"] for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_line_positions_follow_file_order(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "multi")
+    os.makedirs(d)
+    _write(os.path.join(d, "part-a.txt"), [f"{i}" for i in range(0, 30)])
+    _write(os.path.join(d, "part-b.txt"), [f"{i}" for i in range(30, 1000)])   # larger file
+    lines = TX.read_lines(spark, d).collect()
+    assert sorted((r["row_id"], int(r["value"])) for r in lines) == [(i, i) for i in range(1000)]
