@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
+from ..session import ship_package
 from . import aggregates as A
 
 # The driver holds d x d matrices; refuse widths where that stops being small.
@@ -96,6 +97,7 @@ def project_rows(df: DataFrame, col: str, matrix: np.ndarray, out: str = "projec
     M = np.asarray(matrix, dtype=np.float64)
     d_in = M.shape[0]
     spark = _spark(df)
+    ship_package(spark)
     bc = spark.sparkContext.broadcast(M)
     fields = [df.schema[k] for k in keep]
     schema = T.StructType(fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
@@ -130,6 +132,7 @@ def gram_sql(df: DataFrame, col: str, d: int) -> DataFrame:
 
 def gram_arrow(df: DataFrame, col: str, d: int) -> DataFrame:
     """G = A^T A by numpy partials per partition, summed by cell."""
+    ship_package(_spark(df))
     schema = T.StructType([T.StructField("g", T.ArrayType(T.DoubleType()))])
 
     def fn(batches):
@@ -199,6 +202,7 @@ def tsqr_r(df: DataFrame, col: str = "features", d: int | None = None,
     Canonical sign: positive diagonal.
     """
     d = d or width(df, col)
+    ship_package(_spark(df))
 
     def local(batches):
         from pyspark import TaskContext
@@ -320,6 +324,7 @@ def group_svd(cells: DataFrame, key: str, size_col: str = "m") -> DataFrame:
     """Many small SVDs, one per group (D8): input cells ``(key, i, j, value)``
     of an m x m matrix per group (m bounded by the caller); output
     ``(key, k, s, u array<double>)``: singular value k and column k of U."""
+    ship_package(cells.sparkSession)
     key_type = cells.schema[key].dataType
     schema = T.StructType([T.StructField(key, key_type), T.StructField("k", T.IntegerType()),
                            T.StructField("s", T.DoubleType()),

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
 from . import linalg as L
 from . import sampling as S
 from .cluster import rbf_matrix
@@ -82,6 +83,7 @@ def map_rows(assigned: DataFrame, maps: dict[int, ClusterMap], gamma: float,
     """Per row of cluster c: K(x, L_c) T_c (H5), times P_c when ``proj``
     is given (H8). One narrow ``mapInArrow`` pass; factors broadcast."""
     spark = assigned.sparkSession
+    ship_package(spark)
     factors = {c: (m.landmarks, m.T if proj is None else m.T @ proj[c]) for c, m in maps.items()}
     bc = spark.sparkContext.broadcast(factors)
     d = next(iter(maps.values())).landmarks.shape[1]

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, ship_package
 from . import aggregates as A
 from . import linalg as L
 
@@ -141,6 +141,7 @@ def fit_svm(rows: DataFrame, C: float = 1.0, learn_rate: float = 0.2, max_iter:
     if tol_mode not in ("l1", "mean"):
         raise ValueError(f"unknown tol_mode {tol_mode!r}")
     spark = rows.sparkSession
+    ship_package(spark)
     design, D = signed_design(rows, features, label)
     # The design is cached and scanned once per iteration: spread it over at
     # least every core once (a single round-robin shuffle), never fewer.

@@ -30,6 +30,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -55,3 +56,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     raise ValueError(
         "spark.checkpoint.dir is not set: iterative operators need a shared "
         "folder (e.g. on HDFS or object storage) to checkpoint their state")
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``kernelspark`` importable in the Python workers, as
+    ``--py-files`` would: the package sources are zipped once per Spark
+    context and added with ``addPyFile`` (Spark distributes the file to every
+    executor). Needed by the Arrow / pandas UDF paths when the package is not
+    installed on the executors."""
+    import zipfile
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="ks-pyfiles-"), "kernelspark.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
