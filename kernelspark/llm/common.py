@@ -33,12 +33,12 @@ def md5_uniform(*parts: Column) -> tuple[Column, Column]:
     return key, F.conv(F.substring(key, 1, 13), 16, 10).cast("double") / F.lit(float(2 ** 52))
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
+def shared_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it
     back: cuts the lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition_by)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out

@@ -173,6 +173,15 @@ def expected_text(text: str, m: PieceModel) -> str:
     return text.replace(MARK, " ")
 
 
+def spelling(m: PieceModel) -> list[bytes]:
+    """The bytes that each id stands for; markers are spaces, control pieces nothing."""
+    def of(piece: str, kind: int) -> bytes:
+        if kind == BYTE:
+            return bytes([int(piece[1:-1], 16)])
+        return b"" if kind == CONTROL else piece.replace(MARK, " ").encode()
+    return [of(p, k) for p, _, k in m.pieces]
+
+
 def _chunks(texts: list[str]) -> Iterator[list[str]]:
     held, size = [], 0
     for t in texts:
@@ -202,14 +211,17 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text") -> DataF
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, m = _tokenizer(model), parse_model(model)
-        exact = m.byte_fallback and not m.charsmap
+        exact, spell = m.byte_fallback and not m.charsmap, spelling(m).__getitem__
+        lead = int(m.add_dummy_prefix)
+
+        def back(ids: list[int], text: str) -> bool:
+            return b"".join(map(spell, ids)).decode("utf-8", "replace")[lead:] == expected_text(text, m)
+
         for b in batches:
             start = 0
             for texts in _chunks([x or "" for x in b.column(at).to_pylist()]):
-                got = t.encode_batch(texts, add_special_tokens=False)
-                ids = [e.ids for e in got]
-                back = t.decode_batch(ids, skip_special_tokens=False) if exact else None
-                same = [x == expected_text(y, m) for x, y in zip(back, texts)] if exact else [None] * len(ids)
+                ids = [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+                same = [back(i, x) for i, x in zip(ids, texts)] if exact else [None] * len(ids)
                 part = b.slice(start, len(texts))
                 start += len(texts)
                 yield pa.RecordBatch.from_arrays(

@@ -7,18 +7,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, pii, sharding
+from . import divergence, exact_dedup, katz, mixing, pii, quality, sharding, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive-unlabelled quality classifier over all documents."""
+    return quality.quality_scores(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz backoff scores of all documents."""
+    return katz.katz_scores(_docs(spark, sf_dir))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balanced label propagation of equal texts over 24 shards."""
     return sharding.shard_documents(_docs(spark, sf_dir))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and their components over anchor points."""
+    return simhash.near_duplicates(_docs(spark, sf_dir))
+
+
+def op6_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distribution divergence against language references."""
+    return divergence.divergence_rules(_docs(spark, sf_dir))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data: patterns, checksums, context."""
     return pii.pii_report(_docs(spark, sf_dir))
@@ -35,7 +59,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_sharding, op7_pii, op8_exact_dedup, op10_mixing)
+    f.__name__: f for f in (op1_quality, op2_katz, op3_sharding, op5_simhash, op6_divergence, op7_pii, op8_exact_dedup,
+                              op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
