@@ -20,6 +20,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of words, JVM side."""
     return F.regexp_count(text, F.lit(WORD)).cast("long")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_or_empty
+from .common import SPACE, free_name, text_or_empty
 
 
 def normalised(text: str = "text") -> Column:
@@ -63,5 +63,6 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged."""
-    gone = (exact_dedup(docs, text, doc_id).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+    name = free_name(docs, "gone")
+    gone = exact_dedup(docs, text, doc_id).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col(name)), "left_anti")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import md5_uniform, running_total, shared_table, text_or_empty, word_count
+from .common import free_name, md5_uniform, running_total, shared_table, text_or_empty, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -89,8 +89,8 @@ def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """The mix itself: the rows of ``docs``, each as often as ``copies``
     says (0 to ``MAX_EPOCHS``), all columns unchanged, texts whole."""
     plan = mix(docs, text, doc_id, source, seed).filter("copies > 0")
-    # rows that repeat an id are told apart by nothing but their columns: they share the id's largest number
-    copies = plan.groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(copies, F.col(doc_id).eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(
-        *[joined[c] for c in docs.columns])
+    key, times, copy = (free_name(docs, c) for c in ("mix_id", "mix_times", "mix_copy"))
+    # rows that repeat an id cannot be told apart: they share the id's largest number
+    copies = plan.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(times))
+    joined = docs.join(copies, F.col(doc_id).eqNullSafe(F.col(key)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(key, times, copy)

@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kernelspark.session import ship_package
 
@@ -207,7 +208,7 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text") -> DataF
     ship_package(docs.sparkSession)
     new = ["n_tokens", "token_ids", "round_trip"]
     kept = docs.drop(*[c for c in docs.columns if c.lower() in new])
-    at = kept.columns.index(text)
+    names, at = [*kept.columns, *new], kept.columns.index(text)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, m = _tokenizer(model), parse_model(model)
@@ -226,9 +227,10 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text") -> DataF
                 start += len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())),
-                     pa.array(same, pa.bool_())], [*kept.columns, *new])
+                     pa.array(same, pa.bool_())], names)
 
-    schema = kept.schema.add("n_tokens", "bigint").add("token_ids", "array<int>").add("round_trip", "boolean")
+    schema = T.StructType([*kept.schema.fields, T.StructField("n_tokens", T.LongType()),
+                           T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
     return kept.mapInArrow(each, schema)
 
 

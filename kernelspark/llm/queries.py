@@ -7,7 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, exact_dedup, katz, mixing, pii, quality, sharding, simhash
+from . import divergence, exact_dedup, katz, mixing, passages, pii, piece_tokenizer, quality, sharding, simhash
+
+
+#: The model file of operator 4, read by the driver (a public one that the box provides).
+TOKENIZER_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +37,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_docs(spark, sf_dir))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, decoded again and compared."""
+    with open(TOKENIZER_MODEL, "rb") as f:
+        model = f.read()
+    return piece_tokenizer.encode_documents(_docs(spark, sf_dir).select("doc_id", "text"), model).drop("text")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and their components over anchor points."""
     return simhash.near_duplicates(_docs(spark, sf_dir))
@@ -53,14 +64,19 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_docs(spark, sf_dir))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages shared across documents, by collinear chaining."""
+    return passages.shared_passages(_docs(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources mixed to target weights at their exact budgets."""
     return mixing.mix(_docs(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_katz, op3_sharding, op5_simhash, op6_divergence, op7_pii, op8_exact_dedup,
-                              op10_mixing)
+    f.__name__: f for f in (op1_quality, op2_katz, op3_sharding, op4_sentencepiece, op5_simhash, op6_divergence, op7_pii,
+                              op8_exact_dedup, op9_passages, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {}

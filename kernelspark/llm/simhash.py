@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from kernelspark.session import ship_package
 
-from .common import shared_table
+from .common import free_name, shared_table
 from .components import connected_components
 
 SHINGLE = 3
@@ -180,6 +180,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, all
     columns unchanged; null ids stay only where a component has no other."""
+    name = free_name(docs, "gone")
     gone = (near_duplicates(docs, text, doc_id).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+            .select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col(name)), "left_anti")
