@@ -62,7 +62,11 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged."""
-    name = free_name(docs, "gone")
-    gone = exact_dedup(docs, text, doc_id).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col(name)), "left_anti")
+    """The rows of ``docs`` that stay, all columns unchanged. Rows are told
+    apart by id and text, so rows that repeat an id or have none are judged
+    each by its own text."""
+    gone_id, gone_sha, sha = (free_name(docs, c) for c in ("gone_id", "gone_sha", "sha"))
+    gone = (exact_dedup(docs, text, doc_id).filter(~F.col("kept"))
+            .select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha)).distinct())
+    marked = docs.withColumn(sha, F.sha2(normalised(text).cast("binary"), 256))
+    return marked.join(gone, (F.col(sha) == F.col(gone_sha)) & F.col(doc_id).eqNullSafe(F.col(gone_id)), "left_anti").drop(sha)

@@ -179,8 +179,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, all
-    columns unchanged; null ids stay only where a component has no other."""
+    columns unchanged. Rows without an id stay; rows that repeat an id go
+    together."""
     name = free_name(docs, "gone")
-    gone = (near_duplicates(docs, text, doc_id).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = (near_duplicates(docs, text, doc_id).filter("doc_id != component_id")
             .select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col(name)), "left_anti")
+    return docs.join(gone, F.col(doc_id) == F.col(name), "left_anti")

@@ -84,5 +84,5 @@ def test_edge_rows(spark):
     assert [(d, c) for d, c, _ in got] == [(-1, 5), (0, 0), (1, 0), (2, 2), (3, 2), (4, 2), (5, 5), (6, 6), (7, 6), (7, 6)]
     assert got[3][2] == "0" * 16
     kept = simhash.drop_near_copies(df).collect()
-    assert sorted(r.doc_id for r in kept) == [0, 2, 5, 6] and kept[0].__fields__ == ["doc_id", "text", "fp"]
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept) == [-1, 0, 2, 5, 6] and kept[0].__fields__ == ["doc_id", "text", "fp"]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
