@@ -31,10 +31,6 @@ def item(col, j: int) -> Column:
     return _c(col).getItem(j)
 
 
-def items(col, d: int) -> list[Column]:
-    return [item(col, j) for j in range(d)]
-
-
 def q(name: str) -> str:
     """A column name quoted for SQL text."""
     return "`" + name.replace("`", "``") + "`"
@@ -62,18 +58,18 @@ def _sum_sql(terms: Sequence[str]) -> str:
 
 def dot_const_sql(name: str, w: Sequence[float]) -> str:
     """SQL text of x . w for an array column ``name`` (unrolled)."""
-    return _sum_sql([f"({q(name)}[{j}] * {dbl(v)})" for j, v in enumerate(w) if float(v) != 0.0])
+    return _sum_sql([f"(get({q(name)}, {j}) * {dbl(v)})" for j, v in enumerate(w)])
 
 
 def sqdist_const_sql(name: str, center: Sequence[float]) -> str:
     """SQL text of ||x - c||^2 for an array column ``name`` (unrolled)."""
-    return _sum_sql([f"(({q(name)}[{j}] - {dbl(v)}) * ({q(name)}[{j}] - {dbl(v)}))"
+    return _sum_sql([f"((get({q(name)}, {j}) - {dbl(v)}) * (get({q(name)}, {j}) - {dbl(v)}))"
                      for j, v in enumerate(center)])
 
 
 def linear_sql(names: Sequence[str], w: Sequence[float]) -> str:
     """SQL text of sum_j names[j] * w[j] over separate columns."""
-    return _sum_sql([f"({q(n)} * {dbl(v)})" for n, v in zip(names, w) if float(v) != 0.0])
+    return _sum_sql([f"({q(n)} * {dbl(v)})" for n, v in zip(names, w)])
 
 
 def _sum(terms: Sequence[Column]) -> Column:
@@ -89,22 +85,27 @@ def _sum(terms: Sequence[Column]) -> Column:
     return terms[0]
 
 
-def as_double_array(col) -> Column:
-    """float / int arrays to ``array<double>``."""
-    return _c(col).cast("array<double>")
+def of_width(col, d: int, value: Column) -> Column:
+    """``value``, or an error where the vector is null or not of width d:
+    one rule for the unrolled and the interpreted forms."""
+    return F.when(F.coalesce(F.size(_c(col)), F.lit(-1)) == F.lit(d), value).otherwise(
+        F.raise_error(F.lit(f"vector is not of width {d}")).cast("double"))
 
 
 def dot_const(col, w: Sequence[float]) -> Column:
-    """x . w for a column x and a literal vector w (the model)."""
+    """x . w for a column x and a literal vector w (the model); raises on
+    rows of another width. Zero weights count: 0 * NaN is NaN."""
     w = [float(v) for v in w]
     if len(w) <= UNROLL_MAX:
         if isinstance(col, str):      # one JVM call for the whole expression
-            return F.expr(dot_const_sql(col, w))
-        return _sum([item(col, j) * _lit(v) for j, v in enumerate(w) if v != 0.0]
-                    or [F.lit(0.0)])
-    lits = F.array(*[_lit(v) for v in w])
-    return F.aggregate(F.zip_with(_c(col), lits, lambda a, b: a * b), F.lit(0.0),
-                       lambda acc, x: acc + x)
+            value = F.expr(dot_const_sql(col, w))
+        else:
+            value = _sum([F.get(_c(col), j) * _lit(v) for j, v in enumerate(w)])
+    else:
+        lits = F.array(*[_lit(v) for v in w])
+        value = F.aggregate(F.zip_with(_c(col), lits, lambda a, b: a * b), F.lit(0.0),
+                            lambda acc, x: acc + x)
+    return of_width(col, len(w), value)
 
 
 def dot(a, b, d: int | None = None) -> Column:
@@ -116,16 +117,20 @@ def dot(a, b, d: int | None = None) -> Column:
 
 
 def sqdist_const(col, center: Sequence[float], unroll: bool | None = None) -> Column:
-    """||x - c||^2 against a literal center (``unroll`` None: by width)."""
+    """||x - c||^2 against a literal center (``unroll`` None: by width);
+    raises on rows of another width."""
     center = [float(v) for v in center]
     if unroll if unroll is not None else len(center) <= UNROLL_MAX:
         if isinstance(col, str):
-            return F.expr(sqdist_const_sql(col, center))
-        return _sum([(item(col, j) - _lit(v)) * (item(col, j) - _lit(v))
-                     for j, v in enumerate(center)])
-    lits = F.array(*[_lit(v) for v in center])
-    return F.aggregate(F.zip_with(_c(col), lits, lambda x, y: (x - y) * (x - y)),
-                       F.lit(0.0), lambda acc, x: acc + x)
+            value = F.expr(sqdist_const_sql(col, center))
+        else:
+            value = _sum([(F.get(_c(col), j) - _lit(v)) * (F.get(_c(col), j) - _lit(v))
+                          for j, v in enumerate(center)])
+    else:
+        lits = F.array(*[_lit(v) for v in center])
+        value = F.aggregate(F.zip_with(_c(col), lits, lambda x, y: (x - y) * (x - y)),
+                            F.lit(0.0), lambda acc, x: acc + x)
+    return of_width(col, len(center), value)
 
 
 def sqdist(a, b, d: int | None = None) -> Column:
@@ -148,14 +153,6 @@ def scale(col, s) -> Column:
     return F.transform(_c(col), lambda x: x * s)
 
 
-def add(a, b) -> Column:
-    return F.zip_with(_c(a), _c(b), lambda x, y: x + y)
-
-
-def sub(a, b) -> Column:
-    return F.zip_with(_c(a), _c(b), lambda x, y: x - y)
-
-
 def with_bias(col) -> Column:
     """(x, 1): the bias entry appended last."""
     return F.concat(_c(col), F.array(F.lit(1.0)))
@@ -199,11 +196,6 @@ def argmin(col) -> Column:
         _c(col), lambda x, i: F.struct(x.alias("v"), i.alias("i")))).getField("i")
 
 
-def unroll(col, d: int) -> list[Column]:
-    """The d entries as separate columns (for flat, codegen-friendly state)."""
-    return [item(col, j) for j in range(d)]
-
-
 def linear_terms(cols: Sequence[Column], w: Sequence[float]) -> Column:
     """sum_j cols[j] * w[j] over separate columns."""
-    return _sum([c * _lit(v) for c, v in zip(cols, w) if float(v) != 0.0] or [F.lit(0.0)])
+    return _sum([c * _lit(v) for c, v in zip(cols, w)])

@@ -8,50 +8,77 @@ partial row from every one of, say, 100k map tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import ship_package
 
-# Above this many input partitions a global sum is merged in two levels.
-TREE_FAN = 1024
-
-
-def num_partitions(df: DataFrame) -> int:
-    return df.rdd.getNumPartitions()
+# Buckets of the first level of a global merge.
+TREE_FAN = 64
 
 
-def tree_agg(df: DataFrame, named_sums: dict[str, Column], fan: int = TREE_FAN,
-             n_partitions: int | None = None) -> DataFrame:
+def tree_agg(df: DataFrame, named_sums: dict[str, Column], fan: int = TREE_FAN) -> DataFrame:
     """One-row DataFrame of ``sum(expr) AS name`` for each entry.
 
     ``named_sums`` maps output names to per-row expressions (Columns or SQL
-    text; all-text aggregates are built in one JVM call). Small inputs get
-    one aggregate; inputs with more than ``fan`` partitions are first summed
-    per bucket of partitions (``spark_partition_id() % fan``), then once more.
+    text). Rows are summed per bucket of input partitions
+    (``spark_partition_id() % fan``) and the ``fan`` buckets once more, at
+    every size, so the partition count is never asked for: under adaptive
+    execution that would run the stages below.
     """
-    small = (n_partitions if n_partitions is not None else num_partitions(df)) <= fan
-    if small and all(isinstance(e, str) for e in named_sums.values()):
-        # SQL text: the whole aggregate crosses to the JVM in one call
-        return df.selectExpr(*[f"sum({e}) AS {V.q(n)}" for n, e in named_sums.items()])
     cols = {n: (F.expr(e) if isinstance(e, str) else e) for n, e in named_sums.items()}
-    if small:
-        return df.agg(*[F.sum(e).alias(n) for n, e in cols.items()])
     level1 = df.groupBy((F.spark_partition_id() % F.lit(fan)).alias("_ks_bucket")).agg(
         *[F.sum(e).alias(n) for n, e in cols.items()])
     return level1.agg(*[F.sum(F.col(n)).alias(n) for n in named_sums])
 
 
-def collect_sums(df: DataFrame, named_sums: dict[str, Column],
-                 fan: int = TREE_FAN, n_partitions: int | None = None) -> dict[str, float]:
+def collect_sums(df: DataFrame, named_sums: dict[str, Column], fan: int = TREE_FAN) -> dict[str, float]:
     """Driver values of ``tree_agg`` (a bounded number of scalars)."""
-    row = tree_agg(df, named_sums, fan, n_partitions).first()
+    row = tree_agg(df, named_sums, fan).first()
     return {k: (0.0 if row[k] is None else float(row[k])) for k in named_sums}
 
 
+def block_partials(df: DataFrame, length: int, add) -> DataFrame:
+    """One row ``(p int, v array<double>)`` per task: a numpy block of
+    ``length`` sums to which ``add(block, batch)`` adds each Arrow batch."""
+    def fn(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+        block = np.zeros(length)
+        for b in batches:
+            if b.num_rows:
+                add(block, b)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([TaskContext.get().partitionId()], pa.int32()),
+             pa.array([block], pa.list_(pa.float64()))], names=["p", "v"])
+
+    ship_package(df.sparkSession)
+    return df.mapInArrow(fn, "p int, v array<double>")
+
+
+def merge_blocks(partials: DataFrame, fan: int = TREE_FAN) -> DataFrame:
+    """Blocks ``(p, v)`` summed as whole numpy blocks per bucket of tasks:
+    at most ``fan`` rows are left whatever the number of tasks."""
+    def meet(pdf):
+        import pandas as pd
+        total = np.zeros(len(pdf["v"].iloc[0]))
+        for v in pdf.sort_values("p")["v"]:
+            total += v
+        return pd.DataFrame({"p": [int(pdf["p"].min()) % fan], "v": [total]})
+
+    return partials.groupBy((F.col("p") % F.lit(fan)).alias("b")).applyInPandas(meet, "p int, v array<double>")
+
+
+def collect_block_sum(partials: DataFrame, length: int, fan: int = TREE_FAN) -> np.ndarray:
+    """The sum of all blocks on the driver, which receives ``fan`` blocks."""
+    out = np.zeros(length)
+    for r in sorted(merge_blocks(partials, fan).collect(), key=lambda r: r["p"]):
+        out += np.asarray(r["v"], dtype=float)
+    return out
+
+
 def sum_arrays(df: DataFrame, col: str, length: int) -> DataFrame:
     """Element-wise sum of equal-length ``array<double>`` rows.
 
@@ -63,13 +90,6 @@ def sum_arrays(df: DataFrame, col: str, length: int) -> DataFrame:
               .groupBy("pos").agg(F.sum("value").alias("value")))
 
 
-def collect_array_sum(df: DataFrame, col: str, length: int) -> np.ndarray:
-    out = np.zeros(length)
-    for r in sum_arrays(df, col, length).collect():   # `length` rows, bounded
-        out[r["pos"]] = r["value"]
-    return out
-
-
 def matrix_sum(cells: DataFrame) -> DataFrame:
     """Sum of matrices given as ``(i, j, value)`` cells."""
     return cells.groupBy("i", "j").agg(F.sum("value").alias("value"))
@@ -116,11 +136,6 @@ def argmin_cluster(df: DataFrame, dist_col: str = "dists", out: str = "cluster")
     return df.withColumn(out, V.argmin(dist_col))
 
 
-def convergence_error(old: Column, new: Column) -> Column:
-    """Per-row term of sum |new - old|."""
-    return F.abs(new - old)
-
-
 def bias_from_support(df: DataFrame, features: str = "features", label: str = "label",
                       alpha: str = "alpha", threshold: float = 0.001,
                       order_col: str = "row_id") -> DataFrame:
@@ -151,7 +166,3 @@ def rank_offsets(df: DataFrame, order_col: str = "cluster", rank_col: str = "ran
     """
     w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn(out, F.coalesce(F.sum(rank_col).over(w), F.lit(0)).cast("int"))
-
-
-def as_vector(values: Sequence[float]) -> np.ndarray:
-    return np.asarray(values, dtype=float)

@@ -7,63 +7,84 @@ per-cluster table (sizes, ranks, offsets) has K rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from . import aggregates as A
 from . import joins as J
+from . import linalg as L
+from . import sampling as S
 
 
 def kmeans_centers(df: DataFrame, k: int, max_iter: int = 10, seed: int = 42,
-                   features: str = "features") -> np.ndarray:
-    """H1: MLlib k-means (k-means|| init, seeded) -> K x d centers."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    vec = df.select(array_to_vector(features).alias("v"))
-    model = KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="v").fit(vec)
-    return np.asarray([np.asarray(c, dtype=float) for c in model.clusterCenters()], dtype=float)
+                   features: str = "features", id_cols: Sequence[str] = ("row_id",)) -> np.ndarray:
+    """H1: k-means -> K x d centers. Lloyd iterations from the first k rows of
+    the seeded md5 order, so the result does not depend on the partitioning."""
+    key = S.perm_key(seed, id_cols)
+    first = df.select(key.alias("_ks_key"), *id_cols, features).orderBy("_ks_key", *id_cols).limit(k).collect()
+    if len(first) < k:
+        raise ValueError(f"{len(first)} rows for {k} clusters")
+    return lloyd(df, [list(r[features]) for r in first], max_iter, features)
 
 
 def assign_clusters(df: DataFrame, centers, features: str = "features",
                     out: str = "cluster") -> DataFrame:
     """H2 = C2 + E5: nearest center (ties to the lower index) and its
-    squared distance; a narrow projection with the centers as literals."""
-    d = J.center_distances(df, centers, features, "_ks_d")
-    k = len(np.asarray(centers))
-    # least() over (distance, index) structs: smallest distance, ties to the
-    # lower index, and no lambda, so the projection stays in whole-stage codegen
-    best = F.least(*[F.struct(F.col("_ks_d")[i].alias("v"), F.lit(i).alias("i"))
-                     for i in range(k)]) if k > 1 else F.struct(
-        F.col("_ks_d")[0].alias("v"), F.lit(0).alias("i"))
-    return (d.withColumn("_ks_b", best)
-             .withColumn(out, F.col("_ks_b.i").cast("int"))
-             .withColumn("sq_dist", F.col("_ks_b.v")).drop("_ks_d", "_ks_b"))
+    squared distance; a narrow map that reads only the vectors."""
+    c = J.check_centers(centers)
+    ship_package(df.sparkSession)
+
+    @F.arrow_udf("struct<c: int, d: double>")
+    def nearest(x: pa.Array) -> pa.Array:
+        dist = J.block_distances(L.list_matrix(x, c.shape[1]), c)
+        at = dist.argmin(axis=1)
+        return pa.StructArray.from_arrays(
+            [pa.array(at, pa.int32()), pa.array(dist[np.arange(len(at)), at], pa.float64())], ["c", "d"])
+
+    return (df.withColumn("_ks_b", nearest(F.col(features)))
+              .withColumn(out, F.col("_ks_b.c")).withColumn("sq_dist", F.col("_ks_b.d")).drop("_ks_b"))
+
+
+def lloyd_sums(df: DataFrame, centers, features: str = "features") -> tuple[np.ndarray, np.ndarray]:
+    """Rows and vector sums of the nearest-center clusters: one K x (d + 1)
+    block per task, merged as blocks (a hot cluster is one line of each)."""
+    c = J.check_centers(centers)
+    k, d = c.shape
+
+    def add(block, b):
+        X = L.batch_matrix(b, features, d)
+        at = J.block_distances(X, c).argmin(axis=1)
+        cells = block.reshape(k, d + 1)
+        for i in np.unique(at):
+            rows = X[at == i]
+            cells[i, 0] += len(rows)
+            cells[i, 1:] += rows.sum(axis=0)
+
+    total = A.collect_block_sum(A.block_partials(df.select(features), k * (d + 1), add), k * (d + 1)).reshape(k, d + 1)
+    return total[:, 0].astype(np.int64), total[:, 1:]
 
 
 def lloyd_step(df: DataFrame, centers, features: str = "features") -> DataFrame:
     """One Lloyd step from given centers: assign, then the mean of each
-    cluster. ``(cluster int, n bigint, center array<double>)``; a cluster
-    without rows is absent. Per-cluster work is a grouped sum by
-    (cluster, dimension), so a hot cluster is pre-aggregated map side."""
-    a = assign_clusters(df, centers, features)
-    cells = (a.select("cluster", F.posexplode(features).alias("j", "x"))
-              .groupBy("cluster", "j").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n")))
-    return (cells.groupBy("cluster")
-                 .agg(F.max("n").alias("n"),
-                      F.sort_array(F.collect_list(F.struct("j", (F.col("s") / F.col("n")).alias("x"))))
-                      .alias("cx"))
-                 .select("cluster", "n", F.transform("cx", lambda s: s["x"]).alias("center")))
+    cluster. ``(cluster int, n bigint, center array<double>)``, K rows at
+    most; a cluster without rows is absent."""
+    n, sums = lloyd_sums(df, centers, features)
+    rows = [(i, int(n[i]), (sums[i] / n[i]).tolist()) for i in range(len(n)) if n[i]]
+    return df.sparkSession.createDataFrame(rows, "cluster int, n bigint, center array<double>")
 
 
 def lloyd(df: DataFrame, centers, iterations: int, features: str = "features") -> np.ndarray:
-    """k Lloyd steps from given centers (K x d on the driver per step)."""
-    cen = np.asarray(centers, dtype=float)
+    """Lloyd steps from given centers (K x d on the driver per step); a
+    center without rows stays where it is."""
+    cen = np.array(centers, dtype=float)
     for _ in range(iterations):
-        rows = lloyd_step(df, cen, features).collect()        # K rows
-        for r in rows:
-            cen[r["cluster"]] = np.asarray(r["center"], dtype=float)
+        n, sums = lloyd_sums(df, cen, features)
+        cen[n > 0] = sums[n > 0] / n[n > 0, None]
     return cen
 
 

@@ -1,10 +1,10 @@
 """The joins that the reference's index loops perform.
 
 Point-to-center work never joins the rows with the centers: K centers are
-few (bounded by the caller, K x d on the driver), so they enter the plan as
-literals and each row computes its K distances in a narrow projection - no
-shuffle, no nested-loop join. Only genuinely small sides (centers, sampled
-landmarks) are ever paired all-against-all.
+few (K x d on the driver, bounded in bytes) and travel with the function that
+computes a batch's distances as one numpy block - no shuffle, no nested-loop
+join. Only genuinely small sides (centers, sampled landmarks) are ever paired
+all-against-all.
 """
 
 from __future__ import annotations
@@ -12,20 +12,31 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
+from ..session import ship_package
+from . import linalg as L
 
-# Largest center / landmark set that may be inlined into a plan.
-MAX_INLINE = 4096
-# Unrolled arithmetic only while K * d stays under this (generated code
-# beyond ~64 KB per method falls out of whole-stage codegen).
-UNROLL_CELLS = 256
+# Most bytes of a center / landmark set that travels with a task.
+MAX_CENTER_BYTES = 64 << 20
 
 
-def _unroll(points) -> bool:
-    return int(np.size(points)) <= UNROLL_CELLS
+def check_centers(centers) -> np.ndarray:
+    c = np.asarray(centers, dtype=float)
+    if c.nbytes > MAX_CENTER_BYTES:
+        raise ValueError(f"{c.shape[0]} centers of width {c.shape[1]}: over {MAX_CENTER_BYTES} bytes")
+    return c
+
+
+def block_distances(X: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """(n, K) squared distances by explicit differences, a center at a time."""
+    out = np.empty((len(X), len(centers)))
+    for k, c in enumerate(centers):
+        diff = X - c
+        out[:, k] = np.einsum("ij,ij->i", diff, diff)
+    return out
 
 
 def positional_zip(rows: DataFrame, labels: DataFrame, key: str = "row_id",
@@ -41,28 +52,20 @@ def positional_zip(rows: DataFrame, labels: DataFrame, key: str = "row_id",
 
 def center_distances(df: DataFrame, centers: Sequence[Sequence[float]],
                      features: str = "features", out: str = "dists") -> DataFrame:
-    """Squared distance of each row to each of K literal centers (C2), as an
+    """Squared distance of each row to each of K centers (C2), as an
     ``array<double>`` of K entries."""
-    centers = np.asarray(centers, dtype=float)
-    if len(centers) > MAX_INLINE:
-        raise ValueError("too many centers to inline")
-    u = _unroll(centers)
-    return df.withColumn(out, F.array(*[V.sqdist_const(features, c, u) for c in centers]))
+    c = check_centers(centers)
+    ship_package(df.sparkSession)
 
+    @F.arrow_udf("array<double>")
+    def distances(x: pa.Array) -> pa.Array:
+        return L.matrix_to_list_array(block_distances(L.list_matrix(x, c.shape[1]), c))
 
-def rbf_to_points(df: DataFrame, points: Sequence[Sequence[float]], gamma: float,
-                  features: str = "features", out: str = "k") -> DataFrame:
-    """exp(-gamma ||x - p||^2) of each row to each literal point."""
-    pts = np.asarray(points, dtype=float)
-    if len(pts) > MAX_INLINE:
-        raise ValueError("too many points to inline")
-    u = _unroll(pts)
-    return df.withColumn(out, F.array(*[F.exp(V.sqdist_const(features, p, u) * F.lit(-gamma))
-                                        for p in pts]))
+    return df.withColumn(out, distances(F.col(features)))
 
 
 def collect_small(df: DataFrame, key: str, features: str = "features",
-                  limit: int = MAX_INLINE) -> tuple[list, np.ndarray]:
+                  limit: int = 4096) -> tuple[list, np.ndarray]:
     """Keys and vectors of a small row set, checked to be at most ``limit``
     rows before anything is collected."""
     if df.limit(limit + 1).count() > limit:
@@ -77,18 +80,15 @@ def pairwise(left: DataFrame, right: DataFrame, lkey: str, rkey: str,
     (C4) or RBF kernel value (C3, when ``gamma`` is given), as
     ``(i, j, value)``.
 
-    The right side (centers, landmarks, centroids) is size-checked and
-    inlined as literals, so the work is one narrow projection of the left
-    rows plus an explode - linear in the left rows, no join.
+    The right side (centers, landmarks, centroids) is size-checked, so the
+    work is one narrow map of the left rows plus an explode - linear in the
+    left rows, no join.
     """
     keys, pts = collect_small(right, rkey, features)
-    u = _unroll(pts)
-    vals = [V.sqdist_const(features, p, u) for p in pts]
-    if gamma is not None:
-        vals = [F.exp(v * F.lit(-gamma)) for v in vals]
-    pairs = F.arrays_zip(F.array(*[F.lit(k) for k in keys]).alias("j"),
-                         F.array(*vals).alias("value"))
-    return (left.select(F.col(lkey).alias("i"), F.explode(pairs).alias("p"))
+    value = F.col("d") if gamma is None else F.transform("d", lambda v: F.exp(v * F.lit(-gamma)))
+    near = center_distances(left.select(F.col(lkey).alias("i"), F.col(features).alias("x")), pts, "x", "d")
+    pairs = F.arrays_zip(F.array(*[F.lit(k) for k in keys]).alias("j"), value.alias("value"))
+    return (near.select("i", F.explode(pairs).alias("p"))
                 .select("i", F.col("p.j").alias("j"), F.col("p.value").alias("value")))
 
 

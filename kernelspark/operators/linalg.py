@@ -9,7 +9,6 @@ partition in memory). Results do not depend on the partitioning.
 
 from __future__ import annotations
 
-import math
 from typing import NamedTuple
 
 import numpy as np
@@ -22,8 +21,9 @@ from ..functions import vectors as V
 from ..session import ship_package
 from . import aggregates as A
 
-# The driver holds d x d matrices; refuse widths where that stops being small.
-MAX_WIDTH = 4096
+# Most bytes that one merge of d x d blocks may hold (a group of ``TSQR_FAN``
+# blocks, in a task or on the driver); wider inputs are refused.
+MAX_BLOCK_BYTES = 1 << 30
 # Widths up to this use the SQL form of the Gram aggregate (d(d+1)/2 sums).
 GRAM_SQL_MAX = 16
 # Fan-in of one level of the TSQR reduction tree.
@@ -40,8 +40,8 @@ def width(df: DataFrame, col: str = "features") -> int:
     if row is None:
         raise ValueError("empty input")
     d = int(row["d"])
-    if d > MAX_WIDTH:
-        raise ValueError(f"width {d} above {MAX_WIDTH}: d x d state would not fit the driver")
+    if TSQR_FAN * d * d * 8 > MAX_BLOCK_BYTES:
+        raise ValueError(f"width {d}: {TSQR_FAN} blocks of d x d doubles exceed {MAX_BLOCK_BYTES} bytes")
     return d
 
 
@@ -49,17 +49,21 @@ def width(df: DataFrame, col: str = "features") -> int:
 
 def batch_matrix(batch: pa.RecordBatch, col: str, d: int) -> np.ndarray:
     """An Arrow list<double> column as an (n, d) float64 array."""
-    arr = batch.column(batch.schema.get_field_index(col))
+    return list_matrix(batch.column(batch.schema.get_field_index(col)), d, repr(col))
+
+
+def list_matrix(arr: pa.Array, d: int, what: str = "the vectors") -> np.ndarray:
+    """An Arrow list<double> array as an (n, d) float64 array."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
     n = len(arr)
     if n == 0:
         return np.zeros((0, d))
     if arr.null_count:
-        raise ValueError(f"null vectors in {col!r}")
+        raise ValueError(f"null vectors in {what}")
     offsets = np.asarray(arr.offsets)
     if not np.all(np.diff(offsets) == d):
-        raise ValueError(f"rows of {col!r} are not all of width {d}")
+        raise ValueError(f"rows of {what} are not all of width {d}")
     values = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return values.reshape(n, d)
 
@@ -131,26 +135,17 @@ def gram_sql(df: DataFrame, col: str, d: int) -> DataFrame:
 
 
 def gram_arrow(df: DataFrame, col: str, d: int) -> DataFrame:
-    """G = A^T A by numpy partials per partition, summed by cell."""
-    ship_package(_spark(df))
-    schema = T.StructType([T.StructField("g", T.ArrayType(T.DoubleType()))])
+    """G = A^T A: one upper triangle per task, merged as whole blocks; only
+    the last ``TREE_FAN`` blocks are taken apart into cells."""
+    iu, ju = np.triu_indices(d)
 
-    def fn(batches):
-        G = np.zeros((d, d))
-        seen = False
-        for b in batches:
-            X = batch_matrix(b, col, d)
-            G += X.T @ X
-            seen = True
-        if seen:
-            yield pa.RecordBatch.from_arrays([matrix_to_list_array(G.reshape(1, -1))],
-                                             names=["g"])
+    def add(block, batch):
+        X = batch_matrix(batch, col, d)
+        block += (X.T @ X)[iu, ju]
 
-    partial = df.select(col).mapInArrow(fn, schema)
-    cells = A.sum_arrays(partial, "g", d * d)
-    return (cells.select((F.col("pos") / F.lit(d)).cast("int").alias("i"),
-                         (F.col("pos") % F.lit(d)).cast("int").alias("j"), "value")
-                 .filter(F.col("i") <= F.col("j")))
+    merged = A.merge_blocks(A.block_partials(df.select(col), len(iu), add))
+    place = _spark(df).createDataFrame(list(zip(range(len(iu)), iu.tolist(), ju.tolist())), "pos int, i int, j int")
+    return A.sum_arrays(merged, "v", len(iu)).join(place, "pos").select("i", "j", "value")
 
 
 def gram(df: DataFrame, col: str = "features", d: int | None = None,
@@ -196,10 +191,11 @@ def tsqr_r(df: DataFrame, col: str = "features", d: int | None = None,
     """R of a communication-avoiding tall-skinny QR.
 
     Per partition a running R <- qr([R; batch]) over the Arrow batches (never
-    the whole partition in memory), then a reduction tree: groups of ``fan``
-    R factors are stacked and factored again by ``applyInPandas`` until at
-    most ``fan`` remain; those (fan*d x d) are factored on the driver.
-    Canonical sign: positive diagonal.
+    the whole partition in memory), then a tree: the R factors meet by
+    partition number modulo fan^2, then modulo ``fan``, each time stacked and
+    factored again by ``applyInPandas``; the last ``fan`` (fan*d x d) are
+    factored on the driver. The tree is the same at every size. Canonical
+    sign: positive diagonal.
     """
     d = d or width(df, col)
     ship_package(_spark(df))
@@ -219,20 +215,19 @@ def tsqr_r(df: DataFrame, col: str = "features", d: int | None = None,
                 names=["block", "r"])
 
     level = df.select(col).mapInArrow(local, _r_schema())
-    n_blocks = A.num_partitions(df)
 
-    def combine(pdf):
-        stacked = np.vstack([np.asarray(r, dtype=float).reshape(-1, d) for r in pdf["r"]])
-        R = np.linalg.qr(stacked, mode="r")
+    def combine(key, pdf):
         import pandas as pd
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0]) // fan],
-                             "r": [np.ascontiguousarray(R).ravel()]})
-
-    while n_blocks > fan:
-        level = (level.groupBy((F.col("block") / F.lit(fan)).cast("long").alias("g"))
-                 .applyInPandas(lambda key, pdf: combine(pdf), _r_schema()))
-        n_blocks = math.ceil(n_blocks / fan)
-    parts = [np.asarray(r["r"], dtype=float).reshape(-1, d) for r in level.collect()]
+        R = None
+        for r in pdf.sort_values("block")["r"]:
+            block = np.asarray(r, dtype=float).reshape(-1, d)
+            R = np.linalg.qr(block if R is None else np.vstack([R, block]), mode="r")
+        return pd.DataFrame({"block": [int(key[0])], "r": [np.ascontiguousarray(R).ravel()]})
+
+    for groups in (fan * fan, fan):
+        level = (level.groupBy((F.col("block") % F.lit(groups)).alias("g"))
+                 .applyInPandas(combine, _r_schema()))
+    parts = [np.asarray(r["r"], dtype=float).reshape(-1, d) for r in sorted(level.collect(), key=lambda r: r["block"])]
     if not parts:
         raise ValueError("empty input")
     R = np.linalg.qr(np.vstack(parts), mode="r")
@@ -241,15 +236,16 @@ def tsqr_r(df: DataFrame, col: str = "features", d: int | None = None,
     return canonical_r(R)
 
 
-def cholesky_r(G: np.ndarray) -> np.ndarray:
-    """R = chol(G)^T, the R of any A with A^T A = G (full rank)."""
-    return np.linalg.cholesky(G).T
-
-
 # ---------------------------------------------------------------- D4-D6
 
-def _inv_upper(R: np.ndarray) -> np.ndarray:
-    return np.linalg.inv(R)
+def _inv_upper(R: np.ndarray, rcond: float = 1e-10) -> np.ndarray:
+    """R^-1; raises where R is singular relative to its largest diagonal
+    entry (A^T A then has no inverse and Q = A R^-1 is not defined)."""
+    diag = np.abs(np.diag(R))
+    if len(diag) and not diag.min() > rcond * diag.max():
+        raise ValueError(f"R is singular: columns {np.flatnonzero(diag <= rcond * diag.max()).tolist()} "
+                         "depend on the ones before them")
+    return np.linalg.solve(R, np.eye(len(R)))
 
 
 def thin_q(df: DataFrame, R: np.ndarray, col: str = "features", out: str = "q",
@@ -302,16 +298,13 @@ class SVD(NamedTuple):
 def truncated_svd(df: DataFrame, k: int | None = None, col: str = "features",
                   rcond: float = 1e-9, compute_u: bool = True,
                   keep: tuple[str, ...] = ("row_id",)) -> SVD:
-    """A = U S V^T from the Gram matrix (D7): eigh(A^T A) on the driver,
+    """A = U S V^T from the d x d factor R of ``tsqr_r`` (D7): the SVD of R
+    on the driver (R keeps the condition of A, the Gram matrix squares it),
     values under rcond * s_max dropped, U rows = a V S^-1 (narrow map)."""
     d = width(df, col)
-    G = gram_matrix(df, col, d)
-    lam, vecs = np.linalg.eigh(G)
-    order = np.argsort(lam)[::-1]
-    lam, vecs = np.clip(lam[order], 0.0, None), vecs[:, order]
-    s = np.sqrt(lam)
+    _, s, vt = np.linalg.svd(tsqr_r(df, col, d))
     keep_mask = s > rcond * (s[0] if len(s) else 0.0)
-    s, vecs = s[keep_mask], vecs[:, keep_mask]
+    s, vecs = s[keep_mask], vt.T[:, keep_mask]
     if k is not None:
         s, vecs = s[:k], vecs[:, :k]
     vecs = vecs * np.where(vecs[np.argmax(np.abs(vecs), axis=0), range(vecs.shape[1])] < 0,

@@ -2,8 +2,8 @@
 
 Only landmark-sized objects leave Spark: per cluster at most 2 * rank
 landmarks (H5) and 4 * rank link samples (H6), all chosen by the seeded md5
-order with a partial top-m per map task. Their small SVDs and solves run on
-the driver; the per-row map K(x, L_c) T_c P_c is one ``mapInArrow`` pass
+order with a partial top-m per map task. Each cluster's small SVD and each
+linked pair's solve is a task of its own; the per-row map K(x, L_c) T_c P_c is one ``mapInArrow`` pass
 over all rows with the (landmark-sized) factors broadcast.
 """
 
@@ -51,29 +51,42 @@ def sample_per_cluster(assigned: DataFrame, ranks: DataFrame, factor: int, seed:
         .select("cluster", "row_id", "sample_pos", features)
 
 
-def _collect_groups(df: DataFrame, features: str = "features") -> dict[int, tuple[list, np.ndarray]]:
-    groups: dict[int, list] = {}
-    for r in df.orderBy("cluster", "sample_pos").collect():   # bounded: sum of samples
-        groups.setdefault(int(r["cluster"]), []).append((r["row_id"], list(r[features])))
-    return {c: ([i for i, _ in v], np.asarray([x for _, x in v], dtype=float))
-            for c, v in groups.items()}
+def _check_sample(ranks: dict[int, tuple[int, int]], factor: int, d: int) -> None:
+    """The samples of all clusters are sum(factor * rank) rows; refuse more
+    than ``MAX_BLOCK_BYTES`` of them before anything is collected."""
+    size = sum(factor * r for r, _ in ranks.values()) * d * 8
+    if size > L.MAX_BLOCK_BYTES:
+        raise ValueError(f"{size} bytes of sampled rows exceed {L.MAX_BLOCK_BYTES}")
+
+
+def _rank_table(ranks: DataFrame, limit: int = 4096) -> dict[int, tuple[int, int]]:
+    rows = ranks.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} clusters")
+    return {int(r["cluster"]): (int(r["rank"]), int(r["col_offset"])) for r in rows}
 
 
 def nystrom_maps(assigned: DataFrame, ranks: DataFrame, gamma: float, seed: int,
-                 rcond: float = 1e-10, features: str = "features") -> dict[int, ClusterMap]:
-    """H5 factors: per cluster m = min(2 rank, n) landmarks, W = K(L, L),
-    W = U S U^T, T = U_k S_k^-1/2 (k = rank)."""
-    rk = {int(r["cluster"]): (int(r["rank"]), int(r["col_offset"])) for r in ranks.collect()}
-    max_rank = max(r for r, _ in rk.values())
-    lm = _collect_groups(sample_per_cluster(assigned, ranks, 2, seed, max_rank, features), features)
-    maps = {}
-    for c, (rank, off) in rk.items():
-        _, Lc = lm[c]
-        W = rbf_matrix(Lc, Lc, gamma)
-        U, s, _ = np.linalg.svd(W)
+                 rcond: float = 1e-10, features: str = "features", factor: int = 2) -> dict[int, ClusterMap]:
+    """H5 factors: per cluster m = min(factor * rank, n) landmarks, W = K(L, L),
+    W = U S U^T, T = U_k S_k^-1/2 (k = rank); one task per cluster."""
+    rk = _rank_table(ranks)
+    _check_sample(rk, factor, L.width(assigned, features))
+    ship_package(assigned.sparkSession)
+
+    def factors(key, pdf):
+        import pandas as pd
+        Lc = np.stack(pdf.sort_values("sample_pos")[features].to_numpy())
+        U, s, _ = np.linalg.svd(rbf_matrix(Lc, Lc, gamma))
+        rank = rk[int(key[0])][0]
         Tc = U[:, :rank] * inv_sqrt_values(s, rcond)[:rank]
-        maps[c] = ClusterMap(c, Lc, Tc, rank, off)
-    return maps
+        return pd.DataFrame({"cluster": [int(key[0])], "m": [len(Lc)], "l": [Lc.ravel()], "t": [Tc.ravel()]})
+
+    samples = sample_per_cluster(assigned, ranks, factor, seed, max(r for r, _ in rk.values()), features)
+    rows = samples.groupBy("cluster").applyInPandas(
+        factors, "cluster int, m int, l array<double>, t array<double>").collect()
+    return {r["cluster"]: ClusterMap(r["cluster"], np.array(r["l"]).reshape(r["m"], -1), np.array(r["t"]).reshape(r["m"], -1),
+                                     *rk[r["cluster"]]) for r in rows}
 
 
 def map_rows(assigned: DataFrame, maps: dict[int, ClusterMap], gamma: float,
@@ -97,31 +110,30 @@ def map_rows(assigned: DataFrame, maps: dict[int, ClusterMap], gamma: float,
         for b in batches:
             X = L.batch_matrix(b, features, d)
             cl = b.column(b.schema.get_field_index("cluster")).to_numpy(zero_copy_only=False)
-            n = X.shape[0]
-            outs = [None] * n
-            for c in np.unique(cl):
-                idx = np.nonzero(cl == c)[0]
+            # one block per cluster, the rows in cluster order, then put back by one take
+            order = np.argsort(cl, kind="stable")
+            present, start = np.unique(cl[order], return_index=True)
+            values, widths = [np.zeros(0)], []
+            for c, lo, hi in zip(present, start, np.append(start[1:], len(cl))):
                 Lc, Mc = fac[int(c)]
-                Y = rbf_matrix(X[idx], Lc, gamma) @ Mc
-                for r, i in enumerate(idx):
-                    outs[i] = Y[r]
-            width = max((len(o) for o in outs), default=0)
-            offsets = np.zeros(n + 1, dtype=np.int32)
-            offsets[1:] = np.cumsum([len(o) for o in outs]) if n else []
-            values = np.concatenate(outs) if n and width else np.zeros(0)
+                Y = rbf_matrix(X[order[lo:hi]], Lc, gamma) @ Mc
+                values.append(Y.ravel())
+                widths.append(np.full(hi - lo, Y.shape[1]))
+            offsets = np.concatenate([[0], *widths]).cumsum().astype(np.int32)
+            sorted_rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
+            back = np.empty(len(cl), np.int64)
+            back[order] = np.arange(len(cl))
             cols = [b.column(b.schema.get_field_index(k)).cast(arrow_schema.field(i).type)
                     for i, k in enumerate(keep)]
-            yield pa.RecordBatch.from_arrays(
-                cols + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.float64()))],
-                schema=arrow_schema)
+            yield pa.RecordBatch.from_arrays(cols + [sorted_rows.take(pa.array(back))], schema=arrow_schema)
 
     return assigned.select(*dict.fromkeys(list(keep) + [features, "cluster"])).mapInArrow(fn, schema)
 
 
 def nystrom_features(assigned: DataFrame, ranks: DataFrame, gamma: float, seed: int,
-                     rcond: float = 1e-10, features: str = "features") -> DataFrame:
+                     rcond: float = 1e-10, features: str = "features", factor: int = 2) -> DataFrame:
     """H5 over all rows: ``(row_id, cluster, u array<double>)``, rank_c values."""
-    maps = nystrom_maps(assigned, ranks, gamma, seed, rcond, features)
+    maps = nystrom_maps(assigned, ranks, gamma, seed, rcond, features, factor)
     return map_rows(assigned, maps, gamma, features=features)
 
 
@@ -133,17 +145,36 @@ def link_matrix(assigned: DataFrame, ranks: DataFrame, maps: dict[int, ClusterMa
     rows per side, Z = pinv(U_i) K(A_i, A_j) pinv(U_j)^T at the rank
     offsets, and Z^T mirrored (pinv instead of the reference's inverse of
     the normal equations, which fails when they are singular)."""
-    rk = {c: m.rank for c, m in maps.items()}
-    total = sum(rk.values())
-    Smat = np.eye(total)
+    rk = {c: (m.rank, m.offset) for c, m in maps.items()}
+    Smat = np.eye(sum(r for r, _ in rk.values()))
     if not pairs:
         return Smat
-    samp = _collect_groups(sample_per_cluster(assigned, ranks, 4, seed + 1, max(rk.values()),
-                                              features), features)
-    U = {c: rbf_matrix(samp[c][1], maps[c].landmarks, gamma) @ maps[c].T for c in samp}
-    for i, j in pairs:
-        Z = np.linalg.pinv(U[i]) @ rbf_matrix(samp[i][1], samp[j][1], gamma) @ np.linalg.pinv(U[j]).T
-        oi, oj = maps[i].offset, maps[j].offset
+    _check_sample(rk, 4, next(iter(maps.values())).landmarks.shape[1])
+    spark = assigned.sparkSession
+
+    def side(key, pdf):
+        import pandas as pd
+        c = int(key[0])
+        rows = np.stack(pdf.sort_values("sample_pos")[features].to_numpy())
+        inverse = np.linalg.pinv(rbf_matrix(rows, maps[c].landmarks, gamma) @ maps[c].T)
+        return pd.DataFrame({"c": [c], "m": [len(rows)], "a": [rows.ravel()], "p": [inverse.ravel()]})
+
+    def blocks(frames):
+        import pandas as pd
+        for f in frames:
+            z = [np.asarray(r.pi).reshape(-1, r.mi) @ rbf_matrix(np.asarray(r.ai).reshape(r.mi, -1), np.asarray(r.aj).reshape(r.mj, -1), gamma)
+                 @ np.asarray(r.pj).reshape(-1, r.mj).T for r in f.itertuples()]
+            yield pd.DataFrame({"i": f["i"], "j": f["j"], "z": [x.ravel() for x in z]})
+
+    samples = sample_per_cluster(assigned, ranks, 4, seed + 1, max(r for r, _ in rk.values()), features)
+    sides = samples.groupBy("cluster").applyInPandas(side, "c int, m int, a array<double>, p array<double>")
+
+    def named(x):
+        return sides.select(F.col("c").alias(x), *[F.col(k).alias(k + x) for k in "map"])
+    links = spark.createDataFrame(pairs, "i int, j int")
+    for r in links.join(named("i"), "i").join(named("j"), "j").mapInPandas(blocks, "i int, j int, z array<double>").collect():
+        Z = np.array(r["z"]).reshape(maps[r["i"]].rank, -1)
+        oi, oj = maps[r["i"]].offset, maps[r["j"]].offset
         Smat[oi:oi + Z.shape[0], oj:oj + Z.shape[1]] = Z
         Smat[oj:oj + Z.shape[1], oi:oi + Z.shape[0]] = Z.T
     return Smat

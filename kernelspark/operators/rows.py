@@ -23,15 +23,16 @@ def scale_rows(df: DataFrame, weights: DataFrame, features: str = "features",
                weight: str = "weight", key: str = "row_id") -> DataFrame:
     """Each row times its own scalar from ``weights``.
 
-    The reference's shape checks become: the two inputs must have the same
-    row count and every row must find exactly one weight (inner join on the
-    key, then a count check).
+    Every row must find exactly one non-null weight: one left join, and the
+    plan raises on a missing, null or repeated weight, so no row is dropped
+    or repeated. Weights without a row are ignored.
     """
-    n_rows, n_w = df.count(), weights.count()
-    if n_rows != n_w:
-        raise ValueError(f"row counts differ: {n_rows} rows, {n_w} weights")
-    joined = df.join(weights.select(key, weight), key, "inner")
-    return joined.withColumn(features, V.scale(features, F.col(weight))).drop(weight)
+    one = weights.groupBy(key).agg(F.first(weight).alias("_ks_w"), F.count(F.lit(1)).alias("_ks_n"))
+    joined = df.join(one, key, "left")
+    checked = F.when((F.col("_ks_n") == 1) & F.col("_ks_w").isNotNull(), F.col("_ks_w")).otherwise(
+        F.raise_error(F.concat_ws(" ", F.coalesce(F.col("_ks_n"), F.lit(0)).cast("string"),
+                                  F.lit("weights for row"), F.col(key).cast("string"))).cast("double"))
+    return joined.withColumn(features, V.scale(features, checked)).drop("_ks_w", "_ks_n")
 
 
 def elementwise(df: DataFrame, features: str = "features", op: str = "exp",

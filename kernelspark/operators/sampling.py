@@ -7,6 +7,8 @@ are never computed by a single-partition window:
 * ``global_rank`` range-partitions on the order, counts rows per partition
   (one small aggregate), and adds each partition's offset - the DataFrame
   form of ``zipWithIndex``.
+* ``random_permutation`` needs no split keys: the md5 key is uniform, its
+  leading digits number the range.
 * ``train_test_split`` finds the exact k-th key by radix selection on the
   hex digits of the md5 key: each level is one grouped count with at most
   4096 groups, and only the last, small bucket is ranked.
@@ -54,12 +56,15 @@ def _sql_literal(v) -> str:
 
 
 def _tuple_lt(cols: Sequence[str], bound: Sequence) -> str:
-    """SQL text of (cols) < (bound), lexicographic."""
-    out = None
+    """SQL text of (cols) < (bound), lexicographic, nulls first."""
+    out = "false"
     for c, v in reversed(list(zip(cols, bound))):
         q = f"`{c}`"
-        lit = _sql_literal(v)
-        out = f"({q} < {lit})" if out is None else f"({q} < {lit} OR ({q} = {lit} AND {out}))"
+        if v is None:
+            out = f"({q} IS NULL AND {out})"
+        else:
+            lit = _sql_literal(v)
+            out = f"({q} IS NULL OR {q} < {lit} OR ({q} = {lit} AND {out}))"
     return out
 
 
@@ -87,17 +92,21 @@ def range_bounds(df: DataFrame, order_cols: Sequence[str], parts: int, n: int |
     sample = (df.select(*order_cols).filter(F.pmod(keys, F.lit(step)) == 0)
                 .orderBy(*order_cols).collect())          # ~per_part * parts rows
     rows = [tuple(r) for r in sample]
+
+    def nulls_first(b):
+        return [(v is not None, v) for v in b]
     bounds = []
     for k in range(1, parts):
         b = rows[min(len(rows) - 1, k * len(rows) // parts)] if rows else None
-        if b is not None and (not bounds or b > bounds[-1]):
+        if b is not None and (not bounds or nulls_first(b) > nulls_first(bounds[-1])):
             bounds.append(b)
     return bounds
 
 
 def global_rank(df: DataFrame, order_cols: Sequence[str], out: str = "row_id",
                 num_partitions: int | None = None) -> DataFrame:
-    """0-based position of each row in ``order_cols`` order (unique, non-null).
+    """0-based position of each row in ``order_cols`` order (unique; nulls
+    come first).
 
     Split keys from a hash-chosen sample put every row into a key range
     (a fixed function of the key, so every evaluation agrees). A hot leading
@@ -122,23 +131,41 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], out: str = "row_id",
                  .drop("_ks_b", "_ks_rn", "_ks_off"))
 
 
+def uniform_rank(df: DataFrame, key: str, id_cols: Sequence[str], by: str | None = None,
+                 out: str = "perm_pos") -> DataFrame:
+    """0-based position in the order of a hash ``key`` (hex), over all rows or
+    within each ``by`` group.
+
+    A hash key is uniform, so its leading digits are the range number: no
+    sample, no split keys. One pass counts the ranges, one ranks inside
+    them; a hot group is spread over all ranges.
+    """
+    ranges = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * F.lit(ranges))
+    placed = df.withColumn("_ks_b", at.cast("int"))
+    group = [F.col(by).alias("_ks_by")] if by else [F.lit(0).alias("_ks_by")]
+    counts = placed.select(*group, "_ks_b").groupBy("_ks_by", "_ks_b").agg(F.count(F.lit(1)).alias("_ks_n"))
+    before = Window.partitionBy("_ks_by").orderBy("_ks_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("_ks_by"), F.col("_ks_b").alias("_ks_o"),
+                            F.coalesce(F.sum("_ks_n").over(before), F.lit(0)).alias("_ks_off"))
+    inside = Window.partitionBy(*([by] if by else []), "_ks_b").orderBy(key, *id_cols)
+    local = placed.withColumn("_ks_rn", F.row_number().over(inside))
+    same = F.col("_ks_b") == F.col("_ks_o")
+    if by:
+        same = same & F.col(by).eqNullSafe(F.col("_ks_by"))
+    else:
+        offsets = F.broadcast(offsets)          # one row per range
+    return (local.join(offsets, same)
+                 .withColumn(out, (F.col("_ks_off") + F.col("_ks_rn") - F.lit(1)).cast("long"))
+                 .drop("_ks_b", "_ks_o", "_ks_by", "_ks_rn", "_ks_off"))
+
+
 def random_permutation(df: DataFrame, seed: int, id_cols: Sequence[str],
                        by: str | None = None, out: str = "perm_pos") -> DataFrame:
     """Seeded permutation (F3): ``out`` = 0-based position in md5 order,
-    over all rows or within each ``by`` group.
-
-    Within groups the global rank of (group, key, ids) minus the group's
-    first rank is used, so a hot group is spread over range partitions
-    instead of landing in one window task.
-    """
+    over all rows or within each ``by`` group."""
     keyed = df.withColumn("_ks_key", perm_key(seed, id_cols))
-    if by is None:
-        return global_rank(keyed, ["_ks_key", *id_cols], out).drop("_ks_key")
-    ranked = global_rank(keyed, [by, "_ks_key", *id_cols], "_ks_g")
-    first = ranked.groupBy(by).agg(F.min("_ks_g").alias("_ks_first"))
-    return (ranked.join(first, by)
-                  .withColumn(out, F.col("_ks_g") - F.col("_ks_first"))
-                  .drop("_ks_key", "_ks_g", "_ks_first"))
+    return uniform_rank(keyed, "_ks_key", id_cols, by, out).drop("_ks_key")
 
 
 def sample_n(df: DataFrame, seed: int, id_cols: Sequence[str], by: str,
@@ -164,11 +191,12 @@ def _id_tuple_leq(id_cols: Sequence[str], values: Sequence) -> Column:
     return cond
 
 
-def kth_key(df: DataFrame, seed: int, id_cols: Sequence[str], k: int):
+def kth_key(df: DataFrame, seed: int, id_cols: Sequence[str], k: int | None = None,
+            fraction: float | None = None):
     """The k-th smallest (key, ids) in md5 order (1-based), by radix
-    selection over the key's hex digits. Returns None for k <= 0."""
-    if k <= 0:
-        return None
+    selection over the key's hex digits; with ``fraction``, k is
+    floor(fraction * rows), the rows counted by the first level. Returns None
+    for k <= 0 and for k beyond the rows."""
     keyed = df.select(perm_key(seed, id_cols).alias("_ks_key"), *id_cols)
     prefix, need = "", k
     while True:
@@ -177,14 +205,16 @@ def kth_key(df: DataFrame, seed: int, id_cols: Sequence[str], k: int):
         counts = sorted((r["g"], r["n"]) for r in scope.groupBy(
             F.substring("_ks_key", pos, RADIX_DIGITS).alias("g")).agg(
             F.count(F.lit(1)).alias("n")).collect())
+        if need is None:
+            need = int(sum(n for _, n in counts) * fraction)
+        if need <= 0 or need > sum(n for _, n in counts):
+            return None
         for g, n in counts:
             if need <= n:
                 prefix += g
                 bucket_n = n
                 break
             need -= n
-        else:
-            raise ValueError(f"k={k} exceeds the row count")
         if bucket_n <= RADIX_LEAF or len(prefix) >= 32:
             break
     leaf = keyed.filter(F.col("_ks_key").startswith(prefix))
@@ -194,20 +224,23 @@ def kth_key(df: DataFrame, seed: int, id_cols: Sequence[str], k: int):
     return row["_ks_key"], [row[c] for c in id_cols]
 
 
-def train_test_split(df: DataFrame, fraction: float, seed: int, id_cols: Sequence[str],
-                     n: int | None = None) -> tuple[DataFrame, DataFrame]:
+def in_first(df: DataFrame, seed: int, id_cols: Sequence[str], k: int | None = None,
+             fraction: float | None = None) -> Column:
+    """Condition: the row is among the first k (or floor(fraction * rows)) of
+    the seeded permutation. One histogram pass over the ids and a small leaf."""
+    last = kth_key(df.select(*id_cols), seed, id_cols, k, fraction)
+    if last is None:
+        return F.lit(bool((fraction is not None and fraction >= 1) or (k is not None and k > 0)))
+    key = perm_key(seed, id_cols)
+    return (key < F.lit(last[0])) | ((key == F.lit(last[0])) & _id_tuple_leq(id_cols, last[1]))
+
+
+def train_test_split(df: DataFrame, fraction: float, seed: int,
+                     id_cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Exact split (F5, F7): the first floor(N * fraction) rows of the seeded
     permutation are train, the rest test (the complement)."""
-    n = df.count() if n is None else n
-    k = int(n * fraction)
-    key = perm_key(seed, id_cols)
-    if k <= 0:
-        return df.limit(0), df
-    if k >= n:
-        return df, df.limit(0)
-    tkey, tids = kth_key(df, seed, id_cols, k)
-    in_train = (key < F.lit(tkey)) | ((key == F.lit(tkey)) & _id_tuple_leq(id_cols, tids))
-    return df.filter(in_train), df.filter(~in_train)
+    train = in_first(df, seed, id_cols, fraction=fraction)
+    return df.filter(train), df.filter(~train)
 
 
 def kth_smallest(df: DataFrame, col: str, k: int) -> DataFrame:

@@ -15,12 +15,10 @@ alpha_i = 2C ((1 + beta_i) - a_i . v). One Spark job per iteration updates
 beta, emits the error sum |beta_new - beta| and the next u in the same pass.
 The model is w = A^T alpha = v (last entry: bias weight).
 
-State: the signed design rows are flattened to columns ``a_0..a_{d-1}``
-(whole-stage codegen, columnar cache) next to ``beta``/``alpha``. Each
-iteration is a narrow projection of the previous cached state; lineage is
-cut by a reliable checkpoint into ``spark.checkpoint.dir`` every
-``checkpoint_every`` iterations, so a lost executor replays at most that many
-steps from shared storage.
+State: the signed design rows are flattened to columns ``a_0..a_{d-1}`` and
+cached; beta is replayed from the last reliable checkpoint in
+``spark.checkpoint.dir`` (one every ``checkpoint_every`` iterations), so a
+lost executor replays at most that many steps from shared storage.
 
 ``solver='newton'`` (an addition) minimises the primal twin
 1/2 ||w||^2 + C sum max(0, 1 - a_i . w)^2 by finite Newton steps with
@@ -67,10 +65,6 @@ def step_size(C: float, learn_rate: float) -> float:
     return step
 
 
-# Fewest rows a task gets in the iteration phase (see fit_svm).
-ROWS_PER_TASK = 200_000
-
-
 def design_columns(d: int) -> list[str]:
     return [f"a_{j}" for j in range(d)]
 
@@ -82,35 +76,20 @@ def signed_design(rows: DataFrame, features: str = "features", label: str = "lab
     y = F.col(label).cast("double")
     # get(): a short row yields null here and is reported by the width check
     cols = [(y * F.get(F.col(features), j)).alias(f"a_{j}") for j in range(d)] + [y.alias(f"a_{d}")]
-    width_ok = F.size(features) == F.lit(d)
-    checked = rows.select(F.col(row_id).alias("row_id"), *cols,
-                          F.when(width_ok, F.lit(0)).otherwise(F.lit(1)).alias("_bad"))
+    width_ok = F.coalesce(F.size(features) == F.lit(d), F.lit(False))
+    label_ok = F.coalesce(F.abs(y) == F.lit(1.0), F.lit(False))
+    entries_ok = ~F.coalesce(F.exists(features, lambda x: x.isNull() | F.isnan(x)), F.lit(False))
+    flag = lambda ok: F.when(ok, F.lit(0)).otherwise(F.lit(1))
+    checked = rows.select(F.col(row_id).alias("row_id"), *cols, flag(width_ok).alias("_bad"),
+                          flag(label_ok).alias("_bad_label"), flag(entries_ok).alias("_bad_entry"))
     return checked, d + 1
 
 
-def _state_sums(state: DataFrame, D: int, with_err: bool,
-                n_partitions: int | None = None) -> dict[str, float]:
+def _state_sums(state: DataFrame, D: int, with_err: bool) -> dict[str, float]:
     sums = {f"u{j}": f"a_{j} * (1.0D + beta)" for j in range(D)}
     if with_err:
         sums["err"] = "dbeta"
-    return A.collect_sums(state, sums, n_partitions=n_partitions)
-
-
-class _PlainPlans:
-    """Adaptive execution off while iterating: each cached state embeds the
-    plan of the previous one, and an adaptive plan keeps both its initial and
-    final form, which doubles the tree per level. The per-iteration plan is a
-    narrow projection plus a global sum, so nothing is lost."""
-
-    def __init__(self, spark):
-        self.spark = spark
-
-    def __enter__(self):
-        self.old = self.spark.conf.get("spark.sql.adaptive.enabled")
-        self.spark.conf.set("spark.sql.adaptive.enabled", "false")
-
-    def __exit__(self, *exc):
-        self.spark.conf.set("spark.sql.adaptive.enabled", self.old)
+    return A.collect_sums(state, sums)
 
 
 def _persist(df: DataFrame) -> DataFrame:
@@ -120,22 +99,16 @@ def _persist(df: DataFrame) -> DataFrame:
 def fit_svm(rows: DataFrame, C: float = 1.0, learn_rate: float = 0.2, max_iter: int = 500,
             tol: float = 1e-3, tol_mode: str = "l1", solver: str = "dual_ascent",
             features: str = "features", label: str = "label",
-            checkpoint_every: int = 25, num_partitions: int | None = None,
-            state_mode: str = "replay") -> SVMModel:
+            checkpoint_every: int = 25, num_partitions: int | None = None) -> SVMModel:
     """Train the squared-hinge SVM (G6) on ``(row_id, features, label)`` rows.
 
-    Dual ascent keeps beta in one of two ways (same iterates):
-
-    * ``state_mode='replay'`` (default): beta is a deterministic function of
-      the rows and the d-vectors v used so far. The state (rows + beta) is
-      written only at reliable checkpoints; each iteration replays the steps
-      since the last one in numpy over Arrow batches and returns partial
-      sums only, so an iteration reads the rows but writes nothing.
-    * ``state_mode='cache'``: each iteration is a column projection of the
-      previous cached state (whole-stage codegen), cached again.
+    In dual ascent beta is a deterministic function of the rows and the
+    d-vectors v used so far. The state (rows + beta) is written only at
+    reliable checkpoints; each iteration replays the steps since the last one
+    in numpy over Arrow batches and returns partial sums only, so an
+    iteration reads the rows but writes nothing. Rows of another width, with
+    labels other than +1 and -1 or with null or NaN entries raise.
     """
-    if state_mode not in ("replay", "cache"):
-        raise ValueError(f"unknown state_mode {state_mode!r}")
     if solver not in ("dual_ascent", "newton"):
         raise ValueError(f"unknown solver {solver!r}")
     if tol_mode not in ("l1", "mean"):
@@ -143,32 +116,28 @@ def fit_svm(rows: DataFrame, C: float = 1.0, learn_rate: float = 0.2, max_iter:
     spark = rows.sparkSession
     ship_package(spark)
     design, D = signed_design(rows, features, label)
-    # The design is cached and scanned once per iteration: spread it over at
-    # least every core once (a single round-robin shuffle), never fewer.
-    have = A.num_partitions(design)
-    want = num_partitions or max(spark.sparkContext.defaultParallelism, have)
-    if want != have:
-        design = design.repartition(want)
+    # The design is cached in the partitions of its input and scanned once per
+    # iteration; only a caller that asks for a number gets a shuffle.
+    if num_partitions:
+        design = design.repartition(num_partitions)
     cached = design = _persist(design)
     try:
         a = [F.col(c) for c in design_columns(D)]
         # one pass: u for beta = 1, row count, width check (+ the Gram for small D)
         sums = {f"u{j}": f"a_{j} * 2.0D" for j in range(D)}
         sums["n"] = "1.0D"
-        sums["bad"] = "CAST(_bad AS DOUBLE)"
+        for bad in ("_bad", "_bad_label", "_bad_entry"):
+            sums[bad] = f"CAST({bad} AS DOUBLE)"
         wide = D > L.GRAM_SQL_MAX
         if not wide:
             sums.update({f"g_{i}_{j}": f"a_{i} * a_{j}" for i in range(D) for j in range(i, D)})
-        tot = A.collect_sums(design, sums, n_partitions=want)
-        if tot["bad"] > 0:
-            raise ValueError(f"{int(tot['bad'])} rows do not have the width of the first row")
+        tot = A.collect_sums(design, sums)
+        for bad, what in (("_bad", "do not have the width of the first row"),
+                          ("_bad_label", "have a label other than +1 and -1"),
+                          ("_bad_entry", "have a null or NaN entry")):
+            if tot[bad] > 0:
+                raise ValueError(f"{int(tot[bad])} rows {what}")
         n = tot["n"]
-        # Iterations are latency bound on small inputs: give each task at least
-        # ROWS_PER_TASK rows (a narrow coalesce of the cached blocks). Large
-        # inputs keep every partition.
-        k = max(1, min(want, math.ceil(n / ROWS_PER_TASK)))
-        if k < want:
-            design, want = design.coalesce(k), k
         if wide:   # numpy partials per partition, summed by cell
             G = L.gram_matrix(design.select(F.array(*a).alias("_a")), "_a", D)
         else:
@@ -178,7 +147,7 @@ def fit_svm(rows: DataFrame, C: float = 1.0, learn_rate: float = 0.2, max_iter:
                     G[i, j] = G[j, i] = tot[f"g_{i}_{j}"]
         if solver == "newton":
             col_sums = np.array([tot[f"u{j}"] for j in range(D)]) / 2.0
-            return _fit_newton(design, G, col_sums, D, C, max_iter, tol, spark, want)
+            return _fit_newton(design, G, col_sums, D, C, max_iter, tol, spark)
 
         step = step_size(C, learn_rate)
         M = G + np.eye(D) / (2.0 * C)
@@ -186,41 +155,8 @@ def fit_svm(rows: DataFrame, C: float = 1.0, learn_rate: float = 0.2, max_iter:
         u = np.array([tot[f"u{j}"] for j in range(D)])
         ckpt = checkpoint_dir(spark)  # noqa: F841  (validates the setting up front)
 
-        if state_mode == "replay":
-            return _dual_replay(design, D, n, u, Lc, C, step, max_iter, tol, tol_mode,
-                                checkpoint_every, want, spark)
-
-        with _PlainPlans(spark):
-            state = design.select("row_id", *design_columns(D), F.lit(1.0).alias("beta"))
-            nparts = want
-            history, path, converged, it = [], [], False, 0
-            v = np.zeros(D)
-            for it in range(1, max_iter + 1):
-                v = np.linalg.solve(Lc.T, np.linalg.solve(Lc, u))
-                path.append([float(x) for x in v])
-                alpha = F.lit(2.0 * C) * ((F.lit(1.0) + F.col("beta"))
-                                          - F.expr(V.linear_sql(design_columns(D), v)))
-                beta_new = F.greatest(F.col("beta") - F.lit(step) * alpha, F.lit(0.0))
-                nxt = state.select("row_id", *design_columns(D), beta_new.alias("beta"),
-                                   alpha.alias("alpha"),
-                                   F.abs(beta_new - F.col("beta")).alias("dbeta"))
-                if checkpoint_every and it % checkpoint_every == 0:
-                    # reliable checkpoint: written to the shared folder, lineage cut here
-                    nxt = nxt.checkpoint(eager=True)
-                nxt = _persist(nxt)
-                s = _state_sums(nxt, D, True, nparts)   # the one job of this iteration
-                state.unpersist()
-                state = nxt
-                err = s["err"] if tol_mode == "l1" else s["err"] / n
-                history.append((it, float(err)))
-                u = np.array([s[f"u{j}"] for j in range(D)])
-                if err < tol:
-                    converged = True
-                    break
-        hist_df = spark.createDataFrame(history, "iteration int, error double")
-        out_state = state.select("row_id", "alpha", "beta")
-        return SVMModel([float(x) for x in v], hist_df, out_state, it, converged,
-                        "dual_ascent", history, path)
+        return _dual_replay(design, D, n, u, Lc, C, step, max_iter, tol, tol_mode,
+                            checkpoint_every, spark)
     finally:
         cached.unpersist()
 
@@ -267,7 +203,7 @@ def _replay_batches(D: int, C: float, step: float, vs, mode: str):
 
 
 def _dual_replay(design, D, n, u, Lc, C, step, max_iter, tol, tol_mode, checkpoint_every,
-                 nparts, spark) -> SVMModel:
+                 spark) -> SVMModel:
     """Dual ascent with beta replayed from the last reliable checkpoint."""
     from pyspark.sql import types as T
     cols = design_columns(D)
@@ -293,15 +229,14 @@ def _dual_replay(design, D, n, u, Lc, C, step, max_iter, tol, tol_mode, checkpoi
             # materialise beta: reliable checkpoint into the shared folder
             nxt = _persist(state.mapInArrow(_replay_batches(D, C, step, vs, "rows"),
                                             rows_schema).checkpoint(eager=True))
-            s = _state_sums(nxt, D, True, nparts)
+            s = _state_sums(nxt, D, True)
             if owned is not None:
                 owned.unpersist()
             owned, since = nxt, []
             state = nxt.select("row_id", *cols, "beta")
         else:   # replay only: reads the rows, writes nothing, returns sums
             part = state.mapInArrow(_replay_batches(D, C, step, vs, "sums"), sums_schema)
-            s = A.collect_sums(part, {k: V.q(k) for k in sums_schema.names},
-                               n_partitions=nparts)
+            s = A.collect_sums(part, {k: V.q(k) for k in sums_schema.names})
         vs.unpersist()
         err = s["err"] if tol_mode == "l1" else s["err"] / n
         history.append((it, float(err)))
@@ -321,34 +256,31 @@ def _dual_replay(design, D, n, u, Lc, C, step, max_iter, tol, tol_mode, checkpoi
                     "dual_ascent", history, path)
 
 
-def _newton_partials_arrow(design: DataFrame, D: int, w: np.ndarray, nparts: int):
-    """(obj, g, H) sums over active rows by numpy per partition (wide D)."""
-    import pyarrow as pa
-    from pyspark.sql import types as T
+def _newton_partials_arrow(design: DataFrame, D: int, w: np.ndarray):
+    """(obj, g, H) sums over active rows: one numpy block per task (objective,
+    gradient, upper triangle), merged as whole blocks (wide D)."""
     cols = design_columns(D)
-    k = 1 + D + D * D
-    schema = T.StructType([T.StructField("p", T.ArrayType(T.DoubleType()))])
+    iu, ju = np.triu_indices(D)
+    k = 1 + D + len(iu)
 
-    def fn(batches):
-        acc = np.zeros(k)
-        for b in batches:
-            X = np.column_stack([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-                                 for c in cols]) if b.num_rows else np.zeros((0, D))
-            r = 1.0 - X @ w
-            act = r > 0
-            Xa, ra = X[act], r[act]
-            acc[0] += ra @ ra
-            acc[1:1 + D] += Xa.T @ ra
-            acc[1 + D:] += (Xa.T @ Xa).ravel()
-        yield pa.RecordBatch.from_arrays([L.matrix_to_list_array(acc[None, :])], names=["p"])
+    def add(block, b):
+        X = np.column_stack([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in cols])
+        r = 1.0 - X @ w
+        act = r > 0
+        Xa, ra = X[act], r[act]
+        block[0] += ra @ ra
+        block[1:1 + D] += Xa.T @ ra
+        block[1 + D:] += (Xa.T @ Xa)[iu, ju]
 
-    tot = A.collect_array_sum(design.select(*cols).mapInArrow(fn, schema), "p", k)
-    return tot[0], tot[1:1 + D], tot[1 + D:].reshape(D, D)
+    tot = A.collect_block_sum(A.block_partials(design.select(*cols), k, add), k)
+    H = np.zeros((D, D))
+    H[iu, ju] = H[ju, iu] = tot[1 + D:]
+    return tot[0], tot[1:1 + D], H
 
 
 def _fit_newton(design: DataFrame, G: np.ndarray, col_sums: np.ndarray, D: int,
                 C: float, max_iter: int,
-                tol: float, spark, nparts: int) -> SVMModel:
+                tol: float, spark) -> SVMModel:
     """Finite Newton on 1/2||w||^2 + C sum max(0, 1 - a.w)^2 (primal twin).
 
     Each pass is one aggregate over the cached design: the objective,
@@ -358,14 +290,14 @@ def _fit_newton(design: DataFrame, G: np.ndarray, col_sums: np.ndarray, D: int,
 
     def evaluate(w):
         if D > L.GRAM_SQL_MAX:
-            o, gs, Hs = _newton_partials_arrow(design, D, w, nparts)
+            o, gs, Hs = _newton_partials_arrow(design, D, w)
             return 0.5 * float(w @ w) + C * o, w - 2.0 * C * gs, np.eye(D) + 2.0 * C * Hs
         r = f"(1.0D - {V.linear_sql(design_columns(D), w)})"
         act = f"(CASE WHEN {r} > 0.0D THEN 1.0D ELSE 0.0D END)"
         sums = {"obj": f"{act} * {r} * {r}"}
         sums.update({f"g{j}": f"{act} * {r} * a_{j}" for j in range(D)})
         sums.update({f"h_{i}_{j}": f"{act} * a_{i} * a_{j}" for i in range(D) for j in range(i, D)})
-        s = A.collect_sums(design, sums, n_partitions=nparts)
+        s = A.collect_sums(design, sums)
         obj = 0.5 * float(w @ w) + C * s["obj"]
         grad = w - 2.0 * C * np.array([s[f"g{j}"] for j in range(D)])
         H = np.eye(D)

@@ -65,13 +65,31 @@ def test_meka_approximates_kernel_with_positive_power(spark):
     K = CL.rbf_matrix(X, X, 0.2)
     assert phi.shape == (240, 40)
     assert np.abs(phi @ phi.T - K).mean() < 0.05
-    err = MK.approximation_error(mk.features, df, 0.2, 3, n_pairs=50).first()
+    err = MK.approximation_error(mk, df, 0.2, 3, n_pairs=50).first()
     assert err["n_pairs"] == 50 and err["mean_abs_error"] < 0.1
     ds = MK.meka_dataset(df, n_clusters=4, target_rank=40, gamma=0.2, split=0.75, seed=3,
                          link_power=0.5)
     assert ds.train.count() == 180 and ds.test.count() == 60
 
 
+def test_kmeans_does_not_depend_on_partitions(spark):
+    X, _ = _clustered(240, 4)
+    want = CL.kmeans_centers(rows_df(spark, X, parts=1), 4, 10, 42)
+    for parts in (4, 7):
+        got = CL.kmeans_centers(rows_df(spark, X, parts=parts), 4, 10, 42)
+        assert np.allclose(got, want, atol=1e-12)
+    with pytest.raises(ValueError):
+        CL.kmeans_centers(rows_df(spark, X[:3]), 4)
+
+
+def test_approximation_error_of_tiny_inputs(spark):
+    X, _ = _clustered(60, 5)
+    mk = MK.meka_features(rows_df(spark, X), n_clusters=2, target_rank=10, gamma=0.2, link_power=0.5)
+    for n in (0, 1):
+        r = MK.approximation_error(mk, rows_df(spark, X[:n]) if n else rows_df(spark, X).limit(0), 0.2, 3).first()
+        assert r["n_pairs"] == 0 and r["mean_abs_error"] is None
+
+
 def test_cluster_sizes_and_matrix_sum(spark):
     df = spark.createDataFrame([(0, 1), (1, 1), (2, 0)], "row_id bigint, cluster int")
     assert {r["cluster"]: r["n"] for r in A.cluster_sizes(df).collect()} == {0: 1, 1: 2}

@@ -46,21 +46,20 @@ def test_step_size_rules():
         SVM.step_size(1.0, 1.5)
 
 
-@pytest.mark.parametrize("parts,mode", [(1, "replay"), (4, "replay"), (7, "replay"), (4, "cache")])
-def test_dual_ascent_matches_dense_solve(spark, parts, mode):
+@pytest.mark.parametrize("parts", [1, 4, 7])
+def test_dual_ascent_matches_dense_solve(spark, parts):
     X, y = _blobs()
     m = SVM.fit_svm(rows_df(spark, X, y, parts=parts), max_iter=5, tol=0.0, num_partitions=parts,
-                    state_mode=mode, checkpoint_every=2)
+                    checkpoint_every=2)
     w_np, hist = _numpy_dual(X, y, 1.0, 0.2, 5)
     assert np.allclose(m.weights, w_np, atol=1e-8)
     assert np.allclose([e for _, e in m.history_rows], hist, rtol=1e-8)
 
 
-@pytest.mark.parametrize("mode", ["replay", "cache"])
-def test_dual_converges_to_newton_optimum_with_checkpoints(spark, mode):
+def test_dual_converges_to_newton_optimum_with_checkpoints(spark):
     X, y = _blobs(200, 1)
     df = rows_df(spark, X, y, parts=3)
-    m = SVM.fit_svm(df, max_iter=400, tol=1e-7, checkpoint_every=10, state_mode=mode)
+    m = SVM.fit_svm(df, max_iter=400, tol=1e-7, checkpoint_every=10)
     nt = SVM.fit_svm(df, solver="newton", max_iter=50, tol=1e-10)
     w = _primal_opt(X, y, 1.0)
     assert m.converged and nt.converged
