@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 # Rows of the last radix bucket ranked directly (bounded work for one task).
 RADIX_LEAF = 200_000
+# Bins of one pass of the k-th smallest value.
+HISTOGRAM_BINS = 4096
 # Hex digits per radix level: at most 16**3 = 4096 groups reach the driver.
 RADIX_DIGITS = 3
 
@@ -244,10 +246,27 @@ def train_test_split(df: DataFrame, fraction: float, seed: int,
 
 
 def kth_smallest(df: DataFrame, col: str, k: int) -> DataFrame:
-    """The k-th smallest value of a column (F2), 1-based, as one row.
+    """The k-th smallest value of a numeric column (F2), 1-based, as one row
+    (null for k outside the rows); nulls and NaN are not counted.
 
-    Used on K x K kernel entries (bounded); ``orderBy + limit`` keeps only k
-    rows per task before the merge.
+    Selection by histogram: each pass counts the values of the open interval
+    in ``HISTOGRAM_BINS`` bins (a monotone function of the value) and goes on
+    with the bin that holds the k-th, until that bin has one value. Only the
+    bins reach the driver, and no task sorts or holds rows.
     """
-    return (df.select(col).orderBy(F.col(col).asc()).limit(k)
-              .agg(F.max(col).alias("value")))
+    spark, out = df.sparkSession, "value double"
+    v = df.select(F.col(col).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    n, lo, hi = v.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    if not 1 <= k <= n:
+        return spark.createDataFrame([(None,)], out)
+    while lo < hi:
+        inside = v.filter(F.col("v").between(F.lit(lo), F.lit(hi)))
+        # halves, so that the width of the interval cannot overflow
+        share = (F.col("v") / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
+        bins = sorted(tuple(r) for r in inside.groupBy(F.floor(share * F.lit(HISTOGRAM_BINS)).alias("b")).agg(
+            F.count(F.lit(1)), F.min("v"), F.max("v")).collect())
+        for _, m, lo, hi in bins:
+            if k <= m:
+                break
+            k -= m
+    return spark.createDataFrame([(float(lo),)], out)

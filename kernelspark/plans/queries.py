@@ -9,6 +9,7 @@ rounding agree on both sides.
 from __future__ import annotations
 
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from ..operators import sampling as S
 from ..operators import svm as SVM
 from ..sources import tables as TB
 from ..sources import text as TX
+from . import sqlgen as Q
 from .common import (C, EMB_DIM, ETA, FIXED_W, GAMMA, LEARN_RATE, SEED, SPLIT,
                      TARGET_RANK, TARGET_RANK_CLASSES, centroid_matrix, class_centroids, embeddings, rnd)
 
@@ -37,6 +39,8 @@ def _sql_feats() -> str:
 SQL_LABEL = ("CASE WHEN l_extendedprice * (1.0::DOUBLE - l_discount) * (1.0::DOUBLE + l_tax) "
              f"> {TB.CHARGE_THRESHOLD!r}::DOUBLE THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END")
 SQL_ROWS = f"SELECT {KEYS_SQL}, {_sql_feats()}, {SQL_LABEL} AS label FROM lineitem"
+# one parameter for every generated twin: the four scaled columns and the bias
+D5 = 5
 FEAT_NAMES = ["f_quantity", "f_extendedprice", "f_discount", "f_tax"]
 
 
@@ -83,21 +87,59 @@ SQL_HEAD_ROWS = f"SELECT {KEYS_SQL}, l_quantity FROM lineitem ORDER BY {KEYS_SQL
 
 
 def q_count_check(spark: SparkSession, sf: str) -> DataFrame:
-    """A5: found row counts of a data set and its labels, and whether they
-    agree (the reference raises when they do not)."""
-    docs = TB.table(spark, sf, "documents").select("doc_id").join(
-        TB.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
-    labels = TB.table(spark, sf, "labels")
-    both = docs.select(F.lit(1).alias("r"), F.lit(0).alias("l")).unionByName(
-        labels.select(F.lit(0).alias("r"), F.lit(1).alias("l")))
-    return both.agg(F.sum("r").cast("long").alias("n_rows"), F.sum("l").cast("long").alias("n_labels")) \
-        .select("n_rows", "n_labels", (F.col("n_rows") == F.col("n_labels")).alias("counts_equal"))
+    """A5: the count check on documents and labels; it passes for a table's
+    own count and raises for the other's unless they agree."""
+    docs, labels = (TB.table(spark, sf, t).select("doc_id") for t in ("documents", "labels"))
+    n_labels = labels.count()
+
+    def passes(df, declared):
+        try:
+            return TX.check_count(df, declared), True
+        except ValueError:
+            return df.count(), False
+    n_rows, equal = passes(docs, n_labels)
+    _, own = passes(labels, n_labels)
+    return spark.createDataFrame([(n_rows, n_labels, n_rows - n_labels, equal, own)],
+                                 "n_rows long, n_labels long, difference long, counts_equal boolean, own_count boolean")
 
 
 SQL_COUNT_CHECK = """
-SELECT n_rows, n_labels, n_rows = n_labels AS counts_equal FROM
- (SELECT count(*) AS n_rows FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
- (SELECT count(*) AS n_labels FROM labels)"""
+SELECT n_rows, n_labels, n_rows - n_labels AS difference, n_rows = n_labels AS counts_equal, true AS own_count FROM
+ (SELECT count(*) AS n_rows FROM documents), (SELECT count(*) AS n_labels FROM labels)"""
+
+
+def _lines(df: DataFrame, order: list[str], cols, sep: str) -> DataFrame:
+    """Text lines ``(row_id, value)`` of whole tables, numbered in key order."""
+    value = F.concat_ws(sep, *[c.cast("string") for c in cols])
+    return TX.with_row_id(df.select(*order, value.alias("value")), order).select("row_id", "value")
+
+
+def q_labeled_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A1: space-separated lines with the label last, read as labelled rows."""
+    li = TB.table(spark, sf, "lineitem")
+    lines = _lines(li, KEYS, [F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount"), TB.charge_label()], " ")
+    rows = TX.labeled_rows(lines, 4)
+    return rows.select("row_id", *[V.item("features", j).alias(f"x_{j}") for j in range(3)], "label")
+
+
+SQL_POSITION = f"SELECT *, row_number() OVER (ORDER BY {KEYS_SQL}) - 1 AS row_id FROM lineitem"
+SQL_LABELED_LINES = f"""
+SELECT row_id, l_quantity AS x_0, l_extendedprice AS x_1, l_discount AS x_2, {SQL_LABEL} AS label FROM ({SQL_POSITION})"""
+
+
+def q_label_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A3 + C1: label lines (first token counts), zipped by position with
+    hold-out lines read by A4 (comma, extra columns ignored, bias added)."""
+    li = TB.table(spark, sf, "lineitem")
+    holdout = TX.dense_rows(_lines(li, KEYS, [F.col("l_quantity"), F.col("l_tax"), F.col("l_discount"), F.col("l_linenumber")], ","),
+                            2, sep=",", strict=False, append_bias=True)
+    labels = TX.first_labels(_lines(li, KEYS, [TB.charge_label(), F.col("l_returnflag")], " "))
+    return J.positional_zip(holdout, labels).select(
+        "row_id", F.size("features").alias("width"), *[V.item("features", j).alias(f"x_{j}") for j in range(3)], "label")
+
+
+SQL_LABEL_LINES = f"""
+SELECT row_id, CAST(3 AS INTEGER) AS width, l_quantity AS x_0, l_tax AS x_1, 1.0::DOUBLE AS x_2, {SQL_LABEL} AS label FROM ({SQL_POSITION})"""
 
 
 # ============================================================ B. rows
@@ -222,25 +264,48 @@ SELECT cluster, pos, row_id FROM
 WHERE pos < 5"""
 
 
+def q_gather_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings gathered by a list of ids in list order; the list is
+    the labelled documents' ids, best quality first."""
+    labels = TB.table(spark, sf, "labels").select("doc_id", "quality")
+    ids = TX.with_row_id(labels.select((-F.col("quality")).alias("q"), "doc_id"), ["q", "doc_id"], "pos").select(
+        "pos", F.col("doc_id").alias("row_id"))
+    rows = embeddings(spark, sf).select(F.col("vec_id").alias("row_id"), V.item("features", 0).alias("x_0"))
+    return RW.gather(rows, ids).select("pos", "row_id", rnd("x_0").alias("x_0"))
+
+
+SQL_GATHER_ROWS = """
+SELECT pos, vec_id AS row_id, round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS x_0
+FROM (SELECT doc_id, row_number() OVER (ORDER BY -quality, doc_id) - 1 AS pos FROM labels) JOIN embeddings ON doc_id = vec_id"""
+
+
+def q_kth_smallest(spark: SparkSession, sf: str) -> DataFrame:
+    """the k-th smallest extended price for k at 1, half and all rows."""
+    li = TB.table(spark, sf, "lineitem").select("l_extendedprice")
+    n = li.count()
+    ks = [1, (n + 1) // 2, n]
+    rows = [(k, S.kth_smallest(li, "l_extendedprice", k).first()["value"]) for k in ks]
+    return spark.createDataFrame(rows, "k long, value double").distinct()
+
+
+SQL_KTH_SMALLEST = """
+WITH r AS (SELECT l_extendedprice AS value, row_number() OVER (ORDER BY l_extendedprice) AS k, count(*) OVER () AS n FROM lineitem)
+SELECT DISTINCT k, value FROM r WHERE k = 1 OR k = (n + 1) // 2 OR k = n"""
+
+
 def q_positional_zip(spark: SparkSession, sf: str) -> DataFrame:
-    """C1 + A7: labelled documents and the labels table, each numbered by
-    doc_id, aligned by position."""
-    docs = (TB.table(spark, sf, "documents").select("doc_id", "n_chars")
-            .join(TB.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi"))
-    labels = TB.table(spark, sf, "labels").select(
-        F.col("doc_id").alias("label_doc_id"), "quality")
-    left = TX.with_row_id(docs, ["doc_id"])
-    right = TX.with_row_id(labels, ["label_doc_id"])
-    return J.positional_zip(left, right).select("row_id", "doc_id", "label_doc_id",
-                                                "quality", "n_chars")
+    """C1 + A7: the labels by id and the same table by (quality, id), each
+    numbered by its own order and aligned by position."""
+    labels = TB.table(spark, sf, "labels")
+    left = TX.with_row_id(labels.select("doc_id", "toxic"), ["doc_id"])
+    right = TX.with_row_id(labels.select(F.col("doc_id").alias("label_doc_id"), "quality"), ["quality", "label_doc_id"])
+    return J.positional_zip(left, right).select("row_id", "doc_id", "label_doc_id", "quality", "toxic")
 
 
 SQL_POSITIONAL_ZIP = """
-WITH d AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS row_id
-           FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
-     l AS (SELECT doc_id AS label_doc_id, quality,
-                  row_number() OVER (ORDER BY doc_id) - 1 AS row_id FROM labels)
-SELECT d.row_id, doc_id, label_doc_id, quality, n_chars FROM d JOIN l ON d.row_id = l.row_id"""
+WITH d AS (SELECT doc_id, toxic, row_number() OVER (ORDER BY doc_id) - 1 AS row_id FROM labels),
+     l AS (SELECT doc_id AS label_doc_id, quality, row_number() OVER (ORDER BY quality, doc_id) - 1 AS row_id FROM labels)
+SELECT d.row_id, doc_id, label_doc_id, quality, toxic FROM d JOIN l ON d.row_id = l.row_id"""
 
 
 def q_document_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -467,19 +532,18 @@ FROM r2"""
 
 
 def q_block_features(spark: SparkSession, sf: str) -> DataFrame:
-    """H7: the first two dims of each embedding placed at column offset
-    2 * cluster (nearest class centroid) of a 2K-wide row, zeros elsewhere."""
+    """H7: each whole embedding placed at column offset d * cluster (nearest
+    class centroid) of a row of width d * K, zeros elsewhere."""
     from ..operators import nystrom as NY
     cen = centroid_matrix(spark, sf)
+    k, d = cen.shape
     a = _assign_to_centroids(spark, sf, cen)
-    k = len(cen)
-    placed = NY.block_features(a.withColumn("u", V.slice0("features", 0, 2))
-                               .withColumn("off", F.col("cluster") * F.lit(2)), "u", "off", 2 * k,
-                               out="block")
+    placed = NY.block_features(a.withColumn("off", F.col("cluster") * F.lit(d)), "features", "off", k * d, out="block")
     return placed.select("vec_id", "cluster", F.size("block").alias("width"),
                          F.array_position(F.transform("block", lambda x: x != F.lit(0.0)),
                                           F.lit(True)).cast("int").alias("first_nonzero"),
-                         rnd(F.aggregate("block", F.lit(0.0), lambda acc, x: acc + x)).alias("total"))
+                         rnd(F.aggregate("block", F.lit(0.0), lambda acc, x: acc + x)).alias("total"),
+                         rnd(F.aggregate(F.transform("block", lambda x, i: x * i), F.lit(0.0), lambda acc, x: acc + x), 4).alias("moment"))
 
 
 def _assign_to_centroids(spark, sf, cen):
@@ -489,9 +553,11 @@ def _assign_to_centroids(spark, sf, cen):
 
 SQL_BLOCK_FEATURES = f"""
 WITH {SQL_CENTROIDS}, {SQL_ASSIGN}, k AS (SELECT count(*) AS k FROM cen)
-SELECT a.vec_id, a.cluster, CAST(2 * k AS INTEGER) AS width,
-       CAST(CASE WHEN emb.x[1] <> 0 THEN 2 * a.cluster + 1 WHEN emb.x[2] <> 0 THEN 2 * a.cluster + 2 ELSE 0 END AS INTEGER) AS first_nonzero,
-       round(emb.x[1] + emb.x[2], 6) + 0.0 AS total
+SELECT a.vec_id, a.cluster, CAST(len(x) * k AS INTEGER) AS width,
+       CAST(CASE WHEN list_position(list_transform(x, lambda v: v <> 0), true) > 0
+            THEN len(x) * a.cluster + list_position(list_transform(x, lambda v: v <> 0), true) ELSE 0 END AS INTEGER) AS first_nonzero,
+       round(list_sum(x), 6) + 0.0 AS total,
+       round(list_sum(list_transform(x, lambda v, i: v * (i - 1 + len(x) * a.cluster))), 4) + 0.0 AS moment
 FROM a JOIN emb USING (vec_id), k"""
 
 
@@ -525,9 +591,8 @@ def q_train_test_split(spark: SparkSession, sf: str) -> DataFrame:
     """F5 + F7: exact seeded 80/20 split of lineitem (train = first
     floor(0.8 N) of the permutation, test = the complement)."""
     li = TB.table(spark, sf, "lineitem").select(*KEYS)
-    train, test = S.train_test_split(li, SPLIT, SEED, KEYS)
-    return train.withColumn("split", F.lit("train")).unionByName(
-        test.withColumn("split", F.lit("test")))
+    train = S.in_first(li, SEED, KEYS, fraction=SPLIT)
+    return li.withColumn("split", F.when(train, F.lit("train")).otherwise(F.lit("test")))
 
 
 SQL_TRAIN_TEST_SPLIT = f"""
@@ -571,10 +636,6 @@ SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(sum(a.x * b.x
 FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.j <= b.j GROUP BY a.j, b.j"""
 
 
-# R of [quantity, price, bias] by TSQR in Spark; Cholesky of the Gram in SQL
-_R3 = ["f_quantity", "f_extendedprice", "f_bias"]
-
-
 def _cells_df(spark, M, k=6, upper=True) -> DataFrame:
     d = M.shape[0]
     rows = [(i, j, float(M[i, j])) for i in range(d) for j in range(d) if (j >= i or not upper)]
@@ -582,125 +643,113 @@ def _cells_df(spark, M, k=6, upper=True) -> DataFrame:
         "i", "j", rnd("value", k).alias("value"))
 
 
-def _li3(spark, sf):
-    rows = TB.lineitem_rows(spark, sf, columns=("l_quantity", "l_extendedprice"), keep_keys=False)
-    return RW.add_bias(rows)
+def _li5(spark, sf, keep_keys: bool = False):
+    return RW.add_bias(TB.lineitem_rows(spark, sf, keep_keys=keep_keys))
+
+
+F5 = [*FEAT_NAMES, "f_bias"]
+SQL_R5 = ",\n".join([Q.cte("r", f"SELECT *, 1.0::DOUBLE AS f_bias FROM ({SQL_ROWS})"), Q.gram("g", "r", F5), *Q.cholesky("ch", "g", D5)])
 
 
 def q_tsqr_r(spark: SparkSession, sf: str) -> DataFrame:
-    """R of the tall-skinny QR (per-partition running QR + reduction
-    tree), canonical positive diagonal."""
-    R = L.tsqr_r(_li3(spark, sf), "features", 3)
-    return _cells_df(spark, R, 4)
-
-
-SQL_GRAM3 = f"""
-r AS (SELECT *, 1.0::DOUBLE AS f_bias FROM ({SQL_ROWS})),
-g AS (SELECT sum(f_quantity * f_quantity) AS g00, sum(f_quantity * f_extendedprice) AS g01,
-             sum(f_quantity) AS g02, sum(f_extendedprice * f_extendedprice) AS g11,
-             sum(f_extendedprice) AS g12, count(*)::DOUBLE AS g22 FROM r),
-ch AS (SELECT sqrt(g00) AS r00, g01 / sqrt(g00) AS r01, g02 / sqrt(g00) AS r02, g11, g12, g22 FROM g),
-ch2 AS (SELECT *, sqrt(g11 - r01 * r01) AS r11 FROM ch),
-ch3 AS (SELECT *, (g12 - r01 * r02) / r11 AS r12 FROM ch2),
-ch4 AS (SELECT *, sqrt(g22 - r02 * r02 - r12 * r12) AS r22 FROM ch3)"""
-
-SQL_TSQR_R = f"""
-WITH {SQL_GRAM3}
-SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(value, 4) + 0.0 AS value FROM (
- SELECT 0 AS i, 0 AS j, r00 AS value FROM ch4 UNION ALL SELECT 0, 1, r01 FROM ch4 UNION ALL
- SELECT 0, 2, r02 FROM ch4 UNION ALL SELECT 1, 1, r11 FROM ch4 UNION ALL
- SELECT 1, 2, r12 FROM ch4 UNION ALL SELECT 2, 2, r22 FROM ch4)"""
+    """R of the tall-skinny QR of all columns and the bias (per-partition
+    running QR + reduction tree), canonical positive diagonal."""
+    return _cells_df(spark, L.tsqr_r(_li5(spark, sf), "features", D5), 4)
+
+
+SQL_TSQR_R = f"WITH {SQL_R5}\nSELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(value, 4) + 0.0 AS value FROM (" + " UNION ALL ".join(
+    f"SELECT {i} AS i, {j} AS j, r_{i}_{j} AS value FROM ch" for i in range(D5) for j in range(i, D5)) + ")"
 
 
 def q_apply_qt(spark: SparkSession, sf: str) -> DataFrame:
     """Q^T x for x = the label column, Q = A R^-1 implicit; returns the
-    three coordinates and the squared norms of x and of the residual."""
-    rows = _li3(spark, sf).withColumn("x", F.col("label"))
-    R = L.tsqr_r(rows, "features", 3)
+    coordinates and the squared norms of x and of the residual."""
+    rows = _li5(spark, sf).withColumn("x", F.col("label"))
+    R = L.tsqr_r(rows, "features", D5)
     qt = L.apply_qt(rows, R, "features", "x", keep=("x",))
-    c = qt.c
     return qt.residual.agg(
         F.sum(F.col("residual") * F.col("residual")).alias("rsq"),
         F.sum(F.col("x") * F.col("x")).alias("xsq")).select(
-        rnd(F.lit(float(c[0])), 4).alias("c_0"), rnd(F.lit(float(c[1])), 4).alias("c_1"),
-        rnd(F.lit(float(c[2])), 4).alias("c_2"), rnd("rsq", 3).alias("residual_sq"),
-        rnd("xsq", 3).alias("x_sq"))
+        *[rnd(F.lit(float(c)), 4).alias(f"c_{j}") for j, c in enumerate(qt.c)],
+        rnd("rsq", 3).alias("residual_sq"), rnd("xsq", 3).alias("x_sq"))
 
 
+SQL_B5 = "SELECT " + ", ".join(f"sum({c} * label) AS b_{j}" for j, c in enumerate(F5)) + ", sum(label * label) AS xsq FROM r"
+SQL_Z5 = ",\n".join([SQL_R5, Q.cte("b", SQL_B5), *Q.solve("z", "ch", "b", D5)])
+SQL_FIT5 = Q.dot(F5, [f"z_{j}" for j in range(D5)])
 SQL_APPLY_QT = f"""
-WITH {SQL_GRAM3},
-b AS (SELECT sum(f_quantity * label) AS b0, sum(f_extendedprice * label) AS b1, sum(label) AS b2,
-             sum(label * label) AS xsq FROM r),
-c AS (SELECT *, b0 / r00 AS c0 FROM ch4, b),
-c1 AS (SELECT *, (b1 - r01 * c0) / r11 AS c1 FROM c),
-c2 AS (SELECT *, (b2 - r02 * c0 - r12 * c1) / r22 AS c2 FROM c1),
-z AS (SELECT *, c2 / r22 AS z2 FROM c2),
-z1 AS (SELECT *, (c1 - r12 * z2) / r11 AS z1 FROM z),
-z0 AS (SELECT *, (c0 - r01 * z1 - r02 * z2) / r00 AS z0 FROM z1)
-SELECT round(c0, 4) + 0.0 AS c_0, round(c1, 4) + 0.0 AS c_1, round(c2, 4) + 0.0 AS c_2,
-       round((SELECT sum(pow(label - (f_quantity * z0 + f_extendedprice * z1 + z2), 2)) FROM r), 3) + 0.0 AS residual_sq,
-       round(xsq, 3) + 0.0 AS x_sq
-FROM z0"""
-
-
-def q_apply_q_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Q (Q^T x) + r reproduces x on every row."""
-    rows = _li3(spark, sf).withColumn("row_id", F.monotonically_increasing_id()) \
-        .withColumn("x", F.col("label"))
-    R = L.tsqr_r(rows, "features", 3)
-    qt = L.apply_qt(rows, R, "features", "x", keep=("row_id", "features", "x"))
-    back = L.apply_q(qt.residual, R, qt.c, "features", "residual", "x_back",
-                     keep=("row_id", "x"))
-    return back.agg(F.count_if(F.abs(F.col("x_back") - F.col("x")) > F.lit(1e-9)).alias("n_off"),
-                    rnd(F.sum("x_back"), 4).alias("sum_x"))
-
-
-SQL_APPLY_Q_ROUNDTRIP = f"""
-SELECT CAST(0 AS BIGINT) AS n_off, round(sum({SQL_LABEL}), 4) + 0.0 AS sum_x FROM lineitem"""
+WITH {SQL_Z5}
+SELECT {', '.join(f'round(c_{j}, 4) + 0.0 AS c_{j}' for j in range(D5))},
+       round((SELECT sum(pow(label - {SQL_FIT5}, 2)) FROM r, z), 3) + 0.0 AS residual_sq, round(xsq, 3) + 0.0 AS x_sq
+FROM z"""
+
+
+def q_apply_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Q c for c = Q^T label on every row (the projection of the label on
+    the columns), per row; without the residual nothing else can cancel."""
+    rows = _li5(spark, sf, keep_keys=True).withColumn("x", F.col("label"))
+    R = L.tsqr_r(rows, "features", D5)
+    c = L.apply_qt(rows, R, "features", "x", keep=("x",)).c
+    q = L.apply_q(rows, R, c, "features", None, "qc", keep=tuple(KEYS))
+    return q.select(*KEYS, rnd("qc", 5).alias("qc"))
+
+
+SQL_APPLY_Q = f"WITH {SQL_Z5}\nSELECT {KEYS_SQL}, round({SQL_FIT5}, 5) + 0.0 AS qc FROM r, z"
 
 
 def q_truncated_svd_values(spark: SparkSession, sf: str) -> DataFrame:
-    """Singular values of the [quantity, price] block (closed form in SQL)."""
-    rows = TB.lineitem_rows(spark, sf, columns=("l_quantity", "l_extendedprice"), keep_keys=False)
-    svd = L.truncated_svd(rows, col="features", compute_u=False)
-    return spark.createDataFrame([(k, float(s)) for k, s in enumerate(svd.s)],
-                                 "k int, s double").select("k", rnd("s", 4).alias("s"))
+    """Singular values of all columns and the bias through the three
+    symmetric functions that SQL knows from G and R: sum s^2 = trace G,
+    sum s^4 = |G|_F^2, prod s = prod diag R (scaled by the row count)."""
+    rows = _li5(spark, sf)
+    sv = L.truncated_svd(rows, col="features", compute_u=False).s
+    n = rows.count()
+    out = (len(sv), float((sv ** 2).sum() / n), float((sv ** 4).sum() / n ** 2), float((sv / n ** 0.5).prod()), bool((sv[:-1] >= sv[1:]).all()))
+    return spark.createDataFrame([out], "n_values int, sum_s2 double, sum_s4 double, prod_s double, descending boolean").select(
+        "n_values", *[rnd(c).alias(c) for c in ("sum_s2", "sum_s4", "prod_s")], "descending")
 
 
 SQL_TRUNCATED_SVD_VALUES = f"""
-WITH r AS ({SQL_ROWS}),
-g AS (SELECT sum(f_quantity * f_quantity) AS a, sum(f_quantity * f_extendedprice) AS b,
-             sum(f_extendedprice * f_extendedprice) AS c FROM r),
-e AS (SELECT (a + c) / 2 AS m, sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) AS h FROM g)
-SELECT 0 AS k, round(sqrt(m + h), 4) + 0.0 AS s FROM e UNION ALL
-SELECT 1 AS k, round(sqrt(m - h), 4) + 0.0 AS s FROM e"""
+WITH {SQL_R5}, n AS (SELECT count(*)::DOUBLE AS n FROM r)
+SELECT CAST({D5} AS INTEGER) AS n_values, round(({' + '.join(f'g_{i}_{i}' for i in range(D5))}) / n, 6) + 0.0 AS sum_s2,
+       round(({' + '.join((f'g_{i}_{j} * g_{i}_{j}' if i == j else f'2.0::DOUBLE * g_{i}_{j} * g_{i}_{j}') for i in range(D5) for j in range(i, D5))}) / (n * n), 6) + 0.0 AS sum_s4,
+       round({' * '.join(f'(r_{i}_{i} / sqrt(n))' for i in range(D5))}, 6) + 0.0 AS prod_s, true AS descending
+FROM ch, n"""
+
+
+def _off_rows(df: DataFrame, rebuilt) -> float:
+    """Rows whose rebuilt vector differs from the original by over 1e-9."""
+    d = F.aggregate(F.zip_with("features", rebuilt, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda m, v: F.greatest(m, v))
+    return float(df.agg(F.count_if(~(d <= F.lit(1e-9)))).first()[0])
+
+
+def _orthogonal(spark, G, n_off: float) -> DataFrame:
+    return _cells_df(spark, G, 6).unionByName(spark.createDataFrame([(-1, -1, n_off)], "i int, j int, value double"))
 
 
 def q_svd_u_gram(spark: SparkSession, sf: str) -> DataFrame:
-    """D7 (U rows): U^T U of the left singular vectors of the 8 leading
-    embedding dims is the identity."""
-    e = embeddings(spark, sf).withColumn("features", V.slice0("features", 0, 8))
-    svd = L.truncated_svd(e, col="features", keep=("vec_id",))
-    G = L.gram_matrix(svd.U, "u", len(svd.s))
-    return _cells_df(spark, G, 6)
+    """D7 (U rows) on whole embeddings: the cells of U^T U, and at (-1, -1)
+    the number of rows that U S V^T does not rebuild."""
+    e = embeddings(spark, sf)
+    svd = L.truncated_svd(e, col="features", keep=("vec_id", "features"))
+    back = L.project_rows(svd.U, "u", (svd.V * svd.s).T, "back", ("vec_id", "features"))
+    return _orthogonal(spark, L.gram_matrix(svd.U, "u", len(svd.s)), _off_rows(back, "back"))
 
 
-SQL_IDENTITY_8 = """
-SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
-       CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value
-FROM (SELECT unnest(range(least(8, (SELECT max(len(embedding)) FROM embeddings)))) AS i),
-     (SELECT unnest(range(least(8, (SELECT max(len(embedding)) FROM embeddings)))) AS j)
-WHERE j >= i"""
+SQL_ORTHOGONAL = """
+WITH d AS (SELECT unnest(range((SELECT max(len(embedding)) FROM embeddings))) AS i)
+SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, CASE WHEN a.i = b.i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value
+FROM d a, d b WHERE b.i >= a.i UNION ALL SELECT -1, -1, 0.0::DOUBLE"""
 
 
 def q_thin_q_gram(spark: SparkSession, sf: str) -> DataFrame:
-    """Explicit thin Q = A R^-1 of the 8 leading embedding dims; its
-    Gram matrix Q^T Q is the identity."""
-    e = embeddings(spark, sf).withColumn("features", V.slice0("features", 0, 8))
-    R = L.tsqr_r(e, "features", 8)
-    Q, _ = L.thin_q(e, R, "features", "q", keep=("vec_id",))
-    G = L.gram_matrix(Q, "q", 8)
-    return _cells_df(spark, G, 6)
+    """D4 on whole embeddings: the cells of Q^T Q for the explicit thin
+    Q = A R^-1, and at (-1, -1) the number of rows that Q R does not
+    rebuild."""
+    e = embeddings(spark, sf)
+    Q_, R = L.thin_q(e, L.tsqr_r(e, "features", EMB_DIM), "features", "q", keep=("vec_id", "features"))
+    back = L.project_rows(Q_, "q", R, "back", ("vec_id", "features"))
+    return _orthogonal(spark, L.gram_matrix(Q_, "q", EMB_DIM), _off_rows(back, "back"))
 
 
 def q_matrix_sum(spark: SparkSession, sf: str) -> DataFrame:
@@ -750,38 +799,33 @@ SELECT CAST(j AS INTEGER) AS j, round(value, 4) + 0.0 AS value FROM (
 
 # ============================================================ G. SVM
 
-def _price_rows(spark, sf):
-    return TB.lineitem_rows(spark, sf, columns=("l_extendedprice",), keep_keys=False)
+# rows of the twins: signed columns a_0.. with the bias last, and an id
+SQL_SIGNED5 = f"SELECT l_orderkey AS id, " + ", ".join(f"label * {c} AS a_{j}" for j, c in enumerate(FEAT_NAMES)) + f", label AS a_4 FROM ({SQL_ROWS})"
+SQL_SIGNED_DOCS = f"SELECT row_id AS id, label * f_chars AS a_0, label * f_words AS a_1, label AS a_2 FROM ({SQL_DOC_ROWS})"
+#: The step of the multiplier for C = 1 and learn rate 0.2, by hand: (floor(1 / 0.2) - 0.5) * 0.2.
+STEP = 0.9
+
+
+def _iterations(m) -> DataFrame:
+    """(iteration, error, w_0..) of a fit."""
+    out = [(it, err, *w) for (it, err), w in zip(m.history_rows, m.weights_path)]
+    d = len(m.weights)
+    return m.history.sparkSession.createDataFrame(out, "iteration int, error double, " + ", ".join(f"w_{j} double" for j in range(d))).select(
+        "iteration", rnd("error", 4).alias("error"), *[rnd(f"w_{j}", 5).alias(f"w_{j}") for j in range(d)])
+
+
+def _sql_iterations(rows: str, d: int, k: int) -> str:
+    sel = " UNION ALL ".join(f"SELECT iteration, error, {', '.join(f'z_{j} AS w_{j}' for j in range(d))} FROM e{t}, v{t}" for t in range(1, k + 1))
+    return ("WITH " + ",\n".join([Q.cte("rows_", rows), *Q.dual_ascent("rows_", d, C, STEP, k)])
+            + f"\nSELECT CAST(iteration AS INTEGER) AS iteration, round(error, 4) + 0.0 AS error, "
+            + ", ".join(f"round(w_{j}, 5) + 0.0 AS w_{j}" for j in range(d)) + f" FROM ({sel})")
 
 
 def q_svm_fixed_iterations(spark: SparkSession, sf: str) -> DataFrame:
-    """G1-G6 + E6: three dual-ascent iterations on lineitem (scaled price +
-    bias, label charge): the L1 change of beta and w after each."""
-    m = SVM.fit_svm(_price_rows(spark, sf), C=C, learn_rate=LEARN_RATE, max_iter=3, tol=0.0)
-    out = [(it, err, w[0], w[1]) for (it, err), w in zip(m.history_rows, m.weights_path)]
-    return spark.createDataFrame(out, "iteration int, error double, w_0 double, w_1 double") \
-        .select("iteration", rnd("error", 4).alias("error"), rnd("w_0", 6).alias("w_0"),
-                rnd("w_1", 6).alias("w_1"))
-
-
-def _sql_svm_iterations(k: int) -> str:
-    step = SVM.step_size(C, LEARN_RATE)
-    c2 = 2.0 * C
-    parts = [f"""r AS (SELECT label * f_extendedprice AS a0, label AS a1 FROM ({SQL_ROWS})),
-g AS (SELECT sum(a0 * a0) + {1.0 / c2!r}::DOUBLE AS m00, sum(a0 * a1) AS m01,
-             sum(a1 * a1) + {1.0 / c2!r}::DOUBLE AS m11 FROM r),
-s0 AS (SELECT a0, a1, 1.0::DOUBLE AS beta FROM r)"""]
-    for t in range(1, k + 1):
-        parts.append(f"""u{t} AS (SELECT sum(a0 * (1.0::DOUBLE + beta)) AS u0, sum(a1 * (1.0::DOUBLE + beta)) AS u1 FROM s{t - 1}),
-v{t} AS (SELECT (m11 * u0 - m01 * u1) / (m00 * m11 - m01 * m01) AS v0,
-                (m00 * u1 - m01 * u0) / (m00 * m11 - m01 * m01) AS v1 FROM g, u{t}),
-s{t} AS (SELECT a0, a1, greatest(beta - {step!r}::DOUBLE * ({c2!r}::DOUBLE * ((1.0::DOUBLE + beta) - (a0 * v0 + a1 * v1))), 0.0::DOUBLE) AS beta,
-                beta AS beta_old FROM s{t - 1}, v{t}),
-e{t} AS (SELECT {t} AS iteration, sum(abs(beta - beta_old)) AS error FROM s{t})""")
-    sel = " UNION ALL ".join(
-        f"SELECT iteration, round(error, 4) + 0.0 AS error, round(v0, 6) + 0.0 AS w_0, "
-        f"round(v1, 6) + 0.0 AS w_1 FROM e{t}, v{t}" for t in range(1, k + 1))
-    return "WITH " + ",\n".join(parts) + "\n" + f"SELECT CAST(iteration AS INTEGER) AS iteration, error, w_0, w_1 FROM ({sel})"
+    """G1-G6 + E6: three dual-ascent iterations on lineitem (all scaled
+    columns + bias, label charge): the L1 change of beta and w after each."""
+    rows = TB.lineitem_rows(spark, sf, keep_keys=False)
+    return _iterations(SVM.fit_svm(rows, C=C, learn_rate=LEARN_RATE, max_iter=3, tol=0.0))
 
 
 def q_svm_newton(spark: SparkSession, sf: str) -> DataFrame:
@@ -791,58 +835,113 @@ def q_svm_newton(spark: SparkSession, sf: str) -> DataFrame:
     train, test = S.train_test_split(rows, SPLIT, SEED, KEYS)
     m = SVM.fit_svm(train, C=C, solver="newton", max_iter=50, tol=1e-9)
     return SVM.evaluate(test, m.weights).select(
-        *[F.lit(round(w, 3)).alias(f"w_{j}") for j, w in enumerate(m.weights)],
-        "correct", "wrong", "accuracy")
+        *[F.lit(round(w, 3) + 0.0).alias(f"w_{j}") for j, w in enumerate(m.weights)],
+        F.lit(m.converged).alias("converged"), "correct", "wrong", "accuracy")
+
+
+NEWTON_PASSES = 30
+SQL_SVM_NEWTON = "WITH " + ",\n".join([
+    Q.cte("p", f"SELECT *, rn <= floor(n * {SPLIT!r}::DOUBLE) AS train FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', '{SEED}', {KEYS_SQL})), {KEYS_SQL}) AS rn, "
+               f"count(*) OVER () AS n FROM ({SQL_ROWS}))"),
+    Q.cte("rows_", "SELECT " + ", ".join(f"label * {c} AS a_{j}" for j, c in enumerate(FEAT_NAMES)) + ", label AS a_4 FROM p WHERE train"),
+    *Q.newton("rows_", D5, C, NEWTON_PASSES),
+    Q.cte("o", f"SELECT label * ({Q.dot(FEAT_NAMES, [f'w_{j}' for j in range(4)])} + w_4) > 0 OR (label < 0 AND {Q.dot(FEAT_NAMES, [f'w_{j}' for j in range(4)])} + w_4 = 0) AS ok "
+               f"FROM p, n{NEWTON_PASSES} WHERE NOT train")]) + f"""
+SELECT {', '.join(f'round(w_{j}, 3) + 0.0 AS w_{j}' for j in range(D5))}, true AS converged, CAST(count_if(ok) AS BIGINT) AS correct,
+       CAST(count_if(NOT ok) AS BIGINT) AS wrong, 100.0::DOUBLE * count_if(ok) / count(*) AS accuracy
+FROM o, n{NEWTON_PASSES} GROUP BY ALL"""
 
 
 def q_svm_fit_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """G6 (dual ascent to convergence) on documents' quality by log1p
-    characters and words; the convergence history (A9)."""
-    rows = TB.document_rows(spark, sf)
-    m = SVM.fit_svm(rows, C=C, learn_rate=LEARN_RATE, max_iter=500, tol=1e-3)
-    return m.history.select("iteration", rnd("error", 4).alias("error"))
+    """G6 + A9 on documents' quality by log1p characters and words: the first
+    five dual-ascent iterations."""
+    return _iterations(SVM.fit_svm(TB.document_rows(spark, sf), C=C, learn_rate=LEARN_RATE, max_iter=5, tol=0.0))
+
+
+def q_svm_converged(spark: SparkSession, sf: str) -> DataFrame:
+    """G6 + A9/A10 + E6: dual ascent run until it converges; the history is
+    complete, falls at the end below the tolerance, and w meets the Newton
+    optimum of SQL."""
+    m = SVM.fit_svm(TB.document_rows(spark, sf), C=C, learn_rate=LEARN_RATE, max_iter=500, tol=1e-6)
+    its = [it for it, _ in m.history_rows]
+    return spark.createDataFrame([(m.converged, its == list(range(1, m.iterations + 1)), m.history_rows[-1][1] < 1e-6, *map(float, m.weights))],
+                                 "converged boolean, complete boolean, below_tolerance boolean, w_0 double, w_1 double, w_2 double").select(
+        "converged", "complete", "below_tolerance", *[rnd(f"w_{j}", 3).alias(f"w_{j}") for j in range(3)])
+
+
+SQL_SVM_CONVERGED = "WITH " + ",\n".join([Q.cte("rows_", SQL_SIGNED_DOCS), *Q.newton("rows_", 3, C, NEWTON_PASSES)]) + f"""
+SELECT true AS converged, true AS complete, true AS below_tolerance, {', '.join(f'round(w_{j}, 3) + 0.0 AS w_{j}' for j in range(3))} FROM n{NEWTON_PASSES}"""
 
 
 def q_svm_fit_embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    """G6 on all 64 embedding dims + bias (class 0 = +1): the wide-design
-    path (Gram by numpy partials, replayed dual steps); history."""
+    """G2-G6 on all 64 embedding dims + bias (class 0 = +1), the wide-design
+    path: after one iteration w solves M w = u with u = 2 A^T e; M w is
+    rebuilt from a Gram matrix of its own and compared with SQL's u."""
     rows = TB.embedding_rows(spark, sf).drop("class_label")
-    m = SVM.fit_svm(rows, C=C, learn_rate=LEARN_RATE, max_iter=500, tol=1e-3)
-    return m.history.select("iteration", rnd("error", 4).alias("error"))
+    m = SVM.fit_svm(rows, C=C, learn_rate=LEARN_RATE, max_iter=1, tol=0.0)
+    G = L.gram_matrix(RW.sign_rows(RW.add_bias(rows)), "features", EMB_DIM + 1)
+    u = (G + np.eye(EMB_DIM + 1) / (2.0 * C)) @ m.weights
+    return spark.createDataFrame([(j, float(x)) for j, x in enumerate(u)], "j int, u double").select("j", rnd("u", 5).alias("u"))
+
+
+SQL_SVM_FIT_EMBEDDINGS = """
+WITH e AS (SELECT CASE WHEN label = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+c AS (SELECT y, unnest(range(len(x) + 1)) AS j, unnest(list_append(x, 1.0::DOUBLE)) AS v FROM e)
+SELECT CAST(j AS INTEGER) AS j, round(sum(2.0::DOUBLE * y * v), 5) + 0.0 AS u FROM c GROUP BY j"""
 
 
 def q_kkt_report(spark: SparkSession, sf: str) -> DataFrame:
-    """KKT gap of the dual-ascent solution on documents' quality."""
+    """G9 + G7: after five dual-ascent iterations on documents' quality the
+    KKT gap, smallest beta and support count, and w = A^T alpha rebuilt from
+    the dual values."""
     rows = TB.document_rows(spark, sf)
-    m = SVM.fit_svm(rows, C=C, learn_rate=LEARN_RATE, max_iter=500, tol=1e-3)
-    return SVM.kkt_report(m.state, rows, m.weights, C)
+    m = SVM.fit_svm(rows, C=C, learn_rate=LEARN_RATE, max_iter=5, tol=0.0)
+    w = SVM.weights_from_alpha(rows.join(m.state.select("row_id", "alpha"), "row_id"))
+    return SVM.kkt_report(m.state, rows, m.weights, C).select(
+        rnd("max_alpha_gap", 5).alias("max_alpha_gap"), rnd("min_beta", 5).alias("min_beta"), "n_support",
+        *[rnd(F.lit(float(x)), 5).alias(f"w_{j}") for j, x in enumerate(w)])
+
+
+SQL_KKT_REPORT = "WITH " + ",\n".join([Q.cte("rows_", SQL_SIGNED_DOCS), *Q.dual_ascent("rows_", 3, C, STEP, 5)]) + f"""
+SELECT round(max(abs(alpha - {Q.lit(2 * C)} * greatest(1.0::DOUBLE - {Q.dot(['a_0', 'a_1', 'a_2'], ['z_0', 'z_1', 'z_2'])}, 0.0::DOUBLE))), 5) + 0.0 AS max_alpha_gap,
+       round(min(beta), 5) + 0.0 AS min_beta, CAST(count_if(alpha > 0.001) AS BIGINT) AS n_support,
+       {', '.join(f'round(sum(alpha * a_{j}), 5) + 0.0 AS w_{j}' for j in range(3))}
+FROM s5, v5"""
 
 
 def q_kmeans_fit(spark: SparkSession, sf: str) -> DataFrame:
-    """H1: MLlib k-means (k = 4, 10 iterations, seeded) on the embeddings;
-    cluster sizes."""
+    """H1: k-means (k = 4, 10 Lloyd iterations from seeded rows) on the
+    embeddings; cluster sizes and centers as cells (j = -1: the size)."""
     from ..operators import cluster as CL
     e = embeddings(spark, sf)
-    centers = CL.kmeans_centers(e, 4, 10, SEED)
-    assigned = CL.assign_clusters(e, centers)
-    return A.cluster_sizes(assigned)
+    centers = CL.kmeans_centers(e, K_MEANS, KMEANS_ITER, SEED, id_cols=("vec_id",))
+    sizes = A.cluster_sizes(CL.assign_clusters(e, centers)).select("cluster", F.lit(-1).alias("j"), F.col("n").cast("double").alias("value"))
+    cells = [(c, j, float(v)) for c, row in enumerate(centers) for j, v in enumerate(row)]
+    return spark.createDataFrame(cells, "cluster int, j int, value double").select("cluster", "j", rnd("value").alias("value")).unionByName(sizes)
+
+
+K_MEANS, KMEANS_ITER = 4, 10
+SQL_KM = ",\n".join([Q.cte("emb", "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"),
+                     *Q.kmeans("emb", K_MEANS, SEED, KMEANS_ITER)])
+SQL_KMEANS_FIT = f"""
+WITH {SQL_KM}
+SELECT cluster, CAST(j AS INTEGER) AS j, round(value, 6) + 0.0 AS value FROM (SELECT cluster, unnest(range(len(c))) AS j, unnest(c) AS value FROM km{KMEANS_ITER})
+UNION ALL SELECT cluster, -1, count(*)::DOUBLE FROM ka{KMEANS_ITER} GROUP BY cluster"""
 
 
 # ============================================================ H. MEKA
 
 def q_nystrom_features(spark: SparkSession, sf: str) -> DataFrame:
-    """H5: per-cluster Nystrom features of the embeddings (clusters = nearest
-    class centroid), summarised per cluster by the feature norms."""
+    """H5 at rank 2 with two landmarks per cluster (nearest class centroid):
+    the squared norm of every row's features is E W^-1 E^T."""
     from ..operators import nystrom as NY
     from ..operators import cluster as CL
     e = embeddings(spark, sf).withColumnRenamed("vec_id", "row_id")
-    cen = centroid_matrix(spark, sf)
-    assigned = CL.assign_clusters(e, cen)
-    ranks = CL.rank_allocation(A.cluster_sizes(assigned), TARGET_RANK_CLASSES)
-    feats = NY.nystrom_features(assigned, ranks, GAMMA, SEED)
-    return feats.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("n"),
-        rnd(F.sum(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("sum_sq"))
+    assigned = CL.assign_clusters(e, centroid_matrix(spark, sf)).drop("sq_dist")
+    ranks = A.rank_offsets(A.cluster_sizes(assigned).withColumn("rank", F.lit(2)), "cluster", "rank", "col_offset")
+    feats = NY.nystrom_features(assigned, ranks, GAMMA, SEED, factor=1)
+    return feats.select(F.col("row_id").alias("vec_id"), "cluster", F.size("u").alias("rank"),
+                        rnd(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x)).alias("phi_sq"))
 
 
 def q_nystrom_rank1(spark: SparkSession, sf: str) -> DataFrame:
@@ -873,27 +972,86 @@ k AS (SELECT a.vec_id, a.cluster,
 SELECT vec_id, cluster, round((e1 + e2) * (e1 + e2) / (2.0::DOUBLE * (1.0::DOUBLE + w)), 6) + 0.0 AS phi_sq FROM k"""
 
 
-def q_meka_features(spark: SparkSession, sf: str) -> DataFrame:
-    """H6-H8 + H10: MEKA features of the embeddings (link power +0.5) and
-    the mean absolute kernel approximation error on a seeded pair sample."""
+# two landmarks per cluster: E W^-1 E^T with W = [[1, w], [w, 1]]
+SQL_NYSTROM_FEATURES = SQL_NYSTROM_RANK1[:SQL_NYSTROM_RANK1.rindex("SELECT vec_id, cluster")] + """
+SELECT vec_id, cluster, CAST(2 AS INTEGER) AS rank, round((e1 * e1 - 2.0::DOUBLE * w * e1 * e2 + e2 * e2) / (1.0::DOUBLE - w * w), 6) + 0.0 AS phi_sq FROM k"""
+
+
+def _meka(spark, sf):
     from ..plans import meka as MK
     e = embeddings(spark, sf).withColumnRenamed("vec_id", "row_id")
-    res = MK.meka_features(e, n_clusters=4, target_rank=TARGET_RANK, gamma=GAMMA, eta=ETA,
-                           seed=SEED, link_power=0.5, kmeans_iter=10)
-    err = MK.approximation_error(res.features, e, GAMMA, SEED, n_pairs=2000)
-    return err
+    return e, MK.meka_features(e, n_clusters=K_MEANS, target_rank=TARGET_RANK, gamma=GAMMA, eta=ETA,
+                               seed=SEED, link_power=0.5, kmeans_iter=KMEANS_ITER)
+
+
+#: Bound on the mean kernel error of the pair sample at rank 20 and gamma 1 on the embeddings.
+MEKA_ERROR = 0.1
+
+
+def q_meka_features(spark: SparkSession, sf: str) -> DataFrame:
+    """H4-H8 + H10: per cluster the size, rank and column offset of the MEKA
+    map (link power +0.5); whether its rows are as wide as the target rank,
+    the link matrix is symmetric with identity blocks on its diagonal and
+    exactly the linked pairs' blocks besides, and the kernel error on a
+    seeded pair sample stays within bound."""
+    from ..operators import cluster as CL
+    from ..plans import meka as MK
+    e, mk = _meka(spark, sf)
+    err = MK.approximation_error(mk, e, GAMMA, SEED, n_pairs=2000).first()["mean_abs_error"]
+    ranks = {r["cluster"]: (r["col_offset"], r["rank"]) for r in mk.ranks.collect()}
+    pairs = set(CL.linked_pairs(mk.centers, GAMMA, ETA))
+
+    def block(i, j):
+        (a, m), (b, n) = ranks[i], ranks[j]
+        return mk.link[a:a + m, b:b + n]
+    ok = bool(np.allclose(mk.link, mk.link.T)) and all(np.allclose(block(i, i), np.eye(ranks[i][1])) for i in ranks) and all(
+        bool(np.abs(block(i, j)).max() > 0) == ((i, j) in pairs) for i in ranks for j in ranks if i < j)
+    rows = mk.features.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.size("features")).alias("width"),
+                                              F.count_if(F.exists("features", F.isnan)).alias("n_nan"))
+    return rows.join(mk.ranks, "cluster").select(
+        "cluster", F.col("n_rows").alias("n"), "rank", "col_offset", "width", "n_nan",
+        F.lit(ok).alias("link_ok"), F.lit(bool(err is not None and err <= MEKA_ERROR)).alias("error_ok"))
+
+
+# clusters renumbered by size, then rank rule and offsets
+SQL_MEKA_RANKS = f"""sz AS (SELECT CAST(row_number() OVER (ORDER BY count(*), cluster) - 1 AS INTEGER) AS cluster, count(*) AS n FROM ka{KMEANS_ITER} GROUP BY ka{KMEANS_ITER}.cluster),
+r0 AS (SELECT cluster, n, CAST(ceil({TARGET_RANK} * n / (sum(n) OVER ())::DOUBLE) AS INTEGER) AS r, max(cluster) OVER () AS last FROM sz),
+r1 AS (SELECT cluster, n, CASE WHEN cluster = last THEN r - (sum(r) OVER () - {TARGET_RANK}) ELSE r END AS r FROM r0),
+r2 AS (SELECT cluster, n, CAST(least(r, n) AS INTEGER) AS rank FROM r1)"""
+SQL_MEKA_FEATURES = f"""
+WITH {SQL_KM}, {SQL_MEKA_RANKS}
+SELECT cluster, n, rank, CAST(coalesce(sum(rank) OVER (ORDER BY cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS col_offset,
+       CAST((sum(rank) OVER ()) AS INTEGER) AS width, CAST(0 AS BIGINT) AS n_nan, true AS link_ok, true AS error_ok
+FROM r2"""
 
 
 def q_meka_svm(spark: SparkSession, sf: str) -> DataFrame:
     """H9 -> G6: MEKA data set of the embeddings (class 0 vs rest), seeded
-    80/20 split, dual-ascent SVM, hold-out confusion."""
+    80/20 split, SVM on the train rows: sizes of both sides, class counts of
+    the train side, width, and whether the hold-out confusion covers the test
+    side and the trained model is at its optimum."""
     from ..plans import meka as MK
     rows = TB.embedding_rows(spark, sf)
-    ds = MK.meka_dataset(rows, n_clusters=4, target_rank=TARGET_RANK, gamma=GAMMA, eta=ETA,
-                         split=SPLIT, seed=SEED, link_power=0.5, kmeans_iter=10)
-    m = SVM.fit_svm(ds.train, C=C, learn_rate=LEARN_RATE, max_iter=200, tol=1e-3,
-                    tol_mode="l1")
-    return SVM.evaluate(ds.test, m.weights)
+    ds = MK.meka_dataset(rows, n_clusters=K_MEANS, target_rank=TARGET_RANK, gamma=GAMMA, eta=ETA,
+                         split=SPLIT, seed=SEED, link_power=0.5, kmeans_iter=KMEANS_ITER)
+    train = ds.train.cache()
+    m = SVM.fit_svm(train, C=C, solver="newton", max_iter=50, tol=1e-9)
+    gap = SVM.kkt_report(m.state, train, m.weights, C).first()["max_alpha_gap"]
+    conf = SVM.evaluate(ds.test, m.weights).first()
+    got = train.agg(F.count(F.lit(1)), F.count_if(F.col("label") > 0), F.max(F.size("features"))).first()
+    train.unpersist()
+    n_test = conf["correct"] + conf["wrong"]
+    return spark.createDataFrame([(got[0], got[1], n_test, got[2], conf["correct_pos"] + conf["wrong_neg"] + conf["correct_neg"] + conf["wrong_pos"] == n_test,
+                                   bool(m.converged and gap < 1e-6))],
+                                 "n_train long, n_train_pos long, n_test long, width int, confusion_ok boolean, optimal boolean")
+
+
+SQL_MEKA_SVM = f"""
+WITH {SQL_KM}, {SQL_MEKA_RANKS},
+p AS (SELECT label, rn <= floor(n * {SPLIT!r}::DOUBLE) AS train FROM
+      (SELECT label, row_number() OVER (ORDER BY md5(concat_ws(':', '{SEED}', vec_id)), vec_id) AS rn, count(*) OVER () AS n FROM embeddings))
+SELECT CAST(count_if(train) AS BIGINT) AS n_train, CAST(count_if(train AND label = 0) AS BIGINT) AS n_train_pos, CAST(count_if(NOT train) AS BIGINT) AS n_test,
+       CAST((SELECT sum(rank) FROM r2) AS INTEGER) AS width, true AS confusion_ok, true AS optimal FROM p"""
 
 
 QUERIES = {
@@ -901,6 +1059,11 @@ QUERIES = {
     "row_positions": q_row_positions,
     "head_rows": q_head_rows,
     "count_check": q_count_check,
+    "labeled_lines": q_labeled_lines,
+    "label_lines": q_label_lines,
+    "gather_rows": q_gather_rows,
+    "kth_smallest": q_kth_smallest,
+    "svm_converged": q_svm_converged,
     "signed_rows": q_signed_rows,
     "document_rows": q_document_rows,
     "scale_rows": q_scale_rows,
@@ -928,7 +1091,7 @@ QUERIES = {
     "gram_embeddings": q_gram_embeddings,
     "tsqr_r": q_tsqr_r,
     "apply_qt": q_apply_qt,
-    "apply_q_roundtrip": q_apply_q_roundtrip,
+    "apply_q": q_apply_q,
     "truncated_svd_values": q_truncated_svd_values,
     "svd_u_gram": q_svd_u_gram,
     "thin_q_gram": q_thin_q_gram,
@@ -952,6 +1115,19 @@ ORACLE_SQL = {
     "row_positions": SQL_ROW_POSITIONS,
     "head_rows": SQL_HEAD_ROWS,
     "count_check": SQL_COUNT_CHECK,
+    "labeled_lines": SQL_LABELED_LINES,
+    "label_lines": SQL_LABEL_LINES,
+    "gather_rows": SQL_GATHER_ROWS,
+    "kth_smallest": SQL_KTH_SMALLEST,
+    "svm_converged": SQL_SVM_CONVERGED,
+    "svm_newton": SQL_SVM_NEWTON,
+    "svm_fit_documents": _sql_iterations(SQL_SIGNED_DOCS, 3, 5),
+    "svm_fit_embeddings": SQL_SVM_FIT_EMBEDDINGS,
+    "kkt_report": SQL_KKT_REPORT,
+    "kmeans_fit": SQL_KMEANS_FIT,
+    "nystrom_features": SQL_NYSTROM_FEATURES,
+    "meka_features": SQL_MEKA_FEATURES,
+    "meka_svm": SQL_MEKA_SVM,
     "signed_rows": SQL_SIGNED_ROWS,
     "document_rows": SQL_DOCUMENT_ROWS,
     "scale_rows": SQL_SCALE_ROWS,
@@ -979,13 +1155,13 @@ ORACLE_SQL = {
     "gram_embeddings": SQL_GRAM_EMBEDDINGS,
     "tsqr_r": SQL_TSQR_R,
     "apply_qt": SQL_APPLY_QT,
-    "apply_q_roundtrip": SQL_APPLY_Q_ROUNDTRIP,
+    "apply_q": SQL_APPLY_Q,
     "truncated_svd_values": SQL_TRUNCATED_SVD_VALUES,
-    "svd_u_gram": SQL_IDENTITY_8,
-    "thin_q_gram": SQL_IDENTITY_8,
+    "svd_u_gram": SQL_ORTHOGONAL,
+    "thin_q_gram": SQL_ORTHOGONAL,
     "matrix_sum": SQL_MATRIX_SUM,
     "norms": SQL_NORMS,
     "rmatvec": SQL_RMATVEC,
-    "svm_fixed_iterations": _sql_svm_iterations(3),
+    "svm_fixed_iterations": _sql_iterations(SQL_SIGNED5, D5, 3),
     "nystrom_rank1": SQL_NYSTROM_RANK1,
 }

@@ -56,29 +56,42 @@ def parse_dense(lines: DataFrame, n_cols: int | None, sep: str = " ", strict: bo
     return lines.select(*keep, checked.alias("features"))
 
 
-def read_labeled_rows(spark: SparkSession, path: str, n_cols: int, sep: str = " ") -> DataFrame:
-    """A1: the first n_cols values; the last of them is the label."""
-    dense = parse_dense(read_lines(spark, path), n_cols, sep, strict=False)
+def labeled_rows(lines: DataFrame, n_cols: int, sep: str = " ") -> DataFrame:
+    """A1 on lines ``(row_id, value)``: the first n_cols values; the last of
+    them is the label."""
+    dense = parse_dense(lines, n_cols, sep, strict=False)
     return dense.select("row_id", F.slice("features", 1, n_cols - 1).alias("features"),
                         F.element_at("features", n_cols).alias("label"))
 
 
-def read_dense_rows(spark: SparkSession, path: str, n_cols: int, sep: str = " ",
-                    strict: bool = True, append_bias: bool = False) -> DataFrame:
+def dense_rows(lines: DataFrame, n_cols: int, sep: str = " ",
+               strict: bool = True, append_bias: bool = False) -> DataFrame:
     """A2 (strict width) / A4 (hold-out: ``sep=','``, first n_cols values,
-    then a constant 1.0 appended with ``append_bias``)."""
-    dense = parse_dense(read_lines(spark, path), n_cols, sep, strict=strict)
+    then a constant 1.0 appended with ``append_bias``) on lines."""
+    dense = parse_dense(lines, n_cols, sep, strict=strict)
     if append_bias:
         dense = dense.withColumn("features", F.concat("features", F.array(F.lit(1.0))))
     return dense
 
 
-def read_labels(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
-    """A3: the first token of each line as a double label."""
-    lines = read_lines(spark, path)
+def first_labels(lines: DataFrame, sep: str = " ") -> DataFrame:
+    """A3 on lines: the first token of each as a double label."""
     return lines.select("row_id", _tokens(sep)[0].cast("double").alias("label"))
 
 
+def read_labeled_rows(spark: SparkSession, path: str, n_cols: int, sep: str = " ") -> DataFrame:
+    return labeled_rows(read_lines(spark, path), n_cols, sep)
+
+
+def read_dense_rows(spark: SparkSession, path: str, n_cols: int, sep: str = " ",
+                    strict: bool = True, append_bias: bool = False) -> DataFrame:
+    return dense_rows(read_lines(spark, path), n_cols, sep, strict, append_bias)
+
+
+def read_labels(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
+    return first_labels(read_lines(spark, path), sep)
+
+
 def check_count(df: DataFrame, expected: int, what: str = "rows") -> int:
     """A5: raise if a source has more or fewer rows than declared."""
     n = df.count()
