@@ -28,6 +28,7 @@ step halving: one aggregate of masked Gram sums per pass, same optimum.
 from __future__ import annotations
 
 import math
+import uuid
 from typing import NamedTuple
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import checkpoint_dir, ship_package
+from ..session import checkpoint_dir, remove_folder, ship_package
 from . import aggregates as A
 from . import linalg as L
 
@@ -153,8 +154,6 @@ def fit_svm(rows: DataFrame, C: float = 1.0, learn_rate: float = 0.2, max_iter:
         M = G + np.eye(D) / (2.0 * C)
         Lc = np.linalg.cholesky(M)
         u = np.array([tot[f"u{j}"] for j in range(D)])
-        ckpt = checkpoint_dir(spark)  # noqa: F841  (validates the setting up front)
-
         return _dual_replay(design, D, n, u, Lc, C, step, max_iter, tol, tol_mode,
                             checkpoint_every, spark)
     finally:
@@ -215,6 +214,7 @@ def _dual_replay(design, D, n, u, Lc, C, step, max_iter, tol, tol_mode, checkpoi
     sc = spark.sparkContext
     state = design.select(F.col("row_id").cast("long").alias("row_id"), *cols,
                           F.lit(1.0).alias("beta"))
+    folder, run, before = checkpoint_dir(spark), uuid.uuid4().hex, None
     owned = None                          # the persisted checkpoint (with alpha)
     since: list[np.ndarray] = []          # v's applied since that checkpoint
     history, path, converged, it = [], [], False, 0
@@ -226,13 +226,15 @@ def _dual_replay(design, D, n, u, Lc, C, step, max_iter, tol, tol_mode, checkpoi
         since.append(v)
         vs = sc.broadcast(np.asarray(since))          # k x D doubles, k <= every
         if len(since) >= every:
-            # materialise beta: reliable checkpoint into the shared folder
-            nxt = _persist(state.mapInArrow(_replay_batches(D, C, step, vs, "rows"),
-                                            rows_schema).checkpoint(eager=True))
+            # materialise beta: a table in the shared folder; the one before it goes
+            table = f"{folder}/svm-{run}-{it}"
+            state.mapInArrow(_replay_batches(D, C, step, vs, "rows"), rows_schema).write.parquet(table)
+            nxt = _persist(spark.read.schema(rows_schema).parquet(table))
             s = _state_sums(nxt, D, True)
             if owned is not None:
                 owned.unpersist()
-            owned, since = nxt, []
+                remove_folder(spark, before)
+            owned, before, since = nxt, table, []
             state = nxt.select("row_id", *cols, "beta")
         else:   # replay only: reads the rows, writes nothing, returns sums
             part = state.mapInArrow(_replay_batches(D, C, step, vs, "sums"), sums_schema)

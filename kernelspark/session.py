@@ -50,7 +50,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
-    if sc.master.startswith("local"):
+    if sc.master == "local" or sc.master.startswith("local["):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ks-ckpt-"))
         return sc.getCheckpointDir()
     raise ValueError(
@@ -58,6 +58,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "folder (e.g. on HDFS or object storage) to checkpoint their state")
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 _SHIPPED: set = set()
 
 
