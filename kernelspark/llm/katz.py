@@ -44,17 +44,20 @@ START = np.uint64(0xC2B2AE3D27D4EB4F)
 
 # ---- packing: sorted keys as deltas, all arrays compressed -------------------------------------------------------
 
+_ZSTD = pa.Codec("zstd", compression_level=3)
+
+
 def _pack(a: np.ndarray) -> bytes:
     """Bytes of an array, by byte planes, compressed."""
     planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""
-    return len(a).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+    return len(a).to_bytes(8, "little") + _ZSTD.compress(planes, asbytes=True)
 
 
 def _unpack(b: bytes, kind) -> np.ndarray:
     n, size = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
     if not n:
         return np.zeros(0, kind)
-    planes = pa.decompress(b[8:], decompressed_size=n * size, codec="zstd", asbytes=True)
+    planes = _ZSTD.decompress(b[8:], decompressed_size=n * size, asbytes=True)
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(kind).ravel()
 
 
@@ -273,7 +276,8 @@ class _View:
             mine = sorted((a for a in answers if a["m"] == m), key=lambda a: a["p"])
             kinds = (np.float64, np.float64) if m >= _OF_HISTORY else (np.int64, np.uint8)
             self.x[m] = np.concatenate([_unpack(a["x"], kinds[0]) for a in mine])
-            self.y[m] = np.concatenate([_unpack(a["y"], kinds[1]) for a in mine])
+            if all(a["y"] is not None for a in mine):
+                self.y[m] = np.concatenate([_unpack(a["y"], kinds[1]) for a in mine])
 
     def counts(self, m: int) -> np.ndarray:
         """Training count of the (m+1)-gram of every token that has one."""
@@ -296,13 +300,13 @@ class _View:
         return p
 
 
-_SUMS = "block string, m int, p int, keys binary, c binary, dc binary, low binary"
+_SUMS = "block string, m int, p int, keys binary, c binary, rare binary, low binary"
 
 
 def _history_sums(model: KatzModel, m: int, parts: int):
     """Per history of a block: what the (m+1)-grams that the block owns add to
-    the count, the discounted count and the lower order's mass of the words
-    seen after it."""
+    the count, to the numbers of n-grams with counts 1..DISCOUNT_TO, and to
+    the lower order's mass of the words seen after it."""
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         out, given = [], answers.to_pylist()
         for row in blocks.to_pylist():
@@ -312,34 +316,41 @@ def _history_sums(model: KatzModel, m: int, parts: int):
                 continue
             one = np.unique(v.b.keys[m][ok], return_index=True)[1][v.y[m].astype(bool)]     # a token for each owned n-gram
             h, at = np.unique(v.b.hist[m][ok], return_inverse=True)
-            c = v.counts(m)[one]
-            sums = [np.bincount(at[one], weights=w, minlength=len(h))
-                    for w in (c, model.factor(m, c) * c, v.probability(m - 1)[ok][one])]
+            c, at = v.counts(m)[one], at[one]
+            total = np.bincount(at, weights=c, minlength=len(h)).astype(np.int64)
+            low = np.bincount(at, weights=v.probability(m - 1)[ok][one], minlength=len(h))
+            rare = np.stack([np.bincount(at[c == r], minlength=len(h)) for r in range(1, DISCOUNT_TO + 1)]).astype(np.uint32)
             cut = _ranges(h, parts)
-            out += [(row["block"], m, p, _pack_sorted(h[i:j]), *[_pack(s[i:j]) for s in sums])
+            out += [(row["block"], m, p, _pack_sorted(h[i:j]), _pack(total[i:j]), _pack(rare[:, i:j].ravel()), _pack(low[i:j]))
                     for p, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
         return pa.Table.from_batches([_batch(_SUMS, out)])
     return run
 
 
-def _backoff(t: pa.Table) -> pa.Table:
+def _backoff(model: KatzModel):
     """One key range of histories: divisor and alpha of each, answered to the
     blocks in the order asked."""
-    rows = sorted(t.to_pylist(), key=lambda r: r["block"])
-    asked = [_unpack_sorted(r["keys"]) for r in rows]
-    lens = np.cumsum([0, *map(len, asked)])
-    every, at = np.unique(np.concatenate(asked), return_inverse=True)
-    c, dc, low = (np.bincount(at, weights=np.concatenate([_unpack(r[k], np.float64) for r in rows]), minlength=len(every))
-                  for k in ("c", "dc", "low"))
-    rest = 1 - low                                  # the lower order's mass of the words not seen
-    divisor = np.where(c - dc > 1e-9 * np.maximum(c, 1), c, c + 1)
-    divisor = np.where(rest > 1e-12, divisor, np.maximum(dc, 1e-300))       # every word seen: nothing to back off to
-    alpha = np.where(rest > 1e-12, (divisor - dc) / divisor / np.maximum(rest, 1e-12), 0.0)
-    divisor, alpha = np.where(c > 0, divisor, 1.0), np.where(c > 0, alpha, 1.0)     # history never seen
-    m, p = rows[0]["m"] + _OF_HISTORY, rows[0]["p"]
-    return pa.Table.from_batches([_batch(_ANSWER, [
-        (r["block"], m, p, None, _pack(divisor[at[i:j]]), _pack(alpha[at[i:j]]), None)
-        for r, i, j in zip(rows, lens, lens[1:])])])
+    def run(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: r["block"])
+        m, p = rows[0]["m"], rows[0]["p"]
+        asked = [_unpack_sorted(r["keys"]) for r in rows]
+        lens = np.cumsum([0, *map(len, asked)])
+        every, at = np.unique(np.concatenate(asked), return_inverse=True)
+
+        def total(parts: list[np.ndarray]) -> np.ndarray:
+            return np.bincount(at, weights=np.concatenate(parts), minlength=len(every))
+        c, low = total([_unpack(r["c"], np.int64) for r in rows]), total([_unpack(r["low"], np.float64) for r in rows])
+        rare = [_unpack(r["rare"], np.uint32).reshape(DISCOUNT_TO, -1) for r in rows]
+        freed = sum(((1 - model.d[m][k]) * k * total([x[k - 1] for x in rare]) for k in range(1, DISCOUNT_TO + 1)))
+        rest = 1 - low                                  # the lower order's mass of the words not seen
+        divisor = np.where(freed > 1e-9 * np.maximum(c, 1), c, c + 1)
+        divisor = np.where(rest > 1e-12, divisor, np.maximum(c - freed, 1e-300))    # every word seen: nothing to back off to
+        alpha = np.where(rest > 1e-12, (divisor - c + freed) / divisor / np.maximum(rest, 1e-12), 0.0)
+        divisor, alpha = np.where(c > 0, divisor, 1.0), np.where(c > 0, alpha, 1.0)     # history never seen
+        return pa.Table.from_batches([_batch(_ANSWER, [
+            (r["block"], m + _OF_HISTORY, p, None, _pack(divisor[at[i:j]]), _pack(alpha[at[i:j]]), None)
+            for r, i, j in zip(rows, lens, lens[1:])])])
+    return run
 
 
 def _scores(model: KatzModel, names: list[str]):
@@ -394,13 +405,15 @@ def train_katz(docs: DataFrame, training: Column, text: str = "text", doc_id: st
     model = model_from_stats(order, {r["m"]: list(r["stats"]) for r in totals})
     histories: list[DataFrame] = []
     for m in range(1, order):
-        sums = _with_answers(blocks, answers, histories).applyInArrow(_history_sums(model, m, parts), _SUMS)
-        histories.append(shared_table(sums.groupBy("m", "p").applyInArrow(_backoff, _ANSWER), "katz-histories"))
+        sums = _with_answers(blocks, answers, histories, m).applyInArrow(_history_sums(model, m, parts), _SUMS)
+        histories.append(shared_table(sums.groupBy("m", "p").applyInArrow(_backoff(model), _ANSWER), "katz-histories"))
     return KatzTables(model, blocks, answers, histories)
 
 
-def _with_answers(blocks: DataFrame, answers: DataFrame, histories: list[DataFrame]):
-    given = answers.filter("block IS NOT NULL").select("block", "m", "p", "x", "y")
+def _with_answers(blocks: DataFrame, answers: DataFrame, histories: list[DataFrame], owners: int | None = None):
+    """Blocks beside their answers; owner marks only of the order ``owners``."""
+    mark = F.when(F.col("m") == F.lit(owners), F.col("y")).alias("y")
+    given = answers.filter("block IS NOT NULL").select("block", "m", "p", "x", mark)
     for h in histories:
         given = given.unionByName(h.select("block", "m", "p", "x", "y"))
     return blocks.groupBy("block").cogroup(given.groupBy("block"))

@@ -124,3 +124,131 @@ SELECT doc_id, size, source_size, target,
        (epochs + CASE WHEN pre < budget - epochs * source_size THEN 1 ELSE 0 END)::BIGINT AS copies
 FROM p
 """
+
+
+def _sql_divergence() -> str:
+    """Twin of op6: the same histograms, references and distances from
+    regular expressions and grouped sums."""
+    v = divergence
+    sets = ["a-z", "A-Z", "0-9", r"\x09-\x0D ", ".,;:?", "!", "#*$%&", "|<>"]
+    count = [f"length(t) - length(regexp_replace(t, '[{c}]', '', 'g'))" for c in sets]
+    other = "length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g'))"
+    classes = ", ".join([*count, f"{other} - ({' + '.join(count)})", f"length(t) - {other}"])
+    word = r"[^\x20\x09-\x0D]+"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (
+  SELECT rid, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM (SELECT rid, regexp_extract_all(t, '{word}') AS ws FROM d)),
+g AS (
+  SELECT rid, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS gram FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
+hit AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM g WHERE gram IS NOT NULL) WHERE n > 1),
+rep AS (
+  SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM hit, range(3) r(k) GROUP BY rid),
+ln AS (
+  SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{word}') GROUP BY rid),
+b AS MATERIALIZED (
+  SELECT d.rid, doc_id, lang, len(regexp_extract_all(t, '{word}'))::BIGINT AS n_words,
+         length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, [{classes}] AS h
+  FROM d LEFT JOIN ln USING (rid) LEFT JOIN rep USING (rid)),
+f AS MATERIALIZED (
+  SELECT *, n_words < {v.MIN_WORDS} OR 100 * n_repeat_words > {v.MAX_REPEAT} * n_words AS base_failed FROM b),
+lw AS MATERIALIZED (
+  SELECT rid, translate(word, '{upper}', '{lower}') AS word FROM w),
+top AS MATERIALIZED (
+  SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS k FROM
+   (SELECT lang, word, count(DISTINCT rid) AS n FROM lw JOIN d USING (rid) GROUP BY lang, word)
+  QUALIFY k <= {v.COMMON}),
+bins AS MATERIALIZED (
+  SELECT rid, lang, base_failed, 0 AS kind, unnest(range(len(h))) AS k, unnest(h)::DOUBLE AS n, list_sum(h)::DOUBLE AS total FROM f
+  UNION ALL
+  SELECT f.rid, f.lang, base_failed, 1, q.k, coalesce(c.n, 0), n_words
+  FROM f, range(1, {v.COMMON} + 1) q(k) LEFT JOIN
+   (SELECT rid, t.k, count(*) AS n FROM lw JOIN d USING (rid) JOIN top t ON t.lang IS NOT DISTINCT FROM d.lang AND t.word = lw.word GROUP BY rid, t.k) c
+   ON c.rid = f.rid AND c.k = q.k
+  UNION ALL
+  SELECT f.rid, f.lang, base_failed, 1, 0, n_words - coalesce(c.n, 0), n_words
+  FROM f LEFT JOIN (SELECT rid, count(*) AS n FROM lw JOIN d USING (rid) JOIN top t ON t.lang IS NOT DISTINCT FROM d.lang AND t.word = lw.word GROUP BY rid) c
+   ON c.rid = f.rid),
+sh AS MATERIALIZED (
+  SELECT *, CASE WHEN total > 0 THEN n / total ELSE 0 END AS p FROM bins),
+ref AS MATERIALIZED (
+  SELECT lang, kind, k, avg(p) AS q FROM sh WHERE NOT base_failed GROUP BY lang, kind, k),
+js AS (
+  SELECT rid, sh.kind, max(total) AS total,
+         sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2 AS js
+  FROM sh JOIN ref ON sh.lang IS NOT DISTINCT FROM ref.lang AND sh.kind = ref.kind AND sh.k = ref.k GROUP BY rid, sh.kind),
+dist AS (
+  SELECT rid, round(max(CASE WHEN kind = 0 THEN x END), 9) AS class_distance, round(max(CASE WHEN kind = 1 THEN x END), 9) AS word_distance
+  FROM (SELECT rid, kind, CASE WHEN total > 0 THEN sqrt(least(greatest(js, 0), 1)) ELSE 0 END AS x FROM js) GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance,
+       NOT base_failed AND NOT coalesce((word_chars >= {v.MIN_CLASS_CHARS} AND class_distance > {v.MAX_CLASS_DISTANCE}::DOUBLE)
+         OR (n_words >= {v.MIN_WORD_WORDS} AND word_distance > {v.MAX_WORD_DISTANCE}::DOUBLE), false) AS kept
+FROM f LEFT JOIN dist USING (rid)
+"""
+
+
+ORACLE_SQL["op6_divergence"] = _sql_divergence()
+
+
+def _sql_sharding() -> str:
+    """Twin of op3: the rounds of label propagation as chained CTEs."""
+    n, rounds = sharding.SHARDS, sharding.ROUNDS
+
+    def unit(key: str) -> str:
+        return f"(('0x' || substr({key}, 1, 13))::BIGINT::DOUBLE / {2 ** 52}::DOUBLE)"
+    out = [f"""b AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, strlen(coalesce(text, '')) + 8 AS size, coalesce(text, '') AS t,
+         sha256(coalesce(text, '')) AS g, {unit("md5('shard|' || coalesce(doc_id::VARCHAR, 'null'))")} AS u FROM documents),
+q AS MATERIALIZED (
+  SELECT j::INTEGER AS shard, (SELECT count(*) FROM b) // {n} + CASE WHEN j < (SELECT count(*) FROM b) % {n} THEN 1 ELSE 0 END AS quota FROM range({n}) r(j)),
+gr AS MATERIALIZED (
+  SELECT g, ceil(count(*) / (SELECT greatest(2, least({sharding.BLOCK_ROWS}, count(*) // {2 * n})) FROM b)::DOUBLE) AS blocks FROM b GROUP BY g HAVING count(*) > 1),
+p AS MATERIALIZED (
+  SELECT rid, doc_id, size, t, u, floor(u * {n})::INTEGER AS shard,
+         CASE WHEN blocks IS NOT NULL THEN md5(g || '|' || floor((u * {n} - floor(u * {n})) * blocks)::BIGINT) END AS block
+  FROM b LEFT JOIN gr USING (g)),
+l0 AS MATERIALIZED (SELECT rid, block, shard FROM p WHERE block IS NOT NULL)"""]
+    for r in range(rounds):
+        out.append(f"""room{r} AS MATERIALIZED (
+  SELECT shard, greatest(0, quota - coalesce(n, 0)) AS room FROM q LEFT JOIN (SELECT shard, count(*) AS n FROM l{r} GROUP BY shard) USING (shard)),
+tally{r} AS MATERIALIZED (
+  SELECT block, shard, count(*) AS m, sum(count(*)) OVER (PARTITION BY block) AS members FROM l{r} GROUP BY block, shard),
+wish{r} AS MATERIALIZED (
+  SELECT block, shard AS dest, members - m AS movers FROM
+   (SELECT *, row_number() OVER (PARTITION BY block ORDER BY m DESC, md5(block || '|' || shard || '|{r}') DESC) AS k
+    FROM tally{r} JOIN room{r} USING (shard) WHERE room > 0) WHERE k = 1 AND m < members),
+move{r} AS MATERIALIZED (
+  SELECT block, w.dest FROM wish{r} w JOIN (SELECT dest, sum(movers) AS asked FROM wish{r} GROUP BY dest) a ON a.dest = w.dest
+  JOIN room{r} ON shard = w.dest WHERE {unit(f"md5(block || '|{r}')")} < least(1.0::DOUBLE, room::DOUBLE / asked::DOUBLE)),
+l{r + 1} AS MATERIALIZED (SELECT rid, block, coalesce(dest, shard) AS shard FROM l{r} LEFT JOIN move{r} USING (block))""")
+    # CRC-32 by the table rule: polynomial 0xEDB88320, bytes from the hex form
+    out.append(f"""tbl AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS tbl FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, {0xEDB88320}::BIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+crc AS MATERIALIZED (
+  SELECT rid, xor(list_reduce(list_prepend({0xFFFFFFFF}::BIGINT, list_transform(regexp_extract_all(hex(t), '..'), lambda h: ('0x' || h)::BIGINT)),
+                              lambda c, v: xor(c >> 8, tbl[(xor(c, v) & 255) + 1])), {0xFFFFFFFF}::BIGINT) AS text_crc32 FROM b, tbl)""")
+    return "WITH " + ",\n".join(out) + f""",
+x AS MATERIALIZED (
+  SELECT p.rid, coalesce(l.shard, p.shard) AS shard,
+         row_number() OVER (PARTITION BY coalesce(l.shard, p.shard) ORDER BY l.rid IS NULL, u, doc_id) - 1 AS rank
+  FROM p LEFT JOIN l{rounds} l ON l.rid = p.rid),
+over_ AS (
+  SELECT rid, row_number() OVER (ORDER BY shard, rank) - 1 AS k FROM x JOIN q USING (shard) WHERE rank >= quota),
+free AS (
+  SELECT shard, slot, row_number() OVER (ORDER BY shard, slot) - 1 AS k FROM
+   (SELECT shard, unnest(range(coalesce(n, 0), quota)) AS slot FROM q LEFT JOIN (SELECT shard, count(*) AS n FROM x GROUP BY shard) USING (shard))),
+moved AS (SELECT rid, free.shard, slot FROM over_ JOIN free USING (k))
+SELECT doc_id, size, text_crc32, 'rows' AS law, coalesce(moved.shard, x.shard)::INTEGER AS shard, coalesce(slot, rank)::BIGINT AS slot,
+       NULL::INTEGER AS grown_shard
+FROM p JOIN x USING (rid) LEFT JOIN moved USING (rid) JOIN crc USING (rid)
+"""
+
+
+ORACLE_SQL["op3_sharding"] = _sql_sharding()

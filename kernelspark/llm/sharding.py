@@ -58,7 +58,7 @@ def shard_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     frac = F.col("u") * F.lit(shards) - F.floor(F.col("u") * F.lit(shards))
     rows = base.join(groups, "g", "left").select(
         "doc_id", "size", "text_crc32", "u", start.alias("shard"),
-        F.when(F.col("blocks").isNotNull(), F.xxhash64("g", F.floor(frac * F.col("blocks")))).alias("block"))
+        F.when(F.col("blocks").isNotNull(), F.md5(F.concat_ws("|", "g", F.floor(frac * F.col("blocks")).cast("string")))).alias("block"))
     rows = shared_table(rows, "shard-state")
     drop_shared(base)
     linked = rows.filter("block IS NOT NULL")
@@ -71,7 +71,7 @@ def shard_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         # shards rows: its size is fixed by the parameter
         scored = tally.join(F.broadcast(room), "shard").groupBy("block").agg(
             F.sum("m").alias("members"),
-            F.max(F.when((F.col("room") > 0), F.struct("m", F.xxhash64("block", "shard", F.lit(r)).alias("tie"),
+            F.max(F.when((F.col("room") > 0), F.struct("m", F.md5(F.concat_ws("|", "block", F.col("shard").cast("string"), F.lit(str(r)))).alias("tie"),
                                                        F.col("shard").alias("to")))).alias("best"))
         wish = scored.filter("best IS NOT NULL AND best.m < members").select(
             "block", F.col("best.to").alias("to"), (F.col("members") - F.col("best.m")).alias("movers"))
