@@ -221,7 +221,7 @@ tally{r} AS MATERIALIZED (
   SELECT block, shard, count(*) AS m, sum(count(*)) OVER (PARTITION BY block) AS members FROM l{r} GROUP BY block, shard),
 wish{r} AS MATERIALIZED (
   SELECT block, shard AS dest, members - m AS movers FROM
-   (SELECT *, row_number() OVER (PARTITION BY block ORDER BY m DESC, md5(block || '|' || shard || '|{r}') DESC) AS k
+   (SELECT *, row_number() OVER (PARTITION BY block ORDER BY room >= members - m DESC, m DESC, md5(block || '|' || shard || '|{r}') DESC) AS k
     FROM tally{r} JOIN room{r} USING (shard) WHERE room > 0) WHERE k = 1 AND m < members),
 move{r} AS MATERIALIZED (
   SELECT block, w.dest FROM wish{r} w JOIN (SELECT dest, sum(movers) AS asked FROM wish{r} GROUP BY dest) a ON a.dest = w.dest

@@ -2,8 +2,8 @@
 
 Documents with equal texts are linked. A document starts in a hash-random
 shard; in each round every group of copies tallies its members per shard,
-prefers the shard that holds most of them and still has room, and its members
-move there as far as the shard's quota goes. Unlinked documents are ballast:
+prefers a shard with room for all the others, among those the one that holds
+most of them, and its members move there as far as the shard's quota goes. Unlinked documents are ballast:
 they stay where the hash put them and only fill up what the linked ones leave.
 At the end each shard keeps its first rows up to its exact quota (linked rows
 first) and hands the rest to the open slots of the others, so that the row
@@ -12,13 +12,13 @@ counts differ by at most one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_shared, md5_uniform, running_total, shared_table, text_or_empty
 
 SHARDS = 24
-ROUNDS = 4
+ROUNDS = 8
 #: Most members of a group that move as one block; larger groups are cut by a hash.
 BLOCK_ROWS = 100_000
 
@@ -69,9 +69,11 @@ def shard_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         room = spark.createDataFrame([(j, max(0, quota[j] - load.get(j, 0))) for j in range(shards)],
                                      "shard int, room bigint")
         # shards rows: its size is fixed by the parameter
-        scored = tally.join(F.broadcast(room), "shard").groupBy("block").agg(
-            F.sum("m").alias("members"),
-            F.max(F.when((F.col("room") > 0), F.struct("m", F.md5(F.concat_ws("|", "block", F.col("shard").cast("string"), F.lit(str(r)))).alias("tie"),
+        whole = tally.withColumn("members", F.sum("m").over(Window.partitionBy("block")))
+        fits = F.col("room") >= F.col("members") - F.col("m")
+        scored = whole.join(F.broadcast(room), "shard").groupBy("block").agg(
+            F.first("members").alias("members"),
+            F.max(F.when((F.col("room") > 0), F.struct(fits.alias("fits"), "m", F.md5(F.concat_ws("|", "block", F.col("shard").cast("string"), F.lit(str(r)))).alias("tie"),
                                                        F.col("shard").alias("to")))).alias("best"))
         wish = scored.filter("best IS NOT NULL AND best.m < members").select(
             "block", F.col("best.to").alias("to"), (F.col("members") - F.col("best.m")).alias("movers"))
