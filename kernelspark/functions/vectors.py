@@ -142,11 +142,6 @@ def sqdist(a, b, d: int | None = None) -> Column:
                        F.lit(0.0), lambda acc, x: acc + x)
 
 
-def rbf(a, b, gamma: float, d: int | None = None) -> Column:
-    """exp(-gamma ||a - b||^2)."""
-    return F.exp(sqdist(a, b, d) * _lit(-gamma))
-
-
 def scale(col, s) -> Column:
     """Every entry times the scalar column/literal ``s``."""
     s = _c(s) if isinstance(s, (str, Column)) else _lit(s)

@@ -4,8 +4,8 @@ Random choices are made reproducible (and reproducible in SQL) by ordering
 rows on ``md5('<seed>:<id>')``, with the ids as tie-break. Global positions
 are never computed by a single-partition window:
 
-* ``global_rank`` range-partitions on the order, counts rows per partition
-  (one small aggregate), and adds each partition's offset - the DataFrame
+* ``global_rank`` range-partitions on the order, writes the sorted ranges
+  once, counts rows per range and adds each range's offset - the DataFrame
   form of ``zipWithIndex``.
 * ``random_permutation`` needs no split keys: the md5 key is uniform, its
   leading digits number the range.
@@ -19,11 +19,14 @@ are never computed by a single-partition window:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 # Rows of the last radix bucket ranked directly (bounded work for one task).
 RADIX_LEAF = 200_000
 # Bins of one pass of the k-th smallest value.
@@ -37,100 +40,32 @@ def perm_key(seed: int, id_cols: Sequence[str]) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in id_cols]))
 
 
-def _sql_literal(v) -> str:
-    import datetime
-    import decimal
-    if isinstance(v, decimal.Decimal):
-        return f"{v}BD"
-    if isinstance(v, datetime.datetime):
-        return f"TIMESTAMP '{v.isoformat(sep=' ')}'"
-    if isinstance(v, datetime.date):
-        return f"DATE '{v.isoformat()}'"
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    if isinstance(v, int):
-        return f"{v}L"
-    if isinstance(v, float):
-        return f"({v!r}D)"
-    if isinstance(v, str):
-        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    raise TypeError(f"unsupported order key type {type(v).__name__}")
-
-
-def _tuple_lt(cols: Sequence[str], bound: Sequence) -> str:
-    """SQL text of (cols) < (bound), lexicographic, nulls first."""
-    out = "false"
-    for c, v in reversed(list(zip(cols, bound))):
-        q = f"`{c}`"
-        if v is None:
-            out = f"({q} IS NULL AND {out})"
-        else:
-            lit = _sql_literal(v)
-            out = f"({q} IS NULL OR {q} < {lit} OR ({q} = {lit} AND {out}))"
-    return out
-
-
-def _bucket_sql(cols: Sequence[str], bounds: list) -> str:
-    """SQL text of the number of bounds <= key (binary search, depth log2)."""
-    def node(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"CASE WHEN {_tuple_lt(cols, bounds[mid])} THEN {node(lo, mid)} ELSE {node(mid + 1, hi)} END"
-    return node(0, len(bounds))
-
-
-def range_bounds(df: DataFrame, order_cols: Sequence[str], parts: int, n: int | None = None,
-                 per_part: int = 20) -> list:
-    """``parts - 1`` split keys of the ``order_cols`` order from a sample of
-    about ``per_part * parts`` rows, chosen by a hash of the key (the same
-    rows whatever the partitioning, so the split is a fixed function of the
-    key)."""
-    n = df.count() if n is None else n
-    if n == 0 or parts <= 1:
-        return []
-    step = max(1, n // (per_part * parts))
-    keys = F.xxhash64(*[F.col(c) for c in order_cols])
-    sample = (df.select(*order_cols).filter(F.pmod(keys, F.lit(step)) == 0)
-                .orderBy(*order_cols).collect())          # ~per_part * parts rows
-    rows = [tuple(r) for r in sample]
-
-    def nulls_first(b):
-        return [(v is not None, v) for v in b]
-    bounds = []
-    for k in range(1, parts):
-        b = rows[min(len(rows) - 1, k * len(rows) // parts)] if rows else None
-        if b is not None and (not bounds or nulls_first(b) > nulls_first(bounds[-1])):
-            bounds.append(b)
-    return bounds
-
-
 def global_rank(df: DataFrame, order_cols: Sequence[str], out: str = "row_id",
                 num_partitions: int | None = None) -> DataFrame:
     """0-based position of each row in ``order_cols`` order (unique; nulls
     come first).
 
-    Split keys from a hash-chosen sample put every row into a key range
-    (a fixed function of the key, so every evaluation agrees). A hot leading
-    value is split by the following columns. ``row_number()`` within the
-    range gives the local position, and per-range counts (one row per range,
-    broadcast) give the offsets. There is one shuffle, and no
-    single-partition window over the rows.
+    One range exchange (Spark samples the split keys; a hot leading value is
+    split by the following columns) and a local sort, written once to the
+    shared folder with each row's range and its number inside the range.
+    Because it is written, the ranges are the same for every later read, and
+    the local sort cannot be optimised away. Per-range counts (one row per
+    range, broadcast) give the offsets.
     """
     spark = df.sparkSession
     p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = range_bounds(df, order_cols, p)
-    bucketed = df.withColumn("_ks_b", F.expr(_bucket_sql(order_cols, bounds)).cast("int")
-                             if bounds else F.lit(0))
-    local = bucketed.withColumn(
-        "_ks_rn", F.row_number().over(Window.partitionBy("_ks_b").orderBy(*order_cols)))
-    counts = bucketed.groupBy("_ks_b").agg(F.count(F.lit(1)).alias("_ks_n"))
-    w = Window.orderBy("_ks_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_ks_b", F.coalesce(F.sum("_ks_n").over(w), F.lit(0))
-                            .alias("_ks_off"))
-    return (local.join(F.broadcast(offsets), "_ks_b")
-                 .withColumn(out, (F.col("_ks_off") + F.col("_ks_rn") - F.lit(1)).cast("long"))
-                 .drop("_ks_b", "_ks_rn", "_ks_off"))
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = (df.repartitionByRange(p, *order_cols).sortWithinPartitions(*order_cols)
+                .select("*", F.spark_partition_id().alias("_ks_p"), inside.alias("_ks_m")))
+    path = f"{checkpoint_dir(spark)}/rank-{uuid.uuid4().hex}"
+    ranged.write.parquet(path)
+    back = spark.read.schema(ranged.schema).parquet(path)
+    counts = back.groupBy("_ks_p").agg(F.count(F.lit(1)).alias("_ks_n"))
+    w = Window.orderBy("_ks_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_ks_p", F.coalesce(F.sum("_ks_n").over(w), F.lit(0)).alias("_ks_off"))
+    return (back.join(F.broadcast(offsets), "_ks_p")
+                .withColumn(out, (F.col("_ks_off") + F.col("_ks_m")).cast("long"))
+                .drop("_ks_p", "_ks_m", "_ks_off"))
 
 
 def uniform_rank(df: DataFrame, key: str, id_cols: Sequence[str], by: str | None = None,

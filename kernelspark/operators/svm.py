@@ -52,11 +52,6 @@ class SVMModel(NamedTuple):
     history_rows: list          # the same history on the driver (<= max_iter rows)
     weights_path: list | None = None   # w after each iteration (<= max_iter x d)
 
-    def weights_frame(self, spark) -> DataFrame:
-        """(j int, weight double); the last j is the bias."""
-        return spark.createDataFrame([(j, float(w)) for j, w in enumerate(self.weights)],
-                                     "j int, weight double")
-
 
 def step_size(C: float, learn_rate: float) -> float:
     """(floor(1/(lr C)) - 0.5) lr (G1); must lie in (0, 1/C)."""

@@ -765,36 +765,44 @@ GROUP BY pos"""
 
 
 def q_norms(spark: SparkSession, sf: str) -> DataFrame:
-    """L2 and L1 norm of every embedding."""
-    e = embeddings(spark, sf)
+    """D11 + B11: L2 and L1 norm of every embedding, and the L2 norm of its
+    slice [8, 24)."""
+    e = RW.slice_features(embeddings(spark, sf), 8, 24, out="part")
     return e.select("vec_id", rnd(V.norm_l2("features")).alias("l2"),
-                    rnd(V.norm_l1("features")).alias("l1"))
+                    rnd(V.norm_l1("features")).alias("l1"), rnd(V.norm_l2("part")).alias("l2_slice"))
 
 
 SQL_NORMS = """
 SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v: v * v))), 6) + 0.0 AS l2,
-       round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v: abs(v))), 6) + 0.0 AS l1
+       round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v: abs(v))), 6) + 0.0 AS l1,
+       round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[])[9:24], lambda v: v * v))), 6) + 0.0 AS l2_slice
 FROM embeddings"""
 
 
 def q_rmatvec(spark: SparkSession, sf: str) -> DataFrame:
-    """A^T y on the scaled lineitem columns + bias, and the L1 norm of y."""
+    """D10 + D11: A^T y on the scaled lineitem columns + bias; at j = -1 the
+    L1 norm of y, at -2 the Frobenius norm of A, at -3 the sum of squares of
+    A w for w = (1, .., 5)."""
     rows = RW.add_bias(TB.lineitem_rows(spark, sf, keep_keys=False))
     v = L.rmatvec(rows, "features", "label", 5)
     l1 = L.l1_norm(rows, "label").first()["l1"]
-    return spark.createDataFrame([(j, float(x)) for j, x in enumerate(v)] + [(-1, float(l1))],
-                                 "j int, value double").select("j", rnd("value", 4).alias("value"))
+    fro = L.frobenius_norm(rows).first()["frobenius"]
+    aw = L.matvec(rows, range(1, D5 + 1)).agg(F.sum(F.col("y") * F.col("y"))).first()[0]
+    return spark.createDataFrame([(j, float(x)) for j, x in enumerate(v)] + [(-1, float(l1)), (-2, float(fro)), (-3, float(aw))],
+                                 "j int, value double").select("j", rnd("value", 3).alias("value"))
 
 
 SQL_RMATVEC = f"""
 WITH r AS ({SQL_ROWS})
-SELECT CAST(j AS INTEGER) AS j, round(value, 4) + 0.0 AS value FROM (
+SELECT CAST(j AS INTEGER) AS j, round(value, 3) + 0.0 AS value FROM (
  SELECT 0 AS j, sum(f_quantity * label) AS value FROM r UNION ALL
  SELECT 1, sum(f_extendedprice * label) FROM r UNION ALL
  SELECT 2, sum(f_discount * label) FROM r UNION ALL
  SELECT 3, sum(f_tax * label) FROM r UNION ALL
  SELECT 4, sum(label) FROM r UNION ALL
- SELECT -1, sum(abs(label)) FROM r)"""
+ SELECT -1, sum(abs(label)) FROM r UNION ALL
+ SELECT -2, sqrt(sum(f_quantity * f_quantity + f_extendedprice * f_extendedprice + f_discount * f_discount + f_tax * f_tax + 1.0::DOUBLE)) FROM r UNION ALL
+ SELECT -3, sum(pow(f_quantity + 2 * f_extendedprice + 3 * f_discount + 4 * f_tax + 5, 2)) FROM r)"""
 
 
 # ============================================================ G. SVM

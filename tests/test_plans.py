@@ -17,10 +17,32 @@ def test_scoring_is_one_scan_and_one_global_aggregate(spark):
     assert "ReadSchema: struct<l_quantity:double,l_extendedprice:double,l_discount:double,l_tax:double>" in plan
 
 
-def test_global_rank_ranks_inside_key_ranges(spark):
+def test_global_rank_has_no_window_over_rows(spark):
     plan = _final_plan(QUERIES["row_positions"](spark, SF001))
-    # one shuffle by key range, a window per range, no single-partition window over rows
-    assert "hashpartitioning(_ks_b" in plan and "Window [row_number()" in plan
+    # the sorted ranges are read back; only the per-range counts (a row per range) meet in one task
+    assert "rank-" in plan and "row_number" not in plan and "BroadcastHashJoin" in plan
+    assert plan.count("SinglePartition") == plan.count("Exchange SinglePartition") <= 2
+
+
+def test_permutation_reads_its_input_twice(spark):
+    plan = _final_plan(QUERIES["random_permutation"](spark, SF001))
+    assert plan.split("Initial Plan")[0].count("FileScan parquet") <= 2
+    assert len(plan) < 40_000         # nothing grows with the number of ranges
+
+
+def test_fit_reads_a_joined_input_once(spark):
+    from conftest import rows_df
+    from kernelspark.operators import svm as SVM
+    rows = rows_df(spark, [[float(i % 7), float(i % 3)] for i in range(60)], [1.0 if i % 7 > 3 else -1.0 for i in range(60)])
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    counted = rows.mapInArrow(count, rows.schema).join(spark.range(60).withColumnRenamed("id", "row_id"), "row_id")
+    SVM.fit_svm(counted, solver="newton", max_iter=5)
+    assert seen.value <= 2 * 60       # once for the width of the first row, once for the design
 
 
 def test_per_group_sample_limits_before_the_shuffle(spark):

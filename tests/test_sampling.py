@@ -1,6 +1,5 @@
 import hashlib
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from kernelspark.operators import sampling as S

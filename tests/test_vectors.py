@@ -1,5 +1,4 @@
 import numpy as np
-from pyspark.sql import functions as F
 
 from conftest import rows_df
 from kernelspark.functions import vectors as V
