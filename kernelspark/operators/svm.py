@@ -253,9 +253,10 @@ def _dual_replay(design, D, n, u, Lc, C, step, max_iter, tol, tol_mode, checkpoi
                     "dual_ascent", history, path)
 
 
-def _newton_partials_arrow(design: DataFrame, D: int, w: np.ndarray):
+def _newton_partials(design: DataFrame, D: int, w: np.ndarray):
     """(obj, g, H) sums over active rows: one numpy block per task (objective,
-    gradient, upper triangle), merged as whole blocks (wide D)."""
+    gradient, upper triangle), merged as whole blocks. The weights travel with
+    the function, so no pass compiles code of its own."""
     cols = design_columns(D)
     iu, ju = np.triu_indices(D)
     k = 1 + D + len(iu)
@@ -281,27 +282,12 @@ def _fit_newton(design: DataFrame, G: np.ndarray, col_sums: np.ndarray, D: int,
     """Finite Newton on 1/2||w||^2 + C sum max(0, 1 - a.w)^2 (primal twin).
 
     Each pass is one aggregate over the cached design: the objective,
-    gradient and Hessian sums over the rows with a positive hinge residual.
-    Small D: unrolled column sums; wide D: numpy partials per partition."""
+    gradient and Hessian sums over the rows with a positive hinge residual."""
     a = [F.col(c) for c in design_columns(D)]
 
     def evaluate(w):
-        if D > L.GRAM_SQL_MAX:
-            o, gs, Hs = _newton_partials_arrow(design, D, w)
-            return 0.5 * float(w @ w) + C * o, w - 2.0 * C * gs, np.eye(D) + 2.0 * C * Hs
-        r = f"(1.0D - {V.linear_sql(design_columns(D), w)})"
-        act = f"(CASE WHEN {r} > 0.0D THEN 1.0D ELSE 0.0D END)"
-        sums = {"obj": f"{act} * {r} * {r}"}
-        sums.update({f"g{j}": f"{act} * {r} * a_{j}" for j in range(D)})
-        sums.update({f"h_{i}_{j}": f"{act} * a_{i} * a_{j}" for i in range(D) for j in range(i, D)})
-        s = A.collect_sums(design, sums)
-        obj = 0.5 * float(w @ w) + C * s["obj"]
-        grad = w - 2.0 * C * np.array([s[f"g{j}"] for j in range(D)])
-        H = np.eye(D)
-        for i in range(D):
-            for j in range(i, D):
-                H[i, j] = H[j, i] = H[i, j] + 2.0 * C * s[f"h_{i}_{j}"]
-        return obj, grad, H
+        o, gs, Hs = _newton_partials(design, D, w)
+        return 0.5 * float(w @ w) + C * o, w - 2.0 * C * gs, np.eye(D) + 2.0 * C * Hs
 
     # start from the least-squares-like point with every row active
     w = np.linalg.solve(np.eye(D) + 2.0 * C * G, 2.0 * C * col_sums)

@@ -31,6 +31,12 @@ def rnd(col, k: int = 6):
     return F.round(c, k) + F.lit(0.0)
 
 
+def spread(spark: SparkSession) -> int:
+    """Partitions for a design that many passes scan: the session's shuffle
+    partitions (a file with one row group would otherwise be one task)."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TB.table(spark, sf_dir, "embeddings").select(
         "vec_id", "label", F.col("embedding").cast("array<double>").alias("features"))

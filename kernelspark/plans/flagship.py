@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import sampling as S
 from ..operators import svm as SVM
 from ..sources import tables as TB
-from .common import C, LEARN_RATE, SEED, SPLIT
+from .common import C, LEARN_RATE, SEED, SPLIT, spread
 
 
 def flagship(spark: SparkSession, sf_dir: str, solver: str = "newton",
@@ -22,5 +22,5 @@ def flagship(spark: SparkSession, sf_dir: str, solver: str = "newton",
     rows = TB.lineitem_rows(spark, sf_dir)
     train, test = S.train_test_split(rows, SPLIT, SEED, list(TB.LINEITEM_KEYS))
     model = SVM.fit_svm(train, C=C, learn_rate=LEARN_RATE, max_iter=max_iter, tol=tol,
-                        tol_mode=tol_mode, solver=solver)
+                        tol_mode=tol_mode, solver=solver, num_partitions=spread(spark))
     return SVM.evaluate(test, model.weights)

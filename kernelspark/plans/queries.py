@@ -24,7 +24,7 @@ from ..sources import tables as TB
 from ..sources import text as TX
 from . import sqlgen as Q
 from .common import (C, EMB_DIM, ETA, FIXED_W, GAMMA, LEARN_RATE, SEED, SPLIT,
-                     TARGET_RANK, TARGET_RANK_CLASSES, centroid_matrix, class_centroids, embeddings, rnd)
+                     TARGET_RANK, TARGET_RANK_CLASSES, centroid_matrix, class_centroids, embeddings, rnd, spread)
 
 KEYS = list(TB.LINEITEM_KEYS)
 KEYS_SQL = ", ".join(KEYS)
@@ -833,7 +833,7 @@ def q_svm_fixed_iterations(spark: SparkSession, sf: str) -> DataFrame:
     """G1-G6 + E6: three dual-ascent iterations on lineitem (all scaled
     columns + bias, label charge): the L1 change of beta and w after each."""
     rows = TB.lineitem_rows(spark, sf, keep_keys=False)
-    return _iterations(SVM.fit_svm(rows, C=C, learn_rate=LEARN_RATE, max_iter=3, tol=0.0))
+    return _iterations(SVM.fit_svm(rows, C=C, learn_rate=LEARN_RATE, max_iter=3, tol=0.0, num_partitions=spread(spark)))
 
 
 def q_svm_newton(spark: SparkSession, sf: str) -> DataFrame:
@@ -841,7 +841,7 @@ def q_svm_newton(spark: SparkSession, sf: str) -> DataFrame:
     lineitem columns + bias; weights and hold-out confusion."""
     rows = TB.lineitem_rows(spark, sf)
     train, test = S.train_test_split(rows, SPLIT, SEED, KEYS)
-    m = SVM.fit_svm(train, C=C, solver="newton", max_iter=50, tol=1e-9)
+    m = SVM.fit_svm(train, C=C, solver="newton", max_iter=50, tol=1e-9, num_partitions=spread(spark))
     return SVM.evaluate(test, m.weights).select(
         *[F.lit(round(w, 3) + 0.0).alias(f"w_{j}") for j, w in enumerate(m.weights)],
         F.lit(m.converged).alias("converged"), "correct", "wrong", "accuracy")
