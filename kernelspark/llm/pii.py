@@ -23,7 +23,17 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Added kinds. Country code, check digits and 11 to 30 more; three groups of a social security number; a
 # ten-digit number without country code.
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+# An IBAN is proposed by its country code; group 1 is what may follow, looked at but not consumed, so that neighbours
+# propose theirs.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}(?=([0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))"
+IBAN_RUN = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: Registered lengths of IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL = r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])"
 
@@ -66,6 +76,25 @@ def _sql_text(s: str) -> str:
     return "r'" + s + "'"
 
 
+def _iban_spans() -> str:
+    """Spans of IBANs, confirmed: of each proposal the words that make up the
+    country's length, else the whole run; none inside the one before."""
+    size = " ".join(f"when m_iban[i] in ({', '.join(repr(c) for c in codes.split())}) then '{n - 1}'" for n, codes in IBAN_LENGTHS.items())
+    line = "concat(m_iban[i], r_iban[i])"
+    fixed = f"regexp_extract({line}, concat(r'^[A-Z0-9](?:\x20?[A-Z0-9]){{', case {size} end, r'}}(?![A-Za-z0-9])'), 0)"
+    run = f"regexp_extract({line}, {_sql_text(IBAN_RUN)}, 0)"
+    picked = (f"transform(sequence(0, size(m_iban) - 1), i -> named_struct('i', i, 'm', coalesce(get(filter(array("
+              f"named_struct('m', coalesce({fixed}, '')), named_struct('m', {run})), x -> {VALID['iban']}), 0).m, '')))")
+    # p: end of the last code, e: end of the last IBAN; context on the left begins behind it
+    at = "acc.p + length(g_iban[z.i])"
+    return (f"aggregate({picked}, "
+            f"named_struct('p', 0, 'e', 0, 'a', cast(array() as array<struct<s:int,m:string,b:string,n:string>>)), "
+            f"(acc, z) -> named_struct('p', {at} + 2, 'e', if(z.m != '' and {at} >= acc.e, {at} + length(z.m), acc.e), "
+            f"'a', if(z.m != '' and {at} >= acc.e, concat(acc.a, array(named_struct('s', {at}, 'm', z.m, "
+            f"'b', right(substring(g_iban[z.i], greatest(acc.e - acc.p, 0) + 1), {CONTEXT}), "
+            f"'n', substring(g_iban[z.i + 1], length(z.m) - 1, {CONTEXT})))), acc.a)), acc -> acc.a)")
+
+
 def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, spans (array of start, rank, end, kind,
     score; code points, end exclusive; ordered by start, then kind).
@@ -77,7 +106,8 @@ def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     """
     df = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("t"))
     df = df.select("*", *[F.expr(f"if({cheap}, regexp_extract_all(t, {_sql_text(p)}, 0), array())").alias(f"m_{k}")
-                          for k, (_, p, cheap, _, _) in KINDS.items()])
+                          for k, (_, p, cheap, _, _) in KINDS.items()],
+                   F.expr(f"regexp_extract_all(t, {_sql_text(IBAN)}, 1)").alias("r_iban"))
     df = df.select("*", *[F.expr(f"if(size(m_{k}) > 0, split(t, {_sql_text(p)}, -1), array())").alias(f"g_{k}")
                           for k, (_, p, _, _, _) in KINDS.items()]).drop("t")
     found = []
@@ -88,7 +118,8 @@ def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
                  f"(acc, i) -> named_struct('p', acc.p + length(g_{k}[i]) + length(m_{k}[i]), 'a', concat(acc.a, array("
                  f"named_struct('s', acc.p + length(g_{k}[i]), 'm', m_{k}[i], 'b', right(g_{k}[i], {CONTEXT}), "
                  f"'n', left(g_{k}[i + 1], {CONTEXT}))))), acc -> acc.a)")
-        scored = (f"transform(filter({spans}, x -> {VALID[k]}), x -> named_struct('start', x.s, 'rank', {rank}, "
+        checked = _iban_spans() if k == "iban" else f"filter({spans}, x -> {VALID[k]})"
+        scored = (f"transform({checked}, x -> named_struct('start', x.s, 'rank', {rank}, "
                   f"'end', x.s + length(x.m), 'kind', '{k}', 'score', least(1.0D, {score}D + if("
                   f"x.b rlike {_sql_text(hit)} or x.n rlike {_sql_text(hit)}, {CONTEXT_BONUS}D, 0.0D))))")
         empty = "cast(array() as array<struct<start:int,rank:int,end:int,kind:string,score:double>>)"

@@ -92,3 +92,14 @@ def test_native_plan(spark):
     plan = pii.pii_report(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
     assert plan.count("regexp_extract_all(") <= 3 * len(pii.KINDS)
+
+
+def test_ibans_in_sentences(spark):
+    de, gb, be = "DE89370400440532013000", "GB82WEST12345698765432", "BE68 5390 0754 7034"
+    texts = {f"{de} Please pay": [de], "to DE89 3704 0044 0532 0130 00 Bank of X": ["DE89 3704 0044 0532 0130 00"], f"{de} I will": [de],
+             f"{de} {gb}": [de, gb], f"é𝔸 {be} {de} {gb} 12 A": [be, de, gb], "DE89370400440532013001 A": [], f"BE12 {gb[:4]} {gb[4:]} A": [f"{gb[:4]} {gb[4:]}"],
+             "BE12 GB82 WEST 1234 5698 7654 32": ["GB82 WEST 1234 5698 7654 32"], f"{de}X {de}x {de}": [de], f"x{de} {de[:-1]} A": []}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in pii.find_pii(df).collect():
+        t = list(texts)[r.doc_id]
+        assert [t[s.start:s.end] for s in r.spans if s.kind == "iban"] == texts[t], t
