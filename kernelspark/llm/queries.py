@@ -28,8 +28,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Katz backoff scores of all documents."""
-    return katz.katz_scores(_docs(spark, sf_dir))
+    """Katz backoff scores of all documents by a trigram model."""
+    return katz.katz_scores(_docs(spark, sf_dir), order=3)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

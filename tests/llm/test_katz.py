@@ -125,3 +125,13 @@ def test_without_rows(spark):
     held = next(i for i in range(100) if is_held(i))
     r = katz.katz_scores(spark.createDataFrame([(held, "a b")], "doc_id bigint, text string")).first()
     assert r.score == 0 and r.train_tokens == 0 and r.n_known == 0
+
+
+def test_query_scores_trigrams(spark):
+    from kernelspark.llm.queries import QUERIES
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    plain = Plain([r.text for r in rows if not is_held(r.doc_id)], 3)
+    got = {r.doc_id: r for r in QUERIES["op2_katz"](spark, folder).collect()}
+    for r in rows[::10]:
+        assert got[r.doc_id].score == pytest.approx(plain.score(r.text), abs=1e-3, rel=1e-7)
