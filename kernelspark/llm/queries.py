@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, exact_dedup, katz, mixing, passages, pii, piece_tokenizer, quality, sharding, simhash
+from . import (divergence, exact_dedup, katz, mixing, passages, pii, piece_tokenizer, quality, sharding, simhash,
+               token_transducer)
 
 
 #: The model file of operator 4, read by the driver (a public one that the box provides).
@@ -74,9 +75,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole text by the compiled transducer."""
+    with open(TOKENIZER_MODEL, "rb") as f:
+        model = f.read()
+    return token_transducer.token_report(_docs(spark, sf_dir), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality, op2_katz, op3_sharding, op4_sentencepiece, op5_simhash, op6_divergence, op7_pii,
-                              op8_exact_dedup, op9_passages, op10_mixing)
+                              op8_exact_dedup, op9_passages, op10_mixing, op13_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {}
