@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (divergence, exact_dedup, katz, mixing, passages, pii, piece_tokenizer, quality, runs, sharding,
-               simhash, token_transducer)
+from . import (conversation_repair, divergence, exact_dedup, katz, mixing, passages, pii, piece_tokenizer, quality,
+               runs, sharding, simhash, token_transducer)
 
 
 #: The model file of operator 4, read by the driver (a public one that the box provides).
@@ -75,6 +75,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations repaired with the cheapest edits."""
+    return conversation_repair.repair_report(conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words by Lyndon roots."""
     return runs.run_report(_docs(spark, sf_dir))
@@ -89,8 +94,8 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality, op2_katz, op3_sharding, op4_sentencepiece, op5_simhash, op6_divergence, op7_pii,
-                              op8_exact_dedup, op9_passages, op10_mixing, op12_periodic_runs,
-                              op13_token_counts)
+                              op8_exact_dedup, op9_passages, op10_mixing, op11_conversation_repair,
+                              op12_periodic_runs, op13_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {}
