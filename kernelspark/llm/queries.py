@@ -271,3 +271,75 @@ FROM p JOIN x USING (rid) LEFT JOIN moved USING (rid) JOIN crc USING (rid)
 
 
 ORACLE_SQL["op3_sharding"] = _sql_sharding()
+
+
+def _sql_repair() -> str:
+    """Row by row over all conversations at once: the least (cost, audit) of
+    each state of the pattern, as a string of eight digits and the audit."""
+    def add(v: str, cost: str, letter: str) -> str:
+        return f"lpad((substr({v}, 1, 8)::INT + {cost})::VARCHAR, 8, '0') || substr({v}, 9) || '{letter}'"
+
+    def role(frm: int, initial: str) -> str:
+        kept = f"CASE WHEN c = '{initial}' THEN {add(f'v{frm}', 'stay', 'K')} END"
+        return kept if initial == "s" else f"{kept}, CASE WHEN c <> 'd' THEN {add(f'v{frm}', 'stay + 1', 'R')} END"
+
+    ways = {0: "", 1: role(0, "s"), 2: ", ".join(role(f, "u") for f in (0, 1, 3)), 3: role(2, "a")}
+    step = ", ".join(f"least({add(f'v{t}', '2', 'D')}{', ' if w else ''}{w}) AS v{t}" for t, w in ways.items())
+    two = f"least(v2, {add('v0', '5', 'I')}, {add('v1', '5', 'I')}, {add('v3', '5', 'I')})"
+    return f"""
+WITH RECURSIVE tbl AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS tbl FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, {0xEDB88320}::BIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+dealt AS (
+  SELECT raw.*, xor(list_reduce(list_prepend({0xFFFFFFFF}::BIGINT, list_transform(regexp_extract_all(hex(k), '..'), lambda h: ('0x' || h)::BIGINT)),
+                                lambda c, v: xor(c >> 8, tbl[(xor(c, v) & 255) + 1])), {0xFFFFFFFF}::BIGINT) % 20 AS f FROM raw, tbl),
+after AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+         CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM dealt),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+         CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS initial,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM after),
+judged AS MATERIALIZED (
+  SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS earlier FROM placed),
+faults AS MATERIALIZED (
+  SELECT *, NOT blank AND NOT dup AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM judged),
+conv AS MATERIALIZED (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,
+         count(*) FILTER (earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+         list(CASE WHEN blank OR dup THEN 'd' ELSE initial END ORDER BY i) AS codes,
+         list(CASE WHEN cut THEN 5 ELSE 0 END ORDER BY i) AS stays FROM faults GROUP BY conv_id),
+dp AS (
+  SELECT conv_id, 1 AS pos, codes, stays, codes[1] AS c, stays[1] AS stay, '00000000' AS v0, NULL::VARCHAR AS v1,
+         {add("'00000000'", '5', 'I')} AS v2, {add(add("'00000000'", '5', 'I'), '5', 'I')} AS v3 FROM conv
+  UNION ALL
+  SELECT conv_id, pos + 1, codes, stays, codes[pos + 1], stays[pos + 1], v0, v1, v2, least(v3, {add('v2', '5', 'I')}) FROM
+   (SELECT conv_id, pos, codes, stays, v0, v1, v3, {two} AS v2 FROM (SELECT conv_id, pos, codes, stays, {step} FROM dp WHERE pos <= len(codes)))),
+won AS MATERIALIZED (
+  SELECT conv_id, substr(least(v0, v3), 1, 8)::BIGINT AS cost, substr(least(v0, v3), 9) AS audit FROM dp WHERE pos = len(codes) + 1),
+letters AS (
+  SELECT conv_id, e, p, count(*) FILTER (e <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i FROM
+   (SELECT conv_id, unnest(string_split(audit, '')) AS e, generate_subscripts(string_split(audit, ''), 1) AS p FROM won WHERE audit <> '')),
+kept AS (
+  SELECT l.conv_id, p, e, r.role, r.text, row_number() OVER w - 1 AS j,
+         first_value(e = 'K' AND r.initial = 's') OVER w AS system FROM letters l
+  LEFT JOIN faults r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.i AND e <> 'I' WHERE e <> 'D'
+  WINDOW w AS (PARTITION BY l.conv_id ORDER BY p)),
+lines AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (j - system::INT) % 2 = 0 THEN 'user' ELSE 'assistant' END
+                             || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS t FROM kept GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN conv ON conv.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN won ON won.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN lines ON lines.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+ORACLE_SQL["op11_conversation_repair"] = _sql_repair()
