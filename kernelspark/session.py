@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -58,6 +59,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "folder (e.g. on HDFS or object storage) to checkpoint their state")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into the shared checkpoint folder and read
+    back: lineage ends there, and a lost executor costs a read."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_stored_path", None):
+            remove_folder(df.sparkSession, path)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
