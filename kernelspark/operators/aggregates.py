@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import ship_package
+from ..session import forget, ship_package, stored
 
-# Buckets of the first level of a global merge.
+# Buckets of the first level of a global merge, and blocks that meet at once.
 TREE_FAN = 64
+# Blocks of up to so many numbers are added cell by cell.
+FLAT_CELLS = 1 << 14
 
 
 def tree_agg(df: DataFrame, named_sums: dict[str, Column], fan: int = TREE_FAN) -> DataFrame:
@@ -58,24 +60,49 @@ def block_partials(df: DataFrame, length: int, add) -> DataFrame:
     return df.mapInArrow(fn, "p int, v array<double>")
 
 
-def merge_blocks(partials: DataFrame, fan: int = TREE_FAN) -> DataFrame:
-    """Blocks ``(p, v)`` summed as whole numpy blocks per bucket of tasks:
-    at most ``fan`` rows are left whatever the number of tasks."""
-    def meet(pdf):
-        import pandas as pd
-        total = np.zeros(len(pdf["v"].iloc[0]))
-        for v in pdf.sort_values("p")["v"]:
-            total += v
-        return pd.DataFrame({"p": [int(pdf["p"].min()) % fan], "v": [total]})
+def tree_levels(partials: DataFrame, number: str, schema: str, meet, fan: int = TREE_FAN) -> DataFrame:
+    """Rows numbered from 0 meet ``fan`` at a time, level by level, until at
+    most ``fan`` are left: ``meet(pdf)`` makes one row (without its number)
+    of a sorted group. No task sees more than ``fan`` rows at once, whatever
+    their number; each level is written to the shared folder."""
+    import pandas as pd
+    level, tables = stored(partials, "tree"), []
+    top = level.agg(F.max(number)).first()[0]
 
-    return partials.groupBy((F.col("p") % F.lit(fan)).alias("b")).applyInPandas(meet, "p int, v array<double>")
+    def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = meet(pdf.sort_values(number))
+        out.insert(0, number, [key[0]])
+        return out
+
+    while top is not None and top >= fan:
+        tables.append(level)
+        level = stored(level.groupBy(F.floor(F.col(number) / fan).alias("_ks_up")).applyInPandas(group, schema), "tree")
+        top //= fan
+    forget(*tables)
+    return level
 
 
 def collect_block_sum(partials: DataFrame, length: int, fan: int = TREE_FAN) -> np.ndarray:
-    """The sum of all blocks on the driver, which receives ``fan`` blocks."""
+    """The sum of all blocks ``(p, v)`` on the driver. Blocks of up to
+    ``FLAT_CELLS`` numbers are added cell by cell in the JVM; wider ones meet
+    as whole blocks, ``fan`` at a time."""
     out = np.zeros(length)
-    for r in sorted(merge_blocks(partials, fan).collect(), key=lambda r: r["p"]):
+    if length <= FLAT_CELLS:
+        for r in sum_arrays(partials, "v", length).collect():
+            out[r["pos"]] = r["value"]
+        return out
+
+    def meet(pdf):
+        import pandas as pd
+        total = np.zeros(length)
+        for v in pdf["v"]:
+            total += v
+        return pd.DataFrame({"v": [total]})
+
+    last = tree_levels(partials, "p", "p int, v array<double>", meet, fan)
+    for r in last.orderBy("p").toLocalIterator():
         out += np.asarray(r["v"], dtype=float)
+    forget(last)
     return out
 
 

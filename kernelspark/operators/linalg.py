@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
-from ..session import ship_package
+from ..session import forget, ship_package
 from . import aggregates as A
 
 # Most bytes that one merge of d x d blocks may hold (a group of ``TSQR_FAN``
@@ -135,17 +135,16 @@ def gram_sql(df: DataFrame, col: str, d: int) -> DataFrame:
 
 
 def gram_arrow(df: DataFrame, col: str, d: int) -> DataFrame:
-    """G = A^T A: one upper triangle per task, merged as whole blocks; only
-    the last ``TREE_FAN`` blocks are taken apart into cells."""
+    """G = A^T A: one upper triangle per task, added as blocks."""
     iu, ju = np.triu_indices(d)
 
     def add(block, batch):
         X = batch_matrix(batch, col, d)
         block += (X.T @ X)[iu, ju]
 
-    merged = A.merge_blocks(A.block_partials(df.select(col), len(iu), add))
-    place = _spark(df).createDataFrame(list(zip(range(len(iu)), iu.tolist(), ju.tolist())), "pos int, i int, j int")
-    return A.sum_arrays(merged, "v", len(iu)).join(place, "pos").select("i", "j", "value")
+    total = A.collect_block_sum(A.block_partials(df.select(col), len(iu), add), len(iu))
+    import pandas as pd
+    return _spark(df).createDataFrame(pd.DataFrame({"i": iu, "j": ju, "value": total}), "i int, j int, value double")
 
 
 def gram(df: DataFrame, col: str = "features", d: int | None = None,
@@ -191,10 +190,9 @@ def tsqr_r(df: DataFrame, col: str = "features", d: int | None = None,
     """R of a communication-avoiding tall-skinny QR.
 
     Per partition a running R <- qr([R; batch]) over the Arrow batches (never
-    the whole partition in memory), then a tree: the R factors meet by
-    partition number modulo fan^2, then modulo ``fan``, each time stacked and
-    factored again by ``applyInPandas``; the last ``fan`` (fan*d x d) are
-    factored on the driver. The tree is the same at every size. Canonical
+    the whole partition in memory), then a tree: the R factors of ``fan``
+    neighbouring partitions are stacked and factored again, level by level,
+    until at most ``fan`` (fan*d x d) are left for the driver. Canonical
     sign: positive diagonal.
     """
     d = d or width(df, col)
@@ -214,20 +212,14 @@ def tsqr_r(df: DataFrame, col: str = "features", d: int | None = None,
                  pa.array([np.ascontiguousarray(R).ravel()], pa.list_(pa.float64()))],
                 names=["block", "r"])
 
-    level = df.select(col).mapInArrow(local, _r_schema())
-
-    def combine(key, pdf):
+    def combine(pdf):
         import pandas as pd
-        R = None
-        for r in pdf.sort_values("block")["r"]:
-            block = np.asarray(r, dtype=float).reshape(-1, d)
-            R = np.linalg.qr(block if R is None else np.vstack([R, block]), mode="r")
-        return pd.DataFrame({"block": [int(key[0])], "r": [np.ascontiguousarray(R).ravel()]})
-
-    for groups in (fan * fan, fan):
-        level = (level.groupBy((F.col("block") % F.lit(groups)).alias("g"))
-                 .applyInPandas(combine, _r_schema()))
+        R = np.linalg.qr(np.vstack([np.asarray(r, dtype=float).reshape(-1, d) for r in pdf["r"]]), mode="r")
+        return pd.DataFrame({"r": [np.ascontiguousarray(R).ravel()]})
+
+    level = A.tree_levels(df.select(col).mapInArrow(local, _r_schema()), "block", "block long, r array<double>", combine, fan)
     parts = [np.asarray(r["r"], dtype=float).reshape(-1, d) for r in sorted(level.collect(), key=lambda r: r["block"])]
+    forget(level)
     if not parts:
         raise ValueError("empty input")
     R = np.linalg.qr(np.vstack(parts), mode="r")

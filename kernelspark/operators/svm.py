@@ -253,24 +253,44 @@ def _dual_replay(design, D, n, u, Lc, C, step, max_iter, tol, tol_mode, checkpoi
                     "dual_ascent", history, path)
 
 
-def _newton_partials(design: DataFrame, D: int, w: np.ndarray):
+def design_blocks(design: DataFrame, D: int) -> DataFrame:
+    """The design as one binary block ``x`` (rows x D doubles) per Arrow
+    batch, for passes that read all of it again and again."""
+    cols = design_columns(D)
+
+    def pack(batches):
+        import pyarrow as pa
+        for b in batches:
+            if b.num_rows:
+                X = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(D)])
+                yield pa.RecordBatch.from_arrays([pa.array([X.tobytes()], pa.binary())], names=["x"])
+
+    return design.select(*cols).mapInArrow(pack, "x binary")
+
+
+def unpack_blocks(batch, D: int):
+    """The rows x D arrays of a batch of ``design_blocks``."""
+    for x in batch.column(0):
+        yield np.frombuffer(x.as_buffer(), dtype=np.float64).reshape(-1, D)
+
+
+def _newton_partials(blocks: DataFrame, D: int, w: np.ndarray):
     """(obj, g, H) sums over active rows: one numpy block per task (objective,
-    gradient, upper triangle), merged as whole blocks. The weights travel with
+    gradient, upper triangle), added as blocks. The weights travel with
     the function, so no pass compiles code of its own."""
-    cols = design_columns(D)
     iu, ju = np.triu_indices(D)
     k = 1 + D + len(iu)
 
     def add(block, b):
-        X = np.column_stack([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in cols])
-        r = 1.0 - X @ w
-        act = r > 0
-        Xa, ra = X[act], r[act]
-        block[0] += ra @ ra
-        block[1:1 + D] += Xa.T @ ra
-        block[1 + D:] += (Xa.T @ Xa)[iu, ju]
-
-    tot = A.collect_block_sum(A.block_partials(design.select(*cols), k, add), k)
+        for X in unpack_blocks(b, D):
+            r = 1.0 - X @ w
+            act = r > 0
+            Xa, ra = X[act], r[act]
+            block[0] += ra @ ra
+            block[1:1 + D] += Xa.T @ ra
+            block[1 + D:] += (Xa.T @ Xa)[iu, ju]
+
+    tot = A.collect_block_sum(A.block_partials(blocks, k, add), k)
     H = np.zeros((D, D))
     H[iu, ju] = H[ju, iu] = tot[1 + D:]
     return tot[0], tot[1:1 + D], H
@@ -284,9 +304,10 @@ def _fit_newton(design: DataFrame, G: np.ndarray, col_sums: np.ndarray, D: int,
     Each pass is one aggregate over the cached design: the objective,
     gradient and Hessian sums over the rows with a positive hinge residual."""
     a = [F.col(c) for c in design_columns(D)]
+    blocks = _persist(design_blocks(design, D))
 
     def evaluate(w):
-        o, gs, Hs = _newton_partials(design, D, w)
+        o, gs, Hs = _newton_partials(blocks, D, w)
         return 0.5 * float(w @ w) + C * o, w - 2.0 * C * gs, np.eye(D) + 2.0 * C * Hs
 
     # start from the least-squares-like point with every row active
@@ -307,6 +328,7 @@ def _fit_newton(design: DataFrame, G: np.ndarray, col_sums: np.ndarray, D: int,
             t *= 0.5
         w, obj, grad, H = cand, c_obj, c_grad, c_H
         history.append((it, float(np.abs(grad).max())))
+    blocks.unpersist()
     state = design.select("row_id", (F.lit(2.0 * C) * F.greatest(
         F.lit(1.0) - V.linear_terms(a, w), F.lit(0.0))).alias("alpha"),
         F.lit(0.0).alias("beta"))

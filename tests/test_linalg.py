@@ -97,3 +97,32 @@ def test_two_level_sums_match_one_level(spark):
     one = A.collect_sums(df, {"s": "x", "q": F.col("x") * F.col("x")})
     two = A.collect_sums(df, {"s": "x", "q": F.col("x") * F.col("x")}, fan=4)
     assert one == two and one["s"] == 0.5 * 999 * 1000 / 2
+
+
+def test_merges_have_a_fixed_fan_in(spark):
+    """Many tiny partitions: no group holds more than the fan, wide and narrow sums agree."""
+    from kernelspark.operators import aggregates as A
+    n, width = 700, 12
+    blocks = spark.range(n).selectExpr("CAST(id AS INT) AS p", f"transform(sequence(1, {width}), j -> CAST(id * j AS DOUBLE)) AS v")
+    want = np.arange(1, width + 1) * (n * (n - 1) / 2.0)
+    assert np.array_equal(A.collect_block_sum(blocks, width), want)
+    flat, A.FLAT_CELLS = A.FLAT_CELLS, 4
+    try:
+        assert np.array_equal(A.collect_block_sum(blocks, width, fan=4), want)
+    finally:
+        A.FLAT_CELLS = flat
+
+    def meet(pdf):
+        import pandas as pd
+        return pd.DataFrame({"most": [max(len(pdf), int(pdf["most"].max()))], "rows": [int(pdf["rows"].sum())]})
+
+    ones = spark.range(n).selectExpr("CAST(id AS INT) AS p", "CAST(0 AS BIGINT) AS most", "CAST(1 AS BIGINT) AS rows")
+    got = A.tree_levels(ones, "p", "p int, most long, rows long", meet, fan=4).collect()
+    assert len(got) <= 4 and max(r.most for r in got) == 4 and sum(r.rows for r in got) == n
+    assert A.tree_levels(ones.limit(0), "p", "p int, most long, rows long", meet).count() == 0
+
+
+def test_tsqr_of_many_partitions(spark):
+    X = _data(900, 3, 8)
+    R = L.tsqr_r(rows_df(spark, X, parts=300), "features", 3, fan=4)
+    assert np.allclose(R, L.canonical_r(np.linalg.qr(X, mode="r")), atol=1e-9)
