@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from kernelspark.plans.flagship import flagship  # noqa: E402
-from kernelspark.plans.queries import QUERIES  # noqa: E402
+from kernelspark.plans.registry import QUERIES  # noqa: E402
 from kernelspark.session import local_session  # noqa: E402
 
 HEADLINE = [

@@ -22,9 +22,14 @@ from . import sampling as S
 
 
 def kmeans_centers(df: DataFrame, k: int, max_iter: int = 10, seed: int = 42,
-                   features: str = "features", id_cols: Sequence[str] = ("row_id",)) -> np.ndarray:
+                   features: str = "features", id_cols: Sequence[str] = ("row_id",), start: str = "rows") -> np.ndarray:
     """H1: k-means -> K x d centers. Lloyd iterations from the first k rows of
-    the seeded md5 order, so the result does not depend on the partitioning."""
+    the seeded md5 order (``start="rows"``) or from ``kmeans_parallel``
+    (``start="parallel"``); neither depends on the partitioning."""
+    if start == "parallel":
+        return lloyd(df, kmeans_parallel(df, k, seed, features=features, id_cols=id_cols), max_iter, features)
+    if start != "rows":
+        raise ValueError(f"unknown start {start!r}")
     key = S.perm_key(seed, id_cols)
     first = df.select(key.alias("_ks_key"), *id_cols, features).orderBy("_ks_key", *id_cols).limit(k).collect()
     if len(first) < k:
@@ -32,6 +37,48 @@ def kmeans_centers(df: DataFrame, k: int, max_iter: int = 10, seed: int = 42,
     return lloyd(df, [list(r[features]) for r in first], max_iter, features)
 
 
+def kmeans_parallel(df: DataFrame, k: int, seed: int = 42, oversample: float | None = None, rounds: int = 5,
+                    features: str = "features", id_cols: Sequence[str] = ("row_id",)) -> np.ndarray:
+    """Starting centers by oversampling (k-means||), K x d.
+
+    From the first row of the seeded order, each round draws every row with
+    probability oversample * d^2 / (sum of all d^2), d^2 being its distance to
+    the nearest candidate so far; ``oversample`` is 2 k by default. Draws are
+    md5 hashes of seed, round and id, so they do not depend on the
+    partitioning. The candidates, weighted by the rows nearest to them, are
+    reduced to k: the heaviest first, then always the one with the greatest
+    weight times distance to the chosen (ties: the earlier candidate, by round
+    and id). About 1 + rounds * oversample candidates reach the driver; their
+    bytes are checked. Repeated rows are drawn each on its own; fewer
+    distinct rows than k raise, as does an empty table."""
+    draws = 2.0 * k if oversample is None else oversample
+    first = df.select(S.perm_key(seed, id_cols).alias("_ks_key"), *id_cols, features).orderBy("_ks_key", *id_cols).first()
+    if first is None:
+        raise ValueError("empty input")
+    found = [list(first[features])]
+    for r in range(1, rounds + 1):
+        near = assign_clusters(df.select(*id_cols, features), J.check_centers(found), features)
+        cost = near.agg(F.sum("sq_dist")).first()[0]
+        if not cost > 0:
+            break
+        u = F.conv(F.substring(S.perm_key(f"{seed}:{r}", id_cols), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+        picked = near.where(u < F.lit(draws) * F.col("sq_dist") / F.lit(float(cost))).select(*id_cols, features).orderBy(*id_cols)
+        found += [list(x[features]) for x in picked.toLocalIterator()]
+    points = J.check_centers(found)
+    weight = lloyd_sums(df, points, features)[0].astype(float)
+    chosen: list[int] = []
+    gain = weight.copy()
+    nearest = np.full(len(points), np.inf)
+    while len(chosen) < k:
+        best = int(np.argmax(gain))
+        if not gain[best] > 0:
+            raise ValueError(f"{len(chosen)} distinct candidates for {k} clusters: more rounds or oversampling are needed")
+        chosen.append(best)
+        nearest = np.minimum(nearest, J.block_distances(points, points[best:best + 1])[:, 0])
+        gain = weight * nearest
+    return points[chosen]
+
+
 def assign_clusters(df: DataFrame, centers, features: str = "features",
                     out: str = "cluster") -> DataFrame:
     """H2 = C2 + E5: nearest center (ties to the lower index) and its

@@ -19,6 +19,7 @@ are never computed by a single-partition window:
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Sequence
 
@@ -35,7 +36,7 @@ HISTOGRAM_BINS = 4096
 RADIX_DIGITS = 3
 
 
-def perm_key(seed: int, id_cols: Sequence[str]) -> Column:
+def perm_key(seed: int | str, id_cols: Sequence[str]) -> Column:
     """md5 of '<seed>:<id1>:<id2>...' as lowercase hex (same in DuckDB)."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in id_cols]))
 
@@ -205,3 +206,68 @@ def kth_smallest(df: DataFrame, col: str, k: int) -> DataFrame:
                 break
             k -= m
     return spark.createDataFrame([(float(lo),)], out)
+
+
+# Fixed values of the keyed permutation: rounds, the prime its rounds count in.
+FEISTEL_ROUNDS, FEISTEL_PRIME = 6, (1 << 31) - 1
+#: Steps that may lead back into 0..n-1; each misses with a chance below 1 / sqrt(n).
+FEISTEL_WALK = 12
+
+
+def feistel_keys(seed: int) -> list[tuple[int, int, int]]:
+    """Three numbers per round below the prime, the first and last not zero."""
+    import hashlib
+    out = []
+    for r in range(FEISTEL_ROUNDS):
+        a, b, c = (int(hashlib.md5(f"{seed}:{r}:{x}".encode()).hexdigest()[:12], 16) for x in "abc")
+        out.append((a % (FEISTEL_PRIME - 1) + 1, b % FEISTEL_PRIME, c % (FEISTEL_PRIME - 1) + 1))
+    return out
+
+
+def feistel_sides(n: int) -> tuple[int, int]:
+    """Sides (a, b) of the least rectangle of about a square that holds n places."""
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    return a, max(1, -(-n // a))
+
+
+def feistel(position: Column, n: int, seed: int) -> Column:
+    """A keyed permutation of 0..n-1 as an expression on the position: no
+    sort, no exchange, and each row's new place follows from its old one.
+
+    A place is two digits in a rectangle of at least n places; a round adds a
+    hash of one digit to the other and swaps them. Places at or beyond n are
+    permuted again until they fall below n (cycle walking), at most
+    ``FEISTEL_WALK`` times, else it raises (chance below n^-5). Null stays
+    null; positions outside 0..n-1 raise."""
+    if not 0 < n < 1 << 62:
+        raise ValueError(f"{n} positions")
+    a, b = feistel_sides(n)
+    keys = F.array(*[F.struct(*[F.lit(x).cast("long").alias(c) for c, x in zip("pqr", k)], F.lit(i % 2 == 0).alias("even"))
+                     for i, k in enumerate(feistel_keys(seed))])
+    prime = F.lit(FEISTEL_PRIME).cast("long")
+
+    def mixed(x: Column, k: Column) -> Column:
+        y = (x * k["p"] + k["q"]) % prime
+        z = (y.bitwiseXOR(F.shiftright(y, 15)) * k["r"]) % prime
+        return z.bitwiseXOR(F.shiftright(z, 13))
+
+    def swap(at: Column, k: Column) -> Column:
+        side = F.when(k["even"], F.lit(a)).otherwise(F.lit(b)).cast("long")
+        return F.struct(at["r"].alias("l"), ((at["l"] + mixed(at["r"], k)) % side).alias("r"))
+
+    def once(x: Column) -> Column:
+        start = F.struct((x % F.lit(a)).cast("long").alias("l"), F.floor(x / F.lit(a)).cast("long").alias("r"))
+        # an even number of rounds brings both digits back to their sides
+        return F.aggregate(keys, start, swap, lambda at: at["l"] + at["r"] * F.lit(a))
+
+    steps = min(a * b - n + 1, FEISTEL_WALK)
+    inside = F.when((position < 0) | (position >= n), F.raise_error(F.lit(f"position outside 0..{n - 1}"))).otherwise(position.cast("long"))
+    walked = F.aggregate(F.array_repeat(F.lit(0), steps - 1), once(inside), lambda x, _: F.when(x < n, x).otherwise(once(x))) \
+        if steps > 1 else once(inside)
+    return F.when(walked >= n, F.raise_error(F.lit("cycle walk too long: use another seed"))).otherwise(walked)
+
+
+def feistel_permutation(df: DataFrame, n: int, seed: int, position: str = "row_id", out: str = "perm_pos") -> DataFrame:
+    """F3 without a sort: ``out`` is the row's place in a permutation of
+    0..n-1; ``out < m`` is a sample of m rows (F4)."""
+    return df.withColumn(out, feistel(F.col(position), n, seed))

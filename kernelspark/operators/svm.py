@@ -81,6 +81,16 @@ def signed_design(rows: DataFrame, features: str = "features", label: str = "lab
     return checked, d + 1
 
 
+BAD_ROWS = {"_bad": "do not have the width of the first row", "_bad_label": "have a label other than +1 and -1",
+            "_bad_entry": "have a null or NaN entry"}
+
+
+def _raise_on_bad_rows(counts: dict[str, float]) -> None:
+    for bad, what in BAD_ROWS.items():
+        if counts[bad] > 0:
+            raise ValueError(f"{int(counts[bad])} rows {what}")
+
+
 def _state_sums(state: DataFrame, D: int, with_err: bool) -> dict[str, float]:
     sums = {f"u{j}": f"a_{j} * (1.0D + beta)" for j in range(D)}
     if with_err:
@@ -122,17 +132,13 @@ def fit_svm(rows: DataFrame, C: float = 1.0, learn_rate: float = 0.2, max_iter:
         # one pass: u for beta = 1, row count, width check (+ the Gram for small D)
         sums = {f"u{j}": f"a_{j} * 2.0D" for j in range(D)}
         sums["n"] = "1.0D"
-        for bad in ("_bad", "_bad_label", "_bad_entry"):
+        for bad in BAD_ROWS:
             sums[bad] = f"CAST({bad} AS DOUBLE)"
         wide = D > L.GRAM_SQL_MAX
         if not wide:
             sums.update({f"g_{i}_{j}": f"a_{i} * a_{j}" for i in range(D) for j in range(i, D)})
         tot = A.collect_sums(design, sums)
-        for bad, what in (("_bad", "do not have the width of the first row"),
-                          ("_bad_label", "have a label other than +1 and -1"),
-                          ("_bad_entry", "have a null or NaN entry")):
-            if tot[bad] > 0:
-                raise ValueError(f"{int(tot[bad])} rows {what}")
+        _raise_on_bad_rows(tot)
         n = tot["n"]
         if wide:   # numpy partials per partition, summed by cell
             G = L.gram_matrix(design.select(F.array(*a).alias("_a")), "_a", D)
@@ -336,6 +342,81 @@ def _fit_newton(design: DataFrame, G: np.ndarray, col_sums: np.ndarray, D: int,
     return SVMModel([float(x) for x in w], hist_df, state, it, converged, "newton", history)
 
 
+def fit_newton_cg(rows: DataFrame, C: float = 1.0, max_iter: int = 100, tol: float = 1e-6, max_cg: int = 200,
+                  features: str = "features", label: str = "label", num_partitions: int | None = None) -> SVMModel:
+    """The primal twin by truncated Newton steps without a matrix: directions
+    come from conjugate gradients, whose products H v = v + 2C sum over active
+    rows of a (a . v) are one pass and one d-vector sum each. Tasks and the
+    driver hold vectors of d only, at any width. Wrong rows raise as in
+    ``fit_svm``."""
+    spark = rows.sparkSession
+    ship_package(spark)
+    design, D = signed_design(rows, features, label)
+    if num_partitions:
+        design = design.repartition(num_partitions)
+    blocks = None
+    try:
+        design = _persist(design)
+        _raise_on_bad_rows(A.collect_sums(design, {b: f"CAST({b} AS DOUBLE)" for b in BAD_ROWS}))
+        blocks = _persist(design_blocks(design, D))
+
+        def evaluate(w):
+            """Objective, gradient and the Hessian's diagonal."""
+            def add(block, b):
+                for X in unpack_blocks(b, D):
+                    r = np.maximum(1.0 - X @ w, 0.0)
+                    block[0] += r @ r
+                    block[1:1 + D] += X.T @ r
+                    block[1 + D:] += (X * X).T @ (r > 0)
+            s = A.collect_block_sum(A.block_partials(blocks, 1 + 2 * D, add), 1 + 2 * D)
+            return 0.5 * float(w @ w) + C * s[0], w - 2.0 * C * s[1:1 + D], 1.0 + 2.0 * C * s[1 + D:]
+
+        def product(w, v):
+            def add(block, b):
+                for X in unpack_blocks(b, D):
+                    block += X.T @ np.where(X @ w < 1.0, X @ v, 0.0)
+            return v + 2.0 * C * A.collect_block_sum(A.block_partials(blocks, D, add), D)
+
+        w = np.zeros(D)
+        obj, grad, diag = evaluate(w)
+        history, converged, it = [(0, float(np.abs(grad).max()))], False, 0
+        for it in range(1, max_iter + 1):
+            if np.abs(grad).max() < tol * max(1.0, np.abs(w).max()):
+                converged = True
+                break
+            # preconditioned by the diagonal, to a share of the gradient that shrinks with it
+            goal = min(0.1, np.sqrt(np.linalg.norm(grad) / max(1.0, abs(obj)))) * np.sqrt(grad @ (grad / diag))
+            x, r = np.zeros(D), grad.copy()
+            z = r / diag
+            p, rz = z.copy(), r @ z
+            for _ in range(max_cg):
+                hp = product(w, p)
+                step = rz / (p @ hp)
+                x, r = x + step * p, r - step * hp
+                z = r / diag
+                rz, old = r @ z, rz
+                if np.sqrt(rz) <= goal:
+                    break
+                p = z + (rz / old) * p
+            t = 1.0
+            while True:
+                cand = w - t * x
+                c_obj, c_grad, c_diag = evaluate(cand)
+                if c_obj <= obj - 1e-4 * t * float(grad @ x) or t < 1e-8:
+                    break
+                t *= 0.5
+            w, obj, grad, diag = cand, c_obj, c_grad, c_diag
+            history.append((it, float(np.abs(grad).max())))
+        state = design.select("row_id", (F.lit(2.0 * C) * F.greatest(
+            F.lit(1.0) - V.linear_terms([F.col(c) for c in design_columns(D)], w), F.lit(0.0))).alias("alpha"), F.lit(0.0).alias("beta"))
+        return SVMModel([float(x) for x in w], spark.createDataFrame(history, "iteration int, error double"), state, it, converged,
+                        "newton_cg", history)
+    finally:
+        design.unpersist()
+        if blocks is not None:
+            blocks.unpersist()
+
+
 # ---------------------------------------------------------------- scoring
 
 def decision(df: DataFrame, weights, features: str = "features", out: str = "margin",

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from conftest import SF001
-from kernelspark.plans.queries import ORACLE_SQL, QUERIES
+from kernelspark.plans.registry import ORACLE_SQL, QUERIES
 from kernelspark.sources.tables import TABLES
 
 
