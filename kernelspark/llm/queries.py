@@ -215,37 +215,60 @@ FROM f LEFT JOIN dist USING (rid)
 ORACLE_SQL["op6_divergence"] = _sql_divergence()
 
 
+#: Rounds that the twin of op3 spells out; those behind the last one of the query change nothing.
+SQL_ROUNDS = {"b": 8, "s": 24}
+
+
 def _sql_sharding() -> str:
     """Twin of op3: the rounds of label propagation as chained CTEs."""
-    n, rounds = sharding.SHARDS, sharding.ROUNDS
+    n = sharding.SHARDS
 
     def unit(key: str) -> str:
         return f"(('0x' || substr({key}, 1, 13))::BIGINT::DOUBLE / {2 ** 52}::DOUBLE)"
+
+    def phase(t: str, start: str, quota: str) -> list[str]:
+        out = [f"{t}l0 AS MATERIALIZED ({start})", f"{t}n AS MATERIALIZED (SELECT count(*) AS n, true AS go FROM {t}l0)"]
+        for r in range(SQL_ROUNDS[t]):
+            k = f"{t}{r}"
+            out.append(f"""room{k} AS MATERIALIZED (
+  SELECT shard, greatest(0, quota - coalesce(n, 0)) AS room FROM {quota} LEFT JOIN (SELECT shard, count(*) AS n FROM {t}l{r} GROUP BY shard) USING (shard)),
+tally{k} AS MATERIALIZED (
+  SELECT block, shard, count(*) AS m, sum(count(*)) OVER (PARTITION BY block) AS members FROM {t}l{r} GROUP BY block, shard),
+ask{k} AS MATERIALIZED (
+  SELECT block, y.shard, dest, m FROM tally{k} y JOIN (
+    SELECT block, shard AS dest FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY room >= members - m DESC, m DESC,
+      md5(block || '|' || shard || '|{k}') DESC, shard DESC) AS p FROM tally{k} JOIN room{k} USING (shard)) WHERE p = 1) USING (block) WHERE y.shard <> dest),
+flow{k} AS MATERIALIZED (SELECT shard, dest, sum(m) AS n FROM ask{k} GROUP BY shard, dest),
+extra{k} AS MATERIALIZED (
+  SELECT f.shard, f.dest, f.n, greatest(0, f.n - coalesce(b.n, 0)) AS surplus FROM flow{k} f LEFT JOIN flow{k} b ON b.shard = f.dest AND b.dest = f.shard),
+share{k} AS MATERIALIZED (
+  SELECT e.shard, e.dest, (n - surplus + surplus * CASE WHEN w > 0 THEN least(1.0::DOUBLE, room::DOUBLE / w::DOUBLE) ELSE 0.0::DOUBLE END) / n::DOUBLE AS share
+  FROM (SELECT *, sum(surplus) OVER (PARTITION BY dest) AS w FROM extra{k}) e JOIN room{k} ON room{k}.shard = e.dest),
+move{k} AS MATERIALIZED (
+  SELECT block, a.shard, a.dest, m FROM ask{k} a JOIN share{k} USING (shard, dest), {t + 'n' if r == 0 else f'go{t}{r - 1}'} g
+  WHERE go AND {unit(f"md5(block || '|' || a.shard || '|{k}')")} < share),
+go{k} AS MATERIALIZED (SELECT coalesce(sum(m), 0) > 0 AND coalesce(sum(m), 0) * {sharding.LEAST_MOVED} >= (SELECT n FROM {t}n) AS go FROM move{k}),
+{t}l{r + 1} AS MATERIALIZED (SELECT rid, block, coalesce(dest, shard) AS shard FROM {t}l{r} LEFT JOIN move{k} USING (block, shard))""")
+        return out
+
     out = [f"""b AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, doc_id, strlen(coalesce(text, '')) + 8 AS size, coalesce(text, '') AS t,
          sha256(coalesce(text, '')) AS g, {unit("md5('shard|' || coalesce(doc_id::VARCHAR, 'null'))")} AS u FROM documents),
 q AS MATERIALIZED (
   SELECT j::INTEGER AS shard, (SELECT count(*) FROM b) // {n} + CASE WHEN j < (SELECT count(*) FROM b) % {n} THEN 1 ELSE 0 END AS quota FROM range({n}) r(j)),
 gr AS MATERIALIZED (
-  SELECT g, ceil(count(*) / (SELECT greatest(2, least({sharding.BLOCK_ROWS}, count(*) // {2 * n})) FROM b)::DOUBLE) AS blocks FROM b GROUP BY g HAVING count(*) > 1),
+  SELECT g, count(*) AS members, ceil(count(*) / (SELECT greatest(2, count(*) // {n}) FROM b)::DOUBLE) AS blocks FROM b GROUP BY g HAVING count(*) > 1),
 p AS MATERIALIZED (
-  SELECT rid, doc_id, size, t, u, floor(u * {n})::INTEGER AS shard,
+  SELECT rid, doc_id, size, t, u, floor(u * {n})::INTEGER AS shard, coalesce(members * {sharding.BIG} > (SELECT greatest(2, count(*) // {n}) FROM b), false) AS big,
          CASE WHEN blocks IS NOT NULL THEN md5(g || '|' || floor((u * {n} - floor(u * {n})) * blocks)::BIGINT) END AS block
-  FROM b LEFT JOIN gr USING (g)),
-l0 AS MATERIALIZED (SELECT rid, block, shard FROM p WHERE block IS NOT NULL)"""]
-    for r in range(rounds):
-        out.append(f"""room{r} AS MATERIALIZED (
-  SELECT shard, greatest(0, quota - coalesce(n, 0)) AS room FROM q LEFT JOIN (SELECT shard, count(*) AS n FROM l{r} GROUP BY shard) USING (shard)),
-tally{r} AS MATERIALIZED (
-  SELECT block, shard, count(*) AS m, sum(count(*)) OVER (PARTITION BY block) AS members FROM l{r} GROUP BY block, shard),
-wish{r} AS MATERIALIZED (
-  SELECT block, shard AS dest, members - m AS movers FROM
-   (SELECT *, row_number() OVER (PARTITION BY block ORDER BY room >= members - m DESC, m DESC, md5(block || '|' || shard || '|{r}') DESC) AS k
-    FROM tally{r} JOIN room{r} USING (shard) WHERE room > 0) WHERE k = 1 AND m < members),
-move{r} AS MATERIALIZED (
-  SELECT block, w.dest FROM wish{r} w JOIN (SELECT dest, sum(movers) AS asked FROM wish{r} GROUP BY dest) a ON a.dest = w.dest
-  JOIN room{r} ON shard = w.dest WHERE {unit(f"md5(block || '|{r}')")} < least(1.0::DOUBLE, room::DOUBLE / asked::DOUBLE)),
-l{r + 1} AS MATERIALIZED (SELECT rid, block, coalesce(dest, shard) AS shard FROM l{r} LEFT JOIN move{r} USING (block))""")
+  FROM b LEFT JOIN gr USING (g))""",
+           *phase("b", "SELECT rid, block, shard FROM p WHERE big", "q"),
+           f"""lq AS MATERIALIZED (
+  SELECT shard, greatest(0, quota - coalesce(n, 0)) AS quota FROM q LEFT JOIN (SELECT shard, count(*) AS n FROM bl{SQL_ROUNDS['b']} GROUP BY shard) USING (shard)),
+cuts AS MATERIALIZED (
+  SELECT shard AS again, sum(quota) OVER w - quota AS lo, sum(quota) OVER w AS hi, (sum(quota) OVER ())::DOUBLE AS total FROM lq WINDOW w AS (ORDER BY shard))""",
+           *phase("s", "SELECT rid, block, coalesce(again, shard) AS shard FROM p LEFT JOIN cuts ON u * total >= lo AND u * total < hi WHERE block IS NOT NULL AND NOT big", "lq"),
+           f"done AS MATERIALIZED (SELECT *, 0 AS kind FROM bl{SQL_ROUNDS['b']} UNION ALL SELECT *, 1 FROM sl{SQL_ROUNDS['s']})"]
     # CRC-32 by the table rule: polynomial 0xEDB88320, bytes from the hex form
     out.append(f"""tbl AS MATERIALIZED (
   SELECT list(c ORDER BY i) AS tbl FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k:
@@ -256,8 +279,8 @@ crc AS MATERIALIZED (
     return "WITH " + ",\n".join(out) + f""",
 x AS MATERIALIZED (
   SELECT p.rid, coalesce(l.shard, p.shard) AS shard,
-         row_number() OVER (PARTITION BY coalesce(l.shard, p.shard) ORDER BY l.rid IS NULL, u, doc_id) - 1 AS rank
-  FROM p LEFT JOIN l{rounds} l ON l.rid = p.rid),
+         row_number() OVER (PARTITION BY coalesce(l.shard, p.shard) ORDER BY coalesce(l.kind, 2), u, doc_id) - 1 AS rank
+  FROM p LEFT JOIN done l ON l.rid = p.rid),
 over_ AS (
   SELECT rid, row_number() OVER (ORDER BY shard, rank) - 1 AS k FROM x JOIN q USING (shard) WHERE rank >= quota),
 free AS (
