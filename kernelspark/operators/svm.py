@@ -15,10 +15,10 @@ alpha_i = 2C ((1 + beta_i) - a_i . v). One Spark job per iteration updates
 beta, emits the error sum |beta_new - beta| and the next u in the same pass.
 The model is w = A^T alpha = v (last entry: bias weight).
 
-State: the signed design rows are flattened to columns ``a_0..a_{d-1}`` and
-cached; beta is replayed from the last reliable checkpoint in
-``spark.checkpoint.dir`` (one every ``checkpoint_every`` iterations), so a
-lost executor replays at most that many steps from shared storage.
+State: the signed design rows are written once as blocks; beta is replayed
+from the last checkpoint of it in ``spark.checkpoint.dir`` (one every
+``checkpoint_every`` iterations), so a lost executor replays at most that many
+steps from shared storage.
 
 ``solver='newton'`` (an addition) minimises the primal twin
 1/2 ||w||^2 + C sum max(0, 1 - a_i . w)^2 by finite Newton steps with
@@ -28,7 +28,6 @@ step halving: one aggregate of masked Gram sums per pass, same optimum.
 from __future__ import annotations
 
 import math
-import uuid
 from typing import NamedTuple
 
 import numpy as np
@@ -37,8 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import checkpoint_dir, remove_folder, ship_package
+from ..session import ship_package
 from . import aggregates as A
+from . import dual
 from . import linalg as L
 
 
@@ -91,13 +91,6 @@ def _raise_on_bad_rows(counts: dict[str, float]) -> None:
             raise ValueError(f"{int(counts[bad])} rows {what}")
 
 
-def _state_sums(state: DataFrame, D: int, with_err: bool) -> dict[str, float]:
-    sums = {f"u{j}": f"a_{j} * (1.0D + beta)" for j in range(D)}
-    if with_err:
-        sums["err"] = "dbeta"
-    return A.collect_sums(state, sums)
-
-
 def _persist(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -105,14 +98,16 @@ def _persist(df: DataFrame) -> DataFrame:
 def fit_svm(rows: DataFrame, C: float = 1.0, learn_rate: float = 0.2, max_iter: int = 500,
             tol: float = 1e-3, tol_mode: str = "l1", solver: str = "dual_ascent",
             features: str = "features", label: str = "label",
-            checkpoint_every: int = 25, num_partitions: int | None = None) -> SVMModel:
+            checkpoint_every: int = 25, num_partitions: int | None = None, resume_dir: str | None = None) -> SVMModel:
     """Train the squared-hinge SVM (G6) on ``(row_id, features, label)`` rows.
 
+    ``resume_dir`` (dual ascent): a shared folder that keeps the run's steps;
+    a fit that is called again with it goes on behind the last finished step.
+
     In dual ascent beta is a deterministic function of the rows and the
-    d-vectors v used so far. The state (rows + beta) is written only at
-    reliable checkpoints; each iteration replays the steps since the last one
-    in numpy over Arrow batches and returns partial sums only, so an
-    iteration reads the rows but writes nothing. Rows of another width, with
+    d-vectors v used so far. Checkpoints hold beta alone; each iteration
+    replays the steps since the last one in numpy over blocks of rows and
+    returns partial sums only (see ``dual``). Rows of another width, with
     labels other than +1 and -1 or with null or NaN entries raise.
     """
     if solver not in ("dual_ascent", "newton"):
@@ -155,110 +150,15 @@ def fit_svm(rows: DataFrame, C: float = 1.0, learn_rate: float = 0.2, max_iter:
         M = G + np.eye(D) / (2.0 * C)
         Lc = np.linalg.cholesky(M)
         u = np.array([tot[f"u{j}"] for j in range(D)])
-        return _dual_replay(design, D, n, u, Lc, C, step, max_iter, tol, tol_mode,
-                            checkpoint_every, spark)
+        run = dual.run(spark, design.select(F.col("row_id").cast("long").alias("row_id"), *a), D, u, Lc, dual.Steps(
+            C, step, max_iter, tol * (n if tol_mode == "mean" else 1.0), checkpoint_every or max_iter + 1), resume_dir)
+        history = [(t, e / n if tol_mode == "mean" else e) for t, e in run.history]
+        return SVMModel(run.path[-1], spark.createDataFrame(history, "iteration int, error double"), run.state, len(history),
+                        run.converged, "dual_ascent", history, run.path)
     finally:
         cached.unpersist()
 
 
-def _replay_batches(D: int, C: float, step: float, vs, mode: str):
-    """mapInArrow body: replay the dual steps ``vs`` (k x D) from each
-    row's checkpointed beta. mode 'sums': one row per partition with
-    u = A^T (1 + beta) after the last step and the L1 change of that step;
-    mode 'rows': the rows with the new beta, the last step's alpha and
-    change."""
-    import pyarrow as pa
-    cols = design_columns(D)
-
-    def fn(batches):
-        V = vs.value
-        acc = np.zeros(D + 1)
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            Amat = np.column_stack([b.column(b.schema.get_field_index(c))
-                                    .to_numpy(zero_copy_only=False) for c in cols])
-            beta = b.column(b.schema.get_field_index("beta")).to_numpy(zero_copy_only=False)
-            alpha = np.zeros_like(beta)
-            change = np.zeros_like(beta)
-            for t in range(V.shape[0]):
-                alpha = 2.0 * C * ((1.0 + beta) - Amat @ V[t])
-                nb = np.maximum(beta - step * alpha, 0.0)
-                change = np.abs(nb - beta)
-                beta = nb
-            if mode == "sums":
-                acc[:D] += Amat.T @ (1.0 + beta)
-                acc[D] += change.sum()
-            else:
-                out = [b.column(b.schema.get_field_index("row_id"))] + \
-                      [b.column(b.schema.get_field_index(c)) for c in cols] + \
-                      [pa.array(x, pa.float64()) for x in (beta, alpha, change)]
-                yield pa.RecordBatch.from_arrays(out, names=["row_id", *cols, "beta", "alpha",
-                                                             "dbeta"])
-        if mode == "sums":
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.float64()) for x in acc],
-                                             names=[f"u{j}" for j in range(D)] + ["err"])
-
-    return fn
-
-
-def _dual_replay(design, D, n, u, Lc, C, step, max_iter, tol, tol_mode, checkpoint_every,
-                 spark) -> SVMModel:
-    """Dual ascent with beta replayed from the last reliable checkpoint."""
-    from pyspark.sql import types as T
-    cols = design_columns(D)
-    sums_schema = T.StructType([T.StructField(f"u{j}", T.DoubleType()) for j in range(D)]
-                               + [T.StructField("err", T.DoubleType())])
-    rows_schema = T.StructType([T.StructField("row_id", T.LongType())]
-                               + [T.StructField(c, T.DoubleType()) for c in cols]
-                               + [T.StructField(c, T.DoubleType()) for c in ("beta", "alpha", "dbeta")])
-    sc = spark.sparkContext
-    state = design.select(F.col("row_id").cast("long").alias("row_id"), *cols,
-                          F.lit(1.0).alias("beta"))
-    folder, run, before = checkpoint_dir(spark), uuid.uuid4().hex, None
-    owned = None                          # the persisted checkpoint (with alpha)
-    since: list[np.ndarray] = []          # v's applied since that checkpoint
-    history, path, converged, it = [], [], False, 0
-    v = np.zeros(D)
-    every = checkpoint_every or max_iter + 1
-    for it in range(1, max_iter + 1):
-        v = np.linalg.solve(Lc.T, np.linalg.solve(Lc, u))
-        path.append([float(x) for x in v])
-        since.append(v)
-        vs = sc.broadcast(np.asarray(since))          # k x D doubles, k <= every
-        if len(since) >= every:
-            # materialise beta: a table in the shared folder; the one before it goes
-            table = f"{folder}/svm-{run}-{it}"
-            state.mapInArrow(_replay_batches(D, C, step, vs, "rows"), rows_schema).write.parquet(table)
-            nxt = _persist(spark.read.schema(rows_schema).parquet(table))
-            s = _state_sums(nxt, D, True)
-            if owned is not None:
-                owned.unpersist()
-                remove_folder(spark, before)
-            owned, before, since = nxt, table, []
-            state = nxt.select("row_id", *cols, "beta")
-        else:   # replay only: reads the rows, writes nothing, returns sums
-            part = state.mapInArrow(_replay_batches(D, C, step, vs, "sums"), sums_schema)
-            s = A.collect_sums(part, {k: V.q(k) for k in sums_schema.names})
-        vs.unpersist()
-        err = s["err"] if tol_mode == "l1" else s["err"] / n
-        history.append((it, float(err)))
-        u = np.array([s[f"u{j}"] for j in range(D)])
-        if err < tol:
-            converged = True
-            break
-    if since:   # beta after the last step and that step's alpha
-        last = sc.broadcast(np.asarray(since))
-        out_state = _persist(state.mapInArrow(_replay_batches(D, C, step, last, "rows"),
-                                              rows_schema).select("row_id", "alpha", "beta"))
-    else:
-        out_state = owned.select("row_id", "alpha", "beta")
-    out_state.count()          # materialised, so the design cache can go
-    hist_df = spark.createDataFrame(history, "iteration int, error double")
-    return SVMModel([float(x) for x in v], hist_df, out_state, it, converged,
-                    "dual_ascent", history, path)
-
-
 def design_blocks(design: DataFrame, D: int) -> DataFrame:
     """The design as one binary block ``x`` (rows x D doubles) per Arrow
     batch, for passes that read all of it again and again."""

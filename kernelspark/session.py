@@ -83,6 +83,43 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file on the shared file system: written beside its place and
+    renamed, so that it is there whole or not at all."""
+    target, fs = _file(spark, path)
+    beside, _ = _file(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(beside)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(target):
+        fs.delete(target, False)
+    if not fs.rename(beside, target):
+        raise OSError(f"could not rename to {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The file's text, None if there is no such file."""
+    p, fs = _file(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no such folder."""
+    p, fs = _file(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
 _SHIPPED: set = set()
 
 

@@ -110,3 +110,48 @@ def test_wide_design_uses_arrow_partials(spark):
     m = SVM.fit_svm(df, max_iter=4, tol=0.0)
     w_np, hist = _numpy_dual(X, y, 1.0, 0.2, 4)
     assert np.allclose(m.weights, w_np, atol=1e-8)
+
+
+def test_a_killed_fit_goes_on(spark, tmpdir_path, monkeypatch):
+    """Killed after step 7 and in the middle of a checkpoint: the same iterates; checkpoints hold beta alone."""
+    import glob
+    import os
+    from kernelspark.operators import dual as D
+    X, y = _blobs(300, 2)
+    df = rows_df(spark, X, y, parts=3)
+    whole = SVM.fit_svm(df, max_iter=12, tol=0.0, checkpoint_every=3)
+    folder, real, done = f"{tmpdir_path}/run", D._sums, []
+
+    def dies(*a):
+        if len(done) == 7:
+            raise KeyboardInterrupt
+        done.append(1)
+        return real(*a)
+
+    monkeypatch.setattr(D, "_sums", dies)
+    with pytest.raises(KeyboardInterrupt):
+        SVM.fit_svm(df, max_iter=12, tol=0.0, checkpoint_every=3, resume_dir=folder)
+    monkeypatch.setattr(D, "_sums", real)
+    assert len(glob.glob(f"{folder}/step-*")) == 7 and os.path.exists(f"{folder}/beta-000006.done")
+    os.mkdir(f"{folder}/beta-000009")           # a checkpoint that was not finished
+    with open(f"{folder}/step-000099.tmp", "w") as f:
+        f.write("{")
+    m = SVM.fit_svm(df, max_iter=12, tol=0.0, checkpoint_every=3, resume_dir=folder)
+    assert m.weights_path == whole.weights_path and m.history_rows == whole.history_rows
+    assert sorted(m.state.collect()) == sorted(whole.state.collect())
+    again = SVM.fit_svm(df, max_iter=12, tol=0.0, checkpoint_every=3, resume_dir=folder)      # nothing left to do
+    assert again.weights == m.weights and sorted(again.state.collect()) == sorted(m.state.collect())
+    assert spark.read.parquet(f"{folder}/beta-000009").columns == ["block", "beta"]
+    with pytest.raises(ValueError):
+        SVM.fit_svm(df, C=0.5, max_iter=12, tol=0.0, resume_dir=folder)
+
+
+def test_checkpoint_bytes_do_not_depend_on_the_width(spark, tmpdir_path):
+    sizes = {}
+    for d in (2, 40):
+        rng = np.random.default_rng(d)
+        X = rng.normal(size=(500, d))
+        SVM.fit_svm(rows_df(spark, X, np.sign(X[:, 0]), parts=2), max_iter=4, tol=0.0, checkpoint_every=2, resume_dir=f"{tmpdir_path}/{d}")
+        rows = spark.read.parquet(f"{tmpdir_path}/{d}/beta-000002").selectExpr("sum(octet_length(beta))").first()
+        sizes[d] = rows[0]
+    assert sizes[2] == sizes[40] == 8 * 500
