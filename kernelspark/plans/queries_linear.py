@@ -4,10 +4,13 @@ DuckDB twins."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.table_functions import register_gram, register_r
 from ..operators import cluster as CL
 from ..operators import lanczos as LZ
 from ..operators import linalg as L
@@ -16,11 +19,13 @@ from ..operators import rows as RW
 from ..operators import sampling as S
 from ..operators import svm as SVM
 from ..operators import tiles as TL
+from ..session import checkpoint_dir, remove_folder
 from ..sources import tables as TB
 from ..sources import text as TX
 from . import sqlgen as Q
-from .common import C, EMB_DIM, SEED, SPLIT, centroid_matrix, embeddings, rnd, spread
-from .queries import (D5, KEYS, KEYS_SQL, SQL_CENTROIDS, SQL_FIT5, SQL_GRAM_EMBEDDINGS, SQL_ROWS,
+from .common import C, EMB_DIM, LEARN_RATE, SEED, SPLIT, centroid_matrix, embeddings, rnd, spread
+from .queries import ORACLE_SQL as _QUERIES_SQL
+from .queries import (_iterations, D5, KEYS, KEYS_SQL, SQL_CENTROIDS, SQL_FIT5, SQL_GRAM_EMBEDDINGS, SQL_ROWS,
                       SQL_SVM_NEWTON, SQL_Z5)
 
 EMB = Q.cte("emb", "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings")
@@ -275,7 +280,61 @@ WITH {SQL_CENTROIDS.strip()}
 SELECT CAST(cluster AS BIGINT) AS row_id, CAST(len(c) AS INTEGER) AS width, round(c[1], 6) + 0.0 AS x_0, round(list_sum(c), 6) + 0.0 AS total FROM cen"""
 
 
+# ============================================================ K2, K4 from SQL
+
+def q_sql_gram(spark: SparkSession, sf: str) -> DataFrame:
+    """K2 + K4 + D1 called from SQL: the Gram cells of every class, groups
+    spread over four salts and added by SUM."""
+    register_gram(spark, "gram_cells", "label int, salt long")
+    embeddings(spark, sf).selectExpr("label", "vec_id % 4 AS salt", "features").createOrReplaceTempView("ks_gram_rows")
+    return spark.sql("""
+        SELECT label, i, j, round(sum(value), 6) + 0.0D AS value
+        FROM gram_cells(TABLE(SELECT * FROM ks_gram_rows) PARTITION BY (label, salt)) GROUP BY label, i, j""")
+
+
+SQL_SQL_GRAM = """
+WITH c AS (SELECT label, vec_id, unnest(range(len(embedding))) AS j, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings)
+SELECT a.label, CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(sum(a.x * b.x), 6) + 0.0 AS value
+FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.j <= b.j GROUP BY a.label, a.j, b.j"""
+
+R_DIMS = 5
+
+
+def q_sql_r(spark: SparkSession, sf: str) -> DataFrame:
+    """K2 + D2 called from SQL: R of the first five dimensions of every
+    class, first per class and salt, then of those R factors."""
+    register_r(spark, "r_parts", "label int, salt long")
+    register_r(spark, "r_rows", "label int")
+    embeddings(spark, sf).selectExpr("label", "vec_id % 3 AS salt", f"slice(features, 1, {R_DIMS}) AS x").createOrReplaceTempView("ks_r_rows")
+    return spark.sql("""
+        SELECT label, i, CAST(j AS INT) AS j, round(value, 6) + 0.0D AS value FROM (
+          SELECT label, i, posexplode(row) AS (j, value) FROM r_rows(TABLE(
+            SELECT label, row FROM r_parts(TABLE(SELECT * FROM ks_r_rows) PARTITION BY (label, salt))) PARTITION BY label)) WHERE j >= i""")
+
+
+SQL_SQL_R = "WITH " + ",\n".join([
+    Q.cte("r", "SELECT label, " + ", ".join(f"CAST(embedding[{j + 1}] AS DOUBLE) AS x_{j}" for j in range(R_DIMS)) + " FROM embeddings"),
+    Q.cte("g", "SELECT label, " + ", ".join(f"sum(x_{i} * x_{j}) AS g_{i}_{j}" for i in range(R_DIMS) for j in range(i, R_DIMS)) + " FROM r GROUP BY label"),
+    *Q.cholesky("ch", "g", R_DIMS)]) + "\n" + " UNION ALL ".join(
+        f"SELECT label, CAST({i} AS INTEGER) AS i, CAST({j} AS INTEGER) AS j, round(r_{i}_{j}, 6) + 0.0 AS value FROM ch" for i in range(R_DIMS) for j in range(i, R_DIMS))
+
+
+# ============================================================ G5 restarted
+
+def q_svm_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """Three dual-ascent steps on the documents' quality, then the same
+    run started again in its folder for five."""
+    folder = f"{checkpoint_dir(spark)}/resumed-{uuid.uuid4().hex}"
+    for steps in (3, 5):
+        m = SVM.fit_svm(TB.document_rows(spark, sf), C=C, learn_rate=LEARN_RATE, max_iter=steps, tol=0.0, checkpoint_every=2, resume_dir=folder)
+    remove_folder(spark, folder)
+    return _iterations(m)
+
+
 QUERIES = {
+    "sql_gram": q_sql_gram,
+    "sql_r": q_sql_r,
+    "svm_resumed": q_svm_resumed,
     "reflector_products": q_reflector_products,
     "reflector_norms": q_reflector_norms,
     "pivoted_rank": q_pivoted_rank,
@@ -289,6 +348,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "sql_gram": SQL_SQL_GRAM,
+    "sql_r": SQL_SQL_R,
+    "svm_resumed": _QUERIES_SQL["svm_fit_documents"],
     "reflector_products": SQL_REFLECTOR_PRODUCTS,
     "reflector_norms": SQL_REFLECTOR_NORMS,
     "pivoted_rank": SQL_PIVOTED_RANK,
