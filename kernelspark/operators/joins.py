@@ -42,12 +42,15 @@ def block_distances(X: np.ndarray, centers: np.ndarray) -> np.ndarray:
 def positional_zip(rows: DataFrame, labels: DataFrame, key: str = "row_id",
                    check_counts: bool = True) -> DataFrame:
     """Align two row sets by position (C1): both carry a 0-based ``key``
-    (see ``with_row_id``); an inner equi-join, with equal counts checked."""
-    if check_counts:
-        n_r, n_l = rows.count(), labels.count()
-        if n_r != n_l:
-            raise ValueError(f"positional zip of {n_r} rows with {n_l} labels")
-    return rows.join(labels, key, "inner")
+    (see ``with_row_id``). One full outer join, which raises on a position
+    that only one side has when it runs, so nothing is counted beforehand;
+    without ``check_counts`` such positions are left out."""
+    if not check_counts:
+        return rows.join(labels, key, "inner")
+    both = rows.withColumn("_ks_l", F.lit(True)).join(labels.withColumn("_ks_r", F.lit(True)), key, "full_outer")
+    alone = F.raise_error(F.concat(F.lit("positional zip: only one side has position "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    paired = F.when(F.col("_ks_l").isNull() | F.col("_ks_r").isNull(), alone.cast("boolean")).otherwise(F.lit(True))
+    return both.filter(paired).drop("_ks_l", "_ks_r")
 
 
 def center_distances(df: DataFrame, centers: Sequence[Sequence[float]],

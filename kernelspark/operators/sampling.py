@@ -155,10 +155,10 @@ def kth_key(df: DataFrame, seed: int, id_cols: Sequence[str], k: int | None = No
             need -= n
         if bucket_n <= RADIX_LEAF or len(prefix) >= 32:
             break
-    leaf = keyed.filter(F.col("_ks_key").startswith(prefix))
-    w = Window.orderBy("_ks_key", *id_cols)
-    row = (leaf.withColumn("_ks_rn", F.row_number().over(w))
-               .filter(F.col("_ks_rn") == F.lit(need)).first())
+    # equal keys are counted, not ranked one by one: the last bucket is small, or its rows repeat few ids
+    leaf = keyed.filter(F.col("_ks_key").startswith(prefix)).groupBy("_ks_key", *id_cols).agg(F.count(F.lit(1)).alias("_ks_n"))
+    w = Window.orderBy("_ks_key", *id_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    row = leaf.withColumn("_ks_upto", F.sum("_ks_n").over(w)).filter(F.col("_ks_upto") >= need).orderBy("_ks_upto").first()
     return row["_ks_key"], [row[c] for c in id_cols]
 
 

@@ -22,10 +22,11 @@ from ..operators import tiles as TL
 from ..session import checkpoint_dir, remove_folder
 from ..sources import tables as TB
 from ..sources import text as TX
+from ..sources.datasource import register
 from . import sqlgen as Q
 from .common import C, EMB_DIM, LEARN_RATE, SEED, SPLIT, centroid_matrix, embeddings, rnd, spread
 from .queries import ORACLE_SQL as _QUERIES_SQL
-from .queries import (_iterations, D5, KEYS, KEYS_SQL, SQL_CENTROIDS, SQL_FIT5, SQL_GRAM_EMBEDDINGS, SQL_ROWS,
+from .queries import (_iterations, D5, KEYS, KEYS_SQL, SQL_CENTROIDS, SQL_FIT5, SQL_GRAM_EMBEDDINGS, SQL_LABEL, SQL_ROWS,
                       SQL_SVM_NEWTON, SQL_Z5)
 
 EMB = Q.cte("emb", "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings")
@@ -331,7 +332,42 @@ def q_svm_resumed(spark: SparkSession, sf: str) -> DataFrame:
     return _iterations(m)
 
 
+# ============================================================ A1-A4, A9 as data sources
+
+def q_source_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A1-A4: lineitem as text lines in the shared folder, read back by the
+    ``dense_lines`` source in byte ranges."""
+    register(spark)
+    folder = f"{checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+    numbers = [*KEYS, "l_quantity", "l_extendedprice"]
+    li = TB.table(spark, sf, "lineitem")
+    li.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in numbers], TB.charge_label().cast("string")).alias("value")).write.text(folder)
+    rows = spark.read.format("dense_lines").option("columns", len(numbers) + 1).option("label", "last").option("range_bytes", 1 << 20).load(folder)
+    return rows.select(*[V.item("features", j).cast("long").alias(k) for j, k in enumerate(KEYS)],
+                       *[V.item("features", j).alias(f"x_{j}") for j in (4, 5)], "label")
+
+
+SQL_SOURCE_LINES = f"""
+SELECT {', '.join(f'CAST({k} AS BIGINT) AS {k}' for k in KEYS)}, l_quantity AS x_4, l_extendedprice AS x_5, label
+FROM (SELECT *, {SQL_LABEL} AS label FROM lineitem)"""
+
+
+def q_source_history(spark: SparkSession, sf: str) -> DataFrame:
+    """A9 + A10: the history of five dual-ascent steps, written in two phases
+    by the ``fit_history`` source and read back."""
+    register(spark)
+    m = SVM.fit_svm(TB.document_rows(spark, sf), C=C, learn_rate=LEARN_RATE, max_iter=5, tol=0.0)
+    folder = f"{checkpoint_dir(spark)}/history-{uuid.uuid4().hex}"
+    m.history.write.format("fit_history").mode("append").save(folder)
+    return spark.read.format("fit_history").load(folder).select("iteration", rnd("error", 4).alias("error"))
+
+
+SQL_SOURCE_HISTORY = f"SELECT iteration, error FROM ({_QUERIES_SQL['svm_fit_documents']})"
+
+
 QUERIES = {
+    "source_lines": q_source_lines,
+    "source_history": q_source_history,
     "sql_gram": q_sql_gram,
     "sql_r": q_sql_r,
     "svm_resumed": q_svm_resumed,
@@ -348,6 +384,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "source_lines": SQL_SOURCE_LINES,
+    "source_history": SQL_SOURCE_HISTORY,
     "sql_gram": SQL_SQL_GRAM,
     "sql_r": SQL_SQL_R,
     "svm_resumed": _QUERIES_SQL["svm_fit_documents"],
