@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package
+from ..session import ship_package, stored
 from . import linalg as L
 from . import sampling as S
 from .cluster import rbf_matrix
@@ -42,10 +42,11 @@ def inv_sqrt_values(s: np.ndarray, rcond: float) -> np.ndarray:
 
 
 def sample_per_cluster(assigned: DataFrame, ranks: DataFrame, factor: int, seed: int,
-                       max_rank: int, features: str = "features") -> DataFrame:
+                       max_rank: int, features: str = "features", hint: bool = True) -> DataFrame:
     """min(factor * rank_c, n_c) rows of each cluster, first of the seeded
-    permutation (F4). ``ranks`` has K rows and is broadcast."""
-    withm = assigned.join(F.broadcast(ranks.select("cluster", "n", "rank")), "cluster").withColumn(
+    permutation (F4). ``ranks`` has K rows and is broadcast (``hint``)."""
+    sizes = ranks.select("cluster", "n", "rank")
+    withm = assigned.join(F.broadcast(sizes) if hint else sizes, "cluster").withColumn(
         "_ks_m", F.least(F.lit(factor) * F.col("rank"), F.col("n")))
     return S.sample_n(withm, seed, ["row_id"], "cluster", F.col("_ks_m"), factor * max_rank) \
         .select("cluster", "row_id", "sample_pos", features)
@@ -137,6 +138,70 @@ def nystrom_features(assigned: DataFrame, ranks: DataFrame, gamma: float, seed:
     return map_rows(assigned, maps, gamma, features=features)
 
 
+#: Parts in which a cluster's rows meet its factor (``nystrom_features_joined``).
+SALTS = 16
+
+
+def nystrom_factors(assigned: DataFrame, ranks: DataFrame, gamma: float, seed: int, rcond: float = 1e-10,
+                    features: str = "features", factor: int = 2) -> DataFrame:
+    """The factors of ``nystrom_maps`` as a table that stays in Spark: cluster,
+    m, l (landmarks) and t (m x rank), binary doubles. Any number of clusters;
+    a task holds one cluster's landmarks."""
+    ship_package(assigned.sparkSession)
+    most = ranks.agg(F.max("rank")).first()[0]
+    picked = sample_per_cluster(assigned, ranks, factor, seed, most, features, hint=False)
+    withrank = picked.join(ranks.select("cluster", "rank"), "cluster")
+
+    def factors(key, pdf):
+        import pandas as pd
+        Lc = np.stack(pdf.sort_values("sample_pos")[features].to_numpy())
+        U, s, _ = np.linalg.svd(rbf_matrix(Lc, Lc, gamma))
+        rank = int(pdf["rank"].iloc[0])
+        Tc = U[:, :rank] * inv_sqrt_values(s, rcond)[:rank]
+        return pd.DataFrame({"cluster": [int(key[0])], "m": [len(Lc)], "l": [Lc.tobytes()], "t": [np.ascontiguousarray(Tc).tobytes()]})
+
+    return withrank.groupBy("cluster").applyInPandas(factors, "cluster int, m int, l binary, t binary")
+
+
+def nystrom_features_joined(assigned: DataFrame, ranks: DataFrame, gamma: float, seed: int, rcond: float = 1e-10,
+                            features: str = "features", factor: int = 2, salts: int = SALTS) -> DataFrame:
+    """``nystrom_features`` without a broadcast and without a collected
+    factor: rows and factors meet by (cluster, salt). A cluster's rows are
+    dealt over ``salts`` parts by a hash of their id, its factor is copied to
+    each, and every part streams through a task behind its factor, so a
+    cluster of any size is held a batch at a time. A row whose cluster has
+    no rank raises."""
+    factors = stored(nystrom_factors(assigned, ranks, gamma, seed, rcond, features, factor), "factors")
+    salt = F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int").alias("salt")
+    rows = assigned.select(F.col("cluster").cast("int").alias("cluster"), salt, F.lit(1).alias("kind"), "row_id", features)
+    heads = factors.select("cluster", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "m", "l", "t")
+    both = heads.unionByName(rows, allowMissingColumns=True).select("cluster", "salt", "kind", "m", "l", "t", "row_id", features)
+    schema = T.StructType([assigned.schema["row_id"], T.StructField("cluster", T.IntegerType()), T.StructField("u", T.ArrayType(T.DoubleType()))])
+
+    def fn(batches):
+        here, Lc, Tc = None, None, None
+        for b in batches:
+            part = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            turn = np.any([p[1:] != p[:-1] for p in part], axis=0) if b.num_rows else np.zeros(0, bool)
+            cuts = [0, *(np.flatnonzero(turn) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                key = int(part[0][lo]), int(part[1][lo])
+                if not part[2][lo]:
+                    m = b.column(3)[lo].as_py()
+                    here, Lc, Tc = key, *(np.frombuffer(b.column(i)[lo].as_py()).reshape(m, -1) for i in (4, 5))
+                    continue
+                if key != here:
+                    raise ValueError(f"cluster {key[0]} has rows but no factor")
+                X = L.list_matrix(b.column(7).slice(lo, hi - lo), Lc.shape[1])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(6).slice(lo, hi - lo), pa.array(np.full(hi - lo, key[0], np.int32)), L.matrix_to_list_array(rbf_matrix(X, Lc, gamma) @ Tc)],
+                    names=["row_id", "cluster", "u"])
+
+    return both.repartition("cluster", "salt").sortWithinPartitions("cluster", "salt", "kind").mapInArrow(fn, schema)
+
+
 def link_matrix(assigned: DataFrame, ranks: DataFrame, maps: dict[int, ClusterMap],
                 pairs: list[tuple[int, int]], gamma: float, seed: int,
                 features: str = "features") -> np.ndarray:

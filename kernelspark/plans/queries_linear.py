@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.table_functions import register_gram, register_r
+from ..operators import aggregates as A
 from ..operators import cluster as CL
 from ..operators import lanczos as LZ
 from ..operators import linalg as L
+from ..operators import nystrom as NY
 from ..operators import reflectors as H
 from ..operators import rows as RW
 from ..operators import sampling as S
@@ -24,7 +26,7 @@ from ..sources import tables as TB
 from ..sources import text as TX
 from ..sources.datasource import register
 from . import sqlgen as Q
-from .common import C, EMB_DIM, LEARN_RATE, SEED, SPLIT, centroid_matrix, embeddings, rnd, spread
+from .common import C, EMB_DIM, GAMMA, LEARN_RATE, SEED, SPLIT, centroid_matrix, embeddings, rnd, spread
 from .queries import ORACLE_SQL as _QUERIES_SQL
 from .queries import (_iterations, D5, KEYS, KEYS_SQL, SQL_CENTROIDS, SQL_FIT5, SQL_GRAM_EMBEDDINGS, SQL_LABEL, SQL_ROWS,
                       SQL_SVM_NEWTON, SQL_Z5)
@@ -365,7 +367,21 @@ def q_source_history(spark: SparkSession, sf: str) -> DataFrame:
 SQL_SOURCE_HISTORY = f"SELECT iteration, error FROM ({_QUERIES_SQL['svm_fit_documents']})"
 
 
+# ============================================================ C6, H5 beyond a broadcast
+
+def q_nystrom_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """C6 + H5: the rows of ``nystrom_features``, with factors that stay in
+    Spark and meet salted clusters."""
+    e = embeddings(spark, sf).withColumnRenamed("vec_id", "row_id")
+    assigned = CL.assign_clusters(e, centroid_matrix(spark, sf)).drop("sq_dist")
+    ranks = A.rank_offsets(A.cluster_sizes(assigned).withColumn("rank", F.lit(2)), "cluster", "rank", "col_offset")
+    feats = NY.nystrom_features_joined(assigned, ranks, GAMMA, SEED, factor=1)
+    return feats.select(F.col("row_id").alias("vec_id"), "cluster", F.size("u").alias("rank"),
+                        rnd(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x)).alias("phi_sq"))
+
+
 QUERIES = {
+    "nystrom_joined": q_nystrom_joined,
     "source_lines": q_source_lines,
     "source_history": q_source_history,
     "sql_gram": q_sql_gram,
@@ -384,6 +400,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "nystrom_joined": _QUERIES_SQL["nystrom_features"],
     "source_lines": SQL_SOURCE_LINES,
     "source_history": SQL_SOURCE_HISTORY,
     "sql_gram": SQL_SQL_GRAM,

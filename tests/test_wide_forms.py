@@ -131,3 +131,28 @@ def test_feistel_needs_no_exchange(spark):
     big = spark.createDataFrame([((1 << 61) - 5,), (0,), (None,)], "row_id long")
     got = [r.perm_pos for r in S.feistel_permutation(big, 1 << 61, 7).collect()]
     assert got[2] is None and all(0 <= x < 1 << 61 for x in got[:2]) and got[0] != got[1]
+
+
+def test_landmarks_without_a_broadcast(spark):
+    """One cluster holds half of the rows, broadcasts are off: the rows of the broadcast form."""
+    from kernelspark.operators import aggregates as A
+    from kernelspark.operators import nystrom as NY
+    rng = np.random.default_rng(6)
+    X = rng.normal(size=(400, 3))
+    cluster = [0 if i % 2 else 1 + i % 7 for i in range(400)]
+    df = rows_df(spark, X, cluster, 5).select("row_id", "features", F.col("label").cast("int").alias("cluster"))
+    ranks = A.rank_offsets(A.cluster_sizes(df).withColumn("rank", F.lit(3)), "cluster", "rank", "col_offset")
+    want = {r.row_id: (r.cluster, list(r.u)) for r in NY.nystrom_features(df, ranks, 0.7, 5).collect()}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = NY.nystrom_features_joined(df, ranks, 0.7, 5)
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {r.row_id: (r.cluster, list(r.u)) for r in out.collect()}
+        with pytest.raises(Exception, match="no factor"):
+            NY.nystrom_features_joined(df.withColumn("cluster", F.when(F.col("row_id") == 3, 99).otherwise(F.col("cluster"))),
+                                       ranks, 0.7, 5).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got.keys() == want.keys()
+    assert all(got[i][0] == want[i][0] and np.allclose(got[i][1], want[i][1], atol=1e-12) for i in want)
