@@ -99,3 +99,103 @@ def cluster_pairs(kernel: DataFrame, threshold: float) -> DataFrame:
     """Pairs i < j of a K x K kernel table ``(i, j, value)`` whose value is at
     least the threshold (C5)."""
     return kernel.filter((F.col("i") < F.col("j")) & (F.col("value") >= F.lit(threshold)))
+
+
+def kernel_links(left: DataFrame, right: DataFrame, lkey: str, rkey: str, gamma: float, threshold: float,
+                 features: str = "features", pivots: int = 64, seed: int = 42, block_rows: int = 2048,
+                 same_rows: bool = False) -> DataFrame:
+    """For each left row, how many right rows have a kernel value of at least
+    ``threshold`` (C3 + C5 between two large sides): (i, n_links, first_link
+    (the least linked key, else null)). Keys are whole numbers.
+
+    The kernel is a distance r, so rows meet by metric partitioning: a left
+    row belongs to the cell of its nearest pivot; a right row is copied to the
+    cells that a row within r of it can lie in, by the triangle inequality
+    (its distance to the pivot is at most its least one plus 2 r, and at most
+    the cell's radius plus r). Cells of more than ``block_rows`` left rows are
+    split by a hash of the key and the copies go to each part; a task holds
+    one part's left rows and streams the right ones past them, so neither
+    pairs nor a side are held or emitted. The first ``pivots`` left rows of
+    the seeded order are the pivots; any choice gives the same rows.
+
+    ``same_rows``: both sides are one table, a row is no link of itself. Null
+    or empty vectors raise; a null key raises. Empty sides: no rows, or no
+    links.
+    """
+    from . import cluster as CL
+    from . import sampling as S
+    if not 0 < threshold <= 1:
+        raise ValueError(f"threshold {threshold} outside (0, 1]")
+    spark = left.sparkSession
+    ship_package(spark)
+    r = float(np.sqrt(-np.log(threshold) / gamma))
+    left = left.select(F.col(lkey).cast("long").alias("i"), F.col(features).alias("x"))
+    right = right.select(F.col(rkey).cast("long").alias("j"), F.col(features).alias("x"))
+    first = left.select(S.perm_key(seed, ["i"]).alias("k"), "i", "x").orderBy("k", "i").limit(pivots).collect()
+    empty = "i long, n_links long, first_link long"
+    if not first:
+        return spark.createDataFrame([], empty)
+    P = check_centers([list(p["x"]) for p in first])
+    placed = CL.assign_clusters(left, P, "x", "cell")
+    cells = {c["cell"]: c for c in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max("sq_dist")).alias("radius")).collect()}
+    parts = [-(-cells[c]["n"] // block_rows) if c in cells else 0 for c in range(len(P))]
+    radius = np.array([cells[c]["radius"] if c in cells else -np.inf for c in range(len(P))])
+    slack = 1e-9 * (1.0 + r + float(np.abs(P).max()))
+    n_parts = F.element_at(F.array(*[F.lit(p) for p in parts]), F.col("cell") + 1)
+
+    @F.arrow_udf("array<int>")
+    def reached(x: pa.Array) -> pa.Array:
+        d = np.sqrt(block_distances(L.list_matrix(x, P.shape[1]), P))
+        near = (d <= d.min(axis=1, initial=np.inf)[:, None] + 2 * r + slack) & (d <= radius + r + slack)
+        rows, at = np.nonzero(near)
+        ends = np.concatenate([[0], np.cumsum(near.sum(axis=1))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))
+
+    mine = placed.select("cell", F.pmod(F.xxhash64("i"), n_parts).cast("int").alias("part"), F.lit(0).alias("side"),
+                         F.coalesce(F.col("i"), F.raise_error(F.lit("null key")).cast("long")).alias("key"), "x")
+    copies = right.select(F.explode(reached("x")).alias("cell"), F.coalesce(F.col("j"), F.raise_error(F.lit("null key")).cast("long")).alias("key"), "x") \
+        .select("cell", F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("part"), F.lit(1).alias("side"), "key", "x")
+
+    def links(batches):
+        here, held, keys, n, least = None, [], None, None, None
+
+        def close():
+            if here is None:
+                return
+            i, count, to = settle()
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(count), pa.array(to, mask=count == 0)], names=["i", "n_links", "first_link"])
+
+        def settle():
+            nonlocal held, keys, n, least
+            if keys is None:
+                k, X = (np.concatenate(z) for z in zip(*held))
+                held, keys, n, least = X, k, np.zeros(len(k), np.int64), np.full(len(k), np.iinfo(np.int64).max)
+            return keys, n, least
+
+        for b in batches:
+            part = [b.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
+            cuts = np.flatnonzero((part[0][1:] != part[0][:-1]) | (part[1][1:] != part[1][:-1]) | (part[2][1:] != part[2][:-1])) + 1 \
+                if b.num_rows else []
+            for lo, hi in zip([0, *cuts], [*cuts, b.num_rows]):
+                if lo == hi:
+                    continue
+                cell = part[0][lo], part[1][lo]
+                X = L.list_matrix(b.column(4).slice(lo, hi - lo), P.shape[1])
+                if not part[2][lo]:
+                    if cell != here:
+                        yield from close()
+                        here, held, keys = cell, [], None
+                    held.append((part[3][lo:hi], X))
+                elif cell == here:          # a part whose hash left it no left row has only copies
+                    settle()
+                    for k in range(lo, hi, 256):
+                        d = block_distances(held, X[k - lo:k - lo + 256]) <= r * r
+                        other = part[3][k:min(k + 256, hi)]
+                        if same_rows:
+                            d &= keys[:, None] != other[None, :]
+                        n += d.sum(axis=1)
+                        least = np.minimum(least, np.where(d, other[None, :], np.iinfo(np.int64).max).min(axis=1))
+        yield from close()
+
+    both = mine.unionByName(copies)
+    return both.repartition("cell", "part").sortWithinPartitions("cell", "part", "side").mapInArrow(links, empty)

@@ -13,6 +13,7 @@ from ..functions import vectors as V
 from ..functions.table_functions import register_gram, register_r
 from ..operators import aggregates as A
 from ..operators import cluster as CL
+from ..operators import joins as J
 from ..operators import lanczos as LZ
 from ..operators import linalg as L
 from ..operators import nystrom as NY
@@ -380,7 +381,28 @@ def q_nystrom_joined(spark: SparkSession, sf: str) -> DataFrame:
                         rnd(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x)).alias("phi_sq"))
 
 
+# ============================================================ C3, C5 between two large sides
+
+LINK_T = 0.28
+
+
+def q_kernel_links(spark: SparkSession, sf: str) -> DataFrame:
+    """C3 + C5: for every embedding the number of others with a kernel value
+    of at least 0.28 and the first of them, by metric partitioning; small
+    blocks, so that cells are split."""
+    e = embeddings(spark, sf)
+    return J.kernel_links(e, e, "vec_id", "vec_id", GAMMA, LINK_T, pivots=16, block_rows=20, same_rows=True).withColumnRenamed("i", "vec_id")
+
+
+SQL_KERNEL_LINKS = f"""
+WITH {EMB},
+hit AS (SELECT a.vec_id, b.vec_id AS other FROM emb a JOIN emb b ON a.vec_id <> b.vec_id
+        AND exp(-{GAMMA!r}::DOUBLE * list_sum(list_transform(list_zip(a.x, b.x), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) >= {LINK_T!r}::DOUBLE)
+SELECT emb.vec_id, count(other) AS n_links, min(other) AS first_link FROM emb LEFT JOIN hit ON hit.vec_id = emb.vec_id GROUP BY emb.vec_id"""
+
+
 QUERIES = {
+    "kernel_links": q_kernel_links,
     "nystrom_joined": q_nystrom_joined,
     "source_lines": q_source_lines,
     "source_history": q_source_history,
@@ -400,6 +422,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "kernel_links": SQL_KERNEL_LINKS,
     "nystrom_joined": _QUERIES_SQL["nystrom_features"],
     "source_lines": SQL_SOURCE_LINES,
     "source_history": SQL_SOURCE_HISTORY,

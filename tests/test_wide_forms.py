@@ -156,3 +156,33 @@ def test_landmarks_without_a_broadcast(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert got.keys() == want.keys()
     assert all(got[i][0] == want[i][0] and np.allclose(got[i][1], want[i][1], atol=1e-12) for i in want)
+
+
+@pytest.mark.parametrize("pivots,block", [(1, 4096), (8, 10), (40, 1)])
+def test_kernel_links_against_all_pairs(spark, pivots, block):
+    """Repeated rows, a hot cell with a third of the rows, two sides of their own."""
+    from kernelspark.operators import joins as J
+    rng = np.random.default_rng(pivots)
+    X = np.vstack([rng.normal(size=(120, 3)), np.zeros((60, 3)), rng.normal(size=(40, 3)) + 5])
+    Y = np.vstack([X[::3] + 0.05, rng.normal(size=(50, 3))])
+    df, other = rows_df(spark, X, parts=4), rows_df(spark, Y, parts=3)
+    for right, Z, same in ((df, X, True), (other, Y, False)):
+        value = np.exp(-0.8 * ((X[:, None] - Z[None]) ** 2).sum(2)) >= 0.7
+        if same:
+            np.fill_diagonal(value, False)
+        out = J.kernel_links(df, right, "row_id", "row_id", 0.8, 0.7, pivots=pivots, block_rows=block, same_rows=same)
+        assert "CartesianProduct" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+        got = {r.i: (r.n_links, r.first_link) for r in out.collect()}
+        assert got == {i: (int(v.sum()), int(np.argmax(v)) if v.any() else None) for i, v in enumerate(value)}
+
+
+def test_kernel_links_edges(spark):
+    from kernelspark.operators import joins as J
+    df = rows_df(spark, np.eye(3))
+    assert J.kernel_links(df.limit(0), df, "row_id", "row_id", 1.0, 0.5).collect() == []
+    assert [r.n_links for r in J.kernel_links(df, df.limit(0), "row_id", "row_id", 1.0, 0.5).collect()] == [0, 0, 0]
+    assert [r.n_links for r in J.kernel_links(df, df, "row_id", "row_id", 1.0, 1.0).collect()] == [1, 1, 1]
+    with pytest.raises(ValueError):
+        J.kernel_links(df, df, "row_id", "row_id", 1.0, 0.0)
+    with pytest.raises(Exception, match="null key"):
+        J.kernel_links(df.withColumn("row_id", F.lit(None).cast("long")), df, "row_id", "row_id", 1.0, 0.5).collect()
