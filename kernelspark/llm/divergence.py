@@ -182,7 +182,9 @@ def divergence_rules(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     language is a language of its own; one without a single document that
     passes the base rules has no reference, distances are null there and
     only the base rules count. Repeated rows are judged alike. Empty table:
-    empty result. The number of languages is taken to be small.
+    empty result. The number of languages is taken to be small. Very long
+    texts are read whole, one at a time; of words in equally many documents
+    the smaller one is common. Other columns are left aside.
     """
     ship_package(docs.sparkSession)
     words = common_words(docs, text, lang)

@@ -50,7 +50,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     Null texts count as empty, and all empty texts are one group. Of equal
     texts the row with the most code points in the original stays, then the
-    smallest id; a null id stays only where its group has no other. Identical
+    smallest id; a null id stays only where its group has no other. Very
+    long texts are compared whole. Columns other than id and text are left
+    aside. Identical
     repeats of a row (same id, same text) share one verdict. Other columns
     are not read. An empty table gives an empty result.
     """

@@ -431,7 +431,9 @@ def katz_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ord
     ``crc32(doc_id) % 5`` is not 1 (a null id is learned from). Null texts
     count as empty: one token, the end. Repeated rows are counted and scored
     each. Without training rows every token has the unknown word's
-    probability 1. Empty table: empty result.
+    probability 1. Empty table: empty result. A document of more than
+    ``BLOCK_TOKENS`` tokens is a block of its own, held whole by a task.
+    Columns other than id and text are left aside.
     """
     t = train_katz(docs, ~held_out(doc_id), text, doc_id, order)
     typ = docs.schema[doc_id].dataType.simpleString()

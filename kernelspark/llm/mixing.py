@@ -87,7 +87,8 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
 def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source",
                     seed: str = "mix") -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as ``copies``
-    says (0 to ``MAX_EPOCHS``), all columns unchanged, texts whole."""
+    says (0 to ``MAX_EPOCHS``), all columns unchanged, texts whole, however
+    long. Columns may have any names; edge rows as in ``mix``."""
     plan = mix(docs, text, doc_id, source, seed).filter("copies > 0")
     key, times, copy = (free_name(docs, c) for c in ("mix_id", "mix_times", "mix_copy"))
     # rows that repeat an id cannot be told apart: they share the id's largest number

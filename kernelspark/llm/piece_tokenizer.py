@@ -204,6 +204,7 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text") -> DataF
     back, up to the model's own normalisation; it is null where the model
     has a character map or no byte fallback, since texts may then change.
     Repeated rows are encoded alike; an empty table gives an empty result.
+    Very long texts are encoded whole, alone in their call.
     """
     ship_package(docs.sparkSession)
     new = ["n_tokens", "token_ids", "round_trip"]

@@ -135,7 +135,10 @@ def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
 def pii_report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The digest of ``find_pii``: counts per base kind, the SHA-256 of the
-    base spans, all spans and their scores as strings."""
+    base spans, all spans and their scores as strings; edge rows as in
+    ``find_pii``. Very long texts are searched whole; spans that start
+    together come in the order of their kinds; other columns are left
+    aside."""
     def joined(arr: str) -> str:
         return f"array_join(transform({arr}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')"
     base = "filter(spans, x -> x.rank < " + str(len(BASE_KINDS)) + ")"

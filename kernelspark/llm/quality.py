@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kernelspark.operators.aggregates import block_partials, collect_block_sum
 from kernelspark.session import ship_package
 
 from .common import drop_shared, shared_table
@@ -41,7 +42,6 @@ RIDGE, PASSES, TOLERANCE = 1e-3, 12, 1e-4
 PRIOR_BINS, PRIOR_START = 1000, 0.5
 #: Sampling error of a share or mean over n rows, times sqrt(n): holds for all thresholds with probability 0.9.
 SLACK = 1.36
-SUM_GROUPS = 64
 
 
 def statistics(text: bytes) -> np.ndarray:
@@ -79,30 +79,13 @@ def _rows(column: pa.Array) -> np.ndarray:
 
 
 def _sums(table: DataFrame, width: int, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """Sum over all rows of ``part(raw statistics, is positive)``, two levels."""
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        total = np.zeros(width)
-        for b in batches:
-            if b.num_rows:
-                total += part(_rows(b.column(0)), b.column(1).to_numpy(zero_copy_only=False).astype(bool))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUM_GROUPS], pa.int32()),
-                                          pa.array([TaskContext.get().partitionId()], pa.int32()),
-                                          pa.array([total.tobytes()], pa.binary())], ["g", "p", "v"])
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width)
-        for v in pdf.sort_values("p")["v"]:
-            total += np.frombuffer(v)
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "v": [total.tobytes()]})
-
-    used = table.filter("role IS NOT NULL")
-    used = used.select("x", (F.col("role") == 1).alias("p"))
-    parts = used.mapInArrow(each, "g int, p int, v binary").groupBy("g").applyInPandas(meet, "g int, v binary")
-    total = np.zeros(width)
-    for r in sorted(parts.collect(), key=lambda r: r["g"]):
-        total += np.frombuffer(r["v"])
-    return total
+    """Sum over all rows of ``part(raw statistics, is positive)``: a block per
+    task, added as blocks."""
+    def add(total: np.ndarray, b: pa.RecordBatch) -> None:
+        total += part(_rows(b.column(0)), b.column(1).to_numpy(zero_copy_only=False).astype(bool))
+
+    used = table.filter("role IS NOT NULL").select("x", (F.col("role") == 1).alias("p"))
+    return collect_block_sum(block_partials(used, width, add), width)
 
 
 def _pass(w: np.ndarray):
@@ -213,6 +196,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", doc_i
     wins). Null texts count as empty and get the score of an empty text; a
     null id is never held out and counts as unlabelled. Without positives or
     without unlabelled text every score is 0.5. Empty table: empty result.
+    Texts are read whole, very long ones one at a time; equal texts have
+    equal scores, and a score of exactly 0.5 is predicted good. Other columns,
+    also ones named like the results, are left aside.
     """
     ship_package(docs.sparkSession)
     table = shared_table(labelled_statistics(docs, *_training(labels), text, doc_id), "quality")

@@ -157,6 +157,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     other. Null ids are ignored when the smallest id is sought; a component
     of null ids alone has component_id null. Rows that repeat an id fall
     into the components of each of their texts. Empty table: empty result.
+    All shingles of a very long text count. A bit set in exactly half of the
+    hashes is 0; equal distances do not matter, since every link counts.
+    Columns other than id and text are left aside.
     """
     if not 0 <= max_bits <= 2 * _NEAR + 1:
         raise ValueError(f"the anchors find links of at most {2 * _NEAR + 1} bits")
@@ -180,7 +183,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, all
     columns unchanged. Rows without an id stay; rows that repeat an id go
-    together."""
+    together. Columns may have any names; an empty table stays empty."""
     name = free_name(docs, "gone")
     gone = (near_duplicates(docs, text, doc_id).filter("doc_id != component_id")
             .select(F.col("doc_id").alias(name)).distinct())
