@@ -388,17 +388,18 @@ LINK_T = 0.28
 
 def q_kernel_links(spark: SparkSession, sf: str) -> DataFrame:
     """C3 + C5: for every embedding the number of others with a kernel value
-    of at least 0.28 and the first of them, by metric partitioning; small
+    of at least 0.28 and the first of them (-1: none), by metric partitioning; small
     blocks, so that cells are split."""
     e = embeddings(spark, sf)
-    return J.kernel_links(e, e, "vec_id", "vec_id", GAMMA, LINK_T, pivots=16, block_rows=20, same_rows=True).withColumnRenamed("i", "vec_id")
+    links = J.kernel_links(e, e, "vec_id", "vec_id", GAMMA, LINK_T, pivots=16, block_rows=20, same_rows=True)
+    return links.select(F.col("i").alias("vec_id"), "n_links", F.coalesce("first_link", F.lit(-1)).alias("first_link"))
 
 
 SQL_KERNEL_LINKS = f"""
 WITH {EMB},
 hit AS (SELECT a.vec_id, b.vec_id AS other FROM emb a JOIN emb b ON a.vec_id <> b.vec_id
         AND exp(-{GAMMA!r}::DOUBLE * list_sum(list_transform(list_zip(a.x, b.x), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) >= {LINK_T!r}::DOUBLE)
-SELECT emb.vec_id, count(other) AS n_links, min(other) AS first_link FROM emb LEFT JOIN hit ON hit.vec_id = emb.vec_id GROUP BY emb.vec_id"""
+SELECT emb.vec_id, count(other) AS n_links, coalesce(min(other), -1) AS first_link FROM emb LEFT JOIN hit ON hit.vec_id = emb.vec_id GROUP BY emb.vec_id"""
 
 
 QUERIES = {
