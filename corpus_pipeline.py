@@ -3,7 +3,11 @@ before kept. ``run(spark, sf_dir)`` applies them; every stage's result is
 written to the shared folder and read again by the next one.
 
 Nulls: a null text counts as empty in every stage, null ids are compared
-null-safely. An empty table stays empty.
+null-safely. Repeated rows and ties: one of equal texts stays (the longest
+original, then the smallest id), the mix may repeat rows. Very long texts are
+read whole in every stage. Extra columns pass through, also ones named like a
+stage's own; ``n_tokens``, ``token_ids`` and ``round_trip`` are replaced by the
+last stage. An empty table stays empty.
 """
 
 from __future__ import annotations
