@@ -183,29 +183,50 @@ def train_test_split(df: DataFrame, fraction: float, seed: int,
 
 def kth_smallest(df: DataFrame, col: str, k: int) -> DataFrame:
     """The k-th smallest value of a numeric column (F2), 1-based, as one row
-    (null for k outside the rows); nulls and NaN are not counted.
+    (null for k outside the rows); see ``kth_values``."""
+    return df.sparkSession.createDataFrame([(kth_values(df, col, [k])[0],)], "value double")
 
-    Selection by histogram: each pass counts the values of the open interval
-    in ``HISTOGRAM_BINS`` bins (a monotone function of the value) and goes on
-    with the bin that holds the k-th, until that bin has one value. Only the
-    bins reach the driver, and no task sorts or holds rows.
+
+def kth_values(df: DataFrame, col: str, ks: Sequence[int]) -> list[float | None]:
+    """The k-th smallest values of a numeric column for several k, 1-based;
+    None for k outside the rows; nulls and NaN are not counted.
+
+    Selection by histogram: each pass counts the values of the open intervals
+    in ``HISTOGRAM_BINS`` bins each (a monotone function of the value) and
+    goes on with the bin that holds the k-th, until that bin has one value.
+    All k share the passes. Only the bins reach the driver, and no task sorts
+    or holds rows.
     """
-    spark, out = df.sparkSession, "value double"
     v = df.select(F.col(col).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
-    n, lo, hi = v.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
-    if not 1 <= k <= n:
-        return spark.createDataFrame([(None,)], out)
-    while lo < hi:
-        inside = v.filter(F.col("v").between(F.lit(lo), F.lit(hi)))
+    n, least, most = v.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    found: dict[int, float] = {}
+    open_ = {}                  # interval -> {k: place inside it}
+    for k in ks:
+        if 1 <= k <= n:
+            open_.setdefault((least, most), {})[k] = k
+    while open_:
+        for (lo, hi), places in list(open_.items()):
+            if lo == hi:
+                found.update(dict.fromkeys(places, lo))
+                del open_[lo, hi]
+        if not open_:
+            break
         # halves, so that the width of the interval cannot overflow
-        share = (F.col("v") / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
-        bins = sorted(tuple(r) for r in inside.groupBy(F.floor(share * F.lit(HISTOGRAM_BINS)).alias("b")).agg(
-            F.count(F.lit(1)), F.min("v"), F.max("v")).collect())
-        for _, m, lo, hi in bins:
-            if k <= m:
-                break
-            k -= m
-    return spark.createDataFrame([(float(lo),)], out)
+        intervals = list(open_)
+        bins = [F.when(F.col("v").between(F.lit(lo), F.lit(hi)), F.struct(F.lit(i).alias("i"), F.floor(
+            (F.col("v") / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2) * F.lit(HISTOGRAM_BINS)).alias("b"))) for i, (lo, hi) in enumerate(intervals)]
+        counts = v.select(F.coalesce(*bins).alias("at"), "v").filter("at IS NOT NULL").groupBy("at.i", "at.b").agg(
+            F.count(F.lit(1)).alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        after: dict = {}
+        for i, interval in enumerate(intervals):
+            for k, left in open_[interval].items():
+                for r in sorted((r for r in counts if r["i"] == i), key=lambda r: r["b"]):
+                    if left <= r["m"]:
+                        after.setdefault((r["lo"], r["hi"]), {})[k] = left
+                        break
+                    left -= r["m"]
+        open_ = after
+    return [None if k not in found else float(found[k]) for k in ks]
 
 
 # Fixed values of the keyed permutation: rounds, the prime its rounds count in.

@@ -131,9 +131,12 @@ def q_label_lines(spark: SparkSession, sf: str) -> DataFrame:
     """A3 + C1: label lines (first token counts), zipped by position with
     hold-out lines read by A4 (comma, extra columns ignored, bias added)."""
     li = TB.table(spark, sf, "lineitem")
-    holdout = TX.dense_rows(_lines(li, KEYS, [F.col("l_quantity"), F.col("l_tax"), F.col("l_discount"), F.col("l_linenumber")], ","),
-                            2, sep=",", strict=False, append_bias=True)
-    labels = TX.first_labels(_lines(li, KEYS, [TB.charge_label(), F.col("l_returnflag")], " "))
+    texts = [F.concat_ws(sep, *[c.cast("string") for c in cols]).alias(name) for name, sep, cols in (
+        ("h", ",", [F.col("l_quantity"), F.col("l_tax"), F.col("l_discount"), F.col("l_linenumber")]),
+        ("l", " ", [TB.charge_label(), F.col("l_returnflag")]))]
+    numbered = TX.with_row_id(li.select(*KEYS, *texts), KEYS)       # ranked and written once for both
+    holdout = TX.dense_rows(numbered.select("row_id", F.col("h").alias("value")), 2, sep=",", strict=False, append_bias=True)
+    labels = TX.first_labels(numbered.select("row_id", F.col("l").alias("value")))
     return J.positional_zip(holdout, labels).select(
         "row_id", F.size("features").alias("width"), *[V.item("features", j).alias(f"x_{j}") for j in range(3)], "label")
 
@@ -284,8 +287,7 @@ def q_kth_smallest(spark: SparkSession, sf: str) -> DataFrame:
     li = TB.table(spark, sf, "lineitem").select("l_extendedprice")
     n = li.count()
     ks = [1, (n + 1) // 2, n]
-    rows = [(k, S.kth_smallest(li, "l_extendedprice", k).first()["value"]) for k in ks]
-    return spark.createDataFrame(rows, "k long, value double").distinct()
+    return spark.createDataFrame(list(zip(ks, S.kth_values(li, "l_extendedprice", ks))), "k long, value double").distinct()
 
 
 SQL_KTH_SMALLEST = """

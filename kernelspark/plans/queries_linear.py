@@ -29,8 +29,8 @@ from ..sources.datasource import register
 from . import sqlgen as Q
 from .common import C, EMB_DIM, GAMMA, LEARN_RATE, SEED, SPLIT, centroid_matrix, embeddings, rnd, spread
 from .queries import ORACLE_SQL as _QUERIES_SQL
-from .queries import (_iterations, D5, KEYS, KEYS_SQL, SQL_CENTROIDS, SQL_FIT5, SQL_GRAM_EMBEDDINGS, SQL_LABEL, SQL_ROWS,
-                      SQL_SVM_NEWTON, SQL_Z5)
+from .queries import (_iterations, D5, KEYS, KEYS_SQL, SQL_CENTROIDS, SQL_FIT5, SQL_GRAM_EMBEDDINGS, SQL_LABEL, SQL_ROWS, SQL_SIGNED_DOCS,
+                      SQL_SVM_NEWTON, SQL_Z5, STEP)
 
 EMB = Q.cte("emb", "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings")
 
@@ -402,7 +402,65 @@ hit AS (SELECT a.vec_id, b.vec_id AS other FROM emb a JOIN emb b ON a.vec_id <>
 SELECT emb.vec_id, count(other) AS n_links, coalesce(min(other), -1) AS first_link FROM emb LEFT JOIN hit ON hit.vec_id = emb.vec_id GROUP BY emb.vec_id"""
 
 
+# ============================================================ G2-G6 on a wide design, B8, E7 on a fit's state
+
+D65, WIDE_STEPS = EMB_DIM + 1, 5
+
+
+def q_svm_wide_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """G2-G6 on all 64 dimensions and the bias: w after each of five
+    dual-ascent steps; j = -1 has the step's error."""
+    m = SVM.fit_svm(TB.embedding_rows(spark, sf).drop("class_label"), C=C, learn_rate=LEARN_RATE, max_iter=WIDE_STEPS, tol=0.0)
+    cells = [(t, j, x) for t, w in enumerate(m.weights_path, 1) for j, x in enumerate(w)] + [(t, -1, e) for t, e in m.history_rows]
+    return spark.createDataFrame(cells, "iteration int, j int, value double").select("iteration", "j", rnd("value", 4).alias("value"))
+
+
+def _sql_wide_steps(d: int) -> str:
+    """M inverted by Gauss-Jordan elimination on cells, then the steps row by row."""
+    out = [Q.cte("a", "SELECT vec_id, y * v AS v, j FROM (SELECT vec_id, CASE WHEN label = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y, unnest(range(len(embedding) + 1)) AS j, "
+                      "unnest(list_append(CAST(embedding AS DOUBLE[]), 1.0::DOUBLE)) AS v FROM embeddings)"),
+           Q.cte("s0", f"SELECT a.j AS i, b.j, sum(a.v * b.v) + CASE WHEN a.j = b.j THEN {Q.lit(1 / (2 * C))} ELSE 0.0 END AS v FROM a JOIN a b USING (vec_id) "
+                       f"GROUP BY a.j, b.j UNION ALL SELECT i, i + {d}, 1.0::DOUBLE FROM range({d}) r(i)")]
+    for k in range(d):
+        # column d + i of the right half fills up row by row: absent cells are zeros
+        out.append(Q.cte(f"s{k + 1}", f"SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM s{k} WHERE j > {k} OR i = j UNION ALL "
+                                      f"SELECT l.i, u.j, -l.v * u.v / p.v FROM s{k} l, s{k} u, (SELECT v FROM s{k} WHERE i = {k} AND j = {k}) p "
+                                      f"WHERE l.j = {k} AND l.i <> {k} AND u.i = {k} AND u.j > {k}) GROUP BY i, j"))
+    out += [Q.cte("inv", f"SELECT b.i, b.j - {d} AS j, b.v / p.v AS v FROM s{d} b JOIN s{d} p ON p.i = b.i AND p.j = b.i WHERE b.j >= {d}"),
+            Q.cte("b0", "SELECT DISTINCT vec_id, 1.0::DOUBLE AS beta FROM a")]
+    for t in range(1, WIDE_STEPS + 1):
+        out += [Q.cte(f"u{t}", f"SELECT j, sum(v * (1.0::DOUBLE + beta)) AS u FROM a JOIN b{t - 1} USING (vec_id) GROUP BY j"),
+                Q.cte(f"w{t}", f"SELECT i AS j, sum(v * u) AS w FROM inv JOIN u{t} USING (j) GROUP BY i"),
+                Q.cte(f"b{t}", f"SELECT vec_id, greatest(beta - {Q.lit(STEP * 2 * C)} * (1.0::DOUBLE + beta - m), 0.0::DOUBLE) AS beta, beta AS old FROM b{t - 1} "
+                               f"JOIN (SELECT vec_id, sum(v * w) AS m FROM a JOIN w{t} USING (j) GROUP BY vec_id) USING (vec_id)")]
+    rows = " UNION ALL ".join(f"SELECT {t} AS iteration, j, w AS value FROM w{t} UNION ALL SELECT {t}, -1, sum(abs(beta - old)) FROM b{t}" for t in range(1, WIDE_STEPS + 1))
+    return "WITH " + ",\n".join(out) + f"\nSELECT CAST(iteration AS INTEGER) AS iteration, CAST(j AS INTEGER) AS j, round(value, 4) + 0.0 AS value FROM ({rows})"
+
+
+SQL_SVM_WIDE_STEPS = _sql_wide_steps(D65)
+
+
+def q_fit_support(spark: SparkSession, sf: str) -> DataFrame:
+    """B8 + E7 on the state of a fit: the support vectors after five
+    dual-ascent steps on the documents' quality, and the bias they give."""
+    rows = TB.document_rows(spark, sf)
+    m = SVM.fit_svm(rows, C=C, learn_rate=LEARN_RATE, max_iter=5, tol=0.0)
+    held = rows.join(m.state.select("row_id", "alpha"), "row_id")
+    bias = A.bias_from_support(held).first()
+    return RW.support_vectors(held).select("row_id", rnd("alpha", 5).alias("alpha"), F.lit(round(bias["bias"], 4)).alias("bias"),
+                                           F.lit(bias["n_support"]).cast("long").alias("n_support"))
+
+
+SQL_FIT_SUPPORT = "WITH " + ",\n".join([Q.cte("rows_", SQL_SIGNED_DOCS), *Q.dual_ascent("rows_", 3, C, STEP, 5),
+                                        Q.cte("sv", "SELECT id, alpha, a_2 AS y, a_0 / a_2 AS x_0, a_1 / a_2 AS x_1 FROM s5 WHERE alpha > 0.001"),
+                                        Q.cte("k", "SELECT y AS yk, x_0 AS k_0, x_1 AS k_1 FROM sv ORDER BY id LIMIT 1"),
+                                        Q.cte("b", "SELECT any_value(yk) - sum(alpha * y * (x_0 * k_0 + x_1 * k_1)) AS bias, count(*) AS n FROM sv, k")]) + """
+SELECT id AS row_id, round(alpha, 5) + 0.0 AS alpha, round(bias, 4) AS bias, n AS n_support FROM sv, b"""
+
+
 QUERIES = {
+    "svm_wide_steps": q_svm_wide_steps,
+    "fit_support": q_fit_support,
     "kernel_links": q_kernel_links,
     "nystrom_joined": q_nystrom_joined,
     "source_lines": q_source_lines,
@@ -423,6 +481,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "svm_wide_steps": SQL_SVM_WIDE_STEPS,
+    "fit_support": SQL_FIT_SUPPORT,
     "kernel_links": SQL_KERNEL_LINKS,
     "nystrom_joined": _QUERIES_SQL["nystrom_features"],
     "source_lines": SQL_SOURCE_LINES,

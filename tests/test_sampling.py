@@ -67,3 +67,15 @@ def test_global_rank_on_dates_and_strings(spark):
     want = sorted((r["d"], r["s"]) for r in got)
     assert [p for _, p in sorted(((r["d"], r["s"]), r["pos"]) for r in got)] == list(range(500))
     assert len(want) == 500
+
+
+def test_kth_values_share_their_passes(spark, monkeypatch):
+    import random
+    monkeypatch.setattr(S, "HISTOGRAM_BINS", 8)
+    r = random.Random(4)
+    values = [r.choice((0.0, 1.5, -1e300, 1e300, 7.25, r.random(), r.gauss(0, 1e-5))) for _ in range(300)]
+    df = spark.createDataFrame([(x,) for x in [*values, None, float("nan")]], "v double").repartition(4)
+    ks = [0, 1, 2, 77, 150, 151, 299, 300, 301]
+    want = [None if not 1 <= k <= 300 else sorted(values)[k - 1] for k in ks]
+    assert S.kth_values(df, "v", ks) == want
+    assert S.kth_values(df.limit(0), "v", [1]) == [None] and S.kth_values(df, "v", []) == []
