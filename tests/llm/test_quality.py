@@ -71,3 +71,53 @@ def test_edge_rows(spark):
     kept = Q.keep_good(docs, labels)
     want = sorted(str(r.doc_id) for r in out if r.predicted)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == want
+
+
+def plain_minimum(raw, pos, prior):
+    """The same risk on one machine, to its minimum by damped Newton steps; also the estimate of its negative part."""
+    x, w = Q.design(raw), np.zeros(Q.DIM)
+    p, u = x[pos], x[~pos]
+    ridge = Q.RIDGE + 1 / len(p)
+
+    def risk(w):
+        soft = lambda z: np.logaddexp(0, z)
+        return prior * soft(-(p @ w)).mean() + soft(u @ w).mean() - prior * soft(p @ w).mean() + ridge / 2 * w @ w
+
+    for _ in range(200):
+        s = 1 / (1 + np.exp(-(u @ w)))
+        g = u.T @ s / len(u) - prior * p.mean(axis=0) + ridge * w
+        step = np.linalg.solve((u * (s * (1 - s))[:, None]).T @ u / len(u) + ridge * np.eye(Q.DIM), g)
+        t = 1.0
+        while risk(w - t * step) > risk(w) - 1e-4 * t * (g @ step) and t > 1e-8:
+            t /= 2
+        w = w - t * step
+        if np.abs(g).max() < 1e-12:
+            break
+    return w, np.logaddexp(0, u @ w).mean() - prior * np.logaddexp(0, p @ w).mean()
+
+
+def test_same_weights_and_prior_as_on_one_machine(spark):
+    import zlib
+
+    import xxhash
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "labels"))
+    learned = {r.doc_id: r.quality for r in labels if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    used = [d for d in docs if learned.get(d.doc_id, 1) == 1]       # no training negative is ever seen
+    x32 = [Q.statistics((d.text or "").encode()) for d in used]
+    raw, pos = np.array(x32, np.float64), np.array([d.doc_id in learned for d in used])
+    half = np.array([xxhash.xxh64_intdigest(x.tobytes(), seed=42) % 2 for x in x32])
+    first, negative = plain_minimum(raw[half == 0], pos[half == 0], Q.PRIOR_START)
+    assert negative > 0             # the risk's non-negative part is not at its bound here
+    # the least bound over all thresholds of the other half, one by one
+    score, p = Q._score(raw[half == 1], first), pos[half == 1]
+    n_p, n_u = p.sum(), (~p).sum()
+    best = min((((~p & (score >= t)).sum() / n_u + Q.SLACK * (n_p ** -0.5 + n_u ** -0.5)) / (p & (score >= t)).mean() * p.mean(), -t)
+               for t in np.arange(Q.PRIOR_BINS) / Q.PRIOR_BINS if (p & (score >= t)).any())
+    t = -best[1]
+    prior = ((~p & (score >= t)).sum() / n_u) / ((p & (score >= t)).sum() / n_p)
+    got = Q.labelled_statistics(spark.read.parquet(f"{sf}/documents.parquet"), *Q._training(spark.read.parquet(f"{sf}/labels.parquet")), "text", "doc_id")
+    w, ours = Q.train(got.cache())
+    assert abs(ours - prior) < 0.01
+    want, _ = plain_minimum(raw, pos, ours)
+    assert np.abs(w - want).max() < 2e-3 and np.abs(Q._score(raw, w) - Q._score(raw, want)).max() < 1e-4
