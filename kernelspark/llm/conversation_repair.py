@@ -375,7 +375,8 @@ def repair_report(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     does so), null conversation ids are one conversation, null turns count in
     no gap. A role whose initial is none of s, u, a can only be changed or
     deleted. Equal rows are duplicates of their first one. An empty table
-    gives an empty result. Very long texts are held one at a time. The digest
+    gives an empty result. Texts are held a batch of rows at a time, however
+    long. The digest
     streams over a conversation's rows in order, in one task: SHA-256 has no
     other way; the edits are found by blocks in all tasks.
     """
