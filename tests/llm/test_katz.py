@@ -135,3 +135,18 @@ def test_query_scores_trigrams(spark):
     got = {r.doc_id: r for r in QUERIES["op2_katz"](spark, folder).collect()}
     for r in rows[::10]:
         assert got[r.doc_id].score == pytest.approx(plain.score(r.text), abs=1e-3, rel=1e-7)
+
+
+def test_one_text_longer_than_a_block(spark):
+    """More than BLOCK_TOKENS tokens in one document, columns called like the operator's own."""
+    n = katz.BLOCK_TOKENS // 3 + 1000
+    learned = next(i for i in range(100) if not is_held(i))
+    held = next(i for i in range(100) if is_held(i))
+    rows = [(learned, "a b c " * n + "d", 1, "m"), (held, "b c a c b d", 2, "m"), (held + 1000, "c", 3, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, block int, m string")
+    plain = Plain([t for i, t, *_ in rows if not is_held(i)], 3)
+    for r in katz.katz_scores(df, order=3).collect():
+        text = next(t for i, t, *_ in rows if i == r.doc_id)
+        assert r.n_tokens == len(tokens(text)) and r.train_tokens == plain.n
+        if r.doc_id != learned:
+            assert r.score == pytest.approx(plain.score(text), abs=1e-5, rel=1e-6)

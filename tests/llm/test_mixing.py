@@ -69,3 +69,21 @@ def test_running_total_over_many_ranges(spark):
         for r in sorted((r for r in got if r.g == g), key=lambda r: r.k):
             assert r.at == at
             at += r.v
+
+
+def test_the_mix_holds_each_row_as_often_as_it_says(spark):
+    """Very long texts, repeated rows, clashing columns: exact copies per document, texts whole."""
+    from collections import Counter
+    long = "w " * 150_000
+    rows = [(0, long, "a", 1, 2), (1, "x y", "b", 1, 2), (1, "x y", "b", 1, 2), (2, "z " * 40, "b", 1, 2), (3, "q " * 9, None, 1, 2)]
+    rows += [(10 + i, f"n{i} " * (1 + i % 9), "abc"[i % 3], 1, 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, copies int, taken int").repartition(3)
+    want = Counter()
+    for r in M.mix(df).collect():
+        want[r.doc_id] += r.copies
+    out = M.mixed_documents(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert Counter(r.doc_id for r in got) == Counter({k: n for k, n in want.items() if n})
+    texts = {r[0]: r[1] for r in rows}
+    assert all(r.text == texts[r.doc_id] and (r.copies, r.taken) == (1, 2) for r in got)
