@@ -24,6 +24,7 @@ HEADLINE = [
     "truncated_svd_values", "row_positions", "random_permutation", "train_test_split",
     "assign_clusters", "lloyd_step", "rank_allocation", "svm_fixed_iterations",
     "svm_newton", "svm_fit_documents", "kmeans_fit", "nystrom_features", "meka_features", "kth_smallest", "apply_q", "label_lines",
+    "reflector_products", "pivoted_rank", "top_svd", "kmeans_parallel", "feistel_permutation", "kernel_links", "tiled_gram",
 ]
 
 
