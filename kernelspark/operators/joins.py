@@ -101,6 +101,57 @@ def cluster_pairs(kernel: DataFrame, threshold: float) -> DataFrame:
     return kernel.filter((F.col("i") < F.col("j")) & (F.col("value") >= F.lit(threshold)))
 
 
+def _pack_rows(keys: np.ndarray, X: np.ndarray) -> tuple[bytes, bytes]:
+    """Keys and vectors as bytes: vectors that are whole 32-bit numbers travel
+    as such, by byte planes, compressed."""
+    narrow = X.astype(np.float32)
+    X = narrow if np.array_equal(narrow, X) else X
+    planes = X.reshape(-1).view(np.uint8).reshape(-1, X.itemsize).T.tobytes()
+    return keys.tobytes(), bytes([X.itemsize]) + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
+
+
+def _unpack_rows(keys: bytes, x: bytes, d: int) -> tuple[np.ndarray, np.ndarray]:
+    k, size = np.frombuffer(keys, np.int64), x[0]
+    planes = pa.Codec("zstd").decompress(x[1:], decompressed_size=len(k) * d * size, asbytes=True)
+    X = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(np.float32 if size == 4 else np.float64)
+    return k, X.reshape(len(k), d).astype(np.float64)
+
+
+#: Copies of a right row, unless its cells need more parts to be held: a part's left rows take at most so many bytes.
+LINK_COPIES, LINK_HELD_BYTES = 8, 64 << 20
+#: Left and right rows whose distances are one block.
+LINK_TILE = 1024, 512
+
+
+def link_parts(sizes: Sequence[int], block_rows: int, width: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Cells of ``sizes`` rows, laid end to end, cut into parts of as many
+    rows: ``block_rows``, or more where there would be over ``LINK_COPIES``
+    parts, but no more than ``LINK_HELD_BYTES``. Gives where each cell begins
+    and ends, the rows of a part and the number of parts."""
+    most = max(1, LINK_HELD_BYTES // (8 * max(1, width)))
+    ends = np.cumsum(np.asarray(sizes, np.int64))
+    room = min(most, max(block_rows, -(-int(ends[-1]) // LINK_COPIES)))
+    return ends - sizes, ends, room, -(-int(ends[-1]) // room)
+
+
+def _linked(A: np.ndarray, Y: np.ndarray, sq: float) -> np.ndarray:
+    """Whether the squared distances of two blocks are at most ``sq``: by one
+    matrix product, and by differences where its rounding could decide."""
+    a2, y2 = np.einsum("ij,ij->i", A, A), np.einsum("ij,ij->i", Y, Y)
+    err = 8 * (A.shape[1] + 8) * np.finfo(float).eps * (a2.max() + y2.max() + sq)
+    if not np.isfinite(err):
+        return block_distances(A, Y) <= sq
+    one = np.ones
+    d = np.hstack([-2 * A, a2[:, None], one((len(A), 1))]) @ np.hstack([Y, one((len(Y), 1)), y2[:, None]]).T
+    hit = d <= sq + err
+    near = np.flatnonzero(hit & (d >= sq - err))
+    for k in range(0, len(near), 1 << 14):
+        i, j = np.divmod(near[k:k + (1 << 14)], len(Y))
+        diff = A[i] - Y[j]
+        hit[i, j] = np.einsum("ij,ij->i", diff, diff) <= sq
+    return hit
+
+
 def kernel_links(left: DataFrame, right: DataFrame, lkey: str, rkey: str, gamma: float, threshold: float,
                  features: str = "features", pivots: int = 64, seed: int = 42, block_rows: int = 2048,
                  same_rows: bool = False) -> DataFrame:
@@ -109,14 +160,17 @@ def kernel_links(left: DataFrame, right: DataFrame, lkey: str, rkey: str, gamma:
     (the least linked key, else null)). Keys are whole numbers.
 
     The kernel is a distance r, so rows meet by metric partitioning: a left
-    row belongs to the cell of its nearest pivot; a right row is copied to the
-    cells that a row within r of it can lie in, by the triangle inequality
-    (its distance to the pivot is at most its least one plus 2 r, and at most
-    the cell's radius plus r). Cells of more than ``block_rows`` left rows are
-    split by a hash of the key and the copies go to each part; a task holds
-    one part's left rows and streams the right ones past them, so neither
-    pairs nor a side are held or emitted. The first ``pivots`` left rows of
-    the seeded order are the pivots; any choice gives the same rows.
+    row belongs to the cell of its nearest pivot; a right row meets the cells
+    that a row within r of it can lie in, by the triangle inequality (its
+    distance to the pivot is at most its least one plus 2 r, and at most the
+    cell's radius plus r). The cells, in which a hash of the key orders the
+    rows, are cut into parts (``link_parts``) of ``block_rows`` left rows, or
+    of more: each part gets a copy of the right rows that meet its cells, and
+    there are at most ``LINK_COPIES`` as long as a task can hold a part. Rows
+    travel in packed blocks; a task holds one part's left rows and streams
+    the right ones past them, so neither pairs nor a side are held or
+    emitted. The first ``pivots`` left rows of the seeded order are the
+    pivots; any choice gives the same rows.
 
     ``same_rows``: both sides are one table, a row is no link of itself. Null
     or empty vectors raise; a null key raises. Empty sides: no rows, or no
@@ -138,64 +192,98 @@ def kernel_links(left: DataFrame, right: DataFrame, lkey: str, rkey: str, gamma:
     P = check_centers([list(p["x"]) for p in first])
     placed = CL.assign_clusters(left, P, "x", "cell")
     cells = {c["cell"]: c for c in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max("sq_dist")).alias("radius")).collect()}
-    parts = [-(-cells[c]["n"] // block_rows) if c in cells else 0 for c in range(len(P))]
+    start, end, room, parts = link_parts([cells[c]["n"] if c in cells else 0 for c in range(len(P))], block_rows, P.shape[1])
     radius = np.array([cells[c]["radius"] if c in cells else -np.inf for c in range(len(P))])
     slack = 1e-9 * (1.0 + r + float(np.abs(P).max()))
-    n_parts = F.element_at(F.array(*[F.lit(p) for p in parts]), F.col("cell") + 1)
 
-    @F.arrow_udf("array<int>")
-    def reached(x: pa.Array) -> pa.Array:
-        d = np.sqrt(block_distances(L.list_matrix(x, P.shape[1]), P))
-        near = (d <= d.min(axis=1, initial=np.inf)[:, None] + 2 * r + slack) & (d <= radius + r + slack)
-        rows, at = np.nonzero(near)
-        ends = np.concatenate([[0], np.cumsum(near.sum(axis=1))]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))
+    def reached(X: np.ndarray) -> np.ndarray:
+        """The cells that a row within r of these rows can lie in."""
+        d = np.sqrt(block_distances(X, P))
+        return (d <= d.min(axis=1, initial=np.inf)[:, None] + 2 * r + slack) & (d <= radius + r + slack)
 
-    mine = placed.select("cell", F.pmod(F.xxhash64("i"), n_parts).cast("int").alias("part"), F.lit(0).alias("side"),
-                         F.coalesce(F.col("i"), F.raise_error(F.lit("null key")).cast("long")).alias("key"), "x")
-    copies = right.select(F.explode(reached("x")).alias("cell"), F.coalesce(F.col("j"), F.raise_error(F.lit("null key")).cast("long")).alias("key"), "x") \
-        .select("cell", F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("part"), F.lit(1).alias("side"), "key", "x")
-
-    def links(batches):
-        here, held, keys, n, least = None, [], None, None, None
+    def vectors(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        if b.column(0).null_count:
+            raise ValueError("null key")
+        return b.column(0).to_numpy(), L.list_matrix(b.column(1), P.shape[1])
 
-        def close():
-            if here is None:
-                return
-            i, count, to = settle()
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(count), pa.array(to, mask=count == 0)], names=["i", "n_links", "first_link"])
+    def packed(rows):
+        cols = list(zip(*rows)) if rows else [()] * 5
+        types = pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["part", "side", "cells", "keys", "x"])
 
-        def settle():
-            nonlocal held, keys, n, least
-            if keys is None:
-                k, X = (np.concatenate(z) for z in zip(*held))
-                held, keys, n, least = X, k, np.zeros(len(k), np.int64), np.full(len(k), np.iinfo(np.int64).max)
-            return keys, n, least
+    def place_left(batches):
+        for b in batches:
+            keys, X = vectors(b)
+            cell = b.column(2).to_numpy()
+            part = (start[cell] + b.column(3).to_numpy() % (end - start)[cell]) // room
+            for p in np.unique(part):
+                at = np.flatnonzero(part == p)
+                yield packed([(p, 0, cell[at].astype(np.int32).tobytes(), *_pack_rows(keys[at], X[at]))])
+
+    def place_right(batches):
+        for b in batches:
+            keys, X = vectors(b)
+            near = reached(X)
+            goes = np.zeros((len(keys), parts), bool)
+            for c in np.flatnonzero(end > start):
+                goes[:, start[c] // room:(end[c] - 1) // room + 1] |= near[:, c:c + 1]
+            for p in np.flatnonzero(goes.any(axis=0)):
+                yield packed([(p, 1, None, *_pack_rows(keys[goes[:, p]], X[goes[:, p]]))])
+
+    none = np.iinfo(np.int64).max
+
+    def meet(A, mine, n, least, X, other):
+        """Links of one cell's left rows with right rows in the order of their keys."""
+        for lo in range(0, len(A), LINK_TILE[0]):
+            t = slice(lo, min(lo + LINK_TILE[0], len(A)))
+            for k in range(0, len(X), LINK_TILE[1]):
+                there = other[k:k + LINK_TILE[1]]
+                hit = _linked(A[t], X[k:k + LINK_TILE[1]], r * r)
+                if same_rows:
+                    a, b = np.searchsorted(there, mine[t]), np.searchsorted(there, mine[t], side="right")
+                    for row in np.flatnonzero(a < b):
+                        hit[row, a[row]:b[row]] = False
+                count = np.count_nonzero(hit, axis=1)
+                n[t] += count
+                least[t] = np.minimum(least[t], np.where(count > 0, there[hit.argmax(axis=1)], none))
 
+    def links(batches):
+        held, cell, keys, A, n, least = [], None, None, None, None, None
         for b in batches:
-            part = [b.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
-            cuts = np.flatnonzero((part[0][1:] != part[0][:-1]) | (part[1][1:] != part[1][:-1]) | (part[2][1:] != part[2][:-1])) + 1 \
-                if b.num_rows else []
-            for lo, hi in zip([0, *cuts], [*cuts, b.num_rows]):
-                if lo == hi:
+            for row in range(b.num_rows):
+                k, X = _unpack_rows(b.column(3)[row].as_py(), b.column(4)[row].as_py(), P.shape[1])
+                if not b.column(1)[row].as_py():
+                    held.append((np.frombuffer(b.column(2)[row].as_py(), np.int32), k, X))
                     continue
-                cell = part[0][lo], part[1][lo]
-                X = L.list_matrix(b.column(4).slice(lo, hi - lo), P.shape[1])
-                if not part[2][lo]:
-                    if cell != here:
-                        yield from close()
-                        here, held, keys = cell, [], None
-                    held.append((part[3][lo:hi], X))
-                elif cell == here:          # a part whose hash left it no left row has only copies
-                    settle()
-                    for k in range(lo, hi, 256):
-                        d = block_distances(held, X[k - lo:k - lo + 256]) <= r * r
-                        other = part[3][k:min(k + 256, hi)]
-                        if same_rows:
-                            d &= keys[:, None] != other[None, :]
-                        n += d.sum(axis=1)
-                        least = np.minimum(least, np.where(d, other[None, :], np.iinfo(np.int64).max).min(axis=1))
-        yield from close()
-
-    both = mine.unionByName(copies)
-    return both.repartition("cell", "part").sortWithinPartitions("cell", "part", "side").mapInArrow(links, empty)
+                if not held and cell is None:       # a part whose hash left it no left row has only copies
+                    break
+                if cell is None:
+                    cell, keys, A = _by_cell(held)
+                    held, n, least = [], np.zeros(len(keys), np.int64), np.full(len(keys), none)
+                order = np.argsort(k, kind="stable")
+                k, X = k[order], X[order]
+                near = reached(X)
+                cuts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+                for lo, hi in zip(cuts, cuts[1:]):
+                    if (to := near[:, cell[lo]]).any():
+                        meet(A[lo:hi], keys[lo:hi], n[lo:hi], least[lo:hi], X[to], k[to])
+        if held:
+            cell, keys, A = _by_cell(held)
+            n, least = np.zeros(len(keys), np.int64), np.full(len(keys), none)
+        if keys is not None:
+            for lo in range(0, len(keys), 1 << 16):
+                c, to = n[lo:lo + (1 << 16)], least[lo:lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[lo:lo + (1 << 16)]), pa.array(c), pa.array(to, mask=c == 0)],
+                                                 names=["i", "n_links", "first_link"])
+
+    row = "part int, side int, cells binary, keys binary, x binary"
+    mine = placed.select("i", "x", "cell", F.shiftrightunsigned(F.xxhash64("i"), 1).alias("h")).mapInArrow(place_left, row)
+    both = mine.unionByName(right.mapInArrow(place_right, row))
+    return both.repartitionById(parts, F.col("part")).sortWithinPartitions("side").mapInArrow(links, empty)
+
+
+def _by_cell(held: list) -> tuple[np.ndarray, ...]:
+    """Blocks of (cell, key, vector) as one, in the order of the cells."""
+    cell, keys, X = (np.concatenate(z) for z in zip(*held))
+    order = np.argsort(cell, kind="stable")
+    return cell[order], keys[order], X[order]

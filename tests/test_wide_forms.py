@@ -186,3 +186,30 @@ def test_kernel_links_edges(spark):
         J.kernel_links(df, df, "row_id", "row_id", 1.0, 0.0)
     with pytest.raises(Exception, match="null key"):
         J.kernel_links(df.withColumn("row_id", F.lit(None).cast("long")), df, "row_id", "row_id", 1.0, 0.5).collect()
+
+
+def test_kernel_links_copies_are_few(spark):
+    """Parts of few rows: the right rows are not copied to each of them."""
+    from kernelspark.operators import joins as J
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(800, 64))
+    X = (X / np.linalg.norm(X, axis=1)[:, None]).astype(np.float32).astype(float)
+    df = rows_df(spark, X, parts=4)
+
+    def written():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(k).length() for k in range(files.size()))
+
+    before = written()
+    got = {r.i: r.n_links for r in J.kernel_links(df, df, "row_id", "row_id", 1.0, 0.28, pivots=16, block_rows=1, same_rows=True).collect()}
+    value = np.exp(-((X[:, None] - X[None]) ** 2).sum(2)) >= 0.28
+    assert got == {i: int(v.sum()) - 1 for i, v in enumerate(value)}
+    assert written() - before < 8 * X.nbytes        # the copies as 32-bit numbers: half of that
+
+
+def test_link_parts():
+    from kernelspark.operators import joins as J
+    start, end, room, parts = J.link_parts([0, 3, 100_000, 5, 40], 20, 64)
+    assert parts == J.LINK_COPIES and parts * room >= end[-1] == 100_048 and list(start) == [0, 0, 3, 100_003, 100_008]
+    assert J.link_parts([10 ** 9], 20, 64)[3] == -(-10 ** 9 // (J.LINK_HELD_BYTES // 512))      # no more than a task can hold
+    assert J.link_parts([4] * 10, 8, 2)[3] == 5
