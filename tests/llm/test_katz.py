@@ -150,3 +150,42 @@ def test_one_text_longer_than_a_block(spark):
         assert r.n_tokens == len(tokens(text)) and r.train_tokens == plain.n
         if r.doc_id != learned:
             assert r.score == pytest.approx(plain.score(text), abs=1e-5, rel=1e-6)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_hot_words_spread_over_ranges(spark, monkeypatch, order):
+    """Histories of words above HOT_TOKENS meet across ranges, order by order."""
+    monkeypatch.setattr(katz, "HOT_TOKENS", 2)
+    monkeypatch.setattr(katz, "RANGE_TOKENS", 300)
+    df = spark.createDataFrame(ROWS, "doc_id bigint, text string").repartition(3)
+    t = katz.train_katz(df, ~katz.held_out(), order=order)
+    plain = Plain([x for i, x in ROWS if not is_held(i)], order)
+    assert t.given is not None and t.layout.parts > 5
+    assert len({g for g, r in t.grams.collect() if "grams" in r and g >= t.layout.parts}) > 2
+    for m in range(order):
+        assert sorted(r["count"] for r in t.ngrams().filter(f"m = {m}").collect()) == sorted(plain.c[m].values())
+    texts = dict(ROWS)
+    got = katz.katz_scores(df, order=order).collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        assert r.score == pytest.approx(plain.score(texts[r.doc_id]), abs=1e-4, rel=1e-7)
+
+
+def test_disk_of_the_trigram_model(spark):
+    """Shuffle files and tables of a run stay below four times the input."""
+    import os
+
+    from kernelspark.llm.queries import QUERIES
+    from kernelspark.session import checkpoint_dir
+    folder = "/root/testdata/sf0.01"
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    tables = checkpoint_dir(spark).removeprefix("file:")
+
+    def used():
+        shuffled = {f.getPath(): f.length() for f in (files.apply(i) for files in [disk.getAllFiles()] for i in range(files.size()))}
+        return shuffled | {p: os.path.getsize(p) for d, _, names in os.walk(tables) for p in (os.path.join(d, x) for x in names)}
+    before = used()
+    rows = QUERIES["op2_katz"](spark, folder).collect()
+    new = {p: n for p, n in used().items() if p not in before}
+    assert len(rows) == 1000 and sum(new.values()) > 0
+    assert sum(new.values()) < 4 * os.path.getsize(f"{folder}/documents.parquet")
