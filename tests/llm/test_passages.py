@@ -258,3 +258,53 @@ def test_seed_step_holds_little():
         tracemalloc.stop()
     assert n == 3000 * 247
     assert peak < 48 << 20
+
+
+def scattered(r, first_id, passage, n):
+    """Documents that each hold ``n`` words in a row of the passage, at every place, among words of their own."""
+    return [(first_id + i, vocabulary(r, 20) + passage[i:i + n] + vocabulary(r, 20)) for i in range(len(passage) - n + 1)]
+
+
+def test_passage_whose_seeds_are_first_elsewhere(spark):
+    """Every 4-word gram of the passages stands alone in an earlier document, so no two seeds have the same first."""
+    r = random.Random(31)
+    p, q = vocabulary(r, 60), vocabulary(r, 60)
+    fuzzy = [vocabulary(r, 1)[0] if i % 7 == 5 else w for i, w in enumerate(q)]     # runs of six words
+    missing = [w for i, w in enumerate(q) if i % 10 != 4]
+    rows = [*scattered(r, 0, p, 4), *scattered(r, 100, q, 4),
+            (200, vocabulary(r, 30) + p + vocabulary(r, 40)), (201, vocabulary(r, 25) + p + vocabulary(r, 30)), (202, vocabulary(r, 9) + p),
+            (210, vocabulary(r, 30) + q + vocabulary(r, 40)), (211, vocabulary(r, 25) + fuzzy), (212, vocabulary(r, 8) + missing)]
+    got = pairs(spark, rows)
+    assert {(g.doc_id, g.other_id) for g in got} == {(201, 200), (202, 200), (211, 210), (212, 210)}
+    assert [(g.start, g.end, g.other_start, g.identity, g.passage_words) for g in got if g.doc_id < 203] == [(25, 85, 30, 1.0, 60), (9, 69, 30, 1.0, 60)]
+    words = {g.doc_id: g for g in got}
+    assert words[211].passage_words >= 57 and words[211].start == 25 and words[212].passage_words >= 50
+
+
+def test_passage_whose_seeds_stand_earlier_in_its_first_document(spark):
+    """The grams of the passage have their firsts in other documents and in
+    scattered places of the document that holds it first."""
+    r = random.Random(32)
+    p = vocabulary(r, 60)
+    odd = [w for i in range(1, 57, 2) for w in p[i:i + 4] + vocabulary(r, 1)]
+    rows = [*scattered(r, 0, p, 4)[::2], (100, odd + vocabulary(r, 20) + p), (101, vocabulary(r, 12) + p + vocabulary(r, 5))]
+    got = [g for g in pairs(spark, rows) if g.other_id == 100]
+    assert [(g.doc_id, g.start, g.end, g.other_start, g.identity) for g in got if g.end - g.start > 50] == [(101, 12, 72, len(odd) + 20, 1.0)]
+
+
+def test_singles_are_left_out_and_nothing_else():
+    """Packed seeds come back: all that occur twice, in the same block or in another one."""
+    r = np.random.default_rng(3)
+    words = [f"w{x}" for x in r.integers(0, 10 ** 6, 3000)]
+    texts = [" ".join(words[:1000]), " ".join(words[500:1500]), " ".join(words[2000:]), " ".join(words[1400:2100])]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 2)), pa.array(texts[i:i + 2])], ["id", "t"]) for i in (0, 2)]
+    packed = [b for batch in batches for b in P._seed_blocks(1)(iter([batch]))]
+    rows = [row for b in P._seed_rows(1)(iter(packed)) for row in zip(*(c.to_pylist() for c in b.columns))]
+    count = {}
+    for d, t in enumerate(texts):
+        ws = t.split()
+        for i in range(len(ws) - P.K + 1):
+            count.setdefault(tuple(ws[i:i + P.K]), []).append((d, i))
+    twice = sorted(z for v in count.values() if len(v) > 1 for z in v)
+    assert len(twice) == 2 * (497 + 97 + 97) and set(twice) <= {(d, at >> 32) for _, d, at in rows}
+    assert len(rows) < len(twice) + 20
